@@ -26,23 +26,28 @@ from ..schema import EXPLANATION_TOP_K, FEATURES
 from .classifier import LinearModel
 
 
-def coalition_weights(m: int) -> dict[tuple[int, ...], dict[int, float]]:
-    """For each coalition S (as a sorted tuple) and feature i, the signed weight
-    of f(S) in phi_i: +w(|S|-1) if i in S, -w(|S|) if not, w(s) = s!(m-1-s)!/m!."""
+def shapley_terms(m: int) -> list[list[tuple[float, tuple[int, ...], tuple[int, ...]]]]:
+    """For each feature i: the list of (w(|S|), S + i, S) over S not containing i,
+    w(s) = s!(m-1-s)!/m!. Coalitions are sorted tuples; the order is fixed."""
     fact = math.factorial
     w = [fact(s) * fact(m - 1 - s) / fact(m) for s in range(m)]
-    out: dict[tuple[int, ...], dict[int, float]] = {}
-    for size in range(m + 1):
-        for S in combinations(range(m), size):
-            out[S] = {i: (w[size - 1] if i in S else -w[size]) for i in range(m) if (i in S and size >= 1) or (i not in S and size < m)}
+    out = []
+    for i in range(m):
+        rest = [j for j in range(m) if j != i]
+        out.append([(w[size], tuple(sorted(S + (i,))), S) for size in range(m) for S in combinations(rest, size)])
     return out
 
 
+def coalitions(m: int) -> list[tuple[int, ...]]:
+    return [S for size in range(m + 1) for S in combinations(range(m), size)]
+
+
 def phi_columns(model: LinearModel, baseline: Sequence[float] | None = None, prefix: str = "phi_") -> dict[str, Column]:
     """X1 (expression form): exact Shapley values as one column per feature.
 
-    Catalyst keeps the 2^M coalition probabilities as common subexpressions
-    (the empty coalition folds to a constant), so each is evaluated once.
+    phi_i = sum over S without i of w(|S|) * (f(S + i) - f(S)). A feature at its
+    baseline value gives exactly 0. The 2^M coalition probabilities are
+    common subexpressions, evaluated once per row by whole-stage codegen.
     """
     m = len(model.features)
     base = list(baseline) if baseline is not None else [0.0] * m
@@ -51,16 +56,19 @@ def phi_columns(model: LinearModel, baseline: Sequence[float] | None = None, pre
     # Coalition logit: present features at their value, absent ones at the baseline.
     base_logit = model.raw_intercept + sum(b * v for b, v in zip(beta, base))
     prob: dict[tuple[int, ...], Column] = {}
-    for S in coalition_weights(m):
+    for S in coalitions(m):
         eta = F.lit(base_logit)
         for j in S:
             eta = eta + F.lit(beta[j]) * (x[j] - F.lit(base[j]))
         prob[S] = logistic(eta)
-    terms: dict[int, Column] = {i: F.lit(0.0) for i in range(m)}
-    for S, ws in coalition_weights(m).items():
-        for i, wgt in ws.items():
-            terms[i] = terms[i] + F.lit(wgt) * prob[S]
-    return {f"{prefix}{f}": terms[i] for i, f in enumerate(model.features)}
+    cols = {}
+    for i, f in enumerate(model.features):
+        acc = None
+        for wgt, with_i, without_i in shapley_terms(m)[i]:
+            term = F.lit(wgt) * (prob[with_i] - prob[without_i])
+            acc = term if acc is None else acc + term
+        cols[f"{prefix}{f}"] = acc
+    return cols
 
 
 def shapley_linear(df: DataFrame, model: LinearModel, baseline: Sequence[float] | None = None, prefix: str = "phi_") -> DataFrame:
@@ -79,19 +87,21 @@ def shapley_values(
 
     ``predict`` maps an (n, M) float array to n probabilities. Each Arrow
     batch is expanded to its 2^M coalition rows in numpy, scored in one call
-    and reduced with a (2^M, M) weight matrix. Exact only for M <= 12.
+    and reduced over the coalition pairs of each feature. Meant for M <= 12.
     """
     m = len(features)
     if m > 12:
         raise ValueError("exact Shapley values need 2^M model calls per row; M must be <= 12")
     base = np.asarray(baseline if baseline is not None else [0.0] * m, dtype="float64")
-    coalitions = list(coalition_weights(m).items())
-    masks = np.zeros((len(coalitions), m), dtype=bool)
-    weights = np.zeros((len(coalitions), m))
-    for r, (S, ws) in enumerate(coalitions):
+    subsets = coalitions(m)
+    pos = {S: r for r, S in enumerate(subsets)}
+    masks = np.zeros((len(subsets), m), dtype=bool)
+    for r, S in enumerate(subsets):
         masks[r, list(S)] = True
-        for i, wgt in ws.items():
-            weights[r, i] = wgt
+    terms = shapley_terms(m)
+    w_idx = np.array([[w for w, _, _ in terms[i]] for i in range(m)])  # (M, 2^(M-1))
+    with_idx = np.array([[pos[a] for _, a, _ in terms[i]] for i in range(m)])
+    without_idx = np.array([[pos[b] for _, _, b in terms[i]] for i in range(m)])
     out_fields = [T.StructField(f"{prefix}{f}", T.DoubleType(), True) for f in features]
     schema = T.StructType(df.schema.fields + out_fields)
 
@@ -104,8 +114,9 @@ def shapley_values(
                 continue
             # (n, 2^M, M): row values where the coalition has the feature, baseline elsewhere.
             Z = np.where(masks[None, :, :], X[:, None, :], base[None, None, :])
-            p = np.asarray(predict(Z.reshape(-1, m)), dtype="float64").reshape(n, len(coalitions))
-            phi = p @ weights
+            p = np.asarray(predict(Z.reshape(-1, m)), dtype="float64").reshape(n, len(subsets))
+            # Differences first, so a feature at its baseline gets exactly 0.
+            phi = ((p[:, with_idx] - p[:, without_idx]) * w_idx[None, :, :]).sum(axis=2)
             yield pdf.assign(**{f"{prefix}{f}": phi[:, i] for i, f in enumerate(features)})
 
     return df.mapInPandas(run, schema)

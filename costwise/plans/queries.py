@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import twins
 from ..operators import classifier as clf
 from ..operators import decision as dec
+from ..operators import explain as expl
 from ..schema import ACTIONS, FEATURES, ID
 from ..sources.events import transactions_from_events
 from .pinned import PINNED_CLASSIFIER
@@ -84,3 +85,54 @@ def _decision_sql(p: str = "p") -> str:
 def q_choose_action(spark, sf_dir):
     df = dec.choose_action(clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER))
     return df.select(ID, F.round("fraud_probability", P6).alias("fraud_probability"), "decision")
+
+
+# ---------------------------------------------------------------- explain
+def _phi_sql() -> str:
+    return twins.phi_sql(PINNED_CLASSIFIER, _tx_sql())
+
+
+def _phi(spark, sf_dir) -> DataFrame:
+    return expl.shapley_linear(transactions(spark, sf_dir), PINNED_CLASSIFIER)
+
+
+@query(
+    "shapley_values",
+    lambda: f"SELECT transaction_id, {', '.join(f'round(phi_{f}, {P6}) AS phi_{f}' for f in FEATURES)} FROM ({_phi_sql()}) p",
+)
+def q_shapley_values(spark, sf_dir):
+    return _phi(spark, sf_dir).select(ID, *[F.round(f"phi_{f}", P6).alias(f"phi_{f}") for f in FEATURES])
+
+
+@query(
+    "shapley_udf",
+    lambda: f"SELECT transaction_id, {', '.join(f'round(phi_{f}, {P6}) AS phi_{f}' for f in FEATURES)} FROM ({_phi_sql()}) p",
+)
+def q_shapley_udf(spark, sf_dir):
+    """The same values through the general model-callable path."""
+    tx = transactions(spark, sf_dir).select(ID, *FEATURES)
+    df = expl.shapley_values(tx, expl.linear_predictor(PINNED_CLASSIFIER))
+    return df.select(ID, *[F.round(f"phi_{f}", P6).alias(f"phi_{f}") for f in FEATURES])
+
+
+@query(
+    "shapley_long_sorted",
+    lambda: f"SELECT transaction_id, rank, feature, round(contribution, {P6}) AS contribution FROM ({twins.phi_long_sql(_phi_sql())}) l",
+)
+def q_shapley_long_sorted(spark, sf_dir):
+    long = expl.contributions_long(_phi(spark, sf_dir))
+    return long.select(ID, F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", P6).alias("contribution"))
+
+
+@query(
+    "shapley_top3",
+    lambda: f"SELECT transaction_id, rank, feature, round(contribution, {P6}) AS contribution FROM ({twins.phi_long_sql(_phi_sql())}) l WHERE rank <= 3",
+)
+def q_shapley_top3(spark, sf_dir):
+    long = expl.contributions_long(_phi(spark, sf_dir)).filter(F.col("rank") <= 3)
+    return long.select(ID, F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", P6).alias("contribution"))
+
+
+@query("explanation_text", lambda: twins.explanation_sql(twins.phi_long_sql(_phi_sql())))
+def q_explanation_text(spark, sf_dir):
+    return _phi(spark, sf_dir).select(ID, expl.explanation().alias("explanation"))

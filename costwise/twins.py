@@ -51,3 +51,51 @@ def logit_sql(model: LinearModel, cols: dict[str, str] | None = None) -> str:
 
 def sigmoid_sql(x: str) -> str:
     return f"(1.0 / (1.0 + exp(-({x}))))"
+
+
+def phi_sql(model: LinearModel, src: str, keep: tuple[str, ...] = ("transaction_id",), baseline=None) -> str:
+    """Exact Shapley values of the linear-logistic probability, one column per feature."""
+    from .operators.explain import coalitions, shapley_terms
+
+    m = len(model.features)
+    base = list(baseline) if baseline is not None else [0.0] * m
+    beta = model.raw_coef
+    base_logit = model.raw_intercept + sum(b * v for b, v in zip(beta, base))
+
+    def cname(S):
+        return "c_" + ("_".join(map(str, S)) if S else "e")
+
+    probs = []
+    for S in coalitions(m):
+        eta = num(base_logit)
+        for j in S:
+            eta = f"({eta} + {num(beta[j])} * (CAST({model.features[j]} AS DOUBLE) - {num(base[j])}))"
+        probs.append(f"{sigmoid_sql(eta)} AS {cname(S)}")
+    phis = []
+    for i, f in enumerate(model.features):
+        acc = None
+        for w, a, b in shapley_terms(m)[i]:
+            t = f"({num(w)} * ({cname(a)} - {cname(b)}))"
+            acc = t if acc is None else f"({acc} + {t})"
+        phis.append(f"{acc} AS phi_{f}")
+    k = ", ".join(keep)
+    return f"SELECT {k}, {', '.join(phis)} FROM (SELECT {k}, {', '.join(probs)} FROM ({src}) s0) s1"
+
+
+def phi_long_sql(phi_src: str, features=FEATURES) -> str:
+    """(transaction_id, rank, feature, contribution) ranked by |phi| desc, then feature order."""
+    rows = " UNION ALL ".join(
+        f"SELECT transaction_id, {i} AS idx, '{f}' AS feature, phi_{f} AS contribution FROM ({phi_src}) p" for i, f in enumerate(features)
+    )
+    return (
+        "SELECT transaction_id, row_number() OVER (PARTITION BY transaction_id ORDER BY abs(contribution) DESC, idx) AS rank, "
+        f"feature, contribution FROM ({rows}) u"
+    )
+
+
+def explanation_sql(long_src: str, k: int = 3) -> str:
+    return (
+        "SELECT transaction_id, 'Transaction flagged primarily due to: ' || "
+        "string_agg(replace(feature, '_', ' ') || ' impact', ', ' ORDER BY rank) || '.' AS explanation "
+        f"FROM ({long_src}) l WHERE rank <= {k} GROUP BY transaction_id"
+    )
