@@ -104,7 +104,7 @@ def fit_logistic(
     label: str = LABEL,
     C: float = 1.0,
     max_iter: int = 500,
-    tol: float = 1e-12,
+    tol: float = 1e-10,
 ) -> LinearModel:
     """A3: minimise 1/2 |(beta, b)|^2 + C * sum w_i * logloss_i on scaled features.
 

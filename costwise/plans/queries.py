@@ -9,9 +9,10 @@ from .. import twins
 from ..operators import classifier as clf
 from ..operators import decision as dec
 from ..operators import explain as expl
-from ..schema import ACTIONS, FEATURES, ID
+from ..operators import forest
+from ..schema import ACTIONS, FEATURES, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID
 from ..sources.events import transactions_from_events
-from .pinned import PINNED_CLASSIFIER
+from .pinned import PINNED_CLASSIFIER, SMALL_FOREST
 from .registry import query, table
 
 P6 = 6  # decimals of doubles in checked outputs (both sides)
@@ -136,3 +137,114 @@ def q_shapley_top3(spark, sf_dir):
 @query("explanation_text", lambda: twins.explanation_sql(twins.phi_long_sql(_phi_sql())))
 def q_explanation_text(spark, sf_dir):
     return _phi(spark, sf_dir).select(ID, expl.explanation().alias("explanation"))
+
+
+# ---------------------------------------------------------------- classifier fit
+@query(
+    "scaler_stats",
+    lambda: "SELECT " + ", ".join(f"round(mean_{f}, {P6}) AS mean_{f}, round(scale_{f}, {P6}) AS scale_{f}" for f in FEATURES)
+    + f" FROM ({twins.scaler_stats_sql(_tx_sql())}) s",
+)
+def q_scaler_stats(spark, sf_dir):
+    s = clf.scaler_stats(transactions(spark, sf_dir))
+    return s.select(*[F.round(c, P6).alias(c) for c in s.columns])
+
+
+@query("class_weights", lambda: f"SELECT is_fraud, n, round(weight, {P6}) AS weight FROM ({twins.class_weights_sql(_tx_sql())}) w")
+def q_class_weights(spark, sf_dir):
+    w = clf.class_weights(transactions(spark, sf_dir))
+    return w.select("is_fraud", "n", F.round("weight", P6).alias("weight"))
+
+
+def _model_row(spark, model) -> DataFrame:
+    vals = {f"coef_{f}": round(b, P4) for f, b in zip(model.features, model.coef)}
+    vals["intercept"] = round(model.intercept, P4)
+    return spark.createDataFrame([tuple(vals.values())], ", ".join(f"{k} double" for k in vals))
+
+
+@query(
+    "fit_logistic",
+    lambda: "SELECT " + ", ".join(f"round(t{j}, {P4}) AS coef_{f}" for j, f in enumerate(FEATURES))
+    + f", round(b, {P4}) AS intercept FROM ({twins.logistic_gd_sql(_tx_sql())}) g",
+)
+def q_fit_logistic(spark, sf_dir):
+    """A1-A3 on the whole transactions view; one row of fitted coefficients."""
+    return _model_row(spark, clf.fit_logistic(transactions(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- isolation forest
+def _forest_sql(select: str, small: bool = True) -> str:
+    p = SMALL_FOREST if small else dict(n_trees=FOREST_TREES, max_samples=FOREST_MAX_SAMPLES, seed=FOREST_SEED, contamination=FOREST_CONTAMINATION)
+    return twins.forest_sql(_tx_sql(), select, p["n_trees"], p["max_samples"], p["seed"], p["contamination"])
+
+
+def _small_forest(tx: DataFrame) -> forest.Forest:
+    p = SMALL_FOREST
+    return forest.fit_forest(tx, n_trees=p["n_trees"], max_samples=p["max_samples"], seed=p["seed"], contamination=p["contamination"])
+
+
+@query("forest_sample", lambda: _forest_sql("SELECT tree, transaction_id FROM smp", small=False))
+def q_forest_sample(spark, sf_dir):
+    """A4 sample at the service's settings (100 trees x 256 rows)."""
+    sample, _ = forest.forest_sample(transactions(spark, sf_dir))
+    return sample.select("tree", ID)
+
+
+@query(
+    "forest_nodes",
+    lambda: _forest_sql(f"SELECT tree, node, depth, feature, round(threshold, {P6}) AS threshold, size, is_leaf, round(path, {P6}) AS path FROM nodes"),
+)
+def q_forest_nodes(spark, sf_dir):
+    p = SMALL_FOREST
+    sample, psi = forest.forest_sample(transactions(spark, sf_dir), p["n_trees"], p["max_samples"], p["seed"])
+    nodes = forest.grow_forest(sample, psi, p["seed"])
+    return nodes.select(
+        "tree", "node", "depth", "feature", F.round("threshold", P6).alias("threshold"), "size", "is_leaf", F.round("path", P6).alias("path")
+    )
+
+
+@query(
+    "forest_score",
+    lambda: _forest_sql(
+        f"SELECT s.transaction_id, round(score, {P6}) AS score, round(score - o.offset, {P6}) AS anomaly_score FROM scored s CROSS JOIN offs o"
+    ),
+)
+def q_forest_score(spark, sf_dir):
+    tx = transactions(spark, sf_dir)
+    fo = _small_forest(tx)
+    df = tx.select(ID, forest.score_samples(fo, spark).alias("score"))
+    return df.select(ID, F.round("score", P6).alias("score"), F.round(F.col("score") - F.lit(fo.offset), P6).alias("anomaly_score"))
+
+
+@query(
+    "anomaly_offset",
+    lambda: _forest_sql(
+        f"SELECT round(o.offset, {P6}) AS offset, (SELECT count(*) FROM scored s, offs o2 WHERE round(s.score - o2.offset, 9) < 0) AS n_anomalies FROM offs o"
+    ),
+)
+def q_anomaly_offset(spark, sf_dir):
+    tx = transactions(spark, sf_dir)
+    fo = _small_forest(tx)
+    flagged = forest.anomaly_score(tx, fo).agg(F.sum((F.round("anomaly_score", 9) < 0).cast("long")).alias("n_anomalies"))
+    return flagged.select(F.round(F.lit(fo.offset), P6).alias("offset"), F.coalesce("n_anomalies", F.lit(0)).alias("n_anomalies"))
+
+
+@query(
+    "anomaly_label",
+    lambda: _forest_sql(
+        "SELECT s.transaction_id, CASE WHEN round(score - o.offset, 9) < 0 THEN -1 ELSE 1 END AS anomaly_label FROM scored s CROSS JOIN offs o"
+    ),
+)
+def q_anomaly_label(spark, sf_dir):
+    tx = transactions(spark, sf_dir)
+    fo = _small_forest(tx)
+    return forest.anomaly_score(tx, fo).select(ID, forest.anomaly_label(F.col("anomaly_score"), 9).alias("anomaly_label"))
+
+
+@query("forest_score_full")
+def q_forest_score_full(spark, sf_dir):
+    """A4-A6, M3, M4 at the service's settings (100 trees x 256); checked on rows only."""
+    tx = transactions(spark, sf_dir)
+    fo = forest.fit_forest(tx)
+    df = forest.anomaly_score(tx, fo)
+    return df.select(ID, F.round("anomaly_score", P4).alias("anomaly_score"), forest.anomaly_label(F.col("anomaly_score")).alias("anomaly_label"))

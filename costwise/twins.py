@@ -99,3 +99,164 @@ def explanation_sql(long_src: str, k: int = 3) -> str:
         "string_agg(replace(feature, '_', ' ') || ' impact', ', ' ORDER BY rank) || '.' AS explanation "
         f"FROM ({long_src}) l WHERE rank <= {k} GROUP BY transaction_id"
     )
+
+
+def scaler_stats_sql(src: str, features=FEATURES) -> str:
+    cols = []
+    for f in features:
+        cols.append(f"avg(CAST({f} AS DOUBLE)) AS mean_{f}")
+        cols.append(f"CASE WHEN stddev_pop(CAST({f} AS DOUBLE)) = 0 THEN 1.0 ELSE stddev_pop(CAST({f} AS DOUBLE)) END AS scale_{f}")
+    return f"SELECT {', '.join(cols)} FROM ({src}) t"
+
+
+def class_weights_sql(src: str, label: str = "is_fraud") -> str:
+    return (
+        f"SELECT CAST({label} AS INTEGER) AS {label}, count(*) AS n, "
+        f"CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS weight "
+        f"FROM ({src}) t GROUP BY 1"
+    )
+
+
+def logistic_gd_sql(src: str, features=FEATURES, label: str = "is_fraud", steps: int = 300, step: float = 2.0) -> str:
+    """The penalised, class-balanced logistic fit by plain gradient descent.
+
+    Objective / n: (1/n) sum w_i logloss_i + (1/2n) |theta|^2 with theta =
+    (intercept, beta) on standardised features. A recursive CTE carries theta;
+    each step is one aggregate over the table.
+    """
+    m = len(features)
+    st = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m{j}, CASE WHEN stddev_pop(CAST({f} AS DOUBLE)) = 0 THEN 1.0 ELSE stddev_pop(CAST({f} AS DOUBLE)) END AS s{j}" for j, f in enumerate(features))
+    z = ", ".join(f"(CAST({f} AS DOUBLE) - m{j}) / s{j} AS z{j}" for j, f in enumerate(features))
+    th = ["b"] + [f"t{j}" for j in range(m)]
+    eta = " + ".join(["b"] + [f"t{j} * z{j}" for j in range(m)])
+    resid = f"w * (1.0 / (1.0 + exp(-({eta}))) - y)"
+    upd = [f"b - {step} * (sum({resid}) / n + b / n)"] + [f"t{j} - {step} * (sum({resid} * z{j}) / n + t{j} / n)" for j in range(m)]
+    init = ", ".join(["0 AS it"] + [f"CAST(0 AS DOUBLE) AS {t}" for t in th])
+    return f"""
+    WITH RECURSIVE
+    st AS (SELECT {st}, CAST(count(*) AS DOUBLE) AS n, CAST(sum({label}) AS DOUBLE) AS npos FROM ({src}) t),
+    z AS (SELECT {z}, CAST({label} AS DOUBLE) AS y,
+                 CASE WHEN {label} = 1 THEN n / (2.0 * npos) ELSE n / (2.0 * (n - npos)) END AS w, n
+          FROM ({src}) t CROSS JOIN st),
+    gd AS (
+      SELECT {init}
+      UNION ALL
+      SELECT it + 1, {', '.join(upd)}
+      FROM gd CROSS JOIN z WHERE it < {steps}
+      GROUP BY it, {', '.join(th)}, n
+    )
+    SELECT {', '.join(th)}, st.* FROM gd CROSS JOIN st WHERE it = {steps}
+    """
+
+
+# ---------------------------------------------------------------- isolation forest
+def _u(seed: int, tree: str, node: str, salt: int) -> str:
+    h = f"md5('{seed}:' || CAST({tree} AS VARCHAR) || ':' || CAST({node} AS VARCHAR) || ':{salt}')"
+    return f"(CAST(('0x' || substr({h}, 1, 8)) AS UBIGINT) / 4294967296.0)"
+
+
+def c_sql(n: str) -> str:
+    from .schema import EULER_GAMMA
+
+    return (
+        f"(CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 "
+        f"ELSE 2.0 * (ln({n} - 1.0) + {num(EULER_GAMMA)}) - 2.0 * ({n} - 1.0) / {n} END)"
+    )
+
+
+def forest_ctes(src: str, n_trees: int, max_samples: int, seed: int, features=FEATURES) -> tuple[list[str], int, int]:
+    """CTEs ``fx`` (rows), ``smp`` (sample), ``nodes`` (grown forest) and ``paths``
+    (per row and tree). Returns (ctes, psi_sql_unknown, max_depth) — psi is
+    min(max_samples, n), fixed here by the caller's knowledge of n >= max_samples."""
+    import math
+
+    m = len(features)
+    psi = max_samples
+    depth = int(math.ceil(math.log2(max(psi, 2))))
+    xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{j}" for j, f in enumerate(features))
+    xcols = ", ".join(f"x{j}" for j in range(m))
+    want = n_trees * psi
+    ctes = [
+        f"fx AS (SELECT transaction_id, {xs} FROM ({src}) t)",
+        f"cnt AS (SELECT count(*) AS n FROM fx)",
+        # Disjoint round-robin when the table has at least T*psi rows ...
+        f"top AS (SELECT *, md5('{seed}:' || CAST(transaction_id AS VARCHAR)) AS h FROM fx ORDER BY h, {xcols} LIMIT {want})",
+        f"""smp AS (
+          SELECT CAST((row_number() OVER (ORDER BY h, {xcols}) - 1) % {n_trees} AS INTEGER) AS tree, transaction_id, {xcols}
+          FROM top WHERE (SELECT n FROM cnt) >= {want}
+          UNION ALL
+          SELECT tree, transaction_id, {xcols} FROM (
+            SELECT tr.tree, f.*, row_number() OVER (PARTITION BY tr.tree ORDER BY
+                   md5('{seed}:' || CAST(tr.tree AS VARCHAR) || ':' || CAST(f.transaction_id AS VARCHAR)), {xcols}) AS rn
+            FROM fx f CROSS JOIN (SELECT CAST(range AS INTEGER) AS tree FROM range({n_trees})) tr
+            WHERE (SELECT n FROM cnt) < {want}) r
+          WHERE rn <= {psi})""",
+        f"r0 AS (SELECT tree, 1 AS node, {xcols} FROM smp)",
+    ]
+    pick_cases = " ".join(
+        f"WHEN v{j} = 1 AND pick = {' + '.join([f'v{i}' for i in range(j)]) or '0'} THEN {j}" for j in range(m)
+    )
+    stats = ", ".join(f"min(x{j}) AS lo{j}, max(x{j}) AS hi{j}" for j in range(m))
+    varying = ", ".join(f"CASE WHEN hi{j} > lo{j} THEN 1 ELSE 0 END AS v{j}" for j in range(m))
+    nv = " + ".join(f"v{j}" for j in range(m))
+    thr = " ".join(f"WHEN {j} THEN lo{j} + u2 * (hi{j} - lo{j})" for j in range(m))
+    xf = " ".join(f"WHEN {j} THEN r.x{j}" for j in range(m))
+    node_parts = []
+    for level in range(depth + 1):
+        ctes.append(
+            f"""g{level} AS (
+              SELECT tree, node, {level} AS depth, CAST(count(*) AS INTEGER) AS size, {stats} FROM r{level} GROUP BY tree, node)"""
+        )
+        ctes.append(
+            f"""s{level} AS (
+              SELECT *, CASE WHEN size <= 1 OR depth >= {depth} OR nv = 0 THEN -1
+                             ELSE CASE {pick_cases} END END AS feature
+              FROM (SELECT *, least(CAST(floor(u1 * nv) AS INTEGER), nv - 1) AS pick
+                    FROM (SELECT *, {nv} AS nv FROM (SELECT *, {varying},
+                                 {_u(seed, 'tree', 'node', 0)} AS u1, {_u(seed, 'tree', 'node', 1)} AS u2 FROM g{level}) a) b) c)"""
+        )
+        ctes.append(
+            f"""t{level} AS (
+              SELECT tree, node, depth, CAST(feature AS INTEGER) AS feature,
+                     CASE WHEN feature < 0 THEN NULL ELSE CASE feature {thr} END END AS threshold,
+                     size, feature < 0 AS is_leaf,
+                     CASE WHEN feature < 0 THEN depth + {c_sql('size')} END AS path
+              FROM s{level})"""
+        )
+        node_parts.append(f"SELECT * FROM t{level}")
+        if level < depth:
+            ctes.append(
+                f"""r{level + 1} AS (
+                  SELECT r.tree, 2 * r.node + CASE WHEN (CASE t.feature {xf} END) > t.threshold THEN 1 ELSE 0 END AS node, {', '.join(f'r.x{j}' for j in range(m))}
+                  FROM r{level} r JOIN t{level} t ON r.tree = t.tree AND r.node = t.node WHERE t.feature >= 0)"""
+            )
+    ctes.append(f"nodes AS ({' UNION ALL '.join(node_parts)})")
+    # Scoring: every row walks every tree, one level per join; a node that was
+    # never grown (empty side of a split) is a leaf at its depth.
+    nf = " ".join(f"WHEN {j} THEN q.x{j}" for j in range(m))
+    ctes.append(
+        f"q0 AS (SELECT f.transaction_id, tr.tree, 1 AS node, CAST(NULL AS DOUBLE) AS path, {', '.join(f'f.x{j}' for j in range(m))} "
+        f"FROM fx f CROSS JOIN (SELECT CAST(range AS INTEGER) AS tree FROM range({n_trees})) tr)"
+    )
+    for level in range(depth + 1):
+        ctes.append(
+            f"""q{level + 1} AS (
+              SELECT q.transaction_id, q.tree,
+                     CASE WHEN q.path IS NOT NULL OR n.node IS NULL OR n.is_leaf THEN q.node
+                          ELSE 2 * q.node + CASE WHEN (CASE n.feature {nf} END) > n.threshold THEN 1 ELSE 0 END END AS node,
+                     COALESCE(q.path, CASE WHEN n.node IS NULL THEN CAST({level} AS DOUBLE) WHEN n.is_leaf THEN n.path END) AS path,
+                     {', '.join(f'q.x{j}' for j in range(m))}
+              FROM q{level} q LEFT JOIN nodes n ON q.path IS NULL AND q.tree = n.tree AND q.node = n.node)"""
+        )
+    ctes.append(
+        f"scored AS (SELECT transaction_id, -pow(2.0, -avg(path) / {num(__import__('costwise.functions', fromlist=['c_of']).c_of(psi))}) AS score "
+        f"FROM q{depth + 1} GROUP BY transaction_id)"
+    )
+    ctes.append("offs AS (SELECT quantile_cont(score, {q}) AS offset FROM scored)")
+    return ctes, psi, depth
+
+
+def forest_sql(src: str, select: str, n_trees: int, max_samples: int, seed: int, contamination: float, features=FEATURES) -> str:
+    ctes, _, _ = forest_ctes(src, n_trees, max_samples, seed, features)
+    ctes[-1] = ctes[-1].replace("{q}", repr(float(contamination)))
+    return "WITH " + ",\n".join(ctes) + "\n" + select
