@@ -12,6 +12,11 @@ from ..operators import explain as expl
 from ..operators import forest
 from ..schema import ACTIONS, FEATURES, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID
 from ..sources.events import transactions_from_events
+from ..session import scratch_path
+from ..sources.readers import parse_json_requests, response_from_json, response_to_json
+from ..sources.validate import validate
+from ..streaming.stream import analyze_stream, read_sink
+from .analyze import Models, analyze, display, flatten_response
 from .pinned import PINNED_CLASSIFIER, SMALL_FOREST
 from .registry import query, table
 
@@ -248,3 +253,93 @@ def q_forest_score_full(spark, sf_dir):
     fo = forest.fit_forest(tx)
     df = forest.anomaly_score(tx, fo)
     return df.select(ID, F.round("anomaly_score", P4).alias("anomaly_score"), forest.anomaly_label(F.col("anomaly_score")).alias("anomaly_label"))
+
+
+# ---------------------------------------------------------------- compose
+def _small_models(tx: DataFrame) -> Models:
+    return Models(PINNED_CLASSIFIER, _small_forest(tx))
+
+
+def _analyze_select(decimals: int = P6) -> str:
+    """Twin of the flattened response: pinned classifier, small forest."""
+    tx = _tx_sql()
+    phi = twins.phi_sql(PINNED_CLASSIFIER, tx)
+    expl_sql = twins.explanation_sql(twins.phi_long_sql(phi))
+    phis = ", ".join(f"round(ph.phi_{f}, {decimals}) AS phi_{f}" for f in FEATURES)
+    return f"""
+    SELECT a.transaction_id, round(a.p, 4) AS fraud_probability, round(s.score - o.offset, 4) AS anomaly_score,
+           a.decision, e.explanation, {phis}
+    FROM (SELECT transaction_id, p, {_decision_sql()} AS decision
+          FROM (SELECT transaction_id, {_prob_sql()} AS p FROM ({tx}) t) x) a
+    JOIN scored s ON s.transaction_id = a.transaction_id
+    CROSS JOIN offs o
+    JOIN ({phi}) ph ON ph.transaction_id = a.transaction_id
+    JOIN ({expl_sql}) e ON e.transaction_id = a.transaction_id
+    """
+
+
+@query("analyze", lambda: _forest_sql(_analyze_select()))
+def q_analyze(spark, sf_dir):
+    """The full response for every transaction (pinned classifier, small forest)."""
+    tx = transactions(spark, sf_dir)
+    return flatten_response(analyze(tx, _small_models(tx)))
+
+
+@query("response_json", lambda: _forest_sql(_analyze_select()))
+def q_response_json(spark, sf_dir):
+    """K5 + K6: responses written as JSON text and read back into typed columns."""
+    tx = transactions(spark, sf_dir)
+    text = response_to_json(analyze(tx, _small_models(tx)), "response")
+    back = text.select(response_from_json("response").alias("r")).select("r.*")
+    return flatten_response(back)
+
+
+@query(
+    "display_format",
+    lambda: _forest_sql(
+        "SELECT transaction_id, printf('%.2f%%', fraud_probability * 100) AS probability_text, "
+        "printf('%.3f', anomaly_score) AS anomaly_text, "
+        "CASE decision WHEN 'approve' THEN '🟢 APPROVE' WHEN 'review' THEN '🟡 REVIEW' WHEN 'block' THEN '🔴 BLOCK' ELSE decision END AS decision_label "
+        f"FROM ({_analyze_select()}) r"
+    ),
+)
+def q_display_format(spark, sf_dir):
+    """The dashboard's formatted metrics for every response."""
+    tx = transactions(spark, sf_dir)
+    return display(analyze(tx, _small_models(tx)))
+
+
+def _requests_json(tx: DataFrame) -> DataFrame:
+    """Request bodies as JSON text, derived from the transactions view."""
+    return tx.select(F.to_json(F.struct(ID, *FEATURES)).alias("value"))
+
+
+@query(
+    "tx_validate",
+    lambda: f"""
+    SELECT transaction_id, amount, transaction_time, location_change, device_change, merchant_risk,
+           CASE WHEN transaction_time NOT BETWEEN 0 AND 23 THEN 'transaction_time out of range [0, 23]'
+                WHEN location_change NOT BETWEEN 0 AND 1 THEN 'location_change out of range [0, 1]'
+                WHEN device_change NOT BETWEEN 0 AND 1 THEN 'device_change out of range [0, 1]'
+                WHEN merchant_risk < 0.0 OR merchant_risk > 1.0 THEN 'merchant_risk out of range [0.0, 1.0]'
+           END AS reject_reason
+    FROM ({_tx_sql()}) t""",
+)
+def q_tx_validate(spark, sf_dir):
+    """Request bodies as JSON text, parsed and validated with the form's ranges."""
+    raw = parse_json_requests(_requests_json(transactions(spark, sf_dir)), "value")
+    return validate(raw, strict_domain=True)
+
+
+@query("analyze_stream", lambda: _forest_sql(_analyze_select()))
+def q_analyze_stream(spark, sf_dir):
+    """K4: the same responses through Structured Streaming (files in, Parquet out), read back."""
+    tx = transactions(spark, sf_dir)
+    models = _small_models(tx)
+    base = scratch_path(spark, "analyze-stream")
+    _requests_json(tx).write.text(f"{base}/in")
+    q = analyze_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", models)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return flatten_response(read_sink(spark, f"{base}/out").drop("batch"))

@@ -30,9 +30,9 @@ def _as_text(c: Column) -> Column:
 
 def _parsed(name: str, text: Column) -> Column:
     """Cast text to the request type, or null when it is not a valid value."""
-    dbl = F.try_cast(text, "double")
+    dbl = text.try_cast("double")
     if name in INTEGRAL:
-        whole = F.try_cast(text, "bigint")
+        whole = text.try_cast("bigint")
         # "12" and 12.0 are accepted, "12.5" is not.
         from_dbl = F.when(F.isnan(dbl) | (F.abs(dbl) == float("inf")), None).when(dbl == F.floor(dbl), F.floor(dbl))
         val = F.coalesce(whole, from_dbl)
