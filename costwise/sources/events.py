@@ -16,7 +16,7 @@ than one user-bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ID, LABEL
@@ -31,29 +31,53 @@ RULE_NIGHT_HOUR = 6
 RULE_THRESHOLD = 4.0
 
 
+def time_bucket(ts: Column, unit: str) -> Column:
+    """A bucket number that never decreases as time goes on.
+
+    Built from the wall-clock date and hour (and minute), so TIMESTAMP_NTZ is
+    never shifted through a time zone and daylight-saving gaps cannot reorder
+    buckets.
+    """
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    if unit == "day":
+        return days
+    if unit == "hour":
+        return days * 24 + F.hour(ts)
+    if unit == "minute":
+        return (days * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    raise ValueError("split_unit must be 'day', 'hour' or 'minute'")
+
+
 def previous_in_user(events: DataFrame, value: str, split_unit: str = "hour") -> DataFrame:
     """Add ``prev_<value>``: the value of the user's previous event by (ts, event_id).
 
     Skew-safe ``lag(value) over (partition by user_id order by ts, event_id)``.
     ``split_unit`` is the time bucket that splits a user's rows across tasks.
+    One shuffle by (user, bucket) feeds both the in-bucket window and the
+    table of each bucket's last value; only that small table is shuffled by
+    user, and it joins back on (user, bucket), the partitioning the events
+    already have.
     """
     prev = f"prev_{value}"
-    e = events.withColumn("_bucket", F.date_trunc(split_unit, F.col("ts")))
+    e = events.withColumn("_bucket", time_bucket(F.col("ts"), split_unit))
     w = Window.partitionBy("user_id", "_bucket").orderBy("ts", "event_id")
-    e = e.withColumn("_lag", F.lag(value).over(w)).withColumn("_pos", F.row_number().over(w))
-    # Last value of every (user, bucket); then carry it to the user's next bucket.
-    # This table has one row per active user-bucket, far smaller than events.
-    last = e.groupBy("user_id", "_bucket").agg(F.max_by(value, F.struct("ts", "event_id")).alias("_last"))
-    carry = last.select(
+    e = e.withColumns(
+        {
+            "_lag": F.lag(value).over(w),
+            "_pos": F.row_number().over(w),
+            "_is_last": F.lead(F.lit(1)).over(w).isNull(),
+        }
+    )
+    carry = e.filter("_is_last").select(
         F.col("user_id").alias("_cu"),
         F.col("_bucket").alias("_cb"),
-        F.lag("_last").over(Window.partitionBy("user_id").orderBy("_bucket")).alias("_carry"),
+        F.lag(value).over(Window.partitionBy("user_id").orderBy("_bucket")).alias("_carry"),
     )
-    cond = F.col("user_id").eqNullSafe(F.col("_cu")) & F.col("_bucket").eqNullSafe(F.col("_cb"))
+    cond = F.col("user_id").eqNullSafe(F.col("_cu")) & (F.col("_bucket") == F.col("_cb"))
     return (
         e.join(carry, cond, "left")
         .withColumn(prev, F.when(F.col("_pos") == 1, F.col("_carry")).otherwise(F.col("_lag")))
-        .drop("_bucket", "_lag", "_pos", "_cu", "_cb", "_carry")
+        .drop("_bucket", "_lag", "_pos", "_is_last", "_cu", "_cb", "_carry")
     )
 
 
