@@ -67,6 +67,37 @@ def sample_key(seed: int, id_col: str = ID) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
+def _sample_plan(base: DataFrame, n: int, n_trees: int, psi: int, seed: int, features, id_col: str, frac: float) -> DataFrame:
+    """The sample as a lazy plan; ``frac`` is the hash-prefix cut of the top-k branch."""
+    order = ["_h", *features]
+    if n >= n_trees * psi:
+        want = n_trees * psi
+        keyed = base.withColumn("_h", sample_key(seed, id_col))
+        if frac < 1.0:
+            # Rows whose hash prefix is below the cut are a prefix of the hash
+            # order, so the top-k of the survivors is the global top-k as long
+            # as at least k rows survive (checked by the caller).
+            u = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 4294967296.0
+            keyed = keyed.filter(u < F.lit(frac))
+        top = keyed.orderBy(*order).limit(want)
+        dealt = top.withColumn("_rn", F.row_number().over(Window.orderBy(*order)) - 1)
+        return dealt.select((F.col("_rn") % n_trees).cast("int").alias("tree"), id_col, *features)
+    trees = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    keyed = trees.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col(id_col).cast("string"))))
+    w = Window.partitionBy("tree").orderBy(*order)
+    return keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).select(F.col("tree").cast("int"), id_col, *features)
+
+
+def _sample_setup(df: DataFrame, n_trees: int, max_samples: int, features, id_col: str, n_rows: int | None):
+    n = df.count() if n_rows is None else n_rows
+    if n == 0:
+        raise ValueError("cannot fit a forest on an empty table")
+    psi = min(max_samples, n)
+    base = df.select(F.col(id_col).alias(id_col), *[F.col(f).cast("double").alias(f) for f in features])
+    frac = min(1.0, 4.0 * n_trees * psi / n) if n >= n_trees * psi else 1.0
+    return n, psi, base, frac
+
+
 def forest_sample(
     df: DataFrame,
     n_trees: int = FOREST_TREES,
@@ -77,35 +108,12 @@ def forest_sample(
     n_rows: int | None = None,
 ) -> tuple[DataFrame, int]:
     """(tree, id, features...) for every sampled row, and psi = min(max_samples, n)."""
-    n = df.count() if n_rows is None else n_rows
-    if n == 0:
-        raise ValueError("cannot fit a forest on an empty table")
-    psi = min(max_samples, n)
-    feats = [F.col(f).cast("double").alias(f) for f in features]
-    base = df.select(F.col(id_col).alias(id_col), *feats)
-    order = ["_h", *features]
-    if n >= n_trees * psi:
-        want = n_trees * psi
-        keyed = base.withColumn("_h", sample_key(seed, id_col))
-        frac = min(1.0, 4.0 * want / n)
-        while True:
-            # Rows whose hash prefix is below the cut are a prefix of the hash order.
-            cut = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 4294967296.0 < F.lit(frac) if frac < 1.0 else F.lit(True)
-            top = keyed.filter(cut).orderBy(*order).limit(want)
-            got = top.count()
-            if got == want or frac >= 1.0:
-                break
-            frac = min(1.0, frac * 4.0)
-        dealt = top.withColumn("_rn", F.row_number().over(Window.orderBy(*order)) - 1)
-        sample = dealt.select((F.col("_rn") % n_trees).cast("int").alias("tree"), id_col, *features)
-    else:
-        trees = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        keyed = trees.withColumn(
-            "_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col(id_col).cast("string")))
-        )
-        w = Window.partitionBy("tree").orderBy(*order)
-        sample = keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).select(F.col("tree").cast("int"), id_col, *features)
-    return sample, psi
+    n, psi, base, frac = _sample_setup(df, n_trees, max_samples, features, id_col, n_rows)
+    while True:
+        sample = _sample_plan(base, n, n_trees, psi, seed, features, id_col, frac)
+        if frac >= 1.0 or sample.count() == n_trees * psi:
+            return sample, psi
+        frac = min(1.0, 4.0 * frac)
 
 
 # ---------------------------------------------------------------- grow
@@ -240,19 +248,38 @@ def fit_forest(
     seed: int = FOREST_SEED,
     features=FEATURES,
     id_col: str = ID,
+    persist: bool = True,
 ) -> Forest:
-    """A4 + A5: grow the forest on a bounded sample, then set the offset."""
+    """A4 + A5: grow the forest on a bounded sample, then set the offset.
+
+    The input is read three times (count, sample, training scores), so unless
+    the caller already holds it, only the id and feature columns are persisted
+    (memory, spilling to disk) for the duration of the fit.
+    """
     from pyspark.storagelevel import StorageLevel
 
     spark = df.sparkSession
-    sample, psi = forest_sample(df, n_trees, max_samples, seed, features, id_col)
-    nodes = grow_forest(sample, psi, seed, features).toPandas()  # at most T * 2^(depth+1) rows
-    forest = Forest.from_nodes(nodes, n_trees, psi, features, seed, contamination)
-    scores = df.select(score_samples(forest, spark).alias("score")).persist(StorageLevel.MEMORY_AND_DISK)
+    source = df.select(id_col, *features)
+    if persist:
+        source = source.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        forest.offset = exact_quantile(scores, "score", contamination)
+        n, psi, base, frac = _sample_setup(source, n_trees, max_samples, features, id_col, None)
+        while True:
+            nodes = grow_forest(_sample_plan(base, n, n_trees, psi, seed, features, id_col, frac), psi, seed, features).toPandas()
+            # Every tree's root holds its whole sample: the cut let enough rows through
+            # iff the roots hold T * psi rows (at most T * 2^(depth+1) nodes come back).
+            if frac >= 1.0 or int(nodes.loc[nodes["node"] == 1, "size"].sum()) == n_trees * psi:
+                break
+            frac = min(1.0, 4.0 * frac)
+        forest = Forest.from_nodes(nodes, n_trees, psi, features, seed, contamination)
+        scores = base.select(score_samples(forest, spark).alias("score")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            forest.offset = exact_quantile(scores, "score", contamination)
+        finally:
+            scores.unpersist()
     finally:
-        scores.unpersist()
+        if persist:
+            source.unpersist()
     return forest
 
 

@@ -21,7 +21,7 @@ from ..operators import classifier as clf
 from ..operators import forest as fst
 from ..operators.decision import CostFn, CostParams, cheapest
 from ..operators.explain import ShapleyBatch, contributions, explanation, linear_predictor
-from ..schema import FEATURES, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID, RESPONSE_DECIMALS
+from ..schema import FEATURES, LABEL, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID, RESPONSE_DECIMALS
 
 
 @dataclass
@@ -73,9 +73,19 @@ def train(
     seed: int = FOREST_SEED,
     C: float = 1.0,
 ) -> Models:
-    """Fit both models on the whole table (the service's start-up training)."""
-    forest = fst.fit_forest(df, n_trees=n_trees, max_samples=max_samples, contamination=contamination, seed=seed)
-    classifier = clf.fit_logistic(df, C=C)
+    """Fit both models on the whole table (the service's start-up training).
+
+    The training columns are persisted once (memory, spilling to disk) and
+    shared by both fits, so a derived input is computed once.
+    """
+    from pyspark.storagelevel import StorageLevel
+
+    data = df.select(ID, *FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        forest = fst.fit_forest(data, n_trees=n_trees, max_samples=max_samples, contamination=contamination, seed=seed, persist=False)
+        classifier = clf.fit_logistic(data, C=C)
+    finally:
+        data.unpersist()
     return Models(classifier, forest)
 
 

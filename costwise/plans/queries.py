@@ -16,7 +16,7 @@ from ..session import scratch_path
 from ..sources.readers import parse_json_requests, response_from_json, response_to_json
 from ..sources.validate import validate
 from ..streaming.stream import analyze_stream, read_sink
-from .analyze import Models, analyze, display, flatten_response
+from .analyze import Models, analyze, display, flatten_response, train
 from .pinned import PINNED_CLASSIFIER, SMALL_FOREST
 from .registry import query, table
 
@@ -343,3 +343,12 @@ def q_analyze_stream(spark, sf_dir):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return flatten_response(read_sink(spark, f"{base}/out").drop("batch"))
+
+
+@query("analyze_trained")
+def q_analyze_trained(spark, sf_dir):
+    """Start-up training at the service's settings (fitted classifier, 100-tree
+    forest) followed by the analysis of every transaction; checked on rows only."""
+    tx = transactions(spark, sf_dir)
+    models = train(tx)
+    return flatten_response(analyze(tx, models))
