@@ -202,3 +202,24 @@ def contributions_long(df: DataFrame, features: Sequence[str] = FEATURES, prefix
         F.col("item.feature").alias("feature"),
         F.col("item.contribution").alias("contribution"),
     )
+
+
+def contributions_table(df: DataFrame, map_col: str = "feature_contributions", keep=("transaction_id",), features: Sequence[str] = FEATURES) -> DataFrame:
+    """P8 + T3 from the response map: (transaction_id, rank, feature, contribution),
+    largest |contribution| first, ties in feature order. Row-local, no shuffle."""
+    order = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])
+    entries = F.transform(
+        F.map_entries(F.col(map_col)),
+        lambda e: F.struct(
+            (-F.abs(e["value"])).alias("neg_abs"),
+            F.coalesce(F.element_at(order, e["key"]), F.lit(len(features))).alias("idx"),
+            e["key"].alias("feature"),
+            e["value"].alias("contribution"),
+        ),
+    )
+    return df.select(*keep, F.posexplode(F.array_sort(entries)).alias("pos", "item")).select(
+        *keep,
+        (F.col("pos") + 1).alias("rank"),
+        F.col("item.feature").alias("feature"),
+        F.col("item.contribution").alias("contribution"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import twins
+from ..functions import zscore
 from ..operators import classifier as clf
 from ..operators import decision as dec
 from ..operators import explain as expl
@@ -246,13 +247,20 @@ def q_anomaly_label(spark, sf_dir):
     return forest.anomaly_score(tx, fo).select(ID, forest.anomaly_label(F.col("anomaly_score"), 9).alias("anomaly_label"))
 
 
-@query("forest_score_full")
+@query(
+    "forest_score_full",
+    lambda: _forest_sql(
+        f"SELECT s.transaction_id, round(s.score - o.offset, {P6}) AS anomaly_score, "
+        "CASE WHEN round(s.score - o.offset, 9) < 0 THEN -1 ELSE 1 END AS anomaly_label FROM scored s CROSS JOIN offs o",
+        small=False,
+    ),
+)
 def q_forest_score_full(spark, sf_dir):
-    """A4-A6, M3, M4 at the service's settings (100 trees x 256); checked on rows only."""
+    """A4-A6, M3, M4 at the service's settings (100 trees x 256 rows)."""
     tx = transactions(spark, sf_dir)
     fo = forest.fit_forest(tx)
     df = forest.anomaly_score(tx, fo)
-    return df.select(ID, F.round("anomaly_score", P4).alias("anomaly_score"), forest.anomaly_label(F.col("anomaly_score")).alias("anomaly_label"))
+    return df.select(ID, F.round("anomaly_score", P6).alias("anomaly_score"), forest.anomaly_label(F.col("anomaly_score"), 9).alias("anomaly_label"))
 
 
 # ---------------------------------------------------------------- compose
@@ -352,3 +360,51 @@ def q_analyze_trained(spark, sf_dir):
     tx = transactions(spark, sf_dir)
     models = train(tx)
     return flatten_response(analyze(tx, models))
+
+
+@query(
+    "action_options",
+    lambda: (
+        "SELECT transaction_id, rank, action, round(cost, 6) AS cost FROM ("
+        + " UNION ALL ".join(
+            f"SELECT transaction_id, {i} AS rank, '{a}' AS action, {c} AS cost FROM (SELECT transaction_id, {_prob_sql()} AS p FROM ({_tx_sql()}) t) s"
+            for i, (a, c) in enumerate(zip(ACTIONS, _costs_sql()))
+        )
+        + ") u"
+    ),
+)
+def q_action_options(spark, sf_dir):
+    """Every transaction expanded by the three actions, with their expected costs."""
+    long = dec.action_options(clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER))
+    return long.select(ID, "rank", "action", F.round("cost", P6).alias("cost"))
+
+
+@query(
+    "scaled_features",
+    lambda: "SELECT transaction_id, "
+    + ", ".join(
+        f"round((CAST({f} AS DOUBLE) - {twins.num(m)}) / {twins.num(s)}, {P6}) AS z_{f}"
+        for f, m, s in zip(FEATURES, PINNED_CLASSIFIER.mean, PINNED_CLASSIFIER.scale)
+    )
+    + f" FROM ({_tx_sql()}) t",
+)
+def q_scaled_features(spark, sf_dir):
+    """The five features in fixed order, standardised with the pinned scaler."""
+    tx = transactions(spark, sf_dir)
+    m = PINNED_CLASSIFIER
+    return tx.select(ID, *[F.round(zscore(F.col(f).cast("double"), mu, sd), P6).alias(f"z_{f}") for f, mu, sd in zip(FEATURES, m.mean, m.scale)])
+
+
+@query(
+    "contributions_table",
+    lambda: _forest_sql(
+        "SELECT transaction_id, rank, feature, round(contribution, 6) AS contribution FROM ("
+        + twins.phi_long_sql(twins.phi_sql(PINNED_CLASSIFIER, _tx_sql()))
+        + ") l"
+    ),
+)
+def q_contributions_table(spark, sf_dir):
+    """P8 + T3: the dashboard's contribution table, built from each response's map."""
+    tx = transactions(spark, sf_dir)
+    table_ = expl.contributions_table(analyze(tx, _small_models(tx)))
+    return table_.select(ID, F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", P6).alias("contribution"))

@@ -58,3 +58,21 @@ def response_to_json(df: DataFrame, col_name: str = "response") -> DataFrame:
 def response_from_json(text: Column | str) -> Column:
     """K6: JSON text back to the typed response struct."""
     return F.from_json(F.col(text) if isinstance(text, str) else text, RESPONSE)
+
+
+def write_responses(responses: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
+    """K5 sink: response records as JSON lines (nested map kept) or Parquet."""
+    responses.write.mode(mode).format(fmt).save(path)
+
+
+def baseline_row(df: DataFrame, features) -> list[float]:
+    """K8 with a custom background: the first row of a one-row table as the baseline."""
+    rows = df.select(*[F.col(f).cast("double") for f in features]).take(2)
+    if len(rows) != 1:
+        raise ValueError("the baseline table must hold exactly one row")
+    return [float(v) for v in rows[0]]
+
+
+def select_features(df: DataFrame, features) -> DataFrame:
+    """The model inputs in their fixed order, as doubles."""
+    return df.select(*[F.col(f).cast("double").alias(f) for f in features])
