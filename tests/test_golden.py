@@ -122,3 +122,19 @@ def test_one_class_fit_fails(spark):
     df = spark.createDataFrame([(i, float(i), 1, 0, 0, 0.1, 0) for i in range(5)], "transaction_id long, amount double, transaction_time int, location_change int, device_change int, merchant_risk double, is_fraud int")
     with pytest.raises(ValueError, match="both classes"):
         clf.fit_logistic(df)
+
+
+def test_best_cost_map_and_terminal(spark):
+    df = spark.createDataFrame([(0.3,)], "fraud_probability double")
+    r = dec.choose_action(df, with_costs=True).select("decision", "costs", dec.is_terminal(F.col("decision")).alias("done")).first()
+    assert r["costs"] == pytest.approx({"approve": 300.0, "block": 35.0, "review": 20.0})
+    assert r["decision"] == "review" and r["done"] is True
+
+
+def test_custom_cost_function(spark):
+    def cost(p, action):
+        # Reviews cost 500: the cheaper of approve and block always wins.
+        return dec.CostParams(review_cost=500.0)(p, action)
+
+    df = spark.createDataFrame([(0.02,), (0.3,), (0.9,)], "fraud_probability double")
+    assert [r["decision"] for r in dec.choose_action(df, cost=cost).collect()] == ["approve", "block", "block"]

@@ -116,3 +116,42 @@ def test_stream_equals_batch(spark, setup):
     rejected = read_sink(spark, f"{base}/out", "rejected").collect()
     assert [r["reject_reason"] for r in rejected] == ["amount is not a number: lots"]
     assert read_sink(spark, f"{base}/out").select("batch").distinct().count() >= 2
+
+
+def test_contributions_table_matches_columns(setup):
+    from costwise.operators import explain as expl
+    from costwise.plans.analyze import score
+
+    tx, models = setup
+    from_map = expl.contributions_table(analyze(tx, models))
+    from_cols = expl.contributions_long(score(tx, models))
+    assert from_map.exceptAll(from_cols).count() == 0 and from_map.count() == 5 * tx.count()
+
+
+def test_write_responses_json(spark, setup):
+    from costwise.sources.readers import write_responses
+    from costwise.schema import RESPONSE
+
+    tx, models = setup
+    path = scratch_path(spark, "responses")
+    resp = analyze(tx, models)
+    write_responses(resp, path)
+    back = spark.read.schema(RESPONSE).json(path)
+    assert flatten_response(back).exceptAll(flatten_response(resp)).count() == 0
+
+
+def test_baseline_row(spark, setup):
+    from costwise.operators import explain as expl
+    from costwise.sources.readers import baseline_row
+    from costwise.schema import FEATURES
+
+    tx, _ = setup
+    base_df = spark.createDataFrame([(10.0, 12, 0, 0, 0.5)], "amount double, transaction_time int, location_change int, device_change int, merchant_risk double")
+    base = baseline_row(base_df, FEATURES)
+    a = expl.shapley_linear(tx, PINNED_CLASSIFIER, base)
+    b = expl.shapley_values(tx, expl.linear_predictor(PINNED_CLASSIFIER), FEATURES, base)
+    j = a.alias("a").join(b.alias("b"), "transaction_id")
+    worst = j.select(F.greatest(*[F.abs(F.col(f"a.phi_{f}") - F.col(f"b.phi_{f}")) for f in FEATURES]).alias("d")).agg(F.max("d")).first()[0]
+    assert worst < 1e-12
+    # features at the baseline value get exactly 0
+    assert a.filter((F.col("transaction_time") == 12) & (F.col("phi_transaction_time") != 0)).count() == 0
