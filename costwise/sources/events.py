@@ -9,9 +9,9 @@ The only operator with a key here is ``lag`` per user. A single user may
 hold a third of all events, so the window is not partitioned by user
 alone: rows are split into (user, time bucket) groups, ``lag`` runs inside
 each bucket, and the first row of a bucket takes the last value of the
-user's previous non-empty bucket from a small per-bucket table. The result
-equals a plain ``lag`` over the whole user, but no task ever holds more
-than one user-bucket.
+user's previous non-empty bucket from a window over bucket edges only. The
+result equals a plain ``lag`` over the whole user, but no task holds more
+than one user-bucket of events.
 """
 
 from __future__ import annotations
@@ -53,10 +53,15 @@ def previous_in_user(events: DataFrame, value: str, split_unit: str = "hour") ->
 
     Skew-safe ``lag(value) over (partition by user_id order by ts, event_id)``.
     ``split_unit`` is the time bucket that splits a user's rows across tasks.
-    One shuffle by (user, bucket) feeds both the in-bucket window and the
-    table of each bucket's last value; only that small table is shuffled by
-    user, and it joins back on (user, bucket), the partitioning the events
-    already have.
+
+    1. One shuffle by (user, bucket); inside each bucket ``lag`` is exact for
+       every row but the first.
+    2. The first and last row of every bucket (at most two rows per
+       user-bucket) are windowed by user alone: for a bucket's first row the
+       previous edge row is the last row of the user's previous non-empty
+       bucket.
+    3. The union of both parts is the result; no join. Both parts read the
+       same window output, so the shuffle of the events is shared.
     """
     prev = f"prev_{value}"
     e = events.withColumn("_bucket", time_bucket(F.col("ts"), split_unit))
@@ -68,17 +73,11 @@ def previous_in_user(events: DataFrame, value: str, split_unit: str = "hour") ->
             "_is_last": F.lead(F.lit(1)).over(w).isNull(),
         }
     )
-    carry = e.filter("_is_last").select(
-        F.col("user_id").alias("_cu"),
-        F.col("_bucket").alias("_cb"),
-        F.lag(value).over(Window.partitionBy("user_id").orderBy("_bucket")).alias("_carry"),
-    )
-    cond = F.col("user_id").eqNullSafe(F.col("_cu")) & (F.col("_bucket") == F.col("_cb"))
-    return (
-        e.join(carry, cond, "left")
-        .withColumn(prev, F.when(F.col("_pos") == 1, F.col("_carry")).otherwise(F.col("_lag")))
-        .drop("_bucket", "_lag", "_pos", "_is_last", "_cu", "_cb", "_carry")
-    )
+    inner = e.filter(F.col("_pos") > 1).withColumn(prev, F.col("_lag"))
+    edges = e.filter((F.col("_pos") == 1) | F.col("_is_last"))
+    by_user = Window.partitionBy("user_id").orderBy("_bucket", "ts", "event_id")
+    firsts = edges.withColumn(prev, F.lag(value).over(by_user)).filter(F.col("_pos") == 1)
+    return inner.unionByName(firsts).drop("_bucket", "_lag", "_pos", "_is_last")
 
 
 def transactions_from_events(events: DataFrame, split_unit: str = "hour") -> DataFrame:

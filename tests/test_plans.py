@@ -29,12 +29,20 @@ def test_analyze_has_no_shuffle(tx_parquet):
     assert "is_fraud" not in p.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_view_prunes_columns(spark):
-    tx = transactions_from_events(spark.read.parquet(f"{SF001}/events.parquet"))
-    p = plan(tx)
+def test_view_one_shuffle_of_events(spark):
+    """One scan and one shuffle of the events; the second branch reuses it and only
+    bucket-edge rows are shuffled again; no join."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = plan(transactions_from_events(spark.read.parquet(f"{SF001}/events.parquet")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "event_type" not in p
-    # one shuffle by (user, bucket); the per-bucket carry table is the only other
-    assert p.count("Exchange hashpartitioning(user_id") >= 1
+    assert p.count("FileScan parquet") == 1
+    assert p.count("ReusedExchange") == 1
+    # the ReusedExchange node prints the exchange it reuses
+    assert p.count("Exchange hashpartitioning(user_id") - p.count("ReusedExchange") == 2
+    assert "Join" not in p
 
 
 def test_filter_reaches_scan(tx_parquet):
