@@ -62,6 +62,21 @@ def depth_limit(psi: int) -> int:
     return int(math.ceil(math.log2(max(psi, 2))))
 
 
+# Largest node table we broadcast: trees x 2^(depth+1) x 18 bytes. The default
+# forest (100 x 256) needs 0.9 MB; the bound depends on the parameters only.
+MAX_FOREST_BYTES = 256 * 1024 * 1024
+
+
+def forest_bytes(n_trees: int, psi: int) -> int:
+    return n_trees * 2 ** (depth_limit(psi) + 1) * (2 + 8 + 8)
+
+
+def check_forest_size(n_trees: int, psi: int) -> None:
+    size = forest_bytes(n_trees, psi)
+    if size > MAX_FOREST_BYTES:
+        raise ValueError(f"a forest of {n_trees} trees x {psi} rows needs {size} bytes per executor; the limit is {MAX_FOREST_BYTES}")
+
+
 # ---------------------------------------------------------------- sample
 def sample_key(seed: int, id_col: str = ID) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
@@ -204,6 +219,7 @@ class Forest:
 
     def broadcast(self, spark: SparkSession):
         if self._bc is None:
+            check_forest_size(self.n_trees, self.psi)
             self._bc = spark.sparkContext.broadcast((self.feature, self.threshold, self.path))
         return self._bc
 
@@ -264,6 +280,7 @@ def fit_forest(
         source = source.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n, psi, base, frac = _sample_setup(source, n_trees, max_samples, features, id_col, None)
+        check_forest_size(n_trees, psi)
         while True:
             nodes = grow_forest(_sample_plan(base, n, n_trees, psi, seed, features, id_col, frac), psi, seed, features).toPandas()
             # Every tree's root holds its whole sample: the cut let enough rows through

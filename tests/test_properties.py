@@ -128,3 +128,9 @@ def test_exact_quantile_multi_pass(spark, q):
 
 def test_exact_quantile_empty(spark):
     assert exact_quantile(spark.createDataFrame([], "v double"), "v", 0.2) is None
+
+
+def test_forest_size_guard():
+    assert fst.forest_bytes(100, 256) < 1_000_000
+    with pytest.raises(ValueError, match="bytes per executor"):
+        fst.check_forest_size(100_000, 1 << 16)
