@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _bracket_values(values: DataFrame, lo: float, hi: float) -> list[float]:
+def _bracket_counts(values: DataFrame, lo: float, hi: float) -> list[tuple[float, int]]:
+    """Distinct values in [lo, hi] with their counts, ascending (bounded: the
+    bracket holds at most ``collect_limit`` rows, or a handful of adjacent doubles)."""
     v = F.col("v")
-    return sorted(r["v"] for r in values.filter((v >= lo) & (v <= hi)).collect())
+    rows = values.filter((v >= lo) & (v <= hi)).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()
+    return sorted((float(r["v"]), int(r["n"])) for r in rows)
 
 
 def _rank_pair(values: DataFrame, k: int, n: int, lo: float, hi: float, buckets: int, collect_limit: int) -> tuple[float, float | None]:
@@ -36,11 +39,10 @@ def _rank_pair(values: DataFrame, k: int, n: int, lo: float, hi: float, buckets:
             values.filter((v >= lo) & (v <= hi))
             .groupBy(b.alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("b")
             .collect()
         )
         # b is monotone in v, so a bucket's rows are exactly those in [its min, its max].
-        for row in hist:
+        for row in sorted(hist, key=lambda r: r["b"]):
             if below + row["n"] > k:
                 lo, hi, count = row["lo"], row["hi"], row["n"]
                 break
@@ -49,9 +51,15 @@ def _rank_pair(values: DataFrame, k: int, n: int, lo: float, hi: float, buckets:
         first = lo
         second = lo if k + 1 < below + count else None
     else:
-        vals = _bracket_values(values, lo, hi)
-        first = vals[k - below]
-        second = vals[k + 1 - below] if k + 1 - below < len(vals) else None
+        first = second = None
+        seen = below
+        for val, cnt in _bracket_counts(values, lo, hi):
+            if first is None and seen + cnt > k:
+                first = val
+            if seen + cnt > k + 1:
+                second = val
+                break
+            seen += cnt
     if second is None and k + 1 < n:
         second = values.filter(v > hi).agg(F.min("v")).first()[0]
     return first, second

@@ -45,7 +45,9 @@ def time_bucket(ts: Column, unit: str) -> Column:
         return days * 24 + F.hour(ts)
     if unit == "minute":
         return (days * 24 + F.hour(ts)) * 60 + F.minute(ts)
-    raise ValueError("split_unit must be 'day', 'hour' or 'minute'")
+    if unit == "second":
+        return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60 + F.second(ts)
+    raise ValueError("split_unit must be 'day', 'hour', 'minute' or 'second'")
 
 
 def previous_in_user(events: DataFrame, value: str, split_unit: str = "hour") -> DataFrame:

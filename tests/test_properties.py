@@ -27,7 +27,7 @@ def test_view_shares(tx):
     assert (r["n"], round(r["f"], 3), round(r["l"], 3), round(r["d"], 3)) == (1000, 0.263, 0.736, 0.493)
 
 
-@pytest.mark.parametrize("unit", ["day", "minute"])
+@pytest.mark.parametrize("unit", ["day", "minute", "second"])
 def test_lag_independent_of_bucket(spark, tx, unit):
     other = transactions_from_events(spark.read.parquet(f"{SF001}/events.parquet"), split_unit=unit)
     assert other.exceptAll(tx).count() == 0 and tx.exceptAll(other).count() == 0
@@ -134,3 +134,11 @@ def test_forest_size_guard():
     assert fst.forest_bytes(100, 256) < 1_000_000
     with pytest.raises(ValueError, match="bytes per executor"):
         fst.check_forest_size(100_000, 1 << 16)
+
+
+def test_exact_quantile_adjacent_doubles(spark):
+    a, b = 1.0, float(np.nextafter(1.0, 2.0))
+    vals = [a] * 1700 + [b] * 1300
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    for q in (0.2, 0.5666, 0.9):
+        assert exact_quantile(df, "v", q, buckets=8, collect_limit=10) == pytest.approx(float(np.percentile(vals, 100 * q)), abs=0)
