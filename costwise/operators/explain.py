@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions import logistic, name_map, reason_texts, sentence
 from ..schema import EXPLANATION_TOP_K, FEATURES
+from ..session import ship_package
 from .classifier import LinearModel
 
 
@@ -139,6 +140,7 @@ def shapley_values(
     and reduced over the coalition pairs of each feature. Meant for M <= 12.
     """
     explain_batch = ShapleyBatch(predict, len(features), baseline)
+    ship_package(df.sparkSession)
     out_fields = [T.StructField(f"{prefix}{f}", T.DoubleType(), True) for f in features]
     schema = T.StructType(df.schema.fields + out_fields)
 

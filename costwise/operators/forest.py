@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from ..functions import c_of
 from ..schema import FEATURES, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID
+from ..session import ship_package
 from .quantile import exact_quantile
 
 NODE_SCHEMA = T.StructType(
@@ -165,6 +166,7 @@ def grow_forest(sample: DataFrame, psi: int, seed: int = FOREST_SEED, features=F
     """Node table (tree, node, depth, feature, threshold, size, is_leaf, path)."""
     max_depth = depth_limit(psi)
     feats = list(features)
+    ship_package(sample.sparkSession)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -241,6 +243,7 @@ def mean_path(forest: Forest, spark: SparkSession) -> Column:
     """Average path length over the trees, as an Arrow-batched column."""
     bc = forest.broadcast(spark)
     max_depth = forest.max_depth
+    ship_package(spark)
 
     @F.pandas_udf("double")
     def avg_path(*cols: pd.Series) -> pd.Series:

@@ -21,6 +21,7 @@ from ..operators import classifier as clf
 from ..operators import forest as fst
 from ..operators.decision import CostFn, CostParams, cheapest
 from ..operators.explain import ShapleyBatch, contributions, explanation, linear_predictor
+from ..session import ship_package
 from ..schema import FEATURES, LABEL, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID, RESPONSE_DECIMALS
 
 
@@ -99,6 +100,7 @@ def batch_scores(models: Models, spark: SparkSession) -> Column:
     forest = models.forest
     bc = forest.broadcast(spark)
     max_depth = forest.max_depth
+    ship_package(spark)
     explain_batch = ShapleyBatch(linear_predictor(models.classifier), len(models.classifier.features))
     names = list(models.classifier.features)
     schema = T.StructType([T.StructField("mean_path", T.DoubleType())] + [T.StructField(f"phi_{f}", T.DoubleType()) for f in names])

@@ -50,3 +50,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make sure ``DataFrame.checkpoint()`` has somewhere shared to write."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``costwise`` importable in executors' Python workers.
+
+    Pandas UDFs refer to this package's functions by module name, so the
+    package must be on the workers' path. It is zipped once per application
+    and added with ``addPyFile`` (Spark serves the file to every executor).
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="costwise-pkg-"), f"costwise-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.join("costwise", os.path.relpath(full, root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
