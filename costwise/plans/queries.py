@@ -179,9 +179,9 @@ def q_fit_logistic(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- isolation forest
-def _forest_sql(select: str, small: bool = True) -> str:
+def _forest_sql(select: str, small: bool = True, extra: list[str] | None = None) -> str:
     p = SMALL_FOREST if small else dict(n_trees=FOREST_TREES, max_samples=FOREST_MAX_SAMPLES, seed=FOREST_SEED, contamination=FOREST_CONTAMINATION)
-    return twins.forest_sql(_tx_sql(), select, p["n_trees"], p["max_samples"], p["seed"], p["contamination"])
+    return twins.forest_sql(_tx_sql(), select, p["n_trees"], p["max_samples"], p["seed"], p["contamination"], extra=extra)
 
 
 def _small_forest(tx: DataFrame) -> forest.Forest:
@@ -353,13 +353,36 @@ def q_analyze_stream(spark, sf_dir):
     return flatten_response(read_sink(spark, f"{base}/out").drop("batch"))
 
 
-@query("analyze_trained")
+def _analyze_trained_select(decimals: int = P4) -> str:
+    """Twin of the trained analysis: the fit by gradient descent (``mdl``), the
+    100-tree forest replayed exactly. Fit-dependent values at 4 decimals."""
+    txm = f"SELECT t.*, mdl.rb, {', '.join(f'mdl.r{j}' for j in range(len(FEATURES)))} FROM ({_tx_sql()}) t CROSS JOIN mdl"
+    betas = [f"r{j}" for j in range(len(FEATURES))]
+    logit = "rb"
+    for j, f in enumerate(FEATURES):
+        logit = f"({logit} + r{j} * CAST({f} AS DOUBLE))"
+    phi = twins.phi_sql_from("rb", betas, txm)
+    expl_sql = twins.explanation_sql(twins.phi_long_sql(phi))
+    phis = ", ".join(f"round(ph.phi_{f}, {decimals}) AS phi_{f}" for f in FEATURES)
+    return f"""
+    SELECT a.transaction_id, round(a.p, 4) AS fraud_probability, round(s.score - o.offset, 4) AS anomaly_score,
+           a.decision, e.explanation, {phis}
+    FROM (SELECT transaction_id, p, {_decision_sql()} AS decision
+          FROM (SELECT transaction_id, {twins.sigmoid_sql(logit)} AS p FROM ({txm}) t) x) a
+    JOIN scored s ON s.transaction_id = a.transaction_id
+    CROSS JOIN offs o
+    JOIN ({phi}) ph ON ph.transaction_id = a.transaction_id
+    JOIN ({expl_sql}) e ON e.transaction_id = a.transaction_id
+    """
+
+
+@query("analyze_trained", lambda: _forest_sql(_analyze_trained_select(), small=False, extra=twins.logistic_gd_ctes(_tx_sql())))
 def q_analyze_trained(spark, sf_dir):
     """Start-up training at the service's settings (fitted classifier, 100-tree
-    forest) followed by the analysis of every transaction; checked on rows only."""
+    forest), then the analysis of every transaction."""
     tx = transactions(spark, sf_dir)
     models = train(tx)
-    return flatten_response(analyze(tx, models))
+    return flatten_response(analyze(tx, models), decimals=P4)
 
 
 @query(

@@ -117,12 +117,14 @@ def class_weights_sql(src: str, label: str = "is_fraud") -> str:
     )
 
 
-def logistic_gd_sql(src: str, features=FEATURES, label: str = "is_fraud", steps: int = 300, step: float = 2.0) -> str:
-    """The penalised, class-balanced logistic fit by plain gradient descent.
+def logistic_gd_ctes(src: str, features=FEATURES, label: str = "is_fraud", steps: int = 300, step: float = 2.0) -> list[str]:
+    """CTEs ``st``, ``z``, ``gd`` and ``mdl``: the penalised, class-balanced
+    logistic fit by plain gradient descent, and its raw-scale coefficients.
 
     Objective / n: (1/n) sum w_i logloss_i + (1/2n) |theta|^2 with theta =
     (intercept, beta) on standardised features. A recursive CTE carries theta;
-    each step is one aggregate over the table.
+    each step is one aggregate over the table. ``mdl`` holds ``rb`` (raw
+    intercept) and ``r0..`` (raw coefficients) plus the scaled ``b, t0..``.
     """
     m = len(features)
     st = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m{j}, CASE WHEN stddev_pop(CAST({f} AS DOUBLE)) = 0 THEN 1.0 ELSE stddev_pop(CAST({f} AS DOUBLE)) END AS s{j}" for j, f in enumerate(features))
@@ -132,21 +134,54 @@ def logistic_gd_sql(src: str, features=FEATURES, label: str = "is_fraud", steps:
     resid = f"w * (1.0 / (1.0 + exp(-({eta}))) - y)"
     upd = [f"b - {step} * (sum({resid}) / n + b / n)"] + [f"t{j} - {step} * (sum({resid} * z{j}) / n + t{j} / n)" for j in range(m)]
     init = ", ".join(["0 AS it"] + [f"CAST(0 AS DOUBLE) AS {t}" for t in th])
-    return f"""
-    WITH RECURSIVE
-    st AS (SELECT {st}, CAST(count(*) AS DOUBLE) AS n, CAST(sum({label}) AS DOUBLE) AS npos FROM ({src}) t),
-    z AS (SELECT {z}, CAST({label} AS DOUBLE) AS y,
+    folded = "b - (" + " + ".join(f"t{j} * m{j} / s{j}" for j in range(m)) + ")"
+    raw = ", ".join([f"{folded} AS rb"] + [f"t{j} / s{j} AS r{j}" for j in range(m)])
+    return [
+        f"st AS (SELECT {st}, CAST(count(*) AS DOUBLE) AS n, CAST(sum({label}) AS DOUBLE) AS npos FROM ({src}) t)",
+        f"""z AS (SELECT {z}, CAST({label} AS DOUBLE) AS y,
                  CASE WHEN {label} = 1 THEN n / (2.0 * npos) ELSE n / (2.0 * (n - npos)) END AS w, n
-          FROM ({src}) t CROSS JOIN st),
-    gd AS (
+          FROM ({src}) t CROSS JOIN st)""",
+        f"""gd AS (
       SELECT {init}
       UNION ALL
       SELECT it + 1, {', '.join(upd)}
       FROM gd CROSS JOIN z WHERE it < {steps}
       GROUP BY it, {', '.join(th)}, n
-    )
-    SELECT {', '.join(th)}, st.* FROM gd CROSS JOIN st WHERE it = {steps}
-    """
+    )""",
+        f"mdl AS (SELECT {', '.join(th)}, {raw} FROM gd CROSS JOIN st WHERE it = {steps})",
+    ]
+
+
+def logistic_gd_sql(src: str, features=FEATURES, label: str = "is_fraud", steps: int = 300, step: float = 2.0) -> str:
+    """The fit as one statement: scaled ``b, t0..`` and ``st`` statistics."""
+    return "WITH RECURSIVE " + ",\n".join(logistic_gd_ctes(src, features, label, steps, step)) + "\nSELECT mdl.*, st.* FROM mdl CROSS JOIN st"
+
+
+def phi_sql_from(intercept: str, betas: list[str], src: str, features=FEATURES, keep: tuple[str, ...] = ("transaction_id",)) -> str:
+    """Shapley values against an all-zero baseline for raw-scale coefficients
+    given as SQL expressions over the columns of ``src``."""
+    from .operators.explain import coalitions, shapley_terms
+
+    m = len(features)
+
+    def cname(S):
+        return "c_" + ("_".join(map(str, S)) if S else "e")
+
+    probs = []
+    for S in coalitions(m):
+        eta = intercept
+        for j in S:
+            eta = f"({eta} + {betas[j]} * (CAST({features[j]} AS DOUBLE) - CAST(0.0 AS DOUBLE)))"
+        probs.append(f"{sigmoid_sql(eta)} AS {cname(S)}")
+    phis = []
+    for i, f in enumerate(features):
+        acc = None
+        for w, a, b in shapley_terms(m)[i]:
+            t = f"({num(w)} * ({cname(a)} - {cname(b)}))"
+            acc = t if acc is None else f"({acc} + {t})"
+        phis.append(f"{acc} AS phi_{f}")
+    k = ", ".join(keep)
+    return f"SELECT {k}, {', '.join(phis)} FROM (SELECT {k}, {', '.join(probs)} FROM ({src}) s0) s1"
 
 
 # ---------------------------------------------------------------- isolation forest
@@ -256,7 +291,8 @@ def forest_ctes(src: str, n_trees: int, max_samples: int, seed: int, features=FE
     return ctes, psi, depth
 
 
-def forest_sql(src: str, select: str, n_trees: int, max_samples: int, seed: int, contamination: float, features=FEATURES) -> str:
+def forest_sql(src: str, select: str, n_trees: int, max_samples: int, seed: int, contamination: float, features=FEATURES, extra: list[str] | None = None) -> str:
     ctes, _, _ = forest_ctes(src, n_trees, max_samples, seed, features)
     ctes[-1] = ctes[-1].replace("{q}", repr(float(contamination)))
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+    head = "WITH RECURSIVE " if extra else "WITH "
+    return head + ",\n".join(ctes + list(extra or [])) + "\n" + select

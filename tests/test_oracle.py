@@ -23,7 +23,7 @@ def test_query_matches_twin(spark, con, name):
 
 def test_every_query_has_twin_or_reason():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) <= {"analyze_trained"}
+    assert set(entry.queries()) == set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
