@@ -215,21 +215,24 @@ def _fit_newton(df, features, label, C, n, mean, scale, weights, max_iter, tol)
     import numpy as np
 
     m = len(features) + 1
-    z = [F.lit(1.0)] + [(F.col(f).cast("double") - F.lit(mu)) / F.lit(sd) for f, mu, sd in zip(features, mean, scale)]
-    yv = F.col(label).cast("double")
-    w = F.when(F.col(label) == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
     pairs = [(j, k) for j in range(m) for k in range(j, m)]
+    # Standardised features, weight and label once per row; the iteration only
+    # changes theta, which enters as literals.
+    z = [f"(CAST(`{f}` AS DOUBLE) - {float(mu)!r}) / {float(sd)!r} AS z{j + 1}" for j, (f, mu, sd) in enumerate(zip(features, mean, scale))]
+    rows = df.selectExpr(
+        "1.0D AS z0",
+        *z,
+        f"CASE WHEN `{label}` = 1 THEN {weights[1]!r} ELSE {weights[0]!r} END AS w",
+        f"CAST(`{label}` AS DOUBLE) AS y",
+    )
     theta = np.zeros(m)
     for _ in range(max_iter):
-        eta = F.lit(float(theta[0]))
-        for j in range(1, m):
-            eta = eta + F.lit(float(theta[j])) * z[j]
-        p = logistic(eta)
-        r = w * (p - yv)
-        h = w * p * (F.lit(1.0) - p)
-        row = df.agg(
-            *[F.sum(r * z[j]).alias(f"g{j}") for j in range(m)],
-            *[F.sum(h * z[j] * z[k]).alias(f"h{j}_{k}") for j, k in pairs],
+        eta = " + ".join(f"{float(theta[j])!r} * z{j}" for j in range(m))
+        p = rows.selectExpr(*[f"z{j}" for j in range(m)], "w", "y", f"1.0D / (1.0D + exp(-({eta}))) AS p")
+        rh = p.selectExpr(*[f"z{j}" for j in range(m)], "w * (p - y) AS r", "w * p * (1.0D - p) AS h")
+        row = rh.agg(
+            *[F.expr(f"sum(r * z{j})").alias(f"g{j}") for j in range(m)],
+            *[F.expr(f"sum(h * z{j} * z{k})").alias(f"h{j}_{k}") for j, k in pairs],
         ).first()
         grad = C * np.array([row[f"g{j}"] for j in range(m)]) + theta
         hess = np.eye(m)
