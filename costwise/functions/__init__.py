@@ -5,7 +5,6 @@ from .scalar import (  # noqa: F401
     logistic,
     name_map,
     path_norm,
-    path_norm_value,
     percent_text,
     reason_texts,
     round_to,

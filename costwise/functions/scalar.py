@@ -33,16 +33,6 @@ def path_norm(n: Column) -> Column:
     )
 
 
-def path_norm_value(n) -> np.ndarray:
-    """F3 on a numpy array (inside the tree grower)."""
-    n = np.asarray(n, dtype="float64")
-    out = np.zeros_like(n)
-    big = n > 2
-    out[big] = 2.0 * (np.log(n[big] - 1.0) + EULER_GAMMA) - 2.0 * (n[big] - 1.0) / n[big]
-    out[n == 2] = 1.0
-    return out
-
-
 def round_to(x: Column, decimals: int) -> Column:
     """round half up to ``decimals`` places."""
     return F.round(x, decimals)

@@ -8,6 +8,7 @@ pinned models.
 
 from __future__ import annotations
 
+from .functions import c_of
 from .operators.classifier import LinearModel
 from .schema import FEATURES
 
@@ -200,9 +201,10 @@ def c_sql(n: str) -> str:
 
 
 def forest_ctes(src: str, n_trees: int, max_samples: int, seed: int, features=FEATURES) -> tuple[list[str], int, int]:
-    """CTEs ``fx`` (rows), ``smp`` (sample), ``nodes`` (grown forest) and ``paths``
-    (per row and tree). Returns (ctes, psi_sql_unknown, max_depth) — psi is
-    min(max_samples, n), fixed here by the caller's knowledge of n >= max_samples."""
+    """CTEs ``fx`` (rows), ``smp`` (sample), ``nodes`` (grown forest), ``q0..``
+    (every row walking every tree), ``scored`` and ``offs`` (offset; its
+    quantile is filled in by ``forest_sql``). Returns (ctes, psi, max_depth).
+    Assumes the table has at least ``max_samples`` rows, so psi = max_samples."""
     import math
 
     m = len(features)
@@ -284,7 +286,7 @@ def forest_ctes(src: str, n_trees: int, max_samples: int, seed: int, features=FE
               FROM q{level} q LEFT JOIN nodes n ON q.path IS NULL AND q.tree = n.tree AND q.node = n.node)"""
         )
     ctes.append(
-        f"scored AS (SELECT transaction_id, -pow(2.0, -avg(path) / {num(__import__('costwise.functions', fromlist=['c_of']).c_of(psi))}) AS score "
+        f"scored AS (SELECT transaction_id, -pow(2.0, -avg(path) / {num(c_of(psi))}) AS score "
         f"FROM q{depth + 1} GROUP BY transaction_id)"
     )
     ctes.append("offs AS (SELECT quantile_cont(score, {q}) AS offset FROM scored)")

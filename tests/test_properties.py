@@ -142,3 +142,11 @@ def test_exact_quantile_adjacent_doubles(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     for q in (0.2, 0.5666, 0.9):
         assert exact_quantile(df, "v", q, buckets=8, collect_limit=10) == pytest.approx(float(np.percentile(vals, 100 * q)), abs=0)
+
+
+def test_path_norm_column_matches_scalar(spark):
+    from costwise.functions import c_of, path_norm
+
+    df = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 10, 256, 1000)], "n int")
+    got = [r[0] for r in df.select(path_norm(F.col("n").cast("double"))).collect()]
+    assert got == pytest.approx([c_of(n) for n in (0, 1, 2, 3, 10, 256, 1000)], rel=1e-15)
