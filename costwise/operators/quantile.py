@@ -5,7 +5,7 @@ aggregation buffer; on a large table that is one task holding everything.
 Here each pass is a histogram over the current bracket (a group-by with at
 most ``buckets`` keys, partially aggregated per task), which narrows the
 bracket to the bucket holding the wanted rank. Once a bracket holds at most
-``collect_limit`` rows they are fetched and the rank is read off. Ties are
+``collect_limit`` rows (10,000 by default) they are fetched as distinct values with counts and the rank is read off. Ties are
 no problem: a bracket with a single distinct value ends the search at once.
 The result equals numpy's and DuckDB's linear interpolation.
 """
@@ -65,7 +65,7 @@ def _rank_pair(values: DataFrame, k: int, n: int, lo: float, hi: float, buckets:
     return first, second
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 4096, collect_limit: int = 100_000) -> float | None:
+def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 4096, collect_limit: int = 10_000) -> float | None:
     """The q-quantile of ``col`` (nulls and NaN ignored), linear interpolation
     between the closest ranks. Cache ``df`` first: it is scanned a few times."""
     if not 0.0 <= q <= 1.0:
