@@ -14,10 +14,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.analyze import Models, analyze
+from ..schema import RAW_REQUEST, REQUEST
 from ..sources.readers import parse_json_requests
 from ..sources.validate import split_valid, validate
 
 
+def read_requests(spark: SparkSession, source_dir: str, source_format: str = "text", max_files_per_trigger: int | None = None) -> DataFrame:
+    """The request stream with every field as text (``text``: one JSON body per
+    line, with key presence; ``json``/``csv``: the request fields as text;
+    ``parquet``: the typed request schema)."""
+    reader = spark.readStream
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if source_format == "text":
+        return parse_json_requests(reader.format("text").load(source_dir), "value")
+    if source_format == "json":
+        return reader.schema(RAW_REQUEST).json(source_dir)
+    if source_format == "csv":
+        return reader.schema(RAW_REQUEST).option("header", True).csv(source_dir)
+    if source_format == "parquet":
+        return reader.schema(REQUEST).parquet(source_dir)
+    raise ValueError("source_format must be 'text', 'json', 'csv' or 'parquet'")
+
+
 def analyze_stream(
     spark: SparkSession,
     source_dir: str,
@@ -27,13 +46,15 @@ def analyze_stream(
     strict_domain: bool = False,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    source_format: str = "text",
+    processing_time: str = "10 seconds",
 ) -> StreamingQuery:
-    """Start the stream; ``sink_dir``/accepted and ``sink_dir``/rejected receive Parquet."""
-    reader = spark.readStream.format("text")
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = parse_json_requests(reader.load(source_dir), "value")
-    validated = validate(raw, strict_domain=strict_domain)
+    """Start the stream; ``sink_dir``/accepted and ``sink_dir``/rejected receive Parquet.
+
+    ``available_now`` processes what is there and stops (backfills, tests);
+    otherwise a micro-batch runs every ``processing_time``.
+    """
+    validated = validate(read_requests(spark, source_dir, source_format, max_files_per_trigger), strict_domain=strict_domain)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -45,7 +66,7 @@ def analyze_stream(
             batch.unpersist()
 
     writer = validated.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start()
 
 

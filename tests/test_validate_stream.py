@@ -155,3 +155,21 @@ def test_baseline_row(spark, setup):
     assert worst < 1e-12
     # features at the baseline value get exactly 0
     assert a.filter((F.col("transaction_time") == 12) & (F.col("phi_transaction_time") != 0)).count() == 0
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+def test_stream_typed_sources(spark, setup, fmt):
+    tx, models = setup
+    base = scratch_path(spark, f"stream-{fmt}")
+    cols = ["transaction_id", "amount", "transaction_time", "location_change", "device_change", "merchant_risk"]
+    writer = tx.select(*cols).repartition(3).write
+    if fmt == "csv":
+        writer.option("header", True).csv(f"{base}/in")
+    else:
+        writer.format(fmt).save(f"{base}/in")
+    q = analyze_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", models, source_format=fmt)
+    q.awaitTermination()
+    assert q.exception() is None
+    streamed = flatten_response(read_sink(spark, f"{base}/out").drop("batch"))
+    assert streamed.exceptAll(flatten_response(analyze(tx, models))).count() == 0
+    assert streamed.count() == tx.count()
