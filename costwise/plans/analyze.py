@@ -73,20 +73,34 @@ def train(
     contamination: float = FOREST_CONTAMINATION,
     seed: int = FOREST_SEED,
     C: float = 1.0,
+    stage: str = "persist",
 ) -> Models:
     """Fit both models on the whole table (the service's start-up training).
 
-    The training columns are persisted once (memory, spilling to disk) and
-    shared by both fits, so a derived input is computed once.
+    The training columns are read by both fits several times, so they are
+    staged once: ``persist`` keeps them in executor memory (spilling to
+    disk; lost blocks are recomputed from the source), ``checkpoint`` writes
+    them below ``spark.checkpoint.dir`` and cuts the lineage, for long
+    derivations on clusters where executors come and go.
     """
     from pyspark.storagelevel import StorageLevel
 
-    data = df.select(ID, *FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+    from ..session import ensure_checkpoint_dir
+
+    cols = df.select(ID, *FEATURES, LABEL)
+    if stage == "checkpoint":
+        ensure_checkpoint_dir(df.sparkSession)
+        data = cols.checkpoint(eager=True)
+    elif stage == "persist":
+        data = cols.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        raise ValueError("stage must be 'persist' or 'checkpoint'")
     try:
         forest = fst.fit_forest(data, n_trees=n_trees, max_samples=max_samples, contamination=contamination, seed=seed, persist=False)
         classifier = clf.fit_logistic(data, C=C, persist=False)
     finally:
-        data.unpersist()
+        if stage == "persist":
+            data.unpersist()
     return Models(classifier, forest)
 
 

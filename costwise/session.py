@@ -73,3 +73,9 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("costwise", os.path.relpath(full, root)))
     sc.addPyFile(out)
     _SHIPPED.add(app)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Point ``DataFrame.checkpoint()`` at the shared folder if nothing is set."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
