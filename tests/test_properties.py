@@ -150,3 +150,18 @@ def test_path_norm_column_matches_scalar(spark):
     df = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 10, 256, 1000)], "n int")
     got = [r[0] for r in df.select(path_norm(F.col("n").cast("double"))).collect()]
     assert got == pytest.approx([c_of(n) for n in (0, 1, 2, 3, 10, 256, 1000)], rel=1e-15)
+
+
+def test_hot_user_lag_equals_plain_window(spark):
+    """A third of all events on one user: the bucketed lag equals a plain lag."""
+    from pyspark.sql import Window
+
+    from costwise.sources.events import previous_in_user
+
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
+    hot = hot.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select("event_id", "ts", "user_id", "k")
+    split = previous_in_user(hot, "k", "hour").select("event_id", "prev_k")
+    plain = hot.select("event_id", F.lag("k").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("prev_k"))
+    assert split.count() == hot.count()
+    assert split.exceptAll(plain).count() == 0
