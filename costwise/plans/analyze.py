@@ -189,3 +189,13 @@ def flatten_response(response: DataFrame, decimals: int = 6) -> DataFrame:
         "explanation",
         *[F.round(F.element_at("feature_contributions", F.lit(f)), decimals).alias(f"phi_{f}") for f in FEATURES],
     )
+
+
+def analyze_records(spark: SparkSession, records, models: Models, strict_domain: bool = False, cost: CostFn = CostParams()) -> tuple[DataFrame, DataFrame]:
+    """K3 for request bodies given as Python mappings (the service's request/response
+    shape): (responses for valid requests, rejected requests with reasons)."""
+    from ..sources.readers import from_records
+    from ..sources.validate import split_valid, validate
+
+    ok, bad = split_valid(validate(from_records(spark, records), strict_domain=strict_domain))
+    return analyze(ok, models, cost), bad

@@ -140,3 +140,27 @@ def test_custom_cost_function(spark):
 
     df = spark.createDataFrame([(0.02,), (0.3,), (0.9,)], "fraud_probability double")
     assert [r["decision"] for r in dec.choose_action(df, cost=cost).collect()] == ["approve", "block", "block"]
+
+
+def test_request_response_end_to_end(spark, csv_table):
+    """Train on the ten rows, then answer the dashboard's default request (F2)."""
+    from costwise.plans.analyze import analyze_records, train
+
+    models = train(csv_table)
+    good = {"transaction_id": 1, "amount": 5000.0, "transaction_time": 12, "location_change": 0, "device_change": 0, "merchant_risk": 0.2}
+    bad = {**good, "transaction_time": "12.5"}
+    responses, rejected = analyze_records(spark, [good, bad], models)
+    r = responses.first()
+    assert responses.count() == 1
+    assert r["fraud_probability"] == 0.0969
+    assert r["decision"] == "review"
+    assert r["explanation"] == "Transaction flagged primarily due to: merchant risk impact, transaction time impact, amount impact."
+    assert r["feature_contributions"] == pytest.approx({"amount": 0.007996, "transaction_time": -0.013186, "location_change": 0.0, "device_change": 0.0, "merchant_risk": 0.029282}, abs=1e-5)
+    assert -1.0 < r["anomaly_score"] < 1.0 and round(r["anomaly_score"], 4) == r["anomaly_score"]
+    assert [x["reject_reason"] for x in rejected.collect()] == ["transaction_time is not an integer: 12.5"]
+    # the forest on ten rows: psi = 10, every tree holds all rows, 2 of 10 flagged
+    assert models.forest.psi == 10
+    from costwise.operators.forest import anomaly_score
+
+    flagged = anomaly_score(csv_table, models.forest).filter(F.col("anomaly_score") < 0).count()
+    assert flagged == 2
