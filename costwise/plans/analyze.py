@@ -20,7 +20,7 @@ from ..functions import c_of, decision_label, percent_text, round_to, three_deci
 from ..operators import classifier as clf
 from ..operators import forest as fst
 from ..operators.decision import CostFn, CostParams, cheapest
-from ..operators.explain import ShapleyBatch, contributions, explanation, linear_predictor
+from ..operators.explain import ShapleyBatch, contributions, explanation, linear_predictor, phi_columns
 from ..session import ship_package
 from ..schema import FEATURES, LABEL, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID, RESPONSE_DECIMALS
 
@@ -104,50 +104,61 @@ def train(
     return Models(classifier, forest)
 
 
-def batch_scores(models: Models, spark: SparkSession) -> Column:
-    """One Arrow-batched hop per batch: mean forest path and the Shapley values.
+def batch_scores(models: Models, spark: SparkSession, with_shapley: bool = True) -> Column:
+    """One Arrow-batched hop per batch: mean forest path (and the Shapley values).
 
     Only the five feature columns travel to Python; both models are applied
     to the same numpy batch (forest nodes from a broadcast, the linear model
-    as six numbers). Measured 2.7x faster than the all-JVM Shapley form.
+    as six numbers).
     """
     forest = models.forest
     bc = forest.broadcast(spark)
     max_depth = forest.max_depth
     ship_package(spark)
-    explain_batch = ShapleyBatch(linear_predictor(models.classifier), len(models.classifier.features))
+    explain_batch = ShapleyBatch(linear_predictor(models.classifier), len(models.classifier.features)) if with_shapley else None
     names = list(models.classifier.features)
-    schema = T.StructType([T.StructField("mean_path", T.DoubleType())] + [T.StructField(f"phi_{f}", T.DoubleType()) for f in names])
+    fields = [T.StructField("mean_path", T.DoubleType())]
+    if with_shapley:
+        fields += [T.StructField(f"phi_{f}", T.DoubleType()) for f in names]
+    schema = T.StructType(fields)
 
     @F.pandas_udf(schema)
     def run(*cols: pd.Series) -> pd.DataFrame:
         feature, threshold, path = bc.value
         X = np.column_stack([c.to_numpy(dtype="float64") for c in cols])
         out = {"mean_path": fst.path_lengths(X, feature, threshold, path, max_depth).mean(axis=1)}
-        phi = explain_batch(X)
-        out.update({f"phi_{f}": phi[:, i] for i, f in enumerate(names)})
+        if explain_batch is not None:
+            phi = explain_batch(X)
+            out.update({f"phi_{f}": phi[:, i] for i, f in enumerate(names)})
         return pd.DataFrame(out)
 
     return run(*[F.col(f).cast("double") for f in names])
 
 
-def score(df: DataFrame, models: Models, cost: CostFn = CostParams()) -> DataFrame:
-    """Add fraud_probability, anomaly_score, decision and phi_<feature> (all unrounded)."""
+def score(df: DataFrame, models: Models, cost: CostFn = CostParams(), shapley: str = "arrow") -> DataFrame:
+    """Add fraud_probability, anomaly_score, decision and phi_<feature> (all unrounded).
+
+    ``shapley="arrow"`` computes the Shapley values in the forest's Arrow batch;
+    ``shapley="jvm"`` as column expressions (fast only when the session keeps
+    huge generated methods out of whole-stage codegen, see ``session``).
+    """
     if models.forest.offset is None:
         raise ValueError("forest has no offset; fit it with fit_forest")
     if tuple(models.forest.features) != tuple(models.classifier.features):
         raise ValueError("both models must use the same features")
+    if shapley not in ("arrow", "jvm"):
+        raise ValueError("shapley must be 'arrow' or 'jvm'")
     spark = df.sparkSession
     names = models.classifier.features
-    b = batch_scores(models, spark)
-    df = df.withColumn("_b", b)
+    df = df.withColumn("_b", batch_scores(models, spark, with_shapley=shapley == "arrow"))
     c_psi = F.lit(c_of(models.forest.psi))
+    phis = {f"phi_{f}": F.col(f"_b.phi_{f}") for f in names} if shapley == "arrow" else phi_columns(models.classifier)
     return (
         df.withColumns(
             {
                 "fraud_probability": clf.logistic(models.classifier.logit()),
                 "anomaly_score": -F.pow(F.lit(2.0), -F.col("_b.mean_path") / c_psi) - F.lit(models.forest.offset),
-                **{f"phi_{f}": F.col(f"_b.phi_{f}") for f in names},
+                **phis,
             }
         )
         .withColumn("decision", cheapest(F.col("fraud_probability"), cost))
@@ -155,9 +166,9 @@ def score(df: DataFrame, models: Models, cost: CostFn = CostParams()) -> DataFra
     )
 
 
-def analyze(df: DataFrame, models: Models, cost: CostFn = CostParams(), keep: tuple[str, ...] = ()) -> DataFrame:
+def analyze(df: DataFrame, models: Models, cost: CostFn = CostParams(), keep: tuple[str, ...] = (), shapley: str = "arrow") -> DataFrame:
     """The service's response record for every row of ``df``."""
-    s = score(df, models, cost)
+    s = score(df, models, cost, shapley)
     return s.select(
         *keep,
         F.col(ID).cast("long").alias(ID),
