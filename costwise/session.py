@@ -21,6 +21,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        # HotSpot does not JIT methods over 8000 bytes of bytecode; with this
+        # Spark keeps such stages out of whole-stage codegen instead of running
+        # them interpreted (the Shapley expressions: 5.8 s -> 1.1 s, 2M rows).
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
