@@ -6,7 +6,7 @@ probability is sigma(b + sum_{j in S} beta_j x_j) on the raw scale, so the
 2^M coalition probabilities are M-term column expressions and each value is
 a weighted sum of them: two projections, no Python worker. For any other
 model callable, ``shapley_values`` evaluates the coalitions batch-wise in
-``mapInPandas`` (Arrow batches, one matrix product per batch).
+a scalar pandas UDF over the feature columns (Arrow batches, one model call per batch).
 """
 
 from __future__ import annotations
@@ -136,20 +136,23 @@ def shapley_values(
     """Exact Shapley values for any vectorised model ``predict(X) -> p``.
 
     ``predict`` maps an (n, M) float array to n probabilities. Each Arrow
-    batch is expanded to its 2^M coalition rows in numpy, scored in one call
-    and reduced over the coalition pairs of each feature. Meant for M <= 12.
+    batch of the feature columns is expanded to its 2^M coalition rows in
+    numpy, scored in one call and reduced over the coalition pairs of each
+    feature. Meant for M <= 12.
     """
     explain_batch = ShapleyBatch(predict, len(features), baseline)
     ship_package(df.sparkSession)
-    out_fields = [T.StructField(f"{prefix}{f}", T.DoubleType(), True) for f in features]
-    schema = T.StructType(df.schema.fields + out_fields)
+    names = [f"{prefix}{f}" for f in features]
+    schema = T.StructType([T.StructField(nm, T.DoubleType(), True) for nm in names])
 
-    def run(batches):
-        for pdf in batches:
-            phi = explain_batch(pdf[list(features)].to_numpy(dtype="float64"))
-            yield pdf.assign(**{f"{prefix}{f}": phi[:, i] for i, f in enumerate(features)})
+    # Only the feature columns cross to Python; the rest of the row stays in the JVM.
+    @F.pandas_udf(schema)
+    def run(*cols: pd.Series) -> pd.DataFrame:
+        phi = explain_batch(np.column_stack([c.to_numpy(dtype="float64") for c in cols]))
+        return pd.DataFrame({nm: phi[:, i] for i, nm in enumerate(names)})
 
-    return df.mapInPandas(run, schema)
+    out = df.withColumn("_phi", run(*[F.col(f).cast("double") for f in features]))
+    return out.select(*[F.col(c) for c in df.columns], *[F.col(f"_phi.{nm}").alias(nm) for nm in names])
 
 
 def linear_predictor(model: LinearModel) -> Callable[[np.ndarray], np.ndarray]:
