@@ -4,7 +4,7 @@ Exact Shapley values of the fraud probability against a baseline row
 (all zeros by default). For the linear-logistic model a coalition's
 probability is sigma(b + sum_{j in S} beta_j x_j) on the raw scale, so the
 2^M coalition probabilities are M-term column expressions and each value is
-a weighted sum of them: two projections, no Python worker. For any other
+a weighted sum of their differences, all in one projection. For any other
 model callable, ``shapley_values`` evaluates the coalitions batch-wise in
 a scalar pandas UDF over the feature columns (Arrow batches, one model call per batch).
 """
