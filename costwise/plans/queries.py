@@ -37,9 +37,10 @@ def _prob_sql(model=PINNED_CLASSIFIER) -> str:
     return twins.sigmoid_sql(twins.logit_sql(model))
 
 
-# ---------------------------------------------------------------- slice 1
+# ---------------------------------------------------------------- scoring and decision
 @query("tx_features", lambda: f"SELECT * FROM ({_tx_sql()}) t")
 def q_tx_features(spark, sf_dir):
+    """The transactions view over the whole events table."""
     return transactions(spark, sf_dir)
 
 
@@ -48,6 +49,7 @@ def q_tx_features(spark, sf_dir):
     lambda: f"SELECT transaction_id, round({_prob_sql()}, {P6}) AS fraud_probability FROM ({_tx_sql()}) t",
 )
 def q_score_probability(spark, sf_dir):
+    """M1: fraud probability of every transaction."""
     df = clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER)
     return df.select(ID, F.round("fraud_probability", P6).alias("fraud_probability"))
 
@@ -57,6 +59,7 @@ def q_score_probability(spark, sf_dir):
     lambda: f"SELECT transaction_id, CASE WHEN {_prob_sql()} > 0.5 THEN 1 ELSE 0 END AS fraud_class FROM ({_tx_sql()}) t",
 )
 def q_predict_class(spark, sf_dir):
+    """M2: fraud class (probability above one half)."""
     return clf.predict_class(transactions(spark, sf_dir), PINNED_CLASSIFIER).select(ID, "fraud_class")
 
 
@@ -73,6 +76,7 @@ def _costs_sql(p: str = "p") -> tuple[str, str, str]:
     ),
 )
 def q_action_costs(spark, sf_dir):
+    """Expected cost of each action."""
     df = dec.action_costs(clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER))
     return df.select(ID, *[F.round(f"cost_{a}", P6).alias(f"cost_{a}") for a in ACTIONS])
 
@@ -90,6 +94,7 @@ def _decision_sql(p: str = "p") -> str:
     ),
 )
 def q_choose_action(spark, sf_dir):
+    """D3: the cheapest action (ties: approve, block, review)."""
     df = dec.choose_action(clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER))
     return df.select(ID, F.round("fraud_probability", P6).alias("fraud_probability"), "decision")
 
@@ -108,6 +113,7 @@ def _phi(spark, sf_dir) -> DataFrame:
     lambda: f"SELECT transaction_id, {', '.join(f'round(phi_{f}, {P6}) AS phi_{f}' for f in FEATURES)} FROM ({_phi_sql()}) p",
 )
 def q_shapley_values(spark, sf_dir):
+    """Exact Shapley values as Spark expressions."""
     return _phi(spark, sf_dir).select(ID, *[F.round(f"phi_{f}", P6).alias(f"phi_{f}") for f in FEATURES])
 
 
@@ -127,6 +133,7 @@ def q_shapley_udf(spark, sf_dir):
     lambda: f"SELECT transaction_id, rank, feature, round(contribution, {P6}) AS contribution FROM ({twins.phi_long_sql(_phi_sql())}) l",
 )
 def q_shapley_long_sorted(spark, sf_dir):
+    """One row per feature, ranked by absolute contribution."""
     long = expl.contributions_long(_phi(spark, sf_dir))
     return long.select(ID, F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", P6).alias("contribution"))
 
@@ -136,12 +143,14 @@ def q_shapley_long_sorted(spark, sf_dir):
     lambda: f"SELECT transaction_id, rank, feature, round(contribution, {P6}) AS contribution FROM ({twins.phi_long_sql(_phi_sql())}) l WHERE rank <= 3",
 )
 def q_shapley_top3(spark, sf_dir):
+    """The three largest contributions of every transaction."""
     long = expl.contributions_long(_phi(spark, sf_dir)).filter(F.col("rank") <= 3)
     return long.select(ID, F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", P6).alias("contribution"))
 
 
 @query("explanation_text", lambda: twins.explanation_sql(twins.phi_long_sql(_phi_sql())))
 def q_explanation_text(spark, sf_dir):
+    """The explanation sentence."""
     return _phi(spark, sf_dir).select(ID, expl.explanation().alias("explanation"))
 
 
@@ -152,12 +161,14 @@ def q_explanation_text(spark, sf_dir):
     + f" FROM ({twins.scaler_stats_sql(_tx_sql())}) s",
 )
 def q_scaler_stats(spark, sf_dir):
+    """A1: mean and population deviation of each feature."""
     s = clf.scaler_stats(transactions(spark, sf_dir))
     return s.select(*[F.round(c, P6).alias(c) for c in s.columns])
 
 
 @query("class_weights", lambda: f"SELECT is_fraud, n, round(weight, {P6}) AS weight FROM ({twins.class_weights_sql(_tx_sql())}) w")
 def q_class_weights(spark, sf_dir):
+    """A2: balanced class weights."""
     w = clf.class_weights(transactions(spark, sf_dir))
     return w.select("is_fraud", "n", F.round("weight", P6).alias("weight"))
 
@@ -201,6 +212,7 @@ def q_forest_sample(spark, sf_dir):
     lambda: _forest_sql(f"SELECT tree, node, depth, feature, round(threshold, {P6}) AS threshold, size, is_leaf, round(path, {P6}) AS path FROM nodes"),
 )
 def q_forest_nodes(spark, sf_dir):
+    """The grown trees of the small forest (10 trees x 64 rows)."""
     p = SMALL_FOREST
     sample, psi = forest.forest_sample(transactions(spark, sf_dir), p["n_trees"], p["max_samples"], p["seed"])
     nodes = forest.grow_forest(sample, psi, p["seed"])
@@ -216,6 +228,7 @@ def q_forest_nodes(spark, sf_dir):
     ),
 )
 def q_forest_score(spark, sf_dir):
+    """Score and anomaly score of every transaction (small forest)."""
     tx = transactions(spark, sf_dir)
     fo = _small_forest(tx)
     df = tx.select(ID, forest.score_samples(fo, spark).alias("score"))
@@ -229,6 +242,7 @@ def q_forest_score(spark, sf_dir):
     ),
 )
 def q_anomaly_offset(spark, sf_dir):
+    """A5: the contamination percentile of the training scores, and how many rows fall below it."""
     tx = transactions(spark, sf_dir)
     fo = _small_forest(tx)
     flagged = forest.anomaly_score(tx, fo).agg(F.sum((F.round("anomaly_score", 9) < 0).cast("long")).alias("n_anomalies"))
@@ -242,6 +256,7 @@ def q_anomaly_offset(spark, sf_dir):
     ),
 )
 def q_anomaly_label(spark, sf_dir):
+    """M4: -1 for anomalies, 1 otherwise (small forest)."""
     tx = transactions(spark, sf_dir)
     fo = _small_forest(tx)
     return forest.anomaly_score(tx, fo).select(ID, forest.anomaly_label(F.col("anomaly_score"), 9).alias("anomaly_label"))
