@@ -43,8 +43,8 @@ GOLDEN = {
 @pytest.fixture(scope="module")
 def csv_table(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("csv")
-    (d / "transactions.csv").write_text(CSV)
-    return read_transactions(spark, str(d / "transactions.csv"))
+    (d / "ten_rows.csv").write_text(CSV)
+    return read_transactions(spark, str(d / "ten_rows.csv"))
 
 
 @pytest.fixture(scope="module")
