@@ -50,3 +50,15 @@ def test_filter_reaches_scan(tx_parquet):
 
     p = plan(tx_parquet.filter(F.col("amount") > 100).select("transaction_id"))
     assert "PushedFilters: [IsNotNull(amount), GreaterThan(amount,100.0)]" in p
+
+
+def test_shapley_expressions_share_coalitions(spark, tx_parquet):
+    """2^5 coalition sigmoids, the empty one folded: 31 exp calls per row in the
+    generated code, however many Shapley terms read them."""
+    import re
+
+    from costwise.operators import explain as expl
+
+    df = expl.shapley_linear(tx_parquet, PINNED_CLASSIFIER)
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(df._jdf.queryExecution().executedPlan())
+    assert len(re.findall(r"Math\.exp\(", code)) == 31
