@@ -165,3 +165,20 @@ def test_hot_user_lag_equals_plain_window(spark):
     plain = hot.select("event_id", F.lag("k").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("prev_k"))
     assert split.count() == hot.count()
     assert split.exceptAll(plain).count() == 0
+
+
+@pytest.mark.parametrize("solver", ["newton", "lbfgs"])
+def test_constant_feature(tx, solver):
+    const = tx.withColumn("device_change", F.lit(0))
+    m = clf.fit_logistic(const, solver=solver)
+    assert m.scale[3] == 1.0 and m.mean[3] == 0.0
+    assert abs(m.coef[3]) < 1e-12
+    g = clf.objective_gradient(const, m).first()
+    assert max(abs(v) for v in g) < (1e-6 if solver == "newton" else 1e-2)
+
+
+def test_forest_never_splits_on_constant(tx):
+    const = tx.withColumn("device_change", F.lit(0))
+    forest = fst.fit_forest(const, n_trees=20, max_samples=64)
+    assert not (forest.feature == 3).any()
+    assert (forest.feature >= 0).any()
