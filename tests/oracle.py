@@ -39,6 +39,9 @@ def _norm(v):
     return repr(v)
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
+
 def _rows(cols, records):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return Counter(tuple(_norm(r[i]) for i in order) for r in records)
@@ -51,6 +54,7 @@ def compare(spark, name: str, sf_dir: str, con=None, show: int = 5) -> dict:
     t0 = time.time()
     sdf = entry.queries()[name](spark, sf_dir)
     s_cols = sdf.columns
+    s_types = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in sdf.schema.fields}
     s_rows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
     res = {"query": name, "spark_rows": len(s_rows), "spark_sec": round(t1 - t0, 2)}
@@ -65,6 +69,10 @@ def compare(spark, name: str, sf_dir: str, con=None, show: int = 5) -> dict:
     if sorted(s_cols) != sorted(d_cols):
         res["status"] = f"columns differ: {sorted(s_cols)} vs {sorted(d_cols)}"
         return res
+    d_types = {c: str(t) for c, t in zip(d_cols, rel.types)}
+    if s_types != d_types:
+        res["status"] = f"types differ: {s_types} vs {d_types}"
+        return res
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
     if a == b:
         res["status"] = "match"
