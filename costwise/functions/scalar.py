@@ -34,8 +34,13 @@ def path_norm(n: Column) -> Column:
 
 
 def round_to(x: Column, decimals: int) -> Column:
-    """round half up to ``decimals`` places."""
-    return F.round(x, decimals)
+    """round half up to ``decimals`` places, keeping the sign of zero.
+
+    Python's ``round`` (and DuckDB's) turn -0.00004 into -0.0; Spark's
+    ``round`` gives +0.0. The sign is restored from the input.
+    """
+    r = F.round(x, decimals)
+    return F.when(r == 0, F.lit(0.0) * F.signum(x)).otherwise(r)
 
 
 def _fixed_series(decimals: int, scale: float, suffix: str):

@@ -250,6 +250,18 @@ def path_lengths(X: np.ndarray, feature: np.ndarray, threshold: np.ndarray, path
     return pf[base + node]
 
 
+def mean_of_paths(paths: np.ndarray) -> np.ndarray:
+    """E[h] per row, independent of tree order: the row's path lengths are
+    sorted and added one after another, so two rows with the same lengths in
+    different trees get the same bits (and a score tied with the offset
+    gives exactly 0). A SQL twin gets the same sum from ``sum(x ORDER BY x)``."""
+    p = np.sort(paths, axis=1)
+    total = p[:, 0].copy()
+    for j in range(1, p.shape[1]):
+        total += p[:, j]
+    return total / p.shape[1]
+
+
 def mean_path(forest: Forest, spark: SparkSession) -> Column:
     """Average path length over the trees, as an Arrow-batched column."""
     bc = forest.broadcast(spark)
@@ -260,7 +272,7 @@ def mean_path(forest: Forest, spark: SparkSession) -> Column:
     def avg_path(*cols: pd.Series) -> pd.Series:
         feature, threshold, path = bc.value
         X = np.column_stack([c.to_numpy(dtype="float64") for c in cols])
-        return pd.Series(path_lengths(X, feature, threshold, path, max_depth).mean(axis=1))
+        return pd.Series(mean_of_paths(path_lengths(X, feature, threshold, path, max_depth)))
 
     return avg_path(*[F.col(f).cast("double") for f in forest.features])
 

@@ -126,7 +126,7 @@ def batch_scores(models: Models, spark: SparkSession, with_shapley: bool = True)
     def run(*cols: pd.Series) -> pd.DataFrame:
         feature, threshold, path = bc.value
         X = np.column_stack([c.to_numpy(dtype="float64") for c in cols])
-        out = {"mean_path": fst.path_lengths(X, feature, threshold, path, max_depth).mean(axis=1)}
+        out = {"mean_path": fst.mean_of_paths(fst.path_lengths(X, feature, threshold, path, max_depth))}
         if explain_batch is not None:
             phi = explain_batch(X)
             out.update({f"phi_{f}": phi[:, i] for i, f in enumerate(names)})
@@ -198,7 +198,7 @@ def flatten_response(response: DataFrame, decimals: int = 6) -> DataFrame:
         "anomaly_score",
         "decision",
         "explanation",
-        *[F.round(F.element_at("feature_contributions", F.lit(f)), decimals).alias(f"phi_{f}") for f in FEATURES],
+        *[round_to(F.element_at("feature_contributions", F.lit(f)), decimals).alias(f"phi_{f}") for f in FEATURES],
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import twins
-from ..functions import zscore
+from ..functions import round_to, zscore
 from ..operators import classifier as clf
 from ..operators import decision as dec
 from ..operators import explain as expl
@@ -51,7 +51,7 @@ def q_tx_features(spark, sf_dir):
 def q_score_probability(spark, sf_dir):
     """M1: fraud probability of every transaction."""
     df = clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER)
-    return df.select(ID, F.round("fraud_probability", P6).alias("fraud_probability"))
+    return df.select(ID, round_to("fraud_probability", P6).alias("fraud_probability"))
 
 
 @query(
@@ -78,7 +78,7 @@ def _costs_sql(p: str = "p") -> tuple[str, str, str]:
 def q_action_costs(spark, sf_dir):
     """Expected cost of each action."""
     df = dec.action_costs(clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER))
-    return df.select(ID, *[F.round(f"cost_{a}", P6).alias(f"cost_{a}") for a in ACTIONS])
+    return df.select(ID, *[round_to(f"cost_{a}", P6).alias(f"cost_{a}") for a in ACTIONS])
 
 
 def _decision_sql(p: str = "p") -> str:
@@ -96,7 +96,7 @@ def _decision_sql(p: str = "p") -> str:
 def q_choose_action(spark, sf_dir):
     """D3: the cheapest action (ties: approve, block, review)."""
     df = dec.choose_action(clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER))
-    return df.select(ID, F.round("fraud_probability", P6).alias("fraud_probability"), "decision")
+    return df.select(ID, round_to("fraud_probability", P6).alias("fraud_probability"), "decision")
 
 
 # ---------------------------------------------------------------- explain
@@ -114,7 +114,7 @@ def _phi(spark, sf_dir) -> DataFrame:
 )
 def q_shapley_values(spark, sf_dir):
     """Exact Shapley values as Spark expressions."""
-    return _phi(spark, sf_dir).select(ID, *[F.round(f"phi_{f}", P6).alias(f"phi_{f}") for f in FEATURES])
+    return _phi(spark, sf_dir).select(ID, *[round_to(f"phi_{f}", P6).alias(f"phi_{f}") for f in FEATURES])
 
 
 @query(
@@ -125,7 +125,7 @@ def q_shapley_udf(spark, sf_dir):
     """The same values through the general model-callable path."""
     tx = transactions(spark, sf_dir).select(ID, *FEATURES)
     df = expl.shapley_values(tx, expl.linear_predictor(PINNED_CLASSIFIER))
-    return df.select(ID, *[F.round(f"phi_{f}", P6).alias(f"phi_{f}") for f in FEATURES])
+    return df.select(ID, *[round_to(f"phi_{f}", P6).alias(f"phi_{f}") for f in FEATURES])
 
 
 @query(
@@ -135,7 +135,7 @@ def q_shapley_udf(spark, sf_dir):
 def q_shapley_long_sorted(spark, sf_dir):
     """One row per feature, ranked by absolute contribution."""
     long = expl.contributions_long(_phi(spark, sf_dir))
-    return long.select(ID, F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", P6).alias("contribution"))
+    return long.select(ID, F.col("rank").cast("long").alias("rank"), "feature", round_to("contribution", P6).alias("contribution"))
 
 
 @query(
@@ -145,7 +145,7 @@ def q_shapley_long_sorted(spark, sf_dir):
 def q_shapley_top3(spark, sf_dir):
     """The three largest contributions of every transaction."""
     long = expl.contributions_long(_phi(spark, sf_dir)).filter(F.col("rank") <= 3)
-    return long.select(ID, F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", P6).alias("contribution"))
+    return long.select(ID, F.col("rank").cast("long").alias("rank"), "feature", round_to("contribution", P6).alias("contribution"))
 
 
 @query("explanation_text", lambda: twins.explanation_sql(twins.phi_long_sql(_phi_sql())))
@@ -163,14 +163,14 @@ def q_explanation_text(spark, sf_dir):
 def q_scaler_stats(spark, sf_dir):
     """A1: mean and population deviation of each feature."""
     s = clf.scaler_stats(transactions(spark, sf_dir))
-    return s.select(*[F.round(c, P6).alias(c) for c in s.columns])
+    return s.select(*[round_to(c, P6).alias(c) for c in s.columns])
 
 
 @query("class_weights", lambda: f"SELECT is_fraud, n, round(weight, {P6}) AS weight FROM ({twins.class_weights_sql(_tx_sql())}) w")
 def q_class_weights(spark, sf_dir):
     """A2: balanced class weights."""
     w = clf.class_weights(transactions(spark, sf_dir))
-    return w.select("is_fraud", "n", F.round("weight", P6).alias("weight"))
+    return w.select("is_fraud", "n", round_to("weight", P6).alias("weight"))
 
 
 def _model_row(spark, model) -> DataFrame:
@@ -217,7 +217,7 @@ def q_forest_nodes(spark, sf_dir):
     sample, psi = forest.forest_sample(transactions(spark, sf_dir), p["n_trees"], p["max_samples"], p["seed"])
     nodes = forest.grow_forest(sample, psi, p["seed"])
     return nodes.select(
-        "tree", "node", "depth", "feature", F.round("threshold", P6).alias("threshold"), "size", "is_leaf", F.round("path", P6).alias("path")
+        "tree", "node", "depth", "feature", round_to("threshold", P6).alias("threshold"), "size", "is_leaf", round_to("path", P6).alias("path")
     )
 
 
@@ -232,7 +232,7 @@ def q_forest_score(spark, sf_dir):
     tx = transactions(spark, sf_dir)
     fo = _small_forest(tx)
     df = tx.select(ID, forest.score_samples(fo, spark).alias("score"))
-    return df.select(ID, F.round("score", P6).alias("score"), F.round(F.col("score") - F.lit(fo.offset), P6).alias("anomaly_score"))
+    return df.select(ID, round_to("score", P6).alias("score"), round_to(F.col("score") - F.lit(fo.offset), P6).alias("anomaly_score"))
 
 
 @query(
@@ -245,8 +245,8 @@ def q_anomaly_offset(spark, sf_dir):
     """A5: the contamination percentile of the training scores, and how many rows fall below it."""
     tx = transactions(spark, sf_dir)
     fo = _small_forest(tx)
-    flagged = forest.anomaly_score(tx, fo).agg(F.sum((F.round("anomaly_score", 9) < 0).cast("long")).alias("n_anomalies"))
-    return flagged.select(F.round(F.lit(fo.offset), P6).alias("offset"), F.coalesce("n_anomalies", F.lit(0)).alias("n_anomalies"))
+    flagged = forest.anomaly_score(tx, fo).agg(F.sum((round_to("anomaly_score", 9) < 0).cast("long")).alias("n_anomalies"))
+    return flagged.select(round_to(F.lit(fo.offset), P6).alias("offset"), F.coalesce("n_anomalies", F.lit(0)).alias("n_anomalies"))
 
 
 @query(
@@ -275,7 +275,7 @@ def q_forest_score_full(spark, sf_dir):
     tx = transactions(spark, sf_dir)
     fo = forest.fit_forest(tx)
     df = forest.anomaly_score(tx, fo)
-    return df.select(ID, F.round("anomaly_score", P6).alias("anomaly_score"), forest.anomaly_label(F.col("anomaly_score"), 9).alias("anomaly_label"))
+    return df.select(ID, round_to("anomaly_score", P6).alias("anomaly_score"), forest.anomaly_label(F.col("anomaly_score"), 9).alias("anomaly_label"))
 
 
 # ---------------------------------------------------------------- compose
@@ -414,7 +414,7 @@ def q_analyze_trained(spark, sf_dir):
 def q_action_options(spark, sf_dir):
     """Every transaction expanded by the three actions, with their expected costs."""
     long = dec.action_options(clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER))
-    return long.select(ID, "rank", "action", F.round("cost", P6).alias("cost"))
+    return long.select(ID, "rank", "action", round_to("cost", P6).alias("cost"))
 
 
 @query(
@@ -430,7 +430,7 @@ def q_scaled_features(spark, sf_dir):
     """The five features in fixed order, standardised with the pinned scaler."""
     tx = transactions(spark, sf_dir)
     m = PINNED_CLASSIFIER
-    return tx.select(ID, *[F.round(zscore(F.col(f).cast("double"), mu, sd), P6).alias(f"z_{f}") for f, mu, sd in zip(FEATURES, m.mean, m.scale)])
+    return tx.select(ID, *[round_to(zscore(F.col(f).cast("double"), mu, sd), P6).alias(f"z_{f}") for f, mu, sd in zip(FEATURES, m.mean, m.scale)])
 
 
 @query(
@@ -445,4 +445,4 @@ def q_contributions_table(spark, sf_dir):
     """P8 + T3: the dashboard's contribution table, built from each response's map."""
     tx = transactions(spark, sf_dir)
     table_ = expl.contributions_table(analyze(tx, _small_models(tx)))
-    return table_.select(ID, F.col("rank").cast("long").alias("rank"), "feature", F.round("contribution", P6).alias("contribution"))
+    return table_.select(ID, F.col("rank").cast("long").alias("rank"), "feature", round_to("contribution", P6).alias("contribution"))

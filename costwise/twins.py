@@ -286,7 +286,7 @@ def forest_ctes(src: str, n_trees: int, max_samples: int, seed: int, features=FE
               FROM q{level} q LEFT JOIN nodes n ON q.path IS NULL AND q.tree = n.tree AND q.node = n.node)"""
         )
     ctes.append(
-        f"scored AS (SELECT transaction_id, -pow(2.0, -avg(path) / {num(c_of(psi))}) AS score "
+        f"scored AS (SELECT transaction_id, -pow(2.0, -(sum(path ORDER BY path) / {n_trees}) / {num(c_of(psi))}) AS score "
         f"FROM q{depth + 1} GROUP BY transaction_id)"
     )
     ctes.append("offs AS (SELECT quantile_cont(score, {q}) AS offset FROM scored)")

@@ -29,7 +29,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return repr(v + 0.0)
+        return repr(v)  # -0.0 and 0.0 stay distinct, as a value hash may keep them
     if isinstance(v, dict):
         return repr(sorted((k, _norm(x)) for k, x in v.items()))
     if isinstance(v, (list, tuple)):
