@@ -182,3 +182,23 @@ def test_forest_never_splits_on_constant(tx):
     forest = fst.fit_forest(const, n_trees=20, max_samples=64)
     assert not (forest.feature == 3).any()
     assert (forest.feature >= 0).any()
+
+
+def test_round_keeps_sign_of_zero(spark):
+    import math
+
+    from costwise.functions import round_to
+
+    vals = [-0.00004, 0.00004, -0.0, 0.0, -1.23456, 1.23455]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(round_to(F.col("x"), 4)).collect()]
+    want = [round(v, 4) for v in vals]
+    assert [math.copysign(1, g) for g in got] == [math.copysign(1, w) for w in want]
+    assert got[:4] == want[:4] and got[4] == -1.2346
+
+
+def test_mean_path_independent_of_tree_order():
+    rng = np.random.default_rng(3)
+    paths = rng.random((200, 100)) * 9
+    shuffled = np.array([rng.permutation(r) for r in paths])
+    assert np.array_equal(fst.mean_of_paths(paths), fst.mean_of_paths(shuffled))
