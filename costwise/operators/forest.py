@@ -215,10 +215,6 @@ class Forest:
         path[t[leaf], k[leaf]] = nodes["path"].to_numpy()[leaf]
         return Forest(feature, threshold, path, psi, tuple(features), None, seed, contamination)
 
-    def nodes(self) -> pd.DataFrame:
-        t, k = np.nonzero(self.feature >= 0)
-        return pd.DataFrame({"tree": t, "node": k, "feature": self.feature[t, k], "threshold": self.threshold[t, k]})
-
     def broadcast(self, spark: SparkSession):
         if self._bc is None:
             check_forest_size(self.n_trees, self.psi)

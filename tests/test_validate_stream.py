@@ -185,3 +185,13 @@ def test_train_checkpoint_equals_persist(spark):
     for x, y in ((a.classifier.mean, b.classifier.mean), (a.classifier.coef, b.classifier.coef)):
         assert x == pytest.approx(y, rel=1e-9)
     assert (a.forest.feature == b.forest.feature).all() and a.forest.offset == b.forest.offset
+
+
+def test_select_features(spark):
+    from costwise.schema import FEATURES
+    from costwise.sources.readers import select_features
+
+    df = validate(from_records(spark, [GOOD]))
+    out = select_features(df, FEATURES)
+    assert out.columns == list(FEATURES)
+    assert all(t == "double" for _, t in out.dtypes)
