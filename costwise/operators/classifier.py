@@ -90,13 +90,23 @@ def _weights_on_driver(df: DataFrame, label: str) -> tuple[dict[int, float], int
     return {r[label]: float(r["weight"]) for r in rows}, sum(int(r["n"]) for r in rows)
 
 
+def invalid_count(f: str) -> Column:
+    """Rows whose feature is null, NaN or infinite (inputs a fit must refuse)."""
+    x = F.col(f).cast("double")
+    return F.sum((x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).cast("long"))
+
+
 def _training_stats(df: DataFrame, features, label: str, salts=range(4)):
     """One pass: scaler statistics, class counts and (for L-BFGS) flip balance per salt."""
     y = F.col(label).cast("int")
     aggs = [a for f in features for a in (F.avg(F.col(f).cast("double")).alias(f"mean_{f}"), F.stddev_pop(F.col(f).cast("double")).alias(f"sd_{f}"))]
     aggs += [F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"), F.count(y).alias("n_lab")]
     aggs += [F.sum(_flip(features, label, s_).cast("long")).alias(f"flip_{s_}") for s_ in salts]
+    aggs += [invalid_count(f).alias(f"bad_{f}") for f in features]
     st = df.agg(*aggs).first()
+    bad = {f: int(st[f"bad_{f}"]) for f in features if st[f"bad_{f}"]}
+    if bad:
+        raise ValueError(f"fit needs finite values in every feature; null, NaN or infinite counts: {bad}")
     n, n_pos = int(st["n"]), int(st["n_pos"] or 0)
     if int(st["n_lab"]) != n:
         raise ValueError(f"fit needs a label on every row; {n - int(st['n_lab'])} are null")

@@ -105,7 +105,16 @@ def _sample_plan(base: DataFrame, n: int, n_trees: int, psi: int, seed: int, fea
 
 
 def _sample_setup(df: DataFrame, n_trees: int, max_samples: int, features, id_col: str, n_rows: int | None):
-    n = df.count() if n_rows is None else n_rows
+    if n_rows is None:
+        from .classifier import invalid_count
+
+        st = df.agg(F.count(F.lit(1)).alias("n"), *[invalid_count(f).alias(f"bad_{f}") for f in features]).first()
+        bad = {f: int(st[f"bad_{f}"]) for f in features if st[f"bad_{f}"]}
+        if bad:
+            raise ValueError(f"fit needs finite values in every feature; null, NaN or infinite counts: {bad}")
+        n = int(st["n"])
+    else:
+        n = n_rows
     if n == 0:
         raise ValueError("cannot fit a forest on an empty table")
     psi = min(max_samples, n)

@@ -202,3 +202,11 @@ def test_mean_path_independent_of_tree_order():
     paths = rng.random((200, 100)) * 9
     shuffled = np.array([rng.permutation(r) for r in paths])
     assert np.array_equal(fst.mean_of_paths(paths), fst.mean_of_paths(shuffled))
+
+
+def test_fits_refuse_missing_values(tx):
+    broken = tx.withColumn("merchant_risk", F.when(F.col("transaction_id") == 7, F.lit(float("nan"))).otherwise(F.col("merchant_risk")))
+    with pytest.raises(ValueError, match="finite values"):
+        clf.fit_logistic(broken)
+    with pytest.raises(ValueError, match="finite values"):
+        fst.fit_forest(broken, n_trees=5, max_samples=32)
