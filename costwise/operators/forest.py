@@ -83,24 +83,112 @@ def sample_key(seed: int, id_col: str = ID) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
+_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser on uint64 (counter-based pseudo-random numbers)."""
+    with np.errstate(over="ignore"):
+        z = x + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def _uniform(stream: np.ndarray, i: int) -> np.ndarray:
+    """U(0,1) number i of each row's stream, in (0, 1]."""
+    with np.errstate(over="ignore"):
+        z = _mix(stream ^ (np.uint64(i) * np.uint64(0xD1B54A32D192ED03)))
+    return ((z >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
+
+
+def copy_keys(extra: np.ndarray, stream: np.ndarray, frac: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sample keys below ``frac`` of each row's further copies, smallest first.
+
+    Row r has ``extra[r]`` further copies, each with an independent U(0,1)
+    key. Keys come out in increasing order as exact order statistics
+    (k_{i+1} = k_i + (1 - k_i)(1 - V^(1/(m-i)))) and stop at ``frac``, so a
+    row with a huge number of copies costs only the keys that can enter the
+    sample. Returns (row index, key) pairs.
+    """
+    rows, keys = [], []
+    active = np.nonzero(extra > 0)[0]
+    k = np.zeros(len(extra))
+    i = 0
+    while len(active):
+        left = (extra[active] - i).astype(np.float64)
+        v = _uniform(stream[active], i)
+        k[active] = k[active] + (1.0 - k[active]) * (1.0 - v ** (1.0 / left))
+        below = k[active] < frac
+        rows.append(active[below])
+        keys.append(k[active][below])
+        active = active[below & (left > 1)]
+        i += 1
+    if not rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _copies(grouped: DataFrame, seed: int, frac: float, id_col: str, features) -> DataFrame:
+    """Sample candidates for the second and further copies of each distinct row."""
+    multi = grouped.filter(F.col("_c") > 1).select(
+        id_col, *features, (F.col("_c") - 1).alias("_extra"), F.xxhash64(F.lit(seed), id_col, *features).alias("_stream")
+    )
+    id_type = grouped.schema[id_col].dataType
+    schema = T.StructType(
+        [T.StructField(id_col, id_type)]
+        + [T.StructField(f, T.DoubleType()) for f in features]
+        + [T.StructField("_h", T.StringType()), T.StructField("_u", T.DoubleType()), T.StructField("_j", T.LongType())]
+    )
+    cols = [id_col, *features]
+
+    def gen(batches):
+        for pdf in batches:
+            stream = pdf["_stream"].to_numpy().astype(np.int64).view(np.uint64)
+            rows, keys = copy_keys(pdf["_extra"].to_numpy(dtype=np.int64), stream, frac)
+            out = pdf.iloc[rows][cols].reset_index(drop=True)
+            out["_h"] = "~"  # after every hex digest if a key ties
+            out["_u"] = keys
+            out["_j"] = np.arange(1, len(rows) + 1, dtype=np.int64)
+            yield out
+
+    return multi.mapInPandas(gen, schema)
+
+
 def _sample_plan(base: DataFrame, n: int, n_trees: int, psi: int, seed: int, features, id_col: str, frac: float) -> DataFrame:
-    """The sample as a lazy plan; ``frac`` is the hash-prefix cut of the top-k branch."""
-    order = ["_h", *features]
+    """The sample as a lazy plan; ``frac`` is the hash-prefix cut of the top-k branch.
+
+    Copies of a row (same id and features) are sampled like distinct rows:
+    the first copy keeps the row's md5 key, further copies get independent
+    keys, so a group of copies enters the sample in proportion to its size.
+    """
     if n >= n_trees * psi:
         want = n_trees * psi
-        keyed = base.withColumn("_h", sample_key(seed, id_col))
-        if frac < 1.0:
-            # Rows whose hash prefix is below the cut are a prefix of the hash
-            # order, so the top-k of the survivors is the global top-k as long
-            # as at least k rows survive (checked by the caller).
-            u = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 4294967296.0
-            keyed = keyed.filter(u < F.lit(frac))
-        top = keyed.orderBy(*order).limit(want)
+        # Distinct rows with their copy counts; map-side combining collapses a
+        # hot group of copies to one row per task before the shuffle.
+        grouped = base.groupBy(id_col, *features).agg(F.count(F.lit(1)).alias("_c"))
+        keyed = grouped.withColumn("_h", sample_key(seed, id_col)).withColumn(
+            "_u", F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 4294967296.0
+        )
+        firsts = keyed.filter(F.col("_u") < F.lit(frac)) if frac < 1.0 else keyed
+        # Rows whose key is below the cut are a prefix of the key order, so the
+        # top-k of the survivors is the global top-k as long as at least k
+        # survive (checked by the caller).
+        cand = firsts.select(id_col, *features, "_h", "_u", F.lit(0).cast("long").alias("_j"))
+        cand = cand.unionByName(_copies(grouped, seed, frac, id_col, features))
+        order = ["_u", "_h", *features, "_j"]
+        top = cand.orderBy(*order).limit(want)
         dealt = top.withColumn("_rn", F.row_number().over(Window.orderBy(*order)) - 1)
         return dealt.select((F.col("_rn") % n_trees).cast("int").alias("tree"), id_col, *features)
-    trees = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    keyed = trees.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col(id_col).cast("string"))))
-    w = Window.partitionBy("tree").orderBy(*order)
+    # Small table (n < T * psi): every tree ranks every row; copies are numbered
+    # (a bounded window) and all but the first get keys of their own.
+    copy_no = F.row_number().over(Window.partitionBy(id_col, *features).orderBy(F.lit(1)))
+    trees = base.withColumn("_j", copy_no).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    parts = [F.lit(str(seed)), F.col("tree").cast("string"), F.col(id_col).cast("string")]
+    keyed = trees.withColumn(
+        "_h", F.when(F.col("_j") == 1, F.md5(F.concat_ws(":", *parts))).otherwise(F.md5(F.concat_ws(":", *parts, F.col("_j").cast("string"))))
+    )
+    w = Window.partitionBy("tree").orderBy("_h", *features, "_j")
     return keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).select(F.col("tree").cast("int"), id_col, *features)
 
 
