@@ -4,11 +4,14 @@ Fit
   1. Sample: T trees of psi rows each, without replacement, chosen by a hash
      order (md5 of seed and id, ties broken by the feature values), so the
      sample does not depend on partitioning. When the table has at least
-     T*psi rows the first T*psi rows in hash order are dealt round-robin to
-     the trees (a top-k, pre-filtered by a hash threshold so the sort sees a
-     few times T*psi rows whatever the table size). Otherwise every tree
+     T*psi rows the first T*psi rows in key order are dealt round-robin to
+     the trees (a top-k, pre-filtered by a key threshold so the sort sees a
+     few times T*psi rows whatever the table size). Copies of a row are
+     grouped with their count first; further copies get keys of their own,
+     generated only below the threshold, so a hot group of copies is sampled
+     in proportion at bounded cost. Otherwise (a small table) every tree
      ranks all rows by its own hash and keeps psi; that fan-out is bounded by
-     T * T * psi rows because the table is small.
+     T * T * psi rows.
   2. Grow: ``groupBy("tree").applyInPandas``; each group is one tree's psi
      rows (bounded). Uniform numbers come from md5(seed:tree:node:salt), so
      a SQL twin can replay the growth exactly.
@@ -83,9 +86,6 @@ def sample_key(seed: int, id_col: str = ID) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser on uint64 (counter-based pseudo-random numbers)."""
     with np.errstate(over="ignore"):
