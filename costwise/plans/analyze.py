@@ -43,7 +43,7 @@ class Models:
             features=list(f.features),
         )
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(mode).parquet(f"{path}/meta")
-        t, k = np.nonzero(np.ones_like(f.feature, dtype=bool))
+        t, k = (i.ravel() for i in np.indices(f.feature.shape))
         nodes = pd.DataFrame(
             {"tree": t.astype("int32"), "node": k.astype("int32"), "feature": f.feature[t, k].astype("int32"), "threshold": f.threshold[t, k], "path": f.path[t, k]}
         )
@@ -61,9 +61,7 @@ class Models:
         t, k = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
         feature[t, k], threshold[t, k], path_[t, k] = nodes["feature"], nodes["threshold"], nodes["path"]
         forest = fst.Forest(feature, threshold, path_, meta["psi"], tuple(meta["features"]), meta["offset"], meta["seed"], meta["contamination"])
-        c = meta["classifier"]
-        classifier = clf.LinearModel(tuple(c["mean"]), tuple(c["scale"]), tuple(c["coef"]), c["intercept"], tuple(c["features"]))
-        return Models(classifier, forest)
+        return Models(clf.LinearModel.from_json(json.dumps(meta["classifier"])), forest)
 
 
 def train(
