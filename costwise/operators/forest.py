@@ -141,6 +141,7 @@ def _copies(grouped: DataFrame, seed: int, frac: float, id_col: str, features) -
         + [T.StructField("_h", T.StringType()), T.StructField("_u", T.DoubleType()), T.StructField("_j", T.LongType())]
     )
     cols = [id_col, *features]
+    ship_package(grouped.sparkSession)
 
     def gen(batches):
         for pdf in batches:
