@@ -32,16 +32,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def python_ready(spark: SparkSession, rows: int | None = None) -> None:
-    """Ship the package to the workers; with ``rows``, bound the Arrow batches.
+    """Ship the package to the workers; with ``rows``, set the rows of an Arrow batch.
 
     Spark bounds an Arrow batch by its rows only, so batches of whole texts
     need fewer rows than the default of 10,000.
     """
     ship_package(spark)
     if rows is not None:
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if int(spark.conf.get(key, "10000")) > rows:
-            spark.conf.set(key, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def ascii_lower(col):
