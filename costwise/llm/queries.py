@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwise.llm import chat, exact_dedup, langid, line_dedup, mixing, near_dedup, packing, token_files, topk
+from costwise.llm import chat, exact_dedup, langid, license_scan, line_dedup, mixing, near_dedup, packing, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,6 +56,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, path)
 
 
+@query("op5_license_scan", license_scan.sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op6_near_dedup", near_dedup.SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, threshold=0.8)
