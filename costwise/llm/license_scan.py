@@ -9,9 +9,10 @@ piece, as pieces do not overlap (but for a last one that is moved back to the
 template's end). With 0.8 that means a whole piece for sizes 1 and 4, whose windows
 move by one shingle: the window equals the piece, so its one minimum does too.
 Windows of 16 move by 4 shingles, so one of them lies within 2 shingles of the
-piece: similarity at least (13 - 2) / (16 + 2 + 3) = 0.52, and ``BANDS`` = 13
+piece: similarity at least (13 - 2) / (16 + 2 + 3) = 0.52, and ``BANDS`` = 8
 bands of one minimum each retrieve the template with probability
-1 - 0.48^13 = 0.99993; an unchanged piece (0.78 or more) with 1 - 3e-9.
+1 - 0.48^8 = 0.997 or more; an unchanged piece (0.78 or more) with 1 - 6e-6.
+Each further piece of a template multiplies the chance of a miss.
 
 Minima come from one 64-bit hash per shingle; band k orders the hashes by
 their exclusive-or with a constant. Windows of 16 are built from minima of
@@ -23,13 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwise.llm.common import ascii_lower
-
-WORDS, THRESHOLD, BANDS = 5, 0.8, 13
+WORDS, THRESHOLD, BANDS = 5, 0.8, 8
 #: Band keys that are compared in one pass over the texts; more templates take further passes.
 KEYS_PER_PASS = 4096
 _CHUNK = 4
-_TOKEN = r"[\p{L}\p{N}]+"
+_BETWEEN = r"[^\p{L}\p{N}]+"
 
 #: Notices and license texts as their publishers word them.
 TEMPLATES = {
@@ -67,7 +66,7 @@ TEMPLATES = {
 
 def _with_shingles(df: DataFrame, words: int) -> DataFrame:
     """Adds ``sh``, the hashes of the text's shingles in order; shorter texts are one shingle, empty ones none."""
-    tokens = F.regexp_extract_all(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(_TOKEN), F.lit(0))
+    tokens = F.array_remove(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), _BETWEEN), "")
     hashed = df.withColumn("w", tokens).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
     n = F.size("wh")
     many = F.transform(F.sequence(F.lit(1), n - words + 1), lambda i: F.xxhash64(*[F.element_at("wh", i + j) for j in range(words)]))
@@ -80,11 +79,9 @@ def _band(k: int) -> int:
     return c - (1 << 64) if c >= 1 << 63 else c
 
 
-def _runs(col: str, size: int) -> Column:
-    """Minimum of every ``size`` neighbours of an array column (none if it is shorter)."""
-    n = F.size(col)
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_min(F.slice(col, i, size)))
+def _next(col: str, by: int) -> Column:
+    """Minimum of each element and the one ``by`` places on."""
+    return F.zip_with(col, F.slice(col, by + 1, F.greatest(F.size(col), F.lit(0))), lambda x, y: F.least(x, y))
 
 
 def _with_keys(df: DataFrame, sizes: set[int], bands: int) -> DataFrame:
@@ -93,7 +90,9 @@ def _with_keys(df: DataFrame, sizes: set[int], bands: int) -> DataFrame:
     if 1 in sizes:
         parts.append(F.col("sh"))
     if 4 in sizes:
-        df = df.withColumn("four", F.transform(_runs("sh", 4), lambda x: x.bitwiseXOR(F.lit(_band(bands)))))
+        # minima of every four neighbours (the last three of a text are of fewer, which does no harm)
+        df = df.withColumn("other", F.transform("sh", lambda x: x.bitwiseXOR(F.lit(_band(bands)))))
+        df = df.withColumn("two", _next("other", 1)).withColumn("four", _next("two", 2))
         parts.append(F.col("four"))
     if 16 in sizes:
         n = F.size("sh")
@@ -103,7 +102,9 @@ def _with_keys(df: DataFrame, sizes: set[int], bands: int) -> DataFrame:
             c = F.lit(_band(k))
             df = df.withColumn(f"low{k}", F.transform("chunks", lambda chunk, c=c: F.array_min(F.transform(chunk, lambda x: x.bitwiseXOR(c)))))
         for k in range(bands):
-            df = df.withColumn(f"band{k}", _runs(f"low{k}", 16 // _CHUNK))
+            df = df.withColumn(f"half{k}", _next(f"low{k}", 1))
+        for k in range(bands):
+            df = df.withColumn(f"band{k}", _next(f"half{k}", 2))
             parts.append(F.col(f"band{k}"))
     return df.withColumn("found", F.concat(*parts))
 
@@ -127,7 +128,7 @@ def index_templates(spark: SparkSession, templates: dict[str, str], words: int =
         if size == 1:
             keys = set(shingles)
         elif size == 4:
-            keys = {min(p) ^ _band(bands) for p in pieces}
+            keys = {min(x ^ _band(bands) for x in p) for p in pieces}
         else:
             keys = {min(x ^ _band(k) for x in p) for p in pieces for k in range(bands)}
         out.append((name, size, list(dict.fromkeys(shingles)), keys))
@@ -146,7 +147,7 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row and template that it holds: doc_id, license, matched, template_shingles, containment, first_word, last_word.
 
-    Words are runs of letters and digits, A-Z folded; shingles have ``words``
+    Words are runs of letters and digits, in lower case; shingles have ``words``
     words, a shorter text or template is one shingle. Containment is the share
     of the template's distinct shingles that the whole text holds, and rows
     have at least ``threshold``. ``first_word`` and ``last_word`` (from 0) span
@@ -205,9 +206,9 @@ def sql(templates: dict[str, str] | None = None) -> str:
     return rf"""
 WITH given AS (SELECT * FROM (VALUES {values}) v(license, text)
 ), words AS (
-  SELECT 't' AS kind, license AS name, 0 AS doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{{L}}\p{{N}}]+') AS w FROM given
+  SELECT 't' AS kind, license AS name, 0 AS doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM given
   UNION ALL
-  SELECT 'd', '', doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{{L}}\p{{N}}]+') FROM documents
+  SELECT 'd', '', doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') FROM documents
 ), shingles AS (
   SELECT kind, name, doc_id, i - 1 AS at, array_to_string(w[i : i + 4], ' ') AS s FROM words, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0
 ), wanted AS (
