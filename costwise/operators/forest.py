@@ -1,17 +1,11 @@
 """Isolation forest (A4–A6, M3, M4, F3, U3) as Spark jobs.
 
 Fit
-  1. Sample: T trees of psi rows each, without replacement, chosen by a hash
-     order (md5 of seed and id, ties broken by the feature values), so the
-     sample does not depend on partitioning. When the table has at least
-     T*psi rows the first T*psi rows in key order are dealt round-robin to
-     the trees (a top-k, pre-filtered by a key threshold so the sort sees a
-     few times T*psi rows whatever the table size). Copies of a row are
-     grouped with their count first; further copies get keys of their own,
-     generated only below the threshold, so a hot group of copies is sampled
-     in proportion at bounded cost. Otherwise (a small table) every tree
-     ranks all rows by its own hash and keeps psi; that fan-out is bounded by
-     T * T * psi rows.
+  1. Sample: each of T trees takes the psi rows with the smallest keys; a
+     key is a linear function, the tree's own, of two md5-derived numbers of
+     the row, so the sample does not depend on partitioning or table size.
+     The keys are tested where the rows are read (numpy over Arrow batches,
+     no shuffle); only about 4 * T * psi rows are ranked.
   2. Grow: ``groupBy("tree").applyInPandas``; each group is one tree's psi
      rows (bounded). Uniform numbers come from md5(seed:tree:node:salt), so
      a SQL twin can replay the growth exactly.
@@ -82,118 +76,56 @@ def check_forest_size(n_trees: int, psi: int) -> None:
 
 
 # ---------------------------------------------------------------- sample
-def sample_key(seed: int, id_col: str = ID) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+PRIME = 2**31 - 1  # sums of two products below PRIME^2 stay within 64 bits
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64 finaliser on uint64 (counter-based pseudo-random numbers)."""
-    with np.errstate(over="ignore"):
-        z = x + np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+def tree_coefficients(seed: int, tree: int) -> tuple[int, int, int]:
+    """(a, c, b) of the tree's key a * h1 + c * h2 + b mod PRIME, from md5('seed:tree')."""
+    h = hashlib.md5(f"{seed}:{tree}".encode()).hexdigest()
+    x, y, z = (int(h[i : i + 8], 16) for i in (0, 8, 16))
+    return 1 + x % (PRIME - 1), 1 + y % (PRIME - 1), z % PRIME
 
 
-def _uniform(stream: np.ndarray, i: int) -> np.ndarray:
-    """U(0,1) number i of each row's stream, in (0, 1]."""
-    with np.errstate(over="ignore"):
-        z = _mix(stream ^ (np.uint64(i) * np.uint64(0xD1B54A32D192ED03)))
-    return ((z >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53
+def row_hash(seed: int, row_key) -> tuple[Column, Column]:
+    """(h1, h2), two numbers below PRIME from the md5 of seed and row key."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in row_key]))
+    return tuple((F.conv(F.substring(h, i, 8), 16, 10).cast("long") % PRIME) for i in (1, 9))
 
 
-def copy_keys(extra: np.ndarray, stream: np.ndarray, frac: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sample keys below ``frac`` of each row's further copies, smallest first.
+def _sample_plan(base: DataFrame, n_trees: int, psi: int, seed: int, features, id_col: str, frac: float) -> DataFrame:
+    """The sample as a lazy plan, by one rule at every table size: each tree
+    takes the ``psi`` rows with the smallest keys.
 
-    Row r has ``extra[r]`` further copies, each with an independent U(0,1)
-    key. Keys come out in increasing order as exact order statistics
-    (k_{i+1} = k_i + (1 - k_i)(1 - V^(1/(m-i)))) and stop at ``frac``, so a
-    row with a huge number of copies costs only the keys that can enter the
-    sample. Returns (row index, key) pairs.
+    Keys are tested against ``frac`` of their range where the rows are read,
+    in one narrow pass that emits a row once per tree it may enter; about
+    ``T * psi * 4`` rows go on to the ranking, whatever the table size.
     """
-    rows, keys = [], []
-    active = np.nonzero(extra > 0)[0]
-    k = np.zeros(len(extra))
-    i = 0
-    while len(active):
-        left = (extra[active] - i).astype(np.float64)
-        v = _uniform(stream[active], i)
-        k[active] = k[active] + (1.0 - k[active]) * (1.0 - v ** (1.0 / left))
-        below = k[active] < frac
-        rows.append(active[below])
-        keys.append(k[active][below])
-        active = active[below & (left > 1)]
-        i += 1
-    if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0)
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def _copies(grouped: DataFrame, seed: int, frac: float, id_col: str, features) -> DataFrame:
-    """Sample candidates for the second and further copies of each distinct row."""
-    multi = grouped.filter(F.col("_c") > 1).select(
-        id_col, *features, (F.col("_c") - 1).alias("_extra"), F.xxhash64(F.lit(seed), id_col, *features).alias("_stream")
-    )
-    id_type = grouped.schema[id_col].dataType
-    schema = T.StructType(
-        [T.StructField(id_col, id_type)]
-        + [T.StructField(f, T.DoubleType()) for f in features]
-        + [T.StructField("_h", T.StringType()), T.StructField("_u", T.DoubleType()), T.StructField("_j", T.LongType())]
-    )
-    cols = [id_col, *features]
-    ship_package(grouped.sparkSession)
-
-    def gen(batches):
+    coef = np.array([tree_coefficients(seed, t) for t in range(n_trees)], dtype=np.int64)
+    cut = PRIME if frac >= 1.0 else int(frac * PRIME)
+    cols = [id_col, *features, "_h1", "_h2"]
+    fields = [base.schema[c] for c in (id_col, *features)] + [T.StructField(c, T.LongType()) for c in ("_h1", "_h2", "_key")] + [T.StructField("tree", T.IntegerType())]
+    ship_package(base.sparkSession)
+
+    def test(batches):
         for pdf in batches:
-            stream = pdf["_stream"].to_numpy().astype(np.int64).view(np.uint64)
-            rows, keys = copy_keys(pdf["_extra"].to_numpy(dtype=np.int64), stream, frac)
-            out = pdf.iloc[rows][cols].reset_index(drop=True)
-            out["_h"] = "~"  # after every hex digest if a key ties
-            out["_u"] = keys
-            out["_j"] = np.arange(1, len(rows) + 1, dtype=np.int64)
+            h1, h2 = pdf["_h1"].to_numpy(np.int64), pdf["_h2"].to_numpy(np.int64)
+            rows, trees, keys = [], [], []
+            for t, (a, c, b) in enumerate(coef):
+                key = (a * h1 + c * h2 + b) % PRIME
+                at = np.flatnonzero(key < cut)
+                rows.append(at)
+                trees.append(np.full(len(at), t, np.int32))
+                keys.append(key[at])
+            out = pdf[cols].iloc[np.concatenate(rows)].reset_index(drop=True)
+            out["_key"], out["tree"] = np.concatenate(keys), np.concatenate(trees)
             yield out
 
-    return multi.mapInPandas(gen, schema)
-
+    near = base.select(*cols).mapInPandas(test, T.StructType(fields))
+    w = Window.partitionBy("tree").orderBy("_key", "_h1", "_h2", *features)
+    return near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).select("tree", id_col, *features)
 
-def _sample_plan(base: DataFrame, n: int, n_trees: int, psi: int, seed: int, features, id_col: str, frac: float) -> DataFrame:
-    """The sample as a lazy plan; ``frac`` is the hash-prefix cut of the top-k branch.
 
-    Copies of a row (same id and features) are sampled like distinct rows:
-    the first copy keeps the row's md5 key, further copies get independent
-    keys, so a group of copies enters the sample in proportion to its size.
-    """
-    if n >= n_trees * psi:
-        want = n_trees * psi
-        # Distinct rows with their copy counts; map-side combining collapses a
-        # hot group of copies to one row per task before the shuffle.
-        grouped = base.groupBy(id_col, *features).agg(F.count(F.lit(1)).alias("_c"))
-        keyed = grouped.withColumn("_h", sample_key(seed, id_col)).withColumn(
-            "_u", F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 4294967296.0
-        )
-        firsts = keyed.filter(F.col("_u") < F.lit(frac)) if frac < 1.0 else keyed
-        # Rows whose key is below the cut are a prefix of the key order, so the
-        # top-k of the survivors is the global top-k as long as at least k
-        # survive (checked by the caller).
-        cand = firsts.select(id_col, *features, "_h", "_u", F.lit(0).cast("long").alias("_j"))
-        cand = cand.unionByName(_copies(grouped, seed, frac, id_col, features))
-        order = ["_u", "_h", *features, "_j"]
-        top = cand.orderBy(*order).limit(want)
-        dealt = top.withColumn("_rn", F.row_number().over(Window.orderBy(*order)) - 1)
-        return dealt.select((F.col("_rn") % n_trees).cast("int").alias("tree"), id_col, *features)
-    # Small table (n < T * psi): every tree ranks every row; copies are numbered
-    # (a bounded window) and all but the first get keys of their own.
-    copy_no = F.row_number().over(Window.partitionBy(id_col, *features).orderBy(F.lit(1)))
-    trees = base.withColumn("_j", copy_no).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    parts = [F.lit(str(seed)), F.col("tree").cast("string"), F.col(id_col).cast("string")]
-    keyed = trees.withColumn(
-        "_h", F.when(F.col("_j") == 1, F.md5(F.concat_ws(":", *parts))).otherwise(F.md5(F.concat_ws(":", *parts, F.col("_j").cast("string"))))
-    )
-    w = Window.partitionBy("tree").orderBy("_h", *features, "_j")
-    return keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).select(F.col("tree").cast("int"), id_col, *features)
-
-
-def _sample_setup(df: DataFrame, n_trees: int, max_samples: int, features, id_col: str, n_rows: int | None):
+def _sample_setup(df: DataFrame, n_trees: int, max_samples: int, features, id_col: str, n_rows: int | None, seed: int, row_key):
     if n_rows is None:
         from .classifier import invalid_count
 
@@ -207,9 +139,9 @@ def _sample_setup(df: DataFrame, n_trees: int, max_samples: int, features, id_co
     if n == 0:
         raise ValueError("cannot fit a forest on an empty table")
     psi = min(max_samples, n)
-    base = df.select(F.col(id_col).alias(id_col), *[F.col(f).cast("double").alias(f) for f in features])
-    frac = min(1.0, 4.0 * n_trees * psi / n) if n >= n_trees * psi else 1.0
-    return n, psi, base, frac
+    h1, h2 = row_hash(seed, row_key or (id_col,))
+    base = df.select(F.col(id_col).alias(id_col), *[F.col(f).cast("double").alias(f) for f in features], h1.alias("_h1"), h2.alias("_h2"))
+    return n, psi, base, min(1.0, 4.0 * psi / n)
 
 
 def forest_sample(
@@ -220,13 +152,20 @@ def forest_sample(
     features=FEATURES,
     id_col: str = ID,
     n_rows: int | None = None,
+    row_key: tuple[str, ...] = (),
 ) -> tuple[DataFrame, int]:
-    """(tree, id, features...) for every sampled row, and psi = min(max_samples, n)."""
-    n, psi, base, frac = _sample_setup(df, n_trees, max_samples, features, id_col, n_rows)
+    """(tree, id, features...) for every sampled row, and psi = min(max_samples, n).
+
+    ``row_key`` names the columns that tell rows apart (default: the id). A
+    table with repeated ids names others, for example file path and row index
+    of its scan; rows of one key enter and leave samples together.
+    """
+    n, psi, base, frac = _sample_setup(df, n_trees, max_samples, features, id_col, n_rows, seed, row_key)
     while True:
-        sample = _sample_plan(base, n, n_trees, psi, seed, features, id_col, frac)
+        sample = _sample_plan(base, n_trees, psi, seed, features, id_col, frac).persist()  # T * psi rows
         if frac >= 1.0 or sample.count() == n_trees * psi:
             return sample, psi
+        sample.unpersist()
         frac = min(1.0, 4.0 * frac)
 
 
@@ -385,6 +324,7 @@ def fit_forest(
     features=FEATURES,
     id_col: str = ID,
     persist: bool = True,
+    row_key: tuple[str, ...] = (),
 ) -> Forest:
     """A4 + A5: grow the forest on a bounded sample, then set the offset.
 
@@ -395,14 +335,14 @@ def fit_forest(
     from pyspark.storagelevel import StorageLevel
 
     spark = df.sparkSession
-    source = df.select(id_col, *features)
+    source = df.select(*dict.fromkeys((id_col, *row_key, *features)))
     if persist:
         source = source.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n, psi, base, frac = _sample_setup(source, n_trees, max_samples, features, id_col, None)
+        n, psi, base, frac = _sample_setup(source, n_trees, max_samples, features, id_col, None, seed, row_key)
         check_forest_size(n_trees, psi)
         while True:
-            nodes = grow_forest(_sample_plan(base, n, n_trees, psi, seed, features, id_col, frac), psi, seed, features).toPandas()
+            nodes = grow_forest(_sample_plan(base, n_trees, psi, seed, features, id_col, frac), psi, seed, features).toPandas()
             # Every tree's root holds its whole sample: the cut let enough rows through
             # iff the roots hold T * psi rows (at most T * 2^(depth+1) nodes come back).
             if frac >= 1.0 or int(nodes.loc[nodes["node"] == 1, "size"].sum()) == n_trees * psi:

@@ -17,6 +17,3 @@ PINNED_CLASSIFIER = LinearModel(
     coef=(1.91931, -0.715105, 0.701252, 0.412969, 1.023256),
     intercept=-0.691936,
 )
-
-# Small forest whose growth a SQL twin can replay exactly.
-SMALL_FOREST = dict(n_trees=10, max_samples=64, seed=42, contamination=0.2)

@@ -17,8 +17,8 @@ from ..session import scratch_path
 from ..sources.readers import parse_json_requests, response_from_json, response_to_json
 from ..sources.validate import validate
 from ..streaming.stream import analyze_stream, read_sink
-from .analyze import Models, analyze, display, flatten_response, train
-from .pinned import PINNED_CLASSIFIER, SMALL_FOREST
+from .analyze import analyze, display, flatten_response, train
+from .pinned import PINNED_CLASSIFIER
 from .registry import query, table
 
 P6 = 6  # decimals of doubles in checked outputs (both sides)
@@ -190,17 +190,12 @@ def q_fit_logistic(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- isolation forest
-def _forest_sql(select: str, small: bool = True, extra: list[str] | None = None) -> str:
-    p = SMALL_FOREST if small else dict(n_trees=FOREST_TREES, max_samples=FOREST_MAX_SAMPLES, seed=FOREST_SEED, contamination=FOREST_CONTAMINATION)
-    return twins.forest_sql(_tx_sql(), select, p["n_trees"], p["max_samples"], p["seed"], p["contamination"], extra=extra)
+def _forest_sql(select: str, extra: list[str] | None = None) -> str:
+    """The forest's twin at the service's settings."""
+    return twins.forest_sql(_tx_sql(), select, FOREST_TREES, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_CONTAMINATION, extra=extra)
 
 
-def _small_forest(tx: DataFrame) -> forest.Forest:
-    p = SMALL_FOREST
-    return forest.fit_forest(tx, n_trees=p["n_trees"], max_samples=p["max_samples"], seed=p["seed"], contamination=p["contamination"])
-
-
-@query("forest_sample", lambda: _forest_sql("SELECT tree, transaction_id FROM smp", small=False))
+@query("forest_sample", lambda: _forest_sql("SELECT tree, transaction_id FROM smp"))
 def q_forest_sample(spark, sf_dir):
     """A4 sample at the service's settings (100 trees x 256 rows)."""
     sample, _ = forest.forest_sample(transactions(spark, sf_dir))
@@ -212,10 +207,9 @@ def q_forest_sample(spark, sf_dir):
     lambda: _forest_sql(f"SELECT tree, node, depth, feature, round(threshold, {P6}) AS threshold, size, is_leaf, round(path, {P6}) AS path FROM nodes"),
 )
 def q_forest_nodes(spark, sf_dir):
-    """The grown trees of the small forest (10 trees x 64 rows)."""
-    p = SMALL_FOREST
-    sample, psi = forest.forest_sample(transactions(spark, sf_dir), p["n_trees"], p["max_samples"], p["seed"])
-    nodes = forest.grow_forest(sample, psi, p["seed"])
+    """The grown trees (100 trees x 256 rows)."""
+    sample, psi = forest.forest_sample(transactions(spark, sf_dir))
+    nodes = forest.grow_forest(sample, psi)
     return nodes.select(
         "tree", "node", "depth", "feature", round_to("threshold", P6).alias("threshold"), "size", "is_leaf", round_to("path", P6).alias("path")
     )
@@ -228,9 +222,9 @@ def q_forest_nodes(spark, sf_dir):
     ),
 )
 def q_forest_score(spark, sf_dir):
-    """Score and anomaly score of every transaction (small forest)."""
+    """Score and anomaly score of every transaction."""
     tx = transactions(spark, sf_dir)
-    fo = _small_forest(tx)
+    fo = forest.fit_forest(tx)
     df = tx.select(ID, forest.score_samples(fo, spark).alias("score"))
     return df.select(ID, round_to("score", P6).alias("score"), round_to(F.col("score") - F.lit(fo.offset), P6).alias("anomaly_score"))
 
@@ -244,7 +238,7 @@ def q_forest_score(spark, sf_dir):
 def q_anomaly_offset(spark, sf_dir):
     """A5: the contamination percentile of the training scores, and how many rows fall below it."""
     tx = transactions(spark, sf_dir)
-    fo = _small_forest(tx)
+    fo = forest.fit_forest(tx)
     flagged = forest.anomaly_score(tx, fo).agg(F.sum((round_to("anomaly_score", 9) < 0).cast("long")).alias("n_anomalies"))
     return flagged.select(round_to(F.lit(fo.offset), P6).alias("offset"), F.coalesce("n_anomalies", F.lit(0)).alias("n_anomalies"))
 
@@ -256,9 +250,9 @@ def q_anomaly_offset(spark, sf_dir):
     ),
 )
 def q_anomaly_label(spark, sf_dir):
-    """M4: -1 for anomalies, 1 otherwise (small forest)."""
+    """M4: -1 for anomalies, 1 otherwise."""
     tx = transactions(spark, sf_dir)
-    fo = _small_forest(tx)
+    fo = forest.fit_forest(tx)
     return forest.anomaly_score(tx, fo).select(ID, forest.anomaly_label(F.col("anomaly_score"), 9).alias("anomaly_label"))
 
 
@@ -266,8 +260,7 @@ def q_anomaly_label(spark, sf_dir):
     "forest_score_full",
     lambda: _forest_sql(
         f"SELECT s.transaction_id, round(s.score - o.offset, {P6}) AS anomaly_score, "
-        "CASE WHEN round(s.score - o.offset, 9) < 0 THEN -1 ELSE 1 END AS anomaly_label FROM scored s CROSS JOIN offs o",
-        small=False,
+        "CASE WHEN round(s.score - o.offset, 9) < 0 THEN -1 ELSE 1 END AS anomaly_label FROM scored s CROSS JOIN offs o"
     ),
 )
 def q_forest_score_full(spark, sf_dir):
@@ -279,21 +272,29 @@ def q_forest_score_full(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- compose
-def _small_models(tx: DataFrame) -> Models:
-    return Models(PINNED_CLASSIFIER, _small_forest(tx))
+def _trained_rows_sql() -> str:
+    return f"SELECT t.*, mdl.rb, {', '.join(f'mdl.r{j}' for j in range(len(FEATURES)))} FROM ({_tx_sql()}) t CROSS JOIN mdl"
 
 
-def _analyze_select(decimals: int = P6) -> str:
-    """Twin of the flattened response: pinned classifier, small forest."""
-    tx = _tx_sql()
-    phi = twins.phi_sql(PINNED_CLASSIFIER, tx)
+def _trained_phi_sql() -> str:
+    return twins.phi_sql_from("rb", [f"r{j}" for j in range(len(FEATURES))], _trained_rows_sql())
+
+
+def _analyze_trained_select(decimals: int = P4) -> str:
+    """Twin of the trained analysis: the fit by gradient descent (``mdl``), the
+    100-tree forest replayed exactly. Fit-dependent values at 4 decimals."""
+    txm = _trained_rows_sql()
+    logit = "rb"
+    for j, f in enumerate(FEATURES):
+        logit = f"({logit} + r{j} * CAST({f} AS DOUBLE))"
+    phi = _trained_phi_sql()
     expl_sql = twins.explanation_sql(twins.phi_long_sql(phi))
     phis = ", ".join(f"round(ph.phi_{f}, {decimals}) AS phi_{f}" for f in FEATURES)
     return f"""
     SELECT a.transaction_id, round(a.p, 4) AS fraud_probability, round(s.score - o.offset, 4) AS anomaly_score,
            a.decision, e.explanation, {phis}
     FROM (SELECT transaction_id, p, {_decision_sql()} AS decision
-          FROM (SELECT transaction_id, {_prob_sql()} AS p FROM ({tx}) t) x) a
+          FROM (SELECT transaction_id, {twins.sigmoid_sql(logit)} AS p FROM ({txm}) t) x) a
     JOIN scored s ON s.transaction_id = a.transaction_id
     CROSS JOIN offs o
     JOIN ({phi}) ph ON ph.transaction_id = a.transaction_id
@@ -301,35 +302,40 @@ def _analyze_select(decimals: int = P6) -> str:
     """
 
 
-@query("analyze", lambda: _forest_sql(_analyze_select()))
+def _analysis_sql(select: str | None = None) -> str:
+    """The trained analysis, or ``select`` over it."""
+    return _forest_sql(select or _analyze_trained_select(), extra=twins.logistic_gd_ctes(_tx_sql()))
+
+
+@query("analyze", lambda: _analysis_sql())
 def q_analyze(spark, sf_dir):
-    """The full response for every transaction (pinned classifier, small forest)."""
+    """The full response for every transaction (models trained on the whole view at the service's settings)."""
     tx = transactions(spark, sf_dir)
-    return flatten_response(analyze(tx, _small_models(tx)))
+    return flatten_response(analyze(tx, train(tx)), decimals=P4)
 
 
-@query("response_json", lambda: _forest_sql(_analyze_select()))
+@query("response_json", lambda: _analysis_sql())
 def q_response_json(spark, sf_dir):
     """K5 + K6: responses written as JSON text and read back into typed columns."""
     tx = transactions(spark, sf_dir)
-    text = response_to_json(analyze(tx, _small_models(tx)), "response")
+    text = response_to_json(analyze(tx, train(tx)), "response")
     back = text.select(response_from_json("response").alias("r")).select("r.*")
-    return flatten_response(back)
+    return flatten_response(back, decimals=P4)
 
 
 @query(
     "display_format",
-    lambda: _forest_sql(
+    lambda: _analysis_sql(
         "SELECT transaction_id, printf('%.2f%%', fraud_probability * 100) AS probability_text, "
         "printf('%.3f', anomaly_score) AS anomaly_text, "
         "CASE decision WHEN 'approve' THEN '🟢 APPROVE' WHEN 'review' THEN '🟡 REVIEW' WHEN 'block' THEN '🔴 BLOCK' ELSE decision END AS decision_label "
-        f"FROM ({_analyze_select()}) r"
+        f"FROM ({_analyze_trained_select()}) r"
     ),
 )
 def q_display_format(spark, sf_dir):
     """The dashboard's formatted metrics for every response."""
     tx = transactions(spark, sf_dir)
-    return display(analyze(tx, _small_models(tx)))
+    return display(analyze(tx, train(tx)))
 
 
 def _requests_json(tx: DataFrame) -> DataFrame:
@@ -354,44 +360,21 @@ def q_tx_validate(spark, sf_dir):
     return validate(raw, strict_domain=True)
 
 
-@query("analyze_stream", lambda: _forest_sql(_analyze_select()))
+@query("analyze_stream", lambda: _analysis_sql())
 def q_analyze_stream(spark, sf_dir):
     """K4: the same responses through Structured Streaming (files in, Parquet out), read back."""
     tx = transactions(spark, sf_dir)
-    models = _small_models(tx)
+    models = train(tx)
     base = scratch_path(spark, "analyze-stream")
     _requests_json(tx).write.text(f"{base}/in")
     q = analyze_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", models)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return flatten_response(read_sink(spark, f"{base}/out").drop("batch"))
+    return flatten_response(read_sink(spark, f"{base}/out").drop("batch"), decimals=P4)
 
 
-def _analyze_trained_select(decimals: int = P4) -> str:
-    """Twin of the trained analysis: the fit by gradient descent (``mdl``), the
-    100-tree forest replayed exactly. Fit-dependent values at 4 decimals."""
-    txm = f"SELECT t.*, mdl.rb, {', '.join(f'mdl.r{j}' for j in range(len(FEATURES)))} FROM ({_tx_sql()}) t CROSS JOIN mdl"
-    betas = [f"r{j}" for j in range(len(FEATURES))]
-    logit = "rb"
-    for j, f in enumerate(FEATURES):
-        logit = f"({logit} + r{j} * CAST({f} AS DOUBLE))"
-    phi = twins.phi_sql_from("rb", betas, txm)
-    expl_sql = twins.explanation_sql(twins.phi_long_sql(phi))
-    phis = ", ".join(f"round(ph.phi_{f}, {decimals}) AS phi_{f}" for f in FEATURES)
-    return f"""
-    SELECT a.transaction_id, round(a.p, 4) AS fraud_probability, round(s.score - o.offset, 4) AS anomaly_score,
-           a.decision, e.explanation, {phis}
-    FROM (SELECT transaction_id, p, {_decision_sql()} AS decision
-          FROM (SELECT transaction_id, {twins.sigmoid_sql(logit)} AS p FROM ({txm}) t) x) a
-    JOIN scored s ON s.transaction_id = a.transaction_id
-    CROSS JOIN offs o
-    JOIN ({phi}) ph ON ph.transaction_id = a.transaction_id
-    JOIN ({expl_sql}) e ON e.transaction_id = a.transaction_id
-    """
-
-
-@query("analyze_trained", lambda: _forest_sql(_analyze_trained_select(), small=False, extra=twins.logistic_gd_ctes(_tx_sql())))
+@query("analyze_trained", lambda: _analysis_sql())
 def q_analyze_trained(spark, sf_dir):
     """Start-up training at the service's settings (fitted classifier, 100-tree
     forest), then the analysis of every transaction."""
@@ -435,14 +418,12 @@ def q_scaled_features(spark, sf_dir):
 
 @query(
     "contributions_table",
-    lambda: _forest_sql(
-        "SELECT transaction_id, rank, feature, round(contribution, 6) AS contribution FROM ("
-        + twins.phi_long_sql(twins.phi_sql(PINNED_CLASSIFIER, _tx_sql()))
-        + ") l"
+    lambda: _analysis_sql(
+        f"SELECT transaction_id, rank, feature, round(contribution, {P4}) AS contribution FROM ({twins.phi_long_sql(_trained_phi_sql())}) l"
     ),
 )
 def q_contributions_table(spark, sf_dir):
     """P8 + T3: the dashboard's contribution table, built from each response's map."""
     tx = transactions(spark, sf_dir)
-    table_ = expl.contributions_table(analyze(tx, _small_models(tx)))
-    return table_.select(ID, F.col("rank").cast("long").alias("rank"), "feature", round_to("contribution", P6).alias("contribution"))
+    table_ = expl.contributions_table(analyze(tx, train(tx)))
+    return table_.select(ID, F.col("rank").cast("long").alias("rank"), "feature", round_to("contribution", P4).alias("contribution"))

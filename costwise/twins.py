@@ -212,21 +212,17 @@ def forest_ctes(src: str, n_trees: int, max_samples: int, seed: int, features=FE
     depth = int(math.ceil(math.log2(max(psi, 2))))
     xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{j}" for j, f in enumerate(features))
     xcols = ", ".join(f"x{j}" for j in range(m))
-    want = n_trees * psi
+    prime = 2**31 - 1
+    hex8 = lambda h, i: f"CAST(('0x' || substr({h}, {i}, 8)) AS BIGINT)"
     ctes = [
         f"fx AS (SELECT transaction_id, {xs} FROM ({src}) t)",
-        f"cnt AS (SELECT count(*) AS n FROM fx)",
-        # Disjoint round-robin when the table has at least T*psi rows ...
-        f"top AS (SELECT *, md5('{seed}:' || CAST(transaction_id AS VARCHAR)) AS h FROM fx ORDER BY h, {xcols} LIMIT {want})",
-        f"""smp AS (
-          SELECT CAST((row_number() OVER (ORDER BY h, {xcols}) - 1) % {n_trees} AS INTEGER) AS tree, transaction_id, {xcols}
-          FROM top WHERE (SELECT n FROM cnt) >= {want}
-          UNION ALL
-          SELECT tree, transaction_id, {xcols} FROM (
-            SELECT tr.tree, f.*, row_number() OVER (PARTITION BY tr.tree ORDER BY
-                   md5('{seed}:' || CAST(tr.tree AS VARCHAR) || ':' || CAST(f.transaction_id AS VARCHAR)), {xcols}) AS rn
-            FROM fx f CROSS JOIN (SELECT CAST(range AS INTEGER) AS tree FROM range({n_trees})) tr
-            WHERE (SELECT n FROM cnt) < {want}) r
+        f"""hx AS (SELECT *, {hex8('h', 1)} % {prime} AS h1, {hex8('h', 9)} % {prime} AS h2
+          FROM (SELECT *, md5('{seed}:' || CAST(transaction_id AS VARCHAR)) AS h FROM fx) x)""",
+        f"""co AS (SELECT tree, 1 + {hex8('h', 1)} % {prime - 1} AS a, 1 + {hex8('h', 9)} % {prime - 1} AS c, {hex8('h', 17)} % {prime} AS b
+          FROM (SELECT CAST(range AS INTEGER) AS tree, md5('{seed}:' || CAST(range AS VARCHAR)) AS h FROM range({n_trees})) x)""",
+        f"""smp AS (SELECT tree, transaction_id, {xcols} FROM (
+            SELECT tree, hx.*, row_number() OVER (PARTITION BY tree ORDER BY (a * h1 + c * h2 + b) % {prime}, h1, h2, {xcols}) AS rn
+            FROM hx CROSS JOIN co) r
           WHERE rn <= {psi})""",
         f"r0 AS (SELECT tree, 1 AS node, {xcols} FROM smp)",
     ]

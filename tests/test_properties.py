@@ -212,28 +212,22 @@ def test_fits_refuse_missing_values(tx):
         fst.fit_forest(broken, n_trees=5, max_samples=32)
 
 
-def test_copy_keys_order_statistics():
-    rng = np.random.default_rng(5)
-    m = np.full(4000, 50, dtype=np.int64)
-    stream = rng.integers(0, 2**63, size=4000).astype(np.uint64)
-    rows, keys = fst.copy_keys(m, stream, 0.1)
-    counts = np.bincount(rows, minlength=4000)
-    assert abs(counts.mean() - 5.0) < 0.15  # Binomial(50, 0.1)
-    assert (keys < 0.1).all() and (keys > 0).all()
-    for r in range(50):
-        k = keys[rows == r]
-        assert (np.diff(k) > 0).all()
-    again = fst.copy_keys(m, stream, 0.1)
-    assert np.array_equal(again[0], rows) and np.array_equal(again[1], keys)
-
-
 @pytest.mark.parametrize("n_trees, psi", [(10, 64), (30, 64)])
 def test_hot_copies_sampled_in_proportion(spark, tx, n_trees, psi):
-    """One row copied until it holds a third of the table gets about a third of the sample
-    (first case: top-k branch, n >= T*psi; second: every tree ranks all rows)."""
+    """One row copied until it holds a third of the table gets about a third of the sample,
+    with a row key that tells the copies apart."""
     hot = tx.filter(F.col("transaction_id") == 11)
-    copies = hot.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(499)))).drop("_r")
-    table = tx.unionByName(copies)  # 1,499 rows, 500 of them identical
-    sample, got_psi = fst.forest_sample(table, n_trees, psi)
+    copies = hot.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(499))))
+    table = tx.withColumn("copy", F.lit(0)).unionByName(copies)  # 1,499 rows, 500 of them identical
+    sample, got_psi = fst.forest_sample(table, n_trees, psi, row_key=("transaction_id", "copy"))
     share = sample.filter(F.col("transaction_id") == 11).count() / (n_trees * got_psi)
     assert 0.25 < share < 0.42, share
+
+
+def test_sample_has_no_exchange_above_the_scan(spark):
+    """The keys are tested where the rows are read: only candidates are shuffled."""
+    df = spark.read.parquet("/root/testdata/sf0.01/events.parquet").selectExpr("event_id AS transaction_id", *[f"value AS {f}" for f in FEATURES])
+    n, psi, base, frac = fst._sample_setup(df, 100, 256, FEATURES, "transaction_id", 10_000, 42, ())
+    plan = fst._sample_plan(base, 100, psi, 42, FEATURES, "transaction_id", frac)._jdf.queryExecution().executedPlan().toString()
+    assert frac < 1 and plan.count("Exchange") == 1
+    assert plan.index("Exchange") < plan.index("MapInPandas")  # the one exchange sits above the filter by key
