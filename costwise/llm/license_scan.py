@@ -84,6 +84,11 @@ def _next(col: str, by: int) -> Column:
     return F.zip_with(col, F.slice(col, by + 1, F.greatest(F.size(col), F.lit(0))), lambda x, y: F.least(x, y))
 
 
+def _lowest(constant: int):
+    """Chunk -> its lowest hash in the order of one band."""
+    return lambda chunk: F.array_min(F.transform(chunk, lambda x: x.bitwiseXOR(F.lit(constant))))
+
+
 def _with_keys(df: DataFrame, sizes: set[int], bands: int) -> DataFrame:
     """Adds ``found``: the band keys of all windows of the given sizes over ``sh``."""
     parts = []
@@ -99,8 +104,7 @@ def _with_keys(df: DataFrame, sizes: set[int], bands: int) -> DataFrame:
         starts = F.when(n >= _CHUNK, F.sequence(F.lit(1), n, F.lit(_CHUNK))).otherwise(F.array().cast("array<int>"))
         df = df.withColumn("chunks", F.transform(starts, lambda i: F.slice("sh", i, _CHUNK)))
         for k in range(bands):
-            c = F.lit(_band(k))
-            df = df.withColumn(f"low{k}", F.transform("chunks", lambda chunk, c=c: F.array_min(F.transform(chunk, lambda x: x.bitwiseXOR(c)))))
+            df = df.withColumn(f"low{k}", F.transform("chunks", _lowest(_band(k))))
         for k in range(bands):
             df = df.withColumn(f"half{k}", _next(f"low{k}", 1))
         for k in range(bands):
