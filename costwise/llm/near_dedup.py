@@ -11,14 +11,18 @@ inverted lists of retained values, union-sketch estimates, exact Jaccard.
    t agree on a residue class with probability t^TUPLE or more, independently;
    with ``CLASSES`` = 45 of them, a pair of similarity 0.8 shares no list with
    probability 1e-6. Smaller sets have fewer residue classes (see ``keys``).
-3. Star pairs: every member of a list is paired with the list's first member;
-   the pair's similarity is estimated from both sketches (bottom-k of the
-   union) and dropped if five standard errors below the threshold. The others
-   are confirmed on the full sets.
-4. The links give components. In lists whose members are in several
-   components, members outside the list's largest component are paired with
-   the members of other components, estimated and confirmed the same way:
-   together with step 3 this covers every pair of a list that could still
+3. Star pairs: every member of a list is paired with one member (in one of
+   ``ORDERS`` orders, so that a group of copies has several centres). The
+   pair's similarity is estimated from both sketches (bottom-k of the union);
+   likely pairs are confirmed on the full sets and links give components. In
+   lists that still span several components, members outside the largest are
+   paired with another member of it, and so on while that helps.
+4. What is left is done in full: in each list that spans several components,
+   members outside the largest component are paired with all members of other
+   components. Long lists, and large components with all that share a list
+   with them, are instead compared block by block of full sets. Pairs are dropped only where the estimate lies five standard
+   errors below the threshold; the others are confirmed on the full sets.
+   Together with step 3 this covers every pair of a list that could still
    join two components.
 
 Components are complete for all pairs that share a list. Copies are never
@@ -27,17 +31,18 @@ expanded into pairs.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import combinations
-from math import ceil, sqrt
+from math import ceil, comb, log, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from costwise.llm.common import TEXT_ROWS, python_ready, stage
@@ -45,9 +50,16 @@ from costwise.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 SKETCH, TUPLE, CLASSES = 64, 6, 45
+ORDERS, ROUNDS = 4, 4
+#: Components and lists of so many members are compared in blocks of so many bytes of sets.
+LARGE, BLOCK_BYTES = 64, 1 << 20
 #: Sets up to this size (at 0.8) differ in at most two shingles when similar; their lists are all subsets without up to two shingles.
 SMALL = 13
-_CACHED = 500_000
+#: Fewer values than this are too common a key.
+THIN = 3
+#: Sizes with 20 residue classes; below, size steps; above, ``CLASSES``.
+_MID = (60, 270)
+_CACHED = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -87,17 +99,31 @@ def _sum_key(bucket: int, label: np.ndarray, values: np.ndarray) -> np.ndarray:
     return _mix(values + _mix((label.astype(np.uint64) + np.uint64(1)) * _A + np.uint64(bucket)))
 
 
-@lru_cache(4)
-def _steps(threshold: float) -> np.ndarray:
-    """Size steps by 1 / threshold: similar sets lie in one step or in neighbouring ones."""
-    return np.array([(1 / threshold) ** k for k in range(200)])
+@lru_cache(8)
+def _steps(threshold: float) -> tuple[list[float], list[tuple[int, int]]]:
+    """Size steps of small sets by 1 / threshold, and per step (residue classes, partitions).
 
-
-def _tuples(values: np.ndarray, bucket: int, classes: int) -> np.ndarray:
-    """One key per non-empty residue class: its smallest ``TUPLE`` values."""
+    Sets of a step differ from similar ones in at most ``d`` values. If these
+    miss one residue class of a partition, the pair shares its key; partitions
+    are added until all failing is less likely than 1e-6 (and one more, for
+    the residue classes that are too thin to be keys).
+    """
+    lows, plan, k = [], [], 0
+    while (low := (1 / threshold) ** k) < _MID[0] / threshold:
+        classes = max(3, round(low / 5))
+        d = max(1, int(2 * low / threshold * (1 - threshold) / (1 + threshold)))
+        all_hit = sum((-1) ** j * comb(classes, j) * (1 - j / classes) ** d for j in range(classes + 1))
+        lows.append(low)
+        plan.append((classes, 1 + ceil(log(1e-6) / log(min(max(all_hit, 1e-6), 0.999)))))
+        k += 1
+    return lows, plan
+
+
+def _tuples(values: np.ndarray, label_base: int, classes: int) -> np.ndarray:
+    """One key per residue class: its smallest ``TUPLE`` values; classes of fewer than ``THIN`` values have none."""
     head = values[: classes * TUPLE * 8]  # surely enough of each class, or else all
     while True:
-        label = (head % np.uint64(classes)).astype(np.int64)
+        label = (_mix(head + np.uint64(label_base)) % np.uint64(classes)).astype(np.int64)
         n = np.bincount(label, minlength=classes)
         if len(head) == len(values) or n.min() >= TUPLE:
             break
@@ -105,37 +131,48 @@ def _tuples(values: np.ndarray, bucket: int, classes: int) -> np.ndarray:
     order = np.argsort(label, kind="stable")
     label, head = label[order], head[order]
     first = np.concatenate(([0], np.cumsum(n)[:-1]))
-    keep = np.arange(len(head)) - first[label] < TUPLE
+    keep = (np.arange(len(head)) - first[label] < TUPLE) & (n[label] >= THIN)
     label, head = label[keep], head[keep]
+    if not len(head):
+        return np.empty(0, np.uint64)
     starts = np.flatnonzero(np.diff(label, prepend=-1))
     with np.errstate(over="ignore"):
-        return _mix(np.add.reduceat(_sum_key(bucket, label, head), starts))
+        return _mix(np.add.reduceat(_sum_key(label_base, label, head), starts))
 
 
 def keys(values: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Inverted-list keys of a set (sorted hashes), as int64.
 
-    Sets that may only match their equals have none. Small ones have a key per
-    subset without up to two shingles, which is exact for thresholds of 0.8 or
-    more. Medium ones are keyed in their size step and the next, with residue
-    classes in proportion to the size; from about 135 shingles on there are
-    ``CLASSES`` residue classes and one step.
+    A pair of similarity ``threshold`` differs in at most (1 - t) / (1 + t) of
+    both sizes together; sets that can only match their equals have no keys.
+    At 0.8, sets of 4 to 13 shingles have a key per subset without up to two
+    shingles, which misses nothing. Sets below 75 are keyed in their size step
+    and the next, with residue classes of about five values in several
+    partitions; sets of 60 to 270 in three partitions into 20 residue classes;
+    sets from 216 on in one partition into ``CLASSES``. The ranges overlap by
+    1 / threshold, so that similar sets share one.
     """
     n = len(values)
-    odd = (1 - threshold) / (1 + threshold)  # |A - B| + |B - A| is at most odd * (|A| + |B|)
-    if n == 0 or int(2 * odd * n / (1 - odd) + 1e-9) < 1:
+    if n == 0 or n * (1 - threshold) / threshold < 1 - 1e-9:
         return np.empty(0, np.int64)
+    out = []
     if n <= SMALL and threshold >= 0.8:
+        drop = 0 if n < 5 else 1 if n < 10 else 2
         mixed = _mix(values + _A)
         with np.errstate(over="ignore"):
             total = mixed.sum(dtype=np.uint64)
-            out = [total] + [total - x for x in mixed] + [total - x - y for x, y in combinations(mixed, 2)]
-            out = _mix(np.array(out, np.uint64))
-        return np.unique(out).view(np.int64)
-    steps = _steps(threshold)
-    cap = int(np.searchsorted(steps * 2 * (1 - threshold), CLASSES))  # from here on one step for all
-    own = min(int(np.searchsorted(steps, n + 1e-9, side="right")) - 1, cap)
-    out = [_tuples(values, k, min(CLASSES, max(10, ceil(steps[k] * 2 * (1 - threshold))))) for k in sorted({own, min(own + 1, cap)})]
+            left = [total] + ([total - x for x in mixed] if drop else []) + ([total - x - y for x, y in combinations(mixed, 2)] if drop > 1 else [])
+            out.append(_mix(np.array(left, np.uint64)))
+    if (n >= (SMALL + 1) * threshold or threshold < 0.8) and n < _MID[0] / threshold:
+        lows, plan = _steps(threshold)
+        own = bisect_right(lows, n + 1e-9) - 1
+        for k in range(own, min(own + 2, len(lows))):
+            classes, partitions = plan[k]
+            out += [_tuples(values, 1000 * (k + 1) + i, classes) for i in range(partitions)]
+    if _MID[0] <= n < _MID[1]:
+        out += [_tuples(values, 100 + i, 20) for i in range(3)]
+    if n >= _MID[1] * threshold:
+        out.append(_tuples(values, 1, CLASSES))
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -170,10 +207,67 @@ def estimate(a: bytes, b: bytes) -> float:
     return float((both <= union[-1]).sum() / len(union)) if len(union) else 0.0
 
 
-def _pairs_confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Of (a, b) pairs of classes those whose full sets are similar enough."""
-    # five standard errors below the threshold, and half a value for the rounding
-    least = threshold - 5 * sqrt(threshold * (1 - threshold) / SKETCH) - 0.5 / SKETCH
+def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cid, full): full sets of the named classes, from the text of one document of each."""
+    named = cids.distinct().join(classes.select("cid", "digest", "rep"), "cid")
+    text = docs.join(named.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
+    full = text.mapInArrow(lambda it: _full_sets(it, words), "digest binary, full binary").dropDuplicates(["digest"])
+    return stage(named.select("cid", "digest").join(full, "digest").select("cid", "full"), "near-sets")
+
+
+def linked_roots(xs: list[tuple[int, bytes]], ys: list[tuple[int, bytes]], threshold: float) -> set[tuple[int, int]]:
+    """Pairs of different roots (of ``xs``, of ``ys``) that hold sets similar enough; members are (root, set)."""
+    x_sets, y_sets = ([np.frombuffer(s, np.uint64) for _, s in side] for side in (xs, ys))
+    y_roots = np.array([r for r, _ in ys])
+    ny = np.array([len(y) for y in y_sets])
+    starts = np.concatenate(([0], np.cumsum(ny)[:-1]))
+    vocabulary, flat = np.unique(np.concatenate(y_sets), return_inverse=True)
+    out, flags = set(), np.zeros(len(vocabulary), np.int32)
+    for (root, _), x in zip(xs, x_sets):
+        at = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
+        at = at[vocabulary[at] == x]
+        flags[at] = 1
+        common = np.add.reduceat(flags[flat], starts)
+        flags[at] = 0
+        hit = (100 * common >= round(100 * threshold) * (len(x) + ny - common)) & (y_roots != root)
+        out.update((root, int(r)) for r in np.unique(y_roots[hit]))
+    return out
+
+
+def _in_blocks(grouped: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(kind, group, side, root, cid) -> (a, b), roots that hold similar sets on the two sides of a group.
+
+    Each side of a group is packed into blocks of about ``BLOCK_BYTES`` of full
+    sets; each block of side 0 meets each block of side 1, and only the roots
+    that link come out, never the pairs.
+    """
+    spark = grouped.sparkSession
+    filled = grouped.join(_sets_of(grouped.select("cid"), classes, docs, words), "cid")
+    room = filled.groupBy("kind", "group", "side").agg(F.ceil(F.sum(F.length("full")) / BLOCK_BYTES).alias("blocks"))
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block")
+    packed = stage(filled.join(room, ["kind", "group", "side"]).groupBy("kind", "group", "side", block).agg(F.collect_list(F.struct("root", "full")).alias("held")), "near-blocks")
+    python_ready(spark, 2)  # rows are pairs of blocks from here on
+
+    def compare(batches):
+        for b in batches:
+            for xs, ys in zip(*(c.to_pylist() for c in b.columns)):
+                got = sorted(linked_roots([(x["root"], x["full"]) for x in xs], [(y["root"], y["full"]) for y in ys], threshold))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    sides = [packed.filter(F.col("side") == i).select("kind", "group", F.col("block").alias(f"block{i}"), F.col("held").alias(f"held{i}")) for i in (0, 1)]
+    meet = sides[0].join(sides[1], ["kind", "group"]).filter("kind = 0 OR block0 <= block1")  # a list meets itself
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: spread without merging partitions
+    out = stage(meet.repartition(n, "group", "block0", "block1").select("held0", "held1").mapInArrow(compare, "a long, b long"), "near-between")
+    python_ready(spark, TEXT_ROWS)
+    return out.distinct()
+
+
+def _pairs_confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: float, errors: float = 5.0) -> DataFrame:
+    """Of (a, b) pairs of classes those whose full sets are similar enough.
+
+    Pairs estimated more than ``errors`` standard errors below the threshold are left out.
+    """
+    least = threshold - errors * sqrt(threshold * (1 - threshold) / SKETCH) - 0.5 / SKETCH  # half a value for the rounding
 
     @F.pandas_udf("boolean")
     def likely(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -191,12 +285,7 @@ def _pairs_confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, word
     sk = [classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")]
     fits = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-6
     seen = stage(pairs.join(sk[0], "a").join(sk[1], "b").filter(fits).filter(likely("sa", "sb")).select("a", "b"), "near-likely")
-    # full sets of the classes still in play, from the text of one document of each
-    needed = seen.select(F.col("a").alias("cid")).union(seen.select("b")).distinct()
-    named = needed.join(classes.select("cid", "digest", "rep"), "cid")
-    text = docs.join(named.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-    full = text.mapInArrow(lambda it: _full_sets(it, words), "digest binary, full binary").dropDuplicates(["digest"])
-    sets = stage(named.select("cid", "digest").join(full, "digest").select("cid", "full"), "near-sets")
+    sets = _sets_of(seen.select(F.col("a").alias("cid")).union(seen.select("b")), classes, docs, words)
     side = [sets.select(F.col("cid").alias(c), F.col("full").alias(f"f{c}")) for c in ("a", "b")]
     return stage(seen.join(side[0], "a").join(side[1], "b").filter(similar("fa", "fb")).select("a", "b"), "near-links")
 
@@ -224,38 +313,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "near-classes",
     )
     posted = classes.select(F.explode("keys").alias("key"), "cid")
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("pivot")).filter("members > 1")
+
+    def centre(order):  # one member of a list, the first in an order of the classes
+        return F.min(F.struct(F.xxhash64(order, "cid").alias("h"), F.col("cid").alias("cid"))).getField("cid")
+
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), centre(F.pmod("key", F.lit(ORDERS))).alias("pivot")).filter("members > 1")
     linked = stage(posted.join(lists, "key").select("key", "cid", "pivot"), "near-lists")
     rows = stage(sketched.filter("n > 0").select("doc_id", "digest").join(classes.select("digest", "cid"), "digest").select("doc_id", "cid"), "near-rows")
     per_id = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a <> z")
     same_id = rows.join(per_id, "doc_id").filter("cid <> a").select("a", F.col("cid").alias("b"))
 
-    star = linked.filter("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    found = _pairs_confirmed(star, classes, texts, words, threshold)
-    links = found.unionByName(same_id)
-    roots = components(links)
-
-    # lists whose members are still in several components
-    placed = linked.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).select("key", "cid", "root")
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    open_ = stage(placed.join(split, "key"), "near-open")
-    by_size = Window.partitionBy("key").orderBy(F.desc("size"), "root")
-    largest = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).withColumn("place", F.row_number().over(by_size)).filter("place = 1").select("key", F.col("root").alias("main"))
-    outside = open_.join(largest, "key").filter("root <> main").select("key", F.col("cid").alias("x"), F.col("root").alias("rx"))
-    size = classes.select("cid", "n")
-    one = outside.join(size.withColumnRenamed("cid", "x").withColumnRenamed("n", "nx"), "x")
-    two = open_.select("key", F.col("cid").alias("y"), F.col("root").alias("ry")).join(size.withColumnRenamed("cid", "y").withColumnRenamed("n", "ny"), "y")
-    fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny") - 1e-6
-    tried = star.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-    cross = (
-        one.join(two, (one["key"] == two["key"]) & (F.col("rx") != F.col("ry")) & fits)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(tried, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    )
-    more = _pairs_confirmed(cross, classes, texts, words, threshold)
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
+    def pairs_of(df, x, y):
+        return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+    tried = stage(pairs_of(linked.filter("cid <> pivot"), "pivot", "cid"), "near-tried")
+    links = same_id.unionByName(_pairs_confirmed(tried, classes, texts, words, threshold, errors=2.0))
+    lists_open, before = linked.select("key", "cid"), None
+    for turn in range(1, ROUNDS + 1):
+        roots = components(links)
+        placed = lists_open.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).select("key", "cid", "root")
+        # lists that still span several components, and the largest of these
+        per_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), centre(F.pmod("key", F.lit(ORDERS * 4)) + turn).alias("rep"))
+        main = per_root.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "root", "rep")).alias("m")).filter("parts > 1")
+        open_ = stage(placed.join(main.select("key", F.col("m.root").alias("main"), F.col("m.rep").alias("rep")), "key"), "near-open")
+        outside = open_.filter("root <> main")
+        n_outside = outside.count()
+        if not n_outside or turn == ROUNDS or (before is not None and n_outside > 0.7 * before):
+            break
+        before, lists_open = n_outside, open_.select("key", "cid")
+        star = pairs_of(outside, "rep", "cid").join(tried, ["a", "b"], "left_anti")
+        found = _pairs_confirmed(star, classes, texts, words, threshold, errors=2.0)
+        links = stage(links.unionByName(found), "near-links")
+
+    # the rest in full: large components and long lists in blocks, the others as pairs
+    if n_outside:
+        counts = open_.select("root", "cid").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        big = stage(counts.filter(F.col("n") >= LARGE).select("root"), "near-big")
+        small = open_.join(big, "root", "left_anti").select("key", "cid", "root")
+        # lists of the same members are one list
+        whole_list = small.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("s"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        once = whole_list.filter("lo <> hi").groupBy("n", "s", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n")
+        small = stage(small.join(once, "key"), "near-small")
+
+        short = small.filter(F.col("n") < LARGE).join(classes.select("cid", F.col("n").alias("size")), "cid")
+        one = short.select("key", F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("size").alias("nx"))
+        two = short.select(F.col("key").alias("key2"), F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("size").alias("ny"))
+        fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny") - 1e-6
+        cross = pairs_of(one.join(two, (F.col("key") == F.col("key2")) & (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & fits), "x", "y")
+        more = _pairs_confirmed(cross, classes, texts, words, threshold)
+
+        parts = open_.select("key", "root").distinct()
+        members = stage(open_.select("root", "cid").distinct(), "near-members")
+        touching = parts.join(big, "root").withColumnRenamed("root", "group").join(parts, "key").filter("group <> root").select("group", "root").distinct()
+        side = lambda df, i: df.select(*[F.col(c) for c in ("kind", "group")], F.lit(i).alias("side"), "root", "cid")
+        of_big = members.join(big, "root").select(F.lit(0).alias("kind"), F.col("root").alias("group"), "root", "cid")
+        near_big = touching.join(members, "root").select(F.lit(0).alias("kind"), "group", "root", "cid")
+        listed = small.filter(F.col("n") >= LARGE).select(F.lit(1).alias("kind"), F.col("key").alias("group"), "root", "cid")
+        grouped = stage(side(of_big, 0).unionByName(side(near_big, 1)).unionByName(side(listed, 0)).unionByName(side(listed, 1)), "near-grouped")
+        if grouped.limit(1).count():
+            more = more.unionByName(_in_blocks(grouped, classes, texts, words, threshold))
+        if more.limit(1).count():
+            roots = components(links.unionByName(more))
 
     whole = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", F.coalesce("root", "cid").alias("root"), "cid")
     least_id = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))

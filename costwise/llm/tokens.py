@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHED = 500_000  # words in each of the cache's two halves: 200 MB a worker at most
+CACHED = 350_000  # words in each of the cache's two halves: 150 MB a worker at most
 _CUT = re.compile(r"(?= \S)")
 _LONE_BLANK = re.compile(r" (?=\s|\Z)")
 
@@ -72,9 +72,9 @@ class Encoder:
                 got = self[piece[:-1]] + self[piece[-1]]
             else:
                 got = self._pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(self.new) >= CACHED:
-            self.old, self.new = self.new, {}
         if len(piece) <= 64:
+            if len(self.new) >= CACHED:
+                self.old, self.new = self.new, {}
             self.new[piece] = got
         return got
 
