@@ -208,3 +208,12 @@ def analyze_records(spark: SparkSession, records, models: Models, strict_domain:
 
     ok, bad = split_valid(validate(from_records(spark, records), strict_domain=strict_domain))
     return analyze(ok, models, cost), bad
+
+
+def analyze_table(df: DataFrame, models: Models, strict_domain: bool = False, cost: CostFn = CostParams()) -> tuple[DataFrame, DataFrame]:
+    """K3 + K7 for a table of requests (text or typed fields): (responses, rejected
+    rows with their reason). One bad row is one rejected row, never a failed job."""
+    from ..sources.validate import split_valid, validate
+
+    ok, bad = split_valid(validate(df, strict_domain=strict_domain))
+    return analyze(ok, models, cost), bad

@@ -14,10 +14,10 @@ from ..operators import forest
 from ..schema import ACTIONS, FEATURES, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID
 from ..sources.events import transactions_from_events
 from ..session import scratch_path
-from ..sources.readers import parse_json_requests, response_from_json, response_to_json
-from ..sources.validate import validate
+from ..sources.readers import baseline_row, parse_json_requests, read_transactions, response_from_json, response_to_json
+from ..sources.validate import split_valid, validate
 from ..streaming.stream import analyze_stream, read_sink
-from .analyze import analyze, display, flatten_response, train
+from .analyze import analyze, analyze_table, display, flatten_response, train
 from .pinned import PINNED_CLASSIFIER
 from .registry import query, table
 
@@ -427,3 +427,179 @@ def q_contributions_table(spark, sf_dir):
     tx = transactions(spark, sf_dir)
     table_ = expl.contributions_table(analyze(tx, train(tx)))
     return table_.select(ID, F.col("rank").cast("long").alias("rank"), "feature", round_to("contribution", P4).alias("contribution"))
+
+
+# ---------------------------------------------------------------- input handling
+BROKEN = 24  # kinds of request by transaction_id; the first eleven are broken
+
+
+def _broken_bodies(tx: DataFrame) -> DataFrame:
+    """Request bodies as JSON text, every kind of defect at every BROKEN-th id."""
+    kind = F.col(ID) % BROKEN
+    value = {f: F.to_json(F.struct(F.col(f).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(f).alias("v")))) - 6) for f in FEATURES}
+    wrong = {
+        "amount": {1: "null", 4: '"text"', 6: '"1d"'},
+        "transaction_time": {3: "12.5", 5: "99999999999", 8: "24"},
+        "merchant_risk": {2: '"NaN"'},
+    }
+    fields = []
+    for f in FEATURES:
+        v = value[f]
+        for k, text in wrong.get(f, {}).items():
+            v = F.when(kind == k, F.lit(text)).otherwise(v)
+        field = F.concat(F.lit(f'"{f}":'), v)
+        fields.append(F.when(kind != 0, field) if f == "amount" else field)  # concat_ws leaves nulls out
+    body = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit(f'"{ID}":'), F.col(ID).cast("string")), *fields), F.lit("}"))
+    body = F.when(kind == 7, F.lit('{"transaction_id": ')).when(kind == 9, F.lit("")).when(kind == 10, F.lit("[1]")).otherwise(body)
+    path = scratch_path(tx.sparkSession, "broken-requests")  # as requests arrive: lines of text
+    tx.select(body.alias("value")).write.text(path)
+    return tx.sparkSession.read.text(path)
+
+
+def _reason_sql() -> str:
+    reasons = {
+        0: "missing field amount",
+        1: "null amount",
+        2: "merchant_risk is not finite",
+        3: "transaction_time is not an integer: 12.5",
+        4: "amount is not a number: text",
+        5: "transaction_time is not an integer: 99999999999",
+        6: "amount is not a number: 1d",
+        7: 'malformed body: {"transaction_id": ',
+        8: "transaction_time out of range [0, 23]",
+        9: "malformed body: ",
+        10: "malformed body: [1]",
+    }
+    whens = " ".join(f"WHEN {k} THEN '{v}'" for k, v in reasons.items())
+    return f"CASE transaction_id % {BROKEN} {whens} END"
+
+
+@query(
+    "tx_rejects",
+    lambda: f"""SELECT CASE WHEN transaction_id % {BROKEN} IN (7, 9, 10) THEN NULL ELSE transaction_id END AS transaction_id, reject_reason
+    FROM (SELECT transaction_id, {_reason_sql()} AS reject_reason FROM ({_tx_sql()}) t) r""",
+)
+def q_tx_rejects(spark, sf_dir):
+    """Broken request bodies of every kind, each with its reason (null for good ones)."""
+    raw = parse_json_requests(_broken_bodies(transactions(spark, sf_dir)), "value")
+    return validate(raw, strict_domain=True).select(ID, "reject_reason")
+
+
+@query(
+    "analyze_accepted",
+    lambda: _analysis_sql(f"SELECT * FROM ({_analyze_trained_select()}) r WHERE transaction_id % {BROKEN} >= 11"),
+)
+def q_analyze_accepted(spark, sf_dir):
+    """K3 + K7: the responses to the good ones among broken requests; no bad row fails the job."""
+    tx = transactions(spark, sf_dir)
+    ok, _ = analyze_table(parse_json_requests(_broken_bodies(tx), "value"), train(tx), strict_domain=True)
+    return flatten_response(ok, decimals=P4)
+
+
+@query(
+    "analyze_rejected",
+    lambda: f"SELECT reject_reason, count(*) AS n FROM (SELECT {_reason_sql()} AS reject_reason FROM ({_tx_sql()}) t) r WHERE reject_reason IS NOT NULL GROUP BY 1",
+)
+def q_analyze_rejected(spark, sf_dir):
+    """K7: the rejected side of the same table, counted by reason."""
+    tx = transactions(spark, sf_dir)
+    _, bad = split_valid(validate(parse_json_requests(_broken_bodies(tx), "value"), strict_domain=True))
+    return bad.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_csv_reordered", lambda: f"SELECT * FROM ({_tx_sql()}) t")
+def q_read_csv_reordered(spark, sf_dir):
+    """K1: the view written as CSV in another column order with an extra column, read back by name."""
+    tx = transactions(spark, sf_dir)
+    path = scratch_path(spark, "csv-reordered")
+    tx.select(F.lit("x").alias("note"), *reversed(tx.columns)).write.option("header", True).csv(path)
+    return read_transactions(spark, path, schema=tx.schema)
+
+
+# ---------------------------------------------------------------- settings and pluggable parts
+@query(
+    "fit_logistic_lbfgs",
+    lambda: "SELECT " + ", ".join(f"round(t{j}, {P4}) AS coef_{f}" for j, f in enumerate(FEATURES))
+    + f", round(b, {P4}) AS intercept FROM ({twins.logistic_gd_sql(_tx_sql())}) g",
+)
+def q_fit_logistic_lbfgs(spark, sf_dir):
+    """P3 + A3: the same fit from an assembled feature vector by ``pyspark.ml``."""
+    return _model_row(spark, clf.fit_logistic(transactions(spark, sf_dir), solver="lbfgs"))
+
+
+@query(
+    "decision_costs",
+    lambda: (
+        f"SELECT transaction_id, {_decision_sql()} AS decision, "
+        + ", ".join(f"round({c}, {P6}) AS best_{a}" for c, a in zip(_costs_sql(), ACTIONS))
+        + f", TRUE AS terminal FROM (SELECT transaction_id, {_prob_sql()} AS p FROM ({_tx_sql()}) t) s"
+    ),
+)
+def q_decision_costs(spark, sf_dir):
+    """P5 + A7: the decision with its best-cost map, and that it is terminal."""
+    df = dec.choose_action(clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER), with_costs=True)
+    return df.select(ID, "decision", *[round_to(F.element_at("costs", F.lit(a)), P6).alias(f"best_{a}") for a in ACTIONS], dec.is_terminal(F.col("decision")).alias("terminal"))
+
+
+@query(
+    "cost_by_action",
+    lambda: (
+        f"SELECT transaction_id, action, round(CASE action WHEN 'approve' THEN {_costs_sql()[0]} WHEN 'block' THEN {_costs_sql()[1]} ELSE {_costs_sql()[2]} END, {P6}) AS cost "
+        f"FROM (SELECT transaction_id, {_prob_sql()} AS p, CASE transaction_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'block' ELSE 'review' END AS action FROM ({_tx_sql()}) t) s"
+    ),
+)
+def q_cost_by_action(spark, sf_dir):
+    """The cost of an action that is data."""
+    df = clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER)
+    action = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), (F.col(ID) % 3 + 1).cast("int"))
+    return df.select(ID, action.alias("action"), round_to(dec.cost_of(F.col("fraud_probability"), action), P6).alias("cost"))
+
+
+def _quadratic_cost(p, action: str):
+    """Another cost object: approving grows with the square of the probability."""
+    return {"approve": p * p * 800.0, "block": (1.0 - p) * 90.0, "review": p * 10.0 + 15.0}[action]
+
+
+@query(
+    "custom_cost",
+    lambda: (
+        "SELECT transaction_id, CASE WHEN a <= b AND a <= r THEN 'approve' WHEN b <= r THEN 'block' ELSE 'review' END AS decision FROM ("
+        f"SELECT transaction_id, p * p * 800.0::DOUBLE AS a, (1.0::DOUBLE - p) * 90.0::DOUBLE AS b, p * 10.0::DOUBLE + 15.0::DOUBLE AS r FROM (SELECT transaction_id, {_prob_sql()} AS p FROM ({_tx_sql()}) t) s) c"
+    ),
+)
+def q_custom_cost(spark, sf_dir):
+    """Decisions under a cost of the caller's own."""
+    df = dec.choose_action(clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER), cost=_quadratic_cost)
+    return df.select(ID, "decision")
+
+
+@query(
+    "forest_settings",
+    lambda: twins.forest_sql(
+        _tx_sql(),
+        f"SELECT s.transaction_id, round(s.score - o.offset, {P6}) AS anomaly_score, CASE WHEN round(s.score - o.offset, 9) < 0 THEN -1 ELSE 1 END AS anomaly_label FROM scored s CROSS JOIN offs o",
+        FOREST_TREES,
+        FOREST_MAX_SAMPLES,
+        7,
+        0.1,
+    ),
+)
+def q_forest_settings(spark, sf_dir):
+    """The forest with another contamination and seed."""
+    tx = transactions(spark, sf_dir)
+    df = forest.anomaly_score(tx, forest.fit_forest(tx, contamination=0.1, seed=7))
+    return df.select(ID, round_to("anomaly_score", P6).alias("anomaly_score"), forest.anomaly_label(F.col("anomaly_score"), 9).alias("anomaly_label"))
+
+
+BACKGROUND = (50.0, 12.0, 1.0, 0.0, 0.5)
+
+
+@query(
+    "shapley_background",
+    lambda: f"SELECT transaction_id, {', '.join(f'round(phi_{f}, {P6}) AS phi_{f}' for f in FEATURES)} FROM ({twins.phi_sql(PINNED_CLASSIFIER, _tx_sql(), baseline=BACKGROUND)}) p",
+)
+def q_shapley_background(spark, sf_dir):
+    """K8 + X1: Shapley values against a background row of the caller's own."""
+    background = spark.createDataFrame([BACKGROUND], ", ".join(f"{f} double" for f in FEATURES))
+    df = expl.shapley_linear(transactions(spark, sf_dir), PINNED_CLASSIFIER, baseline=baseline_row(background, FEATURES))
+    return df.select(ID, *[round_to(f"phi_{f}", P6).alias(f"phi_{f}") for f in FEATURES])

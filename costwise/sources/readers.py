@@ -10,20 +10,38 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import RAW_REQUEST, RESPONSE, TRANSACTION
 
 
+def csv_columns(spark: SparkSession, path: str) -> list[str]:
+    """The header of the first file: Spark's own reading of the names, without a pass over the data."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+
+
+def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV table by the names of its header, every field as text: any column order, extra columns allowed.
+
+    Files of one folder share a header; a file whose header differs fails the read (``enforceSchema`` off).
+    """
+    text = T.StructType([T.StructField(c, T.StringType()) for c in csv_columns(spark, path)])
+    return spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", schema=TRANSACTION) -> DataFrame:
-    """K1: a table of transactions with header, comma separated, typed by ``schema``.
+    """K1: a table of transactions, columns selected by name and cast to ``schema``.
 
-    Parquet (or any other format Spark reads) is taken as it is and cast to
-    the schema, so projections and filters still reach the scan.
+    A value that is no number of its column's type becomes null, so that
+    ``validate`` or a fit reports it and one bad row does not fail the scan.
+    Parquet (or any other format Spark reads) is cast the same way, so
+    projections and filters still reach the scan.
     """
-    if fmt == "csv":
-        return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
-    df = spark.read.format(fmt).load(path)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields if f.name in df.columns])
+    df = read_csv_text(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    lacking = [f.name for f in schema.fields if f.name not in df.columns]
+    if lacking and fmt == "csv":
+        raise ValueError(f"{path} has no column {', '.join(lacking)}")
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields if f.name in df.columns])
 
 
 def from_records(spark: SparkSession, records: Iterable[Mapping], schema=RAW_REQUEST) -> DataFrame:
@@ -41,12 +59,17 @@ def parse_json_requests(df: DataFrame, text_col: str = "value") -> DataFrame:
     """K2 for JSON text: one request body per row, every field kept as text.
 
     Adds ``_present``, the array of keys the body carries, so a missing field
-    and an explicit null stay distinguishable (``validate`` reads it).
+    and an explicit null stay distinguishable, and ``_malformed`` with the raw
+    text for bodies that are no JSON object (``validate`` reads both).
     """
-    parsed = F.from_json(F.col(text_col), RAW_REQUEST)
+    body = F.col(text_col)
+    parsed = F.from_json(body, RAW_REQUEST)
+    keys = F.json_object_keys(body)  # null unless the body is a JSON object
     return df.select(
         *[parsed[f.name].alias(f.name) for f in RAW_REQUEST.fields],
-        F.json_object_keys(F.col(text_col)).alias("_present"),
+        keys.alias("_present"),
+        keys.isNull().alias("_malformed"),
+        body.alias("_raw"),
     )
 
 

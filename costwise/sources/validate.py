@@ -22,6 +22,9 @@ DOMAIN = {
     "merchant_risk": (0.0, 1.0),
 }
 INTEGRAL = (ID,) + INTEGRAL_FEATURES
+#: What counts as a number: a decimal literal (Spark's casts also take "1d" or hexadecimal forms), or NaN and infinities, which get a reason of their own.
+NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+NOT_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
 
 
 def _as_text(c: Column) -> Column:
@@ -29,15 +32,15 @@ def _as_text(c: Column) -> Column:
 
 
 def _parsed(name: str, text: Column) -> Column:
-    """Cast text to the request type, or null when it is not a valid value."""
-    dbl = text.try_cast("double")
+    """Cast text to the request type, or null when it is not a valid value (also one out of the type's range)."""
+    literal = F.when(text.rlike(NUMBER), text)
     if name in INTEGRAL:
-        whole = text.try_cast("bigint")
-        # "12" and 12.0 are accepted, "12.5" is not.
-        from_dbl = F.when(F.isnan(dbl) | (F.abs(dbl) == float("inf")), None).when(dbl == F.floor(dbl), F.floor(dbl))
-        val = F.coalesce(whole, from_dbl)
-        return val.cast("long" if name == ID else "int")
-    return dbl
+        dbl = literal.try_cast("double")
+        whole = literal.try_cast("bigint")
+        # "12" and 12.0 are accepted, "12.5" is not; beyond 2^53 only literal integers are exact
+        from_dbl = F.when((dbl == F.floor(dbl)) & (F.abs(dbl) <= 2.0**53), dbl.try_cast("bigint"))
+        return F.coalesce(whole, from_dbl).try_cast("long" if name == ID else "int")
+    return F.when(text.rlike(NUMBER) | text.rlike(NOT_FINITE), text).try_cast("double")
 
 
 def _reason(name: str, raw: Column, text: Column, val: Column, present: Column | None, strict: bool) -> Column:
@@ -63,6 +66,8 @@ def validate(df: DataFrame, strict_domain: bool = False, keep: tuple[str, ...] =
     """
     present = F.col("_present") if "_present" in df.columns else None
     outs, reasons = [], []
+    if "_malformed" in df.columns:  # a body that is no JSON object
+        reasons.append(F.when(F.col("_malformed"), F.concat(F.lit("malformed body: "), F.coalesce(F.col("_raw"), F.lit("")))))
     for f in REQUEST.fields:
         if f.name not in df.columns:
             outs.append(F.lit(None).cast(f.dataType).alias(f.name))

@@ -11,15 +11,20 @@ failure replaces its own output instead of duplicating it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.analyze import Models, analyze
-from ..schema import RAW_REQUEST, REQUEST
-from ..sources.readers import parse_json_requests
+from ..schema import RAW_REQUEST, REQUEST, RESPONSE
+from ..sources.readers import csv_columns, parse_json_requests
 from ..sources.validate import split_valid, validate
 
 
-def read_requests(spark: SparkSession, source_dir: str, source_format: str = "text", max_files_per_trigger: int | None = None) -> DataFrame:
+#: Files in one micro-batch unless the caller says otherwise: a backlog becomes many bounded batches.
+MAX_FILES_PER_TRIGGER = 1000
+
+
+def read_requests(spark: SparkSession, source_dir: str, source_format: str = "text", max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER) -> DataFrame:
     """The request stream with every field as text (``text``: one JSON body per
     line, with key presence; ``json``/``csv``: the request fields as text;
     ``parquet``: the typed request schema)."""
@@ -31,7 +36,9 @@ def read_requests(spark: SparkSession, source_dir: str, source_format: str = "te
     if source_format == "json":
         return reader.schema(RAW_REQUEST).json(source_dir)
     if source_format == "csv":
-        return reader.schema(RAW_REQUEST).option("header", True).csv(source_dir)
+        # by name: the header of the files that are there, every field as text
+        text = T.StructType([T.StructField(c, T.StringType()) for c in csv_columns(spark, source_dir)])
+        return reader.schema(text).option("header", True).option("enforceSchema", False).csv(source_dir)
     if source_format == "parquet":
         return reader.schema(REQUEST).parquet(source_dir)
     raise ValueError("source_format must be 'text', 'json', 'csv' or 'parquet'")
@@ -45,7 +52,7 @@ def analyze_stream(
     models: Models,
     strict_domain: bool = False,
     available_now: bool = True,
-    max_files_per_trigger: int | None = None,
+    max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER,
     source_format: str = "text",
     processing_time: str = "10 seconds",
 ) -> StreamingQuery:
@@ -57,13 +64,10 @@ def analyze_stream(
     validated = validate(read_requests(spark, source_dir, source_format, max_files_per_trigger), strict_domain=strict_domain)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            ok, bad = split_valid(batch)
-            analyze(ok, models).write.mode("overwrite").parquet(f"{sink_dir}/accepted/batch={batch_id}")
-            bad.write.mode("overwrite").parquet(f"{sink_dir}/rejected/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        # Two narrow passes over a bounded batch's files; nothing is held in memory.
+        ok, bad = split_valid(batch)
+        analyze(ok, models).write.mode("overwrite").parquet(f"{sink_dir}/accepted/batch={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{sink_dir}/rejected/batch={batch_id}")
 
     writer = validated.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
@@ -71,4 +75,11 @@ def analyze_stream(
 
 
 def read_sink(spark: SparkSession, sink_dir: str, part: str = "accepted") -> DataFrame:
-    return spark.read.parquet(f"{sink_dir}/{part}")
+    """What the stream wrote so far; no rows (of the right columns) before its first batch."""
+    schema = RESPONSE if part == "accepted" else T.StructType([*REQUEST.fields, T.StructField("reject_reason", T.StringType())])
+    schema = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
+    path = f"{sink_dir}/{part}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

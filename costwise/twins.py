@@ -8,6 +8,8 @@ pinned models.
 
 from __future__ import annotations
 
+import math
+
 from .functions import c_of
 from .operators.classifier import LinearModel
 from .schema import FEATURES
@@ -54,10 +56,27 @@ def sigmoid_sql(x: str) -> str:
     return f"(1.0 / (1.0 + exp(-({x}))))"
 
 
+def coalitions(m: int) -> list[tuple[int, ...]]:
+    """All subsets of 0..m-1 (the twin's own enumeration)."""
+    return [tuple(j for j in range(m) if bits >> j & 1) for bits in range(1 << m)]
+
+
+def shapley_terms(m: int) -> list[list[tuple[float, tuple[int, ...], tuple[int, ...]]]]:
+    """For each feature: (weight, coalition with it, coalition without it), weights
+    by the definition |S|! (m - |S| - 1)! / m!."""
+    out = []
+    for i in range(m):
+        rows = []
+        for without in coalitions(m):
+            if i not in without:
+                k = len(without)
+                rows.append((math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m), tuple(sorted((*without, i))), without))
+        out.append(rows)
+    return out
+
+
 def phi_sql(model: LinearModel, src: str, keep: tuple[str, ...] = ("transaction_id",), baseline=None) -> str:
     """Exact Shapley values of the linear-logistic probability, one column per feature."""
-    from .operators.explain import coalitions, shapley_terms
-
     m = len(model.features)
     base = list(baseline) if baseline is not None else [0.0] * m
     beta = model.raw_coef
@@ -161,8 +180,6 @@ def logistic_gd_sql(src: str, features=FEATURES, label: str = "is_fraud", steps:
 def phi_sql_from(intercept: str, betas: list[str], src: str, features=FEATURES, keep: tuple[str, ...] = ("transaction_id",)) -> str:
     """Shapley values against an all-zero baseline for raw-scale coefficients
     given as SQL expressions over the columns of ``src``."""
-    from .operators.explain import coalitions, shapley_terms
-
     m = len(features)
 
     def cname(S):
@@ -205,8 +222,6 @@ def forest_ctes(src: str, n_trees: int, max_samples: int, seed: int, features=FE
     (every row walking every tree), ``scored`` and ``offs`` (offset; its
     quantile is filled in by ``forest_sql``). Returns (ctes, psi, max_depth).
     Assumes the table has at least ``max_samples`` rows, so psi = max_samples."""
-    import math
-
     m = len(features)
     psi = max_samples
     depth = int(math.ceil(math.log2(max(psi, 2))))

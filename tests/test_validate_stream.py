@@ -214,3 +214,53 @@ def test_stream_restart_processes_new_files_once(spark, setup):
     out = flatten_response(read_sink(spark, f"{base}/out").drop("batch"))
     assert out.count() == tx.count()
     assert out.exceptAll(flatten_response(analyze(tx, models))).count() == 0
+
+
+def test_numbers_are_decimal_literals(spark):
+    rows = [json.dumps({**GOOD, "amount": a}) for a in ("1d", "5f", "0x1p3", "1e3", ".5", "-2.")]
+    out = [(r.amount, r.reject_reason) for r in validate(parse_json_requests(spark.createDataFrame([(x,) for x in rows], "value string"), "value")).collect()]
+    assert [a for a, _ in out] == [None, None, None, 1000.0, 0.5, -2.0]
+    assert [bool(r) for _, r in out] == [True, True, True, False, False, False]
+
+
+def test_overflow_is_a_reason_not_a_failure(spark):
+    bodies = [json.dumps({**GOOD, "transaction_time": 99999999999}), json.dumps({**GOOD, "transaction_id": 10**30})]
+    out = validate(parse_json_requests(spark.createDataFrame([(x,) for x in bodies], "value string"), "value")).collect()
+    assert [r.reject_reason for r in out] == ["transaction_time is not an integer: 99999999999", f"transaction_id is not an integer: {10**30}"]
+
+
+def test_malformed_bodies_keep_their_text(spark):
+    out = validate(parse_json_requests(spark.createDataFrame([('{"a": ',), ("",), ("[1]",)], "value string"), "value")).collect()
+    assert [r.reject_reason for r in out] == ['malformed body: {"a": ', "malformed body: ", "malformed body: [1]"]
+
+
+def test_csv_columns_go_by_name(spark):
+    from costwise.sources.readers import read_transactions
+
+    path = scratch_path(spark, "test-csv")
+    spark.createDataFrame([(0.1, "note", 1200.0, 1, 13, 0, 1, 0), (0.2, "note", None, 2, 14, 0, 1, 1)], "merchant_risk double, note string, amount double, transaction_id long, transaction_time int, location_change int, device_change int, is_fraud int").coalesce(1).write.option("header", True).csv(path)
+    got = {r.transaction_id: r for r in read_transactions(spark, path).collect()}
+    assert (got[1].amount, got[1].merchant_risk, got[1].transaction_time) == (1200.0, 0.1, 13) and got[2].amount is None
+    with pytest.raises(ValueError, match="no column"):
+        spark.createDataFrame([(1,)], "transaction_id long").write.option("header", True).csv(f"{path}-less")
+        read_transactions(spark, f"{path}-less")
+
+
+def test_empty_stream_gives_no_rows(spark, setup):
+    _, models = setup
+    base = scratch_path(spark, "empty-stream")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/in")
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    analyze_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", models).awaitTermination()
+    for part in ("accepted", "rejected"):
+        assert read_sink(spark, f"{base}/out", part).count() == 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from costwise.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=context))
