@@ -57,9 +57,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stay where no member of their group has an id, once per text.
     """
     judged = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(judged, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    again = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return kept.withColumn("_n", F.row_number().over(again)).filter("_n = 1").drop("_n")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # names cannot clash
+    kept = whole.join(judged, F.col("_row.doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    again = Window.partitionBy("_row.doc_id", F.when(F.col("_row.doc_id").isNull(), F.xxhash64("_row.text"))).orderBy("_row.text")
+    first = kept.withColumn("_place", F.row_number().over(again)).filter("_place = 1")
+    return _like(docs, docs.columns, first.select("_row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

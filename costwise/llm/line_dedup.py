@@ -134,8 +134,8 @@ def _rebuild(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.R
     """Last columns: text and the hashes to drop. Returns the others, text, n_lines and n_dropped."""
     for b in batches:
         texts, n_lines, n_dropped = [], [], []
-        drops = b.column("_drop")
-        for text, gone in zip(_texts(b.column("_text")), drops.to_pylist()):
+        drops = b.column("_ld_drop")
+        for text, gone in zip(_texts(b.column("_ld_text")), drops.to_pylist()):
             text = text or b""
             if not gone:
                 n_lines.append(text.count(b"\n") + 1)
@@ -148,10 +148,10 @@ def _rebuild(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.R
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
             texts.append(b"\n".join(kept))
-        cols = [c for n, c in zip(b.schema.names, b.columns) if n not in ("_text", "_drop")]
-        names = [n for n in b.schema.names if n not in ("_text", "_drop")]
+        cols = [c for n, c in zip(b.schema.names, b.columns) if n not in ("_ld_text", "_ld_drop")]
+        names = [n for n in b.schema.names if n not in ("_ld_text", "_ld_drop")]
         new = [pc.cast(pa.array(texts, pa.binary()), pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols + new, [*names, "_kept", "_n_lines", "_n_dropped"])
+        yield pa.RecordBatch.from_arrays(cols + new, [*names, "_ld_kept", "_ld_n_lines", "_ld_n_dropped"])
 
 
 def line_index(lines: DataFrame, lines_per_shard: int = LINES_PER_SHARD) -> tuple[DataFrame, DataFrame, int]:
@@ -221,15 +221,15 @@ def dedup_lines(
     if hot_index is not None:
         drops = drops.unionByName(lines.mapInArrow(lambda it: at_home(it, True), drops_type))
     packed = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("hi", "lo")])
-    per_doc = drops.groupBy(F.col("id").alias("_drop_id")).agg(F.collect_set(packed).alias("_drop"))
+    per_doc = drops.groupBy(F.col("id").alias("_ld_drop_id")).agg(F.collect_set(packed).alias("_ld_drop"))
 
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    sent = docs.select(*others, text.alias("_text"), ident.alias("_id")).join(per_doc, F.col("_id") == F.col("_drop_id"), "left").drop("_id", "_drop_id")
-    kept_fields = [f for f in sent.schema.fields if f.name not in ("_text", "_drop")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields), "_kept string, _n_lines long, _n_dropped long"])
+    sent = docs.select(*others, text.alias("_ld_text"), ident.alias("_ld_id")).join(per_doc, F.col("_ld_id") == F.col("_ld_drop_id"), "left").drop("_ld_id", "_ld_drop_id")
+    kept_fields = [f for f in sent.schema.fields if f.name not in ("_ld_text", "_ld_drop")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields), "_ld_kept string, _ld_n_lines long, _ld_n_dropped long"])
     cut = sent.mapInArrow(lambda it: _rebuild(it, min_chars), schema)
-    order = [F.col("_kept").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return cut.select(*order, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    order = [F.col("_ld_kept").alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return cut.select(*order, F.col("_ld_n_lines").alias("n_lines"), F.col("_ld_n_dropped").alias("n_dropped"))
 
 
 SQL = r"""
