@@ -71,9 +71,11 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
 
     The group-by has two keys; partial aggregation leaves at most two rows per
     task before the exchange, so the hot-key case cannot hurt. The window
-    runs over the two-row result only.
+    runs over the two-row result only. A null label fails the query.
     """
-    counts = df.groupBy(F.col(label).cast("int").alias(label)).agg(F.count(F.lit(1)).alias("n"))
+    y = F.col(label).cast("int")
+    known = F.when(y.isNull(), F.raise_error(F.lit(f"{label} is null: class weights need a label on every row"))).otherwise(y)
+    counts = df.groupBy(known.alias(label)).agg(F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy()
     return counts.select(
         label,
@@ -171,7 +173,7 @@ def fit_logistic(
 
 
 def _fit(df: DataFrame, features, label: str, C: float, solver: str, max_iter: int, tol: float) -> LinearModel:
-    n, mean, scale, weights, flips = _training_stats(df, features, label)
+    n, mean, scale, weights, flips = _training_stats(df, features, label, range(4) if solver == "lbfgs" else ())
     if solver == "newton":
         return _fit_newton(df, features, label, C, n, mean, scale, weights, max_iter, tol)
     from pyspark.ml.classification import LogisticRegression

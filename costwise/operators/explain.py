@@ -93,6 +93,10 @@ def shapley_linear(df: DataFrame, model: LinearModel, baseline: Sequence[float]
     return df.withColumns(phi_columns(model, baseline, prefix))
 
 
+#: Doubles of one expanded block of rows (2^M x M each): 32 MB.
+_BLOCK_VALUES = 1 << 22
+
+
 class ShapleyBatch:
     """Exact Shapley values for an (n, M) batch with any vectorised ``predict``.
 
@@ -121,6 +125,9 @@ class ShapleyBatch:
         n = len(X)
         if n == 0:
             return np.zeros((0, self.m))
+        block = max(1, _BLOCK_VALUES // (len(self.masks) * self.m))
+        if n > block:  # bounded memory whatever M and the batch size
+            return np.concatenate([self(X[i : i + block]) for i in range(0, n, block)])
         Z = np.where(self.masks[None, :, :], X[:, None, :], self.base[None, None, :])
         p = np.asarray(self.predict(Z.reshape(-1, self.m)), dtype="float64").reshape(n, len(self.masks))
         return ((p[:, self.with_idx] - p[:, self.without_idx]) * self.w[None, :, :]).sum(axis=2)

@@ -32,9 +32,13 @@ def _rank_pair(values: DataFrame, k: int, n: int, lo: float, hi: float, buckets:
     v = F.col("v")
     while count > collect_limit and lo < hi:
         width = (hi - lo) / buckets
-        if not (width > 0 and math.isfinite(width)):
+        middle = lo / 2 + hi / 2
+        if width > 0 and math.isfinite(width):
+            b = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+        elif lo < middle:  # the range overflows a double: halve it
+            b = (v >= F.lit(middle)).cast("int")
+        else:  # neighbouring doubles
             break
-        b = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
         hist = (
             values.filter((v >= lo) & (v <= hi))
             .groupBy(b.alias("b"))
@@ -66,11 +70,11 @@ def _rank_pair(values: DataFrame, k: int, n: int, lo: float, hi: float, buckets:
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 4096, collect_limit: int = 10_000) -> float | None:
-    """The q-quantile of ``col`` (nulls and NaN ignored), linear interpolation
+    """The q-quantile of ``col`` (null, NaN and infinite values ignored), linear interpolation
     between the closest ranks. Cache ``df`` first: it is scanned a few times."""
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must lie in [0, 1]")
-    values = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    values = df.select(F.col(col).cast("double").alias("v")).filter(~F.isnan("v") & (F.abs("v") < float("inf")))
     st = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     n = int(st["n"])
     if n == 0:

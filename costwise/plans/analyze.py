@@ -91,8 +91,10 @@ def train(
         data = cols.checkpoint(eager=True)
     elif stage == "persist":
         data = cols.persist(StorageLevel.MEMORY_AND_DISK)
+    elif stage == "none":  # a pruned Parquet scan is cheaper to read again than to keep
+        data = cols
     else:
-        raise ValueError("stage must be 'persist' or 'checkpoint'")
+        raise ValueError("stage must be 'persist', 'checkpoint' or 'none'")
     try:
         forest = fst.fit_forest(data, n_trees=n_trees, max_samples=max_samples, contamination=contamination, seed=seed, persist=False)
         classifier = clf.fit_logistic(data, C=C, persist=False)

@@ -231,3 +231,44 @@ def test_sample_has_no_exchange_above_the_scan(spark):
     plan = fst._sample_plan(base, 100, psi, 42, FEATURES, "transaction_id", frac)._jdf.queryExecution().executedPlan().toString()
     assert frac < 1 and plan.count("Exchange") == 1
     assert plan.index("Exchange") < plan.index("MapInPandas")  # the one exchange sits above the filter by key
+
+
+def test_shapley_blocks_bound_memory_at_twelve_features():
+    from costwise.operators.explain import ShapleyBatch
+
+    rng = np.random.default_rng(8)
+    w = rng.normal(size=12)
+    run = ShapleyBatch(lambda Z: np.tanh(Z @ w), 12)
+    X = rng.normal(size=(300, 12))
+    whole = run(X)
+    assert np.allclose(whole.sum(axis=1), np.tanh(X @ w)) and np.array_equal(whole[:5], run(X[:5]))
+
+
+def test_walk_blocks_change_nothing(tx):
+    forest = fst.fit_forest(tx, n_trees=6, max_samples=64)
+    X = np.array(tx.select(*FEATURES).limit(700).toPandas(), dtype="float64")
+    whole = fst.path_lengths(X, forest.feature, forest.threshold, forest.path, forest.max_depth)
+    parts = [fst.path_lengths(X[i : i + 1], forest.feature, forest.threshold, forest.path, forest.max_depth) for i in range(len(X))]
+    assert np.array_equal(whole, np.concatenate(parts))
+
+
+def test_quantile_skips_what_is_not_finite(spark):
+    from costwise.operators.quantile import exact_quantile
+
+    rows = [(float(i),) for i in range(1001)] + [(float("inf"),), (float("-inf"),), (float("nan"),), (None,)]
+    df = spark.createDataFrame(rows, "v double").cache()
+    assert exact_quantile(df, "v", 0.25, collect_limit=10) == 250.0
+    wide = spark.createDataFrame([(-1.7e308,), (1.7e308,), *[(float(i),) for i in range(100)]], "v double").cache()
+    assert exact_quantile(wide, "v", 0.5, collect_limit=5) == 49.5
+
+
+def test_class_weights_refuse_null_labels(spark, tx):
+    with pytest.raises(Exception, match="label on every row"):
+        clf.class_weights(tx.withColumn("is_fraud", F.when(F.col("transaction_id") != 3, F.col("is_fraud")))).collect()
+
+
+def test_train_without_staging_equals_persist(tx):
+    from costwise.plans.analyze import train
+
+    a, b = train(tx, n_trees=5, max_samples=32), train(tx, n_trees=5, max_samples=32, stage="none")
+    assert a.forest.offset == b.forest.offset and np.allclose(a.classifier.coef, b.classifier.coef)
