@@ -169,7 +169,8 @@ def scan_licenses(
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     results = [_one_pass(base, group, words, threshold, bands) for group in passes if group]
     if not results:
-        return spark.createDataFrame([], base.select("doc_id").schema.add("license", "string").add("matched", "int").add("template_shingles", "int").add("containment", "double").add("first_word", "int").add("last_word", "int"))
+        none = {"license": "string", "matched": "int", "template_shingles": "int", "containment": "double", "first_word": "int", "last_word": "int"}
+        return base.filter(F.lit(False)).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
