@@ -5,7 +5,9 @@ Fit
      key is a linear function, the tree's own, of two md5-derived numbers of
      the row, so the sample does not depend on partitioning or table size.
      The keys are tested where the rows are read (numpy over Arrow batches,
-     no shuffle); only about 4 * T * psi rows are ranked.
+     no shuffle); only about 4 * T * psi rows are ranked. Where an id repeats,
+     copies of a row are counted and numbered first, so that every row has a
+     key of its own.
   2. Grow: ``groupBy("tree").applyInPandas``; each group is one tree's psi
      rows (bounded). Uniform numbers come from md5(seed:tree:node:salt), so
      a SQL twin can replay the growth exactly.
@@ -125,21 +127,45 @@ def _sample_plan(base: DataFrame, n_trees: int, psi: int, seed: int, features, i
     return near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).select("tree", id_col, *features)
 
 
+#: Copies of a row that are numbered in one go; a larger group is spread over tasks by this many.
+COPIES = 4096
+
+
+def _numbered_copies(df: DataFrame, key: tuple[str, ...], features, id_col: str) -> DataFrame:
+    """The rows of ``df`` with ``_copy``, 0 to c - 1 among the c rows equal in key and features.
+
+    Equal rows are counted (combined where they are read) and written out
+    again in chunks of ``COPIES``, so a hot row moves as one count a task and
+    no task holds all its copies. Numbers do not depend on the partitioning.
+    """
+    cols = list(dict.fromkeys((id_col, *key, *features)))
+    counted = df.select(*[F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in cols]).groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_c - 1) div {COPIES}")))).repartition(*cols, "_chunk")
+    first = F.col("_chunk") * COPIES
+    return chunks.withColumn("_copy", F.explode(F.sequence(first, F.least(first + COPIES, "_c") - 1))).drop("_c", "_chunk")
+
+
 def _sample_setup(df: DataFrame, n_trees: int, max_samples: int, features, id_col: str, n_rows: int | None, seed: int, row_key):
-    if n_rows is None:
-        from .classifier import invalid_count
+    from .classifier import invalid_count
 
-        st = df.agg(F.count(F.lit(1)).alias("n"), *[invalid_count(f).alias(f"bad_{f}") for f in features]).first()
+    key = tuple(row_key or (id_col,))
+    # one pass: rows per key, combined where they are read, and their totals
+    per_key = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.count(F.lit(1)).alias("n"), *[invalid_count(f).alias(f"bad_{f}") for f in features])
+    st = per_key.agg(F.sum("n").alias("n"), F.max("n").alias("most"), *[F.sum(f"bad_{f}").alias(f"bad_{f}") for f in features]).first()
+    if n_rows is None:
         bad = {f: int(st[f"bad_{f}"]) for f in features if st[f"bad_{f}"]}
         if bad:
             raise ValueError(f"fit needs finite values in every feature; null, NaN or infinite counts: {bad}")
-        n = int(st["n"])
+        n = int(st["n"] or 0)
     else:
         n = n_rows
     if n == 0:
         raise ValueError("cannot fit a forest on an empty table")
     psi = min(max_samples, n)
-    h1, h2 = row_hash(seed, row_key or (id_col,))
+    if (st["most"] or 0) > 1:  # the key alone does not tell rows apart
+        df = _numbered_copies(df, key, features, id_col)
+        key = (*key, *features, "_copy")
+    h1, h2 = row_hash(seed, key)
     base = df.select(F.col(id_col).alias(id_col), *[F.col(f).cast("double").alias(f) for f in features], h1.alias("_h1"), h2.alias("_h2"))
     return n, psi, base, min(1.0, 4.0 * psi / n)
 
@@ -156,9 +182,10 @@ def forest_sample(
 ) -> tuple[DataFrame, int]:
     """(tree, id, features...) for every sampled row, and psi = min(max_samples, n).
 
-    ``row_key`` names the columns that tell rows apart (default: the id). A
-    table with repeated ids names others, for example file path and row index
-    of its scan; rows of one key enter and leave samples together.
+    ``row_key`` names the columns that tell rows apart (default: the id).
+    Where they do not, because an id repeats, the key of every row is taken
+    from these columns, the features and a number among its equal rows, so
+    rows of one id enter samples in proportion, copies of one row too.
     """
     n, psi, base, frac = _sample_setup(df, n_trees, max_samples, features, id_col, n_rows, seed, row_key)
     while True:
@@ -356,7 +383,7 @@ def fit_forest(
                 break
             frac = min(1.0, 4.0 * frac)
         forest = Forest.from_nodes(nodes, n_trees, psi, features, seed, contamination)
-        scores = base.select(score_samples(forest, spark).alias("score")).persist(StorageLevel.MEMORY_AND_DISK)
+        scores = source.select(score_samples(forest, spark).alias("score")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             forest.offset = exact_quantile(scores, "score", contamination)
         finally:

@@ -72,6 +72,7 @@ def train(
     seed: int = FOREST_SEED,
     C: float = 1.0,
     stage: str = "persist",
+    row_key: tuple[str, ...] = (),
 ) -> Models:
     """Fit both models on the whole table (the service's start-up training).
 
@@ -79,13 +80,14 @@ def train(
     staged once: ``persist`` keeps them in executor memory (spilling to
     disk; lost blocks are recomputed from the source), ``checkpoint`` writes
     them below ``spark.checkpoint.dir`` and cuts the lineage, for long
-    derivations on clusters where executors come and go.
+    derivations on clusters where executors come and go. ``row_key``: see
+    ``forest_sample``; repeated ids need none.
     """
     from pyspark.storagelevel import StorageLevel
 
     from ..session import ensure_checkpoint_dir
 
-    cols = df.select(ID, *FEATURES, LABEL)
+    cols = df.select(*dict.fromkeys((ID, *row_key, *FEATURES, LABEL)))
     if stage == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
         data = cols.checkpoint(eager=True)
@@ -96,7 +98,7 @@ def train(
     else:
         raise ValueError("stage must be 'persist', 'checkpoint' or 'none'")
     try:
-        forest = fst.fit_forest(data, n_trees=n_trees, max_samples=max_samples, contamination=contamination, seed=seed, persist=False)
+        forest = fst.fit_forest(data, n_trees=n_trees, max_samples=max_samples, contamination=contamination, seed=seed, persist=False, row_key=row_key)
         classifier = clf.fit_logistic(data, C=C, persist=False)
     finally:
         if stage == "persist":

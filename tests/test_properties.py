@@ -224,6 +224,36 @@ def test_hot_copies_sampled_in_proportion(spark, tx, n_trees, psi):
     assert 0.25 < share < 0.42, share
 
 
+@pytest.mark.parametrize("equal", [True, False])
+def test_hot_id_sampled_in_proportion_by_default(spark, tx, equal, monkeypatch):
+    """A third of the rows carry one id, as copies or with amounts of their own; no row key is named."""
+    monkeypatch.setattr(fst, "COPIES", 64)
+    hot = tx.filter(F.col("transaction_id") == 11).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(499))))
+    table = tx.unionByName((hot if equal else hot.withColumn("amount", F.col("amount") + F.col("copy"))).drop("copy"))
+    sample, psi = fst.forest_sample(table, 10, 64)
+    per_tree = {r["tree"]: r["n"] for r in sample.groupBy("tree").agg(F.sum((F.col("transaction_id") == 11).cast("int")).alias("n")).collect()}
+    assert len(per_tree) == 10 and all(0 < n < 45 for n in per_tree.values()), per_tree
+    assert 0.25 < sum(per_tree.values()) / (10 * psi) < 0.42
+    again, _ = fst.forest_sample(table.repartition(7), 10, 64)
+    assert sample.exceptAll(again).count() == 0 and again.exceptAll(sample).count() == 0
+
+
+def test_train_and_queries_sample_a_hot_id(spark, tmp_path):
+    """The query's own path: a third of the events repeat one event id. ``train`` takes a row key too."""
+    from costwise.plans.analyze import train
+    from costwise.plans.queries import q_forest_sample, transactions
+
+    events = spark.read.parquet(f"{SF001}/events.parquet")
+    users = F.explode(F.sequence(F.lit(10_000), F.lit(10_498)).cast(f"array<{events.schema['user_id'].dataType.simpleString()}>"))
+    hot = events.filter("event_id = 11").withColumn("user_id", users)
+    events.unionByName(hot).write.parquet(f"{tmp_path}/events.parquet")
+    share = q_forest_sample(spark, str(tmp_path)).select(F.avg((F.col("transaction_id") == 11).cast("double"))).first()[0]
+    assert 0.25 < share < 0.42
+    table = transactions(spark, str(tmp_path)).withColumn("row", F.monotonically_increasing_id()).cache()
+    a, b = train(table, n_trees=5, max_samples=32), train(table, n_trees=5, max_samples=32, row_key=("row",))
+    assert all((m.forest.feature[:, 1] >= 0).all() for m in (a, b))  # no tree holds copies of one row only
+
+
 def test_sample_has_no_exchange_above_the_scan(spark):
     """The keys are tested where the rows are read: only candidates are shuffled."""
     df = spark.read.parquet("/root/testdata/sf0.01/events.parquet").selectExpr("event_id AS transaction_id", *[f"value AS {f}" for f in FEATURES])
