@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costwise.llm import langid, line_dedup, mixing, near_dedup, packing
-from costwise.llm.common import WORD_REGEX, stage
+from costwise.llm.common import WORD_REGEX, id_text, stage
 
 #: Documents below this posterior are of no learned language for certain.
 MIN_SCORE = 0.5
@@ -51,17 +51,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup (five words, similarity 0.8): the smallest doc_id of each group stays.
+    """MinHash near-dedup (five words, similarity 0.8): one row of each group stays.
 
-    Of rows that repeat a kept id the first by text stays. Rows with a null id
-    stay where no member of their group has an id, once per text.
+    Groups are made of texts alone, each named by its SHA-256, so rows that
+    repeat an id and rows with a null id are judged by their own texts. The
+    row with the smallest doc_id stays, of equal ids the first by text; a null
+    id only where no member has an id. Texts without words are in no group:
+    they stay once per id and text.
     """
-    judged = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # names cannot clash
-    kept = whole.join(judged, F.col("_row.doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    again = Window.partitionBy("_row.doc_id", F.when(F.col("_row.doc_id").isNull(), F.xxhash64("_row.text"))).orderBy("_row.text")
-    first = kept.withColumn("_place", F.row_number().over(again)).filter("_place = 1")
-    return _like(docs, docs.columns, first.select("_row.*"))
+    key = F.coalesce(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), F.lit(b"")).alias("_key")
+    judged = near_dedup.near_duplicates(docs.select(key, "text"), "_key", id_type="binary")
+    texts = judged.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"), (F.col("n_shingles") > 0).alias("_words")).distinct()
+    texts = stage(texts.join(docs.select(key, F.col("doc_id").cast("long").alias("_id")).groupBy("_key").agg(F.min("_id").alias("_least")), "_key"), "near-texts")
+    least = texts.filter("_words").groupBy("_group").agg(F.min("_least").alias("_kept"))
+    of_groups = texts.filter("_words").join(least, "_group").filter(F.col("_least").eqNullSafe(F.col("_kept"))).select("_key", id_text(F.col("_kept")).alias("_id"), "_group", F.lit("").alias("_alone"))
+    rows = docs.select(key, id_text(F.col("doc_id").cast("long")).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # names cannot clash
+    alone = rows.select("_key", "_id").join(texts.filter("NOT _words").select("_key", "_group"), "_key").select("_key", "_id", "_group", F.col("_id").alias("_alone")).distinct()
+    again = Window.partitionBy("_group", "_alone").orderBy("_row.text")
+    kept = rows.join(of_groups.unionByName(alone), ["_key", "_id"]).withColumn("_place", F.row_number().over(again)).filter("_place = 1")
+    return _like(docs, docs.columns, kept.select("_row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

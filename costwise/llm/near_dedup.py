@@ -290,7 +290,7 @@ def _pairs_confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, word
     return stage(seen.join(side[0], "a").join(side[1], "b").filter(similar("fa", "fb")).select("a", "b"), "near-links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, id_type: str = "long") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are runs without U+0020, U+0009-U+000D, A-Z folded. Sets without
@@ -299,12 +299,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it. Rows of one id are one document: their sets are linked. Null ids link
     by text like others, count for no component_id, and are null with kept
     true where no member has an id. An empty table gives no rows; other
-    columns are ignored.
+    columns are ignored. Ids are cast to ``id_type``, any type with an order.
     """
     spark = docs.sparkSession
     python_ready(spark, TEXT_ROWS)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = stage(texts.mapInArrow(lambda it: _sets(it, words, threshold), "doc_id long, n long, digest binary, sketch binary, keys array<long>"), "near-sketches")
+    texts = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sketched = stage(texts.mapInArrow(lambda it: _sets(it, words, threshold), f"doc_id {id_type}, n long, digest binary, sketch binary, keys array<long>"), "near-sketches")
     classes = stage(
         sketched.filter("n > 0")
         .groupBy("digest")

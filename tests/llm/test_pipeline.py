@@ -86,6 +86,24 @@ def test_stages_on_an_empty_table(spark, docs):
         assert step(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_dedup_judges_nulls_and_repeated_ids_by_their_texts(spark):
+    def text(seed, edit=None):
+        w = words(seed, 120)
+        return " ".join(w if edit is None else w[:60] + [edit] + w[61:])
+
+    rows = [
+        (None, text(1, "p")), (None, text(1, "q")), (None, text(1)),  # a group of null ids alone
+        (7, text(2)), (None, text(2)), (None, text(2, "r")),  # null-id copies of a kept document
+        (8, text(3)), (8, text(4)), (9, text(4, "s")),  # one id, two texts; a near copy of the second
+        (10, text(5, "t")), (10, text(5, "u")), (11, text(5)),  # one id twice in a group
+        (12, text(6)), (12, text(6)), (13, ""), (14, ""), (14, ""), (15, None),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "a", 0, 7, "clash") for d, t in rows], COLUMNS)
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    want = [(None, min(t for _, t in rows[:3])), (7, text(2)), (8, text(3)), (8, text(4)), (10, min(text(5, "t"), text(5, "u"))), (12, text(6)), (13, ""), (14, ""), (15, None)]
+    assert got.columns == docs.columns and Counter((d, t) for d, t, *_ in rows_of(got)) == Counter(want)
+
+
 def test_mix_matches_rows_that_repeat_an_id(spark, docs):
     twice = docs.filter("doc_id < 6").withColumn("doc_id", F.lit(1).cast("long"))
     mixed = dict(corpus_pipeline.STAGES)["mix_sources"](spark, twice, "").collect()
