@@ -21,6 +21,7 @@ stay below 2^53; a block whose norms allow more is computed in Python integers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +79,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(scores >= cut)
     else:
         at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+    return at[np.lexsort((ids[at], ~scores[at]))[:k]]  # ~: the smallest long has no negative
 
 
 def _long(scores: np.ndarray) -> np.ndarray:
@@ -110,13 +111,18 @@ def local_lists(q: np.ndarray, q_ids: np.ndarray, cut: np.ndarray | None, x: np.
         if cut is None:
             at = np.arange(len(x))
         else:  # a little more than the bound: norms are rounded
-            at = np.flatnonzero((row + tail_q[i] * tail_x * (1 + 1e-9) + 1e-6 >= cut[i]).astype(bool))
+            tail = tail_q[i] * tail_x * (1 + 1e-9)
+            if kind is object:  # integers only: a sum with a double is rounded and may fall below the cutoff
+                near = _long(row + np.array([math.ceil(t) + 1 for t in tail], object)) >= cut[i]
+            else:
+                near = row + tail + 1e-6 >= cut[i]
+            at = np.flatnonzero(near)
         if not len(at):
             continue
         scores = row[at] + xf[at, lead:] @ qf[i, lead:]
         own = x_ids[at] != q_ids[i]
         if cut is not None:
-            own &= (scores >= cut[i]).astype(bool)
+            own &= (_long(scores) if kind is object else scores) >= cut[i]
         at, scores = at[own], scores[own]
         best = _best(_long(scores), x_ids[at], k)
         if len(best):

@@ -387,6 +387,28 @@ def test_topk_of_huge_components(spark):
     assert [r.score for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r.rank)] == [min(x, top) for x in want]
 
 
+@pytest.mark.parametrize("tail", [3, -3, 1 << 20])
+def test_topk_between_double_precision_and_64_bits(spark, tail):
+    """Scores from 2^53 to 2^63: one apart, decided by whole numbers."""
+    vectors = {i: ((1 << 30) + i, tail) for i in range(60)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    want = set()
+    for q in (0, 20, 40):
+        scores = sorted((-(vectors[q][0] * a + vectors[q][1] * b), i) for i, (a, b) in vectors.items() if i != q)[:20]
+        assert all(1 << 53 < -s < 1 << 63 for s, _ in scores)
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
+    got = topk.top_k(df, scale=1.0, queries_per_block=2, lead=1).collect()
+    assert {tuple(r) for r in got} == want
+
+
+def test_topk_keeps_scores_below_the_64_bit_range():
+    """Held at the smallest long, such scores are entries like others, after all larger ones."""
+    q, x = np.array([[1 << 40, 1]]), np.array([[-(1 << 40), 0], [-(1 << 20), 5], [-(1 << 41), 0]])
+    cut = np.array([np.iinfo(np.int64).min])
+    found = list(topk.local_lists(q, np.array([9]), cut, x, np.array([1, 2, 3]), 3, 1))
+    assert [ids.tolist() for _, ids, _ in found] == [[2, 1, 3]]
+
+
 def test_language_id_edges(spark, mixed_rows):
     out = {(r.doc_id, r.lang_pred, r.held_out): r.score for r in langid.identify(docs_df(spark, mixed_rows)).collect()}
     preds = {d: p for d, p, _ in out}
