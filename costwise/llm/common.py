@@ -55,3 +55,32 @@ def id_text(col):
 def md5_bits(col, first: int = 1):
     """60 bits of the MD5 of ``col`` as a non-negative long (SQL can say the same)."""
     return F.conv(F.substring(F.md5(col.cast("binary")), first, 15), 16, 10).cast("long")
+
+
+def slices(batches, rows: int = TEXT_ROWS):
+    """Arrow batches cut into pieces of at most ``rows`` rows (no copy).
+
+    Spark fills a batch up to ``spark.sql.execution.arrow.maxBytesPerBatch``
+    (64 MB) or its row limit; what a worker unpacks at once is bounded here.
+    """
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finite_vector(col):
+    """True where a vector is not null and all its components are finite numbers."""
+    return F.coalesce(F.forall(col, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))), F.lit(False))
+
+
+def scaled_floor(col, scale: float):
+    """Each component times ``scale`` as a double, rounded down to a long (held at the ends of the range)."""
+    return F.transform(col, lambda v: F.floor(v.cast("double") * scale).cast("long"))

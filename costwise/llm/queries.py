@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costwise.llm import chat, exact_dedup, langid, license_scan, line_dedup, mixing, near_dedup, packing, token_files, topk
+from costwise.llm import chat, exact_dedup, hard_negatives, langid, license_scan, line_dedup, mixing, near_dedup, packing, token_files, topk, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_exact_dedup", exact_dedup.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", hard_negatives.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector moves to the next label, so that some neighbours turn into negatives."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+@query("op12_warc", warc.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived, and the archives read back."""
+    path = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_path(spark))
+    return warc.read_archives(spark, path, payloads=False).drop("url", "payload")
+
+
+@query("op13_vector_codes", vector_codes.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
