@@ -6,18 +6,19 @@ columns from it. The change flags, merchant risk and fraud label are
 not real fraud data.
 
 The only operator with a key here is ``lag`` per user. A single user may
-hold a third of all events, so the window is not partitioned by user
-alone: rows are split into (user, time bucket) groups, ``lag`` runs inside
-each bucket, and the first row of a bucket takes the last value of the
-user's previous non-empty bucket from a window over bucket edges only. The
-result equals a plain ``lag`` over the whole user, but no task holds more
-than one user-bucket of events.
+hold a third of all events, even at one timestamp, so the window is not
+partitioned by user alone: the users' events, in order, are cut into ranges
+of about equal size. A range border inside a user cuts that user into pieces;
+``lag`` runs inside each piece, and the first row of a piece takes the last
+value of the piece before it from a small second window. The result equals a
+plain ``lag`` over the whole user, but no task holds more than a range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import ID, LABEL
 
@@ -31,58 +32,70 @@ RULE_NIGHT_HOUR = 6
 RULE_THRESHOLD = 4.0
 
 
-def time_bucket(ts: Column, unit: str) -> Column:
-    """A bucket number that never decreases as time goes on.
+#: Sampled rows per range, from which the range borders are taken.
+SAMPLE_PER_RANGE = 20
+#: Ranges at most, so that the borders (and their sample, on the driver) stay small.
+MAX_RANGES = 10_000
 
-    Built from the wall-clock date and hour (and minute), so TIMESTAMP_NTZ is
-    never shifted through a time zone and daylight-saving gaps cannot reorder
-    buckets.
+
+def range_borders(events: DataFrame, key: list[str], ranges: int) -> DataFrame:
+    """(user_id, borders): for every user that a range border falls into, the borders in ascending order.
+
+    Borders are the (user, key) of every 20th row of an even sample of about
+    20 rows a range, ``ranges`` - 1 of them in all. They decide where the work
+    is cut, never what comes out.
     """
-    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
-    if unit == "day":
-        return days
-    if unit == "hour":
-        return days * 24 + F.hour(ts)
-    if unit == "minute":
-        return (days * 24 + F.hour(ts)) * 60 + F.minute(ts)
-    if unit == "second":
-        return ((days * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60 + F.second(ts)
-    raise ValueError("split_unit must be 'day', 'hour', 'minute' or 'second'")
-
-
-def previous_in_user(events: DataFrame, value: str, split_unit: str = "hour") -> DataFrame:
+    schema = T.StructType([T.StructField("_user", events.schema["user_id"].dataType), T.StructField("_borders", T.ArrayType(T.StructType([events.schema[k] for k in key])))])
+    n, wanted = events.count(), SAMPLE_PER_RANGE * ranges
+    sampled = events.select("user_id", *key)
+    if n > wanted:
+        sampled = sampled.filter(F.pmod(F.xxhash64("_row"), F.lit(1 << 40)) < int(wanted / n * (1 << 40)))
+    null_first = lambda r: tuple((v is not None, v) for v in r)
+    rows = sorted((tuple(r) for r in sampled.collect()), key=null_first)
+    cut: dict = {}
+    for r in dict.fromkeys(rows[-(-len(rows) // ranges) :: -(-len(rows) // ranges)] if rows else ()):
+        cut.setdefault(r[0], []).append(r[1:])
+    return events.sparkSession.createDataFrame(list(cut.items()), schema)
+
+
+def previous_in_user(events: DataFrame, value: str, ranges: int | None = None) -> DataFrame:
     """Add ``prev_<value>``: the value of the user's previous event by (ts, event_id).
 
-    Skew-safe ``lag(value) over (partition by user_id order by ts, event_id)``.
-    ``split_unit`` is the time bucket that splits a user's rows across tasks.
+    Skew-safe ``lag(value) over (partition by user_id order by ts, event_id)``;
+    events equal in user, ts and event_id follow each other by value. ``ranges``
+    (default: the session's shuffle partitions) says into how many parts the
+    events are cut.
 
-    1. One shuffle by (user, bucket); inside each bucket ``lag`` is exact for
+    1. A small sample gives the range borders (``range_borders``). A row's
+       piece is the number of its user's borders at or before it; users without
+       a border inside have one piece. The borders are at most ``MAX_RANGES``
+       rows, so they are broadcast.
+    2. One shuffle by (user, piece); inside each piece ``lag`` is exact for
        every row but the first.
-    2. The first and last row of every bucket (at most two rows per
-       user-bucket) are windowed by user alone: for a bucket's first row the
-       previous edge row is the last row of the user's previous non-empty
-       bucket.
-    3. The union of both parts is the result; no join. Both parts read the
-       same window output, so the shuffle of the events is shared.
+    3. Of the users that were cut, the first and last row of every piece (at
+       most two a border and user) are windowed by user alone: for a piece's
+       first row the previous edge row is the last row of the piece before.
+    4. The union of both parts is the result. Both read the same window
+       output, so the shuffle of the events is shared.
     """
     prev = f"prev_{value}"
-    e = events.withColumn("_bucket", time_bucket(F.col("ts"), split_unit))
-    w = Window.partitionBy("user_id", "_bucket").orderBy("ts", "event_id")
-    e = e.withColumns(
-        {
-            "_lag": F.lag(value).over(w),
-            "_pos": F.row_number().over(w),
-            "_is_last": F.lead(F.lit(1)).over(w).isNull(),
-        }
-    )
-    inner = e.filter(F.col("_pos") > 1).withColumn(prev, F.col("_lag"))
-    edges = e.filter((F.col("_pos") == 1) | F.col("_is_last"))
-    by_user = Window.partitionBy("user_id").orderBy("_bucket", "ts", "event_id")
-    firsts = edges.withColumn(prev, F.lag(value).over(by_user)).filter(F.col("_pos") == 1)
-    return inner.unionByName(firsts).drop("_bucket", "_lag", "_pos", "_is_last")
-
-
-def transactions_from_events(events: DataFrame, split_unit: str = "hour") -> DataFrame:
+    spark = events.sparkSession
+    ranges = min(MAX_RANGES, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = ["ts", "event_id", value, "_row"]  # a total order: rows equal in everything are told apart too
+    numbered = events.withColumn("_row", F.monotonically_increasing_id())
+    borders = F.broadcast(range_borders(numbered, key, ranges))
+    piece = F.coalesce(F.size(F.filter("_borders", lambda b: b <= F.struct(*key))), F.lit(0))
+    e = numbered.join(borders, F.col("user_id").eqNullSafe(F.col("_user")), "left").withColumn("_piece", piece).withColumn("_cut", F.col("_borders").isNotNull()).drop("_user", "_borders")
+    w = Window.partitionBy("user_id", "_piece").orderBy(*key)
+    e = e.withColumns({"_lag": F.lag(value).over(w), "_first": F.row_number().over(w) == 1, "_last": F.lead(F.lit(1)).over(w).isNull()})
+    inner = e.filter(~(F.col("_cut") & F.col("_first"))).withColumn(prev, F.col("_lag"))
+    edges = e.filter(F.col("_cut") & (F.col("_first") | F.col("_last")))
+    by_user = Window.partitionBy("user_id").orderBy("_piece", *key)
+    firsts = edges.withColumn(prev, F.lag(value).over(by_user)).filter("_first")
+    return inner.unionByName(firsts).select(*events.columns, prev)
+
+
+def transactions_from_events(events: DataFrame, ranges: int | None = None) -> DataFrame:
     """``events`` → (transaction_id, amount, transaction_time, location_change,
     device_change, merchant_risk, is_fraud)."""
     e = events.select(
@@ -92,7 +105,7 @@ def transactions_from_events(events: DataFrame, split_unit: str = "hour") -> Dat
         F.col("value").alias("amount"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
-    e = previous_in_user(e, "k", split_unit)
+    e = previous_in_user(e, "k", ranges)
     k, pk = F.col("k"), F.col("prev_k")
     loc = F.when(pk.isNull(), 0).when(F.floor(k / LOCATION_BAND) != F.floor(pk / LOCATION_BAND), 1).otherwise(0)
     dev = F.when(pk.isNull(), 0).when((k - pk) % 2 != 0, 1).otherwise(0)

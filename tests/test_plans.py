@@ -29,20 +29,21 @@ def test_analyze_has_no_shuffle(tx_parquet):
     assert "is_fraud" not in p.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_view_one_shuffle_of_events(spark):
-    """One scan and one shuffle of the events; the second branch reuses it and only
-    bucket-edge rows are shuffled again; no join."""
+def test_view_shuffles_the_events_once(spark):
+    """One shuffle of the events, by user and piece, which the second branch reuses; the other
+    exchange is above the filter to the border rows of users that were cut; no join but the borders' broadcast."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        p = plan(transactions_from_events(spark.read.parquet(f"{SF001}/events.parquet")))
+        p = plan(transactions_from_events(spark.read.parquet(f"{SF001}/events.parquet"), ranges=4))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "event_type" not in p
     assert p.count("FileScan parquet") == 1
     assert p.count("ReusedExchange") == 1
     # the ReusedExchange node prints the exchange it reuses
-    assert p.count("Exchange hashpartitioning(user_id") - p.count("ReusedExchange") == 2
-    assert "Join" not in p
+    assert p.count("Exchange hashpartitioning(user_id#") - p.count("ReusedExchange") == 2
+    assert sum(line.count("hashpartitioning(user_id#") for line in p.splitlines() if "_piece" in line.split("hashpartitioning")[-1]) == 2
+    assert "SortMergeJoin" not in p and "ShuffledHashJoin" not in p and p.count("BroadcastHashJoin") == 1
 
 
 def test_filter_reaches_scan(tx_parquet):
