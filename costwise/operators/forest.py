@@ -1,13 +1,15 @@
 """Isolation forest (A4–A6, M3, M4, F3, U3) as Spark jobs.
 
 Fit
-  1. Sample: each of T trees takes the psi rows with the smallest keys; a
+  1. Sample: each of T trees takes the psi rows with the smallest keys. Every
+     physical row has keys of its own, by one rule at any table size: a tree's
      key is a linear function, the tree's own, of two md5-derived numbers of
-     the row, so the sample does not depend on partitioning or table size.
-     The keys are tested where the rows are read (numpy over Arrow batches,
-     no shuffle); only about 4 * T * psi rows are ranked. Where an id repeats,
-     copies of a row are counted and numbered first, so that every row has a
-     key of its own.
+     the row's id and features. Rows equal in these are told apart by where
+     they lie: the first of them in a task carries that key, each further one
+     a key derived from it, the task's partition and its number there. Tasks
+     sort their own rows by the numbers, so equal rows are neighbours and
+     numbering them takes no memory and no shuffle; a task keeps at most psi
+     rows a tree, and about 4 * T * psi rows in all are ranked.
   2. Grow: ``groupBy("tree").applyInPandas``; each group is one tree's psi
      rows (bounded). Uniform numbers come from md5(seed:tree:node:salt), so
      a SQL twin can replay the growth exactly.
@@ -29,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +39,7 @@ from pyspark.sql import types as T
 from ..functions import c_of
 from ..schema import FEATURES, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID
 from ..session import ship_package
-from .quantile import exact_quantile
+from .quantile import exact_quantile, sketch_quantile
 
 NODE_SCHEMA = T.StructType(
     [
@@ -88,19 +91,87 @@ def tree_coefficients(seed: int, tree: int) -> tuple[int, int, int]:
     return 1 + x % (PRIME - 1), 1 + y % (PRIME - 1), z % PRIME
 
 
-def row_hash(seed: int, row_key) -> tuple[Column, Column]:
+#: Features and other fractional columns enter a key as whole multiples of 2^-20, which SQL engines write alike.
+FRACTION = 1 << 20
+
+
+def row_hash(seed: int, df: DataFrame, row_key, features=FEATURES) -> tuple[Column, Column]:
     """(h1, h2), two numbers below PRIME from the md5 of seed and row key."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in row_key]))
+
+    def text(k: str) -> Column:
+        number = k in features or isinstance(df.schema[k].dataType, (T.DoubleType, T.FloatType, T.DecimalType))
+        return (F.floor(F.col(k).cast("double") * FRACTION) if number else F.col(k)).cast("string")
+
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(text(k), F.lit("")) for k in row_key]))
     return tuple((F.conv(F.substring(h, i, 8), 16, 10).cast("long") % PRIME) for i in (1, 9))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that leaves no pattern (a finalizer of multiplications and shifts)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Copies:
+    """Numbers rows equal in (h1, h2) in a sorted stream of batches, and gives all but the first numbers of their own."""
+
+    def __init__(self, partition: int):
+        self.place, self.last, self.seen = _mixed(np.array([partition + 1], np.uint64)), None, 0
+
+    def __call__(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        goes_on = self.last == (int(h1[0]), int(h2[0]))
+        at = np.arange(len(h1))
+        number = at - np.maximum.accumulate(np.where(new, at, 0))
+        if goes_on:  # the run of equal rows began in an earlier batch
+            first_run = np.cumsum(new) == 1
+            number[first_run] += self.seen
+        self.last, self.seen = (int(h1[-1]), int(h2[-1])), int(number[-1]) + 1
+        again = number > 0
+        if not again.any():
+            return h1, h2
+        with np.errstate(over="ignore"):
+            x = _mixed((h1.astype(np.uint64) << np.uint64(31) | h2.astype(np.uint64)) ^ self.place)
+            x = _mixed(x + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        own = lambda y: (y % np.uint64(PRIME)).astype(np.int64)
+        return np.where(again, own(x), h1), np.where(again, own(_mixed(x)), h2)
+
+
+class Smallest:
+    """Per tree, at most the ``psi`` rows with the smallest keys seen so far."""
+
+    def __init__(self, n_trees: int, psi: int):
+        self.n_trees, self.psi, self.held, self.size = n_trees, psi, [], 0
+
+    def add(self, rows: pd.DataFrame) -> None:
+        self.held.append(rows)
+        self.size += len(rows)
+        if self.size > 2 * self.n_trees * self.psi:
+            self.prune()
+
+    def prune(self) -> pd.DataFrame:
+        rows = pd.concat(self.held, ignore_index=True) if self.held else None
+        if rows is not None and len(rows):
+            tree = rows["tree"].to_numpy()
+            order = np.lexsort((rows["_h2"].to_numpy(), rows["_h1"].to_numpy(), rows["_key"].to_numpy(), tree))
+            tree = tree[order]
+            at = np.arange(len(tree))
+            place = at - np.maximum.accumulate(np.where(np.r_[True, tree[1:] != tree[:-1]], at, 0))
+            rows = rows.iloc[order[place < self.psi]].reset_index(drop=True)
+        self.held, self.size = ([] if rows is None else [rows]), (0 if rows is None else len(rows))
+        return rows
+
+
 def _sample_plan(base: DataFrame, n_trees: int, psi: int, seed: int, features, id_col: str, frac: float) -> DataFrame:
     """The sample as a lazy plan, by one rule at every table size: each tree
     takes the ``psi`` rows with the smallest keys.
 
     Keys are tested against ``frac`` of their range where the rows are read,
-    in one narrow pass that emits a row once per tree it may enter; about
-    ``T * psi * 4`` rows go on to the ranking, whatever the table size.
+    in one narrow pass that emits a row once per tree it may enter: at most
+    ``T * psi`` rows a task and about ``T * psi * 4`` in all go on to the
+    ranking, whatever the table size.
     """
     coef = np.array([tree_coefficients(seed, t) for t in range(n_trees)], dtype=np.int64)
     cut = PRIME if frac >= 1.0 else int(frac * PRIME)
@@ -109,65 +180,49 @@ def _sample_plan(base: DataFrame, n_trees: int, psi: int, seed: int, features, i
     ship_package(base.sparkSession)
 
     def test(batches):
+        copies, smallest = Copies(TaskContext.get().partitionId()), Smallest(n_trees, psi)
         for pdf in batches:
-            h1, h2 = pdf["_h1"].to_numpy(np.int64), pdf["_h2"].to_numpy(np.int64)
+            if not len(pdf):
+                continue
+            h1, h2 = copies(pdf["_h1"].to_numpy(np.int64), pdf["_h2"].to_numpy(np.int64))
             rows, trees, keys = [], [], []
             for t, (a, c, b) in enumerate(coef):
                 key = (a * h1 + c * h2 + b) % PRIME
                 at = np.flatnonzero(key < cut)
+                if len(at) > psi:
+                    at = at[key[at] <= np.partition(key[at], psi - 1)[psi - 1]]
                 rows.append(at)
                 trees.append(np.full(len(at), t, np.int32))
                 keys.append(key[at])
-            out = pdf[cols].iloc[np.concatenate(rows)].reset_index(drop=True)
-            out["_key"], out["tree"] = np.concatenate(keys), np.concatenate(trees)
-            yield out
-
-    near = base.select(*cols).mapInPandas(test, T.StructType(fields))
+            at = np.concatenate(rows)
+            if len(at):
+                out = pdf[cols].iloc[at].reset_index(drop=True)
+                out["_h1"], out["_h2"], out["_key"], out["tree"] = h1[at], h2[at], np.concatenate(keys), np.concatenate(trees)
+                smallest.add(out)
+        found = smallest.prune()
+        if found is not None and len(found):
+            yield found
+
+    near = base.select(*cols).sortWithinPartitions("_h1", "_h2").mapInPandas(test, T.StructType(fields))
     w = Window.partitionBy("tree").orderBy("_key", "_h1", "_h2", *features)
     return near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi).select("tree", id_col, *features)
 
 
-#: Copies of a row that are numbered in one go; a larger group is spread over tasks by this many.
-COPIES = 4096
-
-
-def _numbered_copies(df: DataFrame, key: tuple[str, ...], features, id_col: str) -> DataFrame:
-    """The rows of ``df`` with ``_copy``, 0 to c - 1 among the c rows equal in key and features.
-
-    Equal rows are counted (combined where they are read) and written out
-    again in chunks of ``COPIES``, so a hot row moves as one count a task and
-    no task holds all its copies. Numbers do not depend on the partitioning.
-    """
-    cols = list(dict.fromkeys((id_col, *key, *features)))
-    counted = df.select(*[F.col(c).cast("double").alias(c) if c in features else F.col(c) for c in cols]).groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
-    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_c - 1) div {COPIES}")))).repartition(*cols, "_chunk")
-    first = F.col("_chunk") * COPIES
-    return chunks.withColumn("_copy", F.explode(F.sequence(first, F.least(first + COPIES, "_c") - 1))).drop("_c", "_chunk")
-
-
 def _sample_setup(df: DataFrame, n_trees: int, max_samples: int, features, id_col: str, n_rows: int | None, seed: int, row_key):
     from .classifier import invalid_count
 
-    key = tuple(row_key or (id_col,))
-    # one pass: rows per key, combined where they are read, and their totals
-    per_key = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.count(F.lit(1)).alias("n"), *[invalid_count(f).alias(f"bad_{f}") for f in features])
-    st = per_key.agg(F.sum("n").alias("n"), F.max("n").alias("most"), *[F.sum(f"bad_{f}").alias(f"bad_{f}") for f in features]).first()
     if n_rows is None:
+        st = df.agg(F.count(F.lit(1)).alias("n"), *[invalid_count(f).alias(f"bad_{f}") for f in features]).first()
         bad = {f: int(st[f"bad_{f}"]) for f in features if st[f"bad_{f}"]}
         if bad:
             raise ValueError(f"fit needs finite values in every feature; null, NaN or infinite counts: {bad}")
-        n = int(st["n"] or 0)
-    else:
-        n = n_rows
-    if n == 0:
+        n_rows = int(st["n"])
+    if n_rows == 0:
         raise ValueError("cannot fit a forest on an empty table")
-    psi = min(max_samples, n)
-    if (st["most"] or 0) > 1:  # the key alone does not tell rows apart
-        df = _numbered_copies(df, key, features, id_col)
-        key = (*key, *features, "_copy")
-    h1, h2 = row_hash(seed, key)
+    psi = min(max_samples, n_rows)
+    h1, h2 = row_hash(seed, df, tuple(row_key or (id_col, *features)), features)
     base = df.select(F.col(id_col).alias(id_col), *[F.col(f).cast("double").alias(f) for f in features], h1.alias("_h1"), h2.alias("_h2"))
-    return n, psi, base, min(1.0, 4.0 * psi / n)
+    return n_rows, psi, base, min(1.0, 4.0 * psi / n_rows)
 
 
 def forest_sample(
@@ -182,10 +237,13 @@ def forest_sample(
 ) -> tuple[DataFrame, int]:
     """(tree, id, features...) for every sampled row, and psi = min(max_samples, n).
 
-    ``row_key`` names the columns that tell rows apart (default: the id).
-    Where they do not, because an id repeats, the key of every row is taken
-    from these columns, the features and a number among its equal rows, so
-    rows of one id enter samples in proportion, copies of one row too.
+    Every row has the same chance of psi / n in every tree, whether ids repeat
+    or not. ``row_key`` names the columns that tell rows apart (default: the
+    id and the features); among rows that differ in them the sample does not
+    depend on how the table is partitioned. Rows equal in them enter with keys
+    that depend on their partition and their number in it, only the first of
+    a partition with the common one; a row added to the table changes no more
+    than the trees it enters.
     """
     n, psi, base, frac = _sample_setup(df, n_trees, max_samples, features, id_col, n_rows, seed, row_key)
     while True:
@@ -279,6 +337,24 @@ class Forest:
         path[t[leaf], k[leaf]] = nodes["path"].to_numpy()[leaf]
         return Forest(feature, threshold, path, psi, tuple(features), None, seed, contamination)
 
+    def save(self, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
+        """The dense node arrays as a Parquet table (trees x 2^(depth+1) rows, bounded by the parameters)."""
+        t, k = (i.ravel() for i in np.indices(self.feature.shape))
+        nodes = {"tree": t.astype("int32"), "node": k.astype("int32"), "feature": self.feature[t, k].astype("int32"), "threshold": self.threshold[t, k], "path": self.path[t, k]}
+        spark.createDataFrame(pd.DataFrame(nodes)).coalesce(1).write.mode(mode).parquet(path)
+
+    def settings(self) -> dict:
+        return {"psi": self.psi, "offset": self.offset, "seed": self.seed, "contamination": self.contamination, "n_trees": self.n_trees, "features": list(self.features)}
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, settings: dict) -> "Forest":
+        nodes = spark.read.parquet(path).toPandas()
+        shape = (settings["n_trees"], 2 ** (depth_limit(settings["psi"]) + 1))
+        arrays = np.full(shape, -1, dtype=np.int16), np.full(shape, np.nan), np.zeros(shape)
+        for a, c in zip(arrays, ("feature", "threshold", "path")):
+            a[nodes["tree"].to_numpy(), nodes["node"].to_numpy()] = nodes[c]
+        return Forest(*arrays, settings["psi"], tuple(settings["features"]), settings["offset"], settings["seed"], settings["contamination"])
+
     def broadcast(self, spark: SparkSession):
         if self._bc is None:
             check_forest_size(self.n_trees, self.psi)
@@ -359,15 +435,21 @@ def fit_forest(
     id_col: str = ID,
     persist: bool = True,
     row_key: tuple[str, ...] = (),
+    quantile: str = "exact",
 ) -> Forest:
     """A4 + A5: grow the forest on a bounded sample, then set the offset.
 
+    ``quantile="sketch"`` takes the offset from a mergeable sketch: one pass
+    over the scores, a rank off by at most ``quantile.sketch_rank_error()``.
+
     The input is read three times (count, sample, training scores), so unless
     the caller already holds it, only the id and feature columns are persisted
     (memory, spilling to disk) for the duration of the fit.
     """
     from pyspark.storagelevel import StorageLevel
 
+    if quantile not in ("exact", "sketch"):
+        raise ValueError("quantile must be 'exact' or 'sketch'")
     spark = df.sparkSession
     source = df.select(*dict.fromkeys((id_col, *row_key, *features)))
     if persist:
@@ -383,7 +465,11 @@ def fit_forest(
                 break
             frac = min(1.0, 4.0 * frac)
         forest = Forest.from_nodes(nodes, n_trees, psi, features, seed, contamination)
-        scores = source.select(score_samples(forest, spark).alias("score")).persist(StorageLevel.MEMORY_AND_DISK)
+        scores = source.select(score_samples(forest, spark).alias("score"))
+        if quantile == "sketch":
+            forest.offset = sketch_quantile(scores, "score", contamination)
+            return forest
+        scores = scores.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             forest.offset = exact_quantile(scores, "score", contamination)
         finally:

@@ -1,4 +1,5 @@
-"""Exact percentile with linear interpolation (A5), without a single-task sort.
+"""Percentiles (A5): exact with linear interpolation, without a single-task
+sort, or from a mergeable sketch in one pass.
 
 Spark's exact ``percentile`` keeps every distinct value of a column in one
 aggregation buffer; on a large table that is one task holding everything.
@@ -86,3 +87,31 @@ def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 4096, colle
     if frac == 0 or b is None:
         return a
     return a + (b - a) * frac
+
+
+#: Default size of a sketch: a rank error of 0.13 % with 24 kB a sketch.
+SKETCH_K = 4096
+#: Groups of tasks whose sketches are merged first; the groups' sketches are merged at once.
+MERGE_GROUPS = 256
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """Bound on the rank error of a KLL sketch of size ``k``, as a share of the rows (99 % confidence)."""
+    return 2.296 / k**0.9021
+
+
+def sketch_quantile(df: DataFrame, col: str, q: float, k: int = SKETCH_K) -> float | None:
+    """The q-quantile of ``col`` from KLL sketches, in one pass (null, NaN and infinite values ignored).
+
+    Every task sketches its rows, and the sketches are merged in a tree: by
+    ``MERGE_GROUPS`` groups of tasks, then the groups. The result is a value of the column whose rank is off by at most
+    ``sketch_rank_error(k)``; memory depends on ``k`` alone, whatever the table.
+    """
+    if not 0.0 <= q <= 1.0:
+        raise ValueError("q must lie in [0, 1]")
+    values = df.select(F.col(col).cast("double").alias("v")).filter(~F.isnan("v") & (F.abs("v") < float("inf")))
+    group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g")
+    grouped = values.groupBy(group).agg(F.kll_sketch_agg_double("v", F.lit(k)).alias("s"))
+    merged = grouped.agg(F.kll_merge_agg_double("s").alias("s"))
+    n = F.kll_sketch_get_n_double("s")
+    return merged.select(F.when(n > 0, F.kll_sketch_get_quantile_double("s", F.lit(q)))).first()[0]

@@ -25,3 +25,20 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+
+
+@pytest.fixture
+def executed(spark):
+    """A function that runs something and returns the physical plans of every query it executed."""
+
+    def run(fn):
+        store = spark._jsparkSession.sharedState().statusStore()
+        bus = spark.sparkContext._jsc.sc().listenerBus()
+        bus.waitUntilEmpty(30_000)
+        before = store.executionsCount()
+        fn()
+        bus.waitUntilEmpty(30_000)
+        all_ = store.executionsList()
+        return [all_.apply(i).physicalPlanDescription() for i in range(before, all_.size())]
+
+    return run
