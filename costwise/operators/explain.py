@@ -7,12 +7,21 @@ probability is sigma(b + sum_{j in S} beta_j x_j) on the raw scale, so the
 a weighted sum of their differences, all in one projection. For any other
 model callable, ``shapley_values`` evaluates the coalitions batch-wise in
 a scalar pandas UDF over the feature columns (Arrow batches, one model call per batch).
+
+The baseline may be a whole background table (``background_table``): a
+coalition's value is then the mean prediction over the background rows, each
+lending its values to the absent features. Models of more than 12 features
+are explained from antithetic pairs of feature orders (``permutations``)
+instead of all 2^M coalitions, with a stated error bound; the values still add
+up exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -93,69 +102,179 @@ def shapley_linear(df: DataFrame, model: LinearModel, baseline: Sequence[float]
     return df.withColumns(phi_columns(model, baseline, prefix))
 
 
-#: Doubles of one expanded block of rows (2^M x M each): 32 MB.
+#: Doubles of one expanded block of rows (rows x coalitions x background rows x M): 32 MB.
 _BLOCK_VALUES = 1 << 22
+#: Features up to which all 2^M coalitions are evaluated.
+EXACT_FEATURES = 12
+#: Different background rows that go to every executor (8 * M bytes each); more are refused.
+MAX_BACKGROUND_ROWS = 10_000
+
+
+@dataclass(frozen=True)
+class Background:
+    """Background rows (b, M) and their shares, which sum to 1."""
+
+    rows: np.ndarray
+    shares: np.ndarray
+
+    @staticmethod
+    def one(baseline: Sequence[float]) -> "Background":
+        return Background(np.asarray([baseline], dtype="float64"), np.ones(1))
+
+
+def background_table(df: DataFrame, features: Sequence[str] = FEATURES, weight_col: str | None = None, limit: int = MAX_BACKGROUND_ROWS) -> Background:
+    """K8: a table of background rows, equal rows as one with their share of the weight (default: of the rows).
+
+    The table is grouped in Spark and only its different rows come to the
+    driver, ``limit`` at most: a larger table is refused, with nothing dropped
+    (group it to fewer rows with a weight first). Null, NaN or infinite values
+    and weights that are not positive are refused too.
+    """
+    x = [F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]
+    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    names = [f"_x{i}" for i in range(len(features))]
+    grouped = df.select(*x, weight.alias("_w")).groupBy(*names).agg(F.sum("_w").alias("_w"))
+    rows = grouped.orderBy(*names).limit(limit + 1).collect()
+    if not rows:
+        raise ValueError("the background table is empty")
+    if len(rows) > limit:
+        raise ValueError(f"the background table has more than {limit} different rows")
+    values = np.array([[np.nan if v is None else v for v in r] for r in rows], dtype="float64")
+    if not np.isfinite(values).all() or (values[:, -1] <= 0).any():
+        raise ValueError("the background table needs finite values in every feature and positive weights")
+    return Background(np.ascontiguousarray(values[:, :-1]), values[:, -1] / values[:, -1].sum())
+
+
+def feature_orders(m: int, pairs: int, seed: int) -> list[tuple[int, ...]]:
+    """``pairs`` orders of the features, each by the md5 of 'seed:pair:feature'."""
+    key = lambda k, i: hashlib.md5(f"{seed}:{k}:{i}".encode()).hexdigest()
+    return [tuple(sorted(range(m), key=lambda i, k=k: key(k, i))) for k in range(pairs)]
+
+
+def permutation_error(pairs: int, m: int, spread: float = 1.0, delta: float = 0.01) -> float:
+    """Bound on the error of all ``m`` values of a row at once, with probability 1 - ``delta`` over the seed.
+
+    A pair's contribution of a feature lies in [-spread, spread], where
+    ``spread`` is the range of the predictions (1 for probabilities); the
+    bound is Hoeffding's for the mean of ``pairs`` independent pairs.
+    """
+    return spread * math.sqrt(2.0 * math.log(2.0 * m / delta) / pairs)
+
+
+def _exact_plan(m: int):
+    subsets = coalitions(m)
+    pos = {S: r for r, S in enumerate(subsets)}
+    terms = shapley_terms(m)
+    return subsets, [[pos[a] for _, a, _ in t] for t in terms], [[pos[b] for _, _, b in t] for t in terms], [[w for w, _, _ in t] for t in terms]
+
+
+def _permutation_plan(m: int, pairs: int, seed: int):
+    """Coalitions that the orders and their reversals pass through, and each feature's steps in them."""
+    pos: dict[tuple[int, ...], int] = {}
+    with_, without = [[] for _ in range(m)], [[] for _ in range(m)]
+    for order in feature_orders(m, pairs, seed):
+        for walk in (order, order[::-1]):
+            seen: tuple[int, ...] = ()
+            for i in walk:
+                grown = tuple(sorted((*seen, i)))
+                without[i].append(pos.setdefault(seen, len(pos)))
+                with_[i].append(pos.setdefault(grown, len(pos)))
+                seen = grown
+    return list(pos), with_, without, [[0.5 / pairs] * (2 * pairs)] * m
 
 
 class ShapleyBatch:
-    """Exact Shapley values for an (n, M) batch with any vectorised ``predict``.
+    """Shapley values for an (n, M) batch with any vectorised ``predict``.
 
-    Expands the batch to its 2^M coalition rows, scores them in one call and
-    takes the weighted differences per feature (a feature at its baseline
-    value gets exactly 0).
+    Expands the batch to its coalition rows (for each background row), scores
+    them in blocks of bounded size and takes the weighted differences per
+    feature: over all 2^M coalitions, or with ``permutations`` over the steps
+    of that many antithetic pairs of feature orders. Against one baseline row,
+    a feature at its baseline value gets exactly 0.
     """
 
-    def __init__(self, predict: Callable[[np.ndarray], np.ndarray], m: int, baseline: Sequence[float] | None = None):
-        if m > 12:
-            raise ValueError("exact Shapley values need 2^M model calls per row; M must be <= 12")
-        self.predict = predict
-        self.m = m
-        self.base = np.asarray(baseline if baseline is not None else [0.0] * m, dtype="float64")
-        subsets = coalitions(m)
-        pos = {S: r for r, S in enumerate(subsets)}
+    def __init__(self, predict: Callable[[np.ndarray], np.ndarray], m: int, baseline: Sequence[float] | Background | None = None, permutations: int | None = None, seed: int = 42):
+        if permutations is None and m > EXACT_FEATURES:
+            raise ValueError(f"exact Shapley values need 2^M model calls per row; M must be <= {EXACT_FEATURES}, or ask for permutations")
+        if permutations is not None and permutations < 1:
+            raise ValueError("permutations must be at least 1")
+        self.predict, self.m = predict, m
+        self.background = baseline if isinstance(baseline, Background) else Background.one(baseline if baseline is not None else [0.0] * m)
+        subsets, with_, without, w = _exact_plan(m) if permutations is None else _permutation_plan(m, permutations, seed)
         self.masks = np.zeros((len(subsets), m), dtype=bool)
         for r, S in enumerate(subsets):
             self.masks[r, list(S)] = True
-        terms = shapley_terms(m)
-        self.w = np.array([[w for w, _, _ in terms[i]] for i in range(m)])
-        self.with_idx = np.array([[pos[a] for _, a, _ in terms[i]] for i in range(m)])
-        self.without_idx = np.array([[pos[b] for _, _, b in terms[i]] for i in range(m)])
-
-    def __call__(self, X: np.ndarray) -> np.ndarray:
+        self.with_idx, self.without_idx, self.w = np.array(with_), np.array(without), np.array(w)
+
+    def values(self, X: np.ndarray) -> np.ndarray:
+        """(n, coalitions): the mean prediction over the background with the coalition's features present."""
+        rows, k = self.background.rows, len(self.masks)
+        step = max(1, _BLOCK_VALUES // (len(X) * k * self.m))
+        out = np.zeros((len(X), k))
+        for i in range(0, len(rows), step):
+            b = rows[i : i + step]
+            Z = np.where(self.masks[None, :, None, :], X[:, None, None, :], b[None, None, :, :])
+            p = np.asarray(self.predict(Z.reshape(-1, self.m)), dtype="float64").reshape(len(X), k, len(b))
+            out += (p * self.background.shares[i : i + step]).sum(axis=2)
+        return out
+
+    def steps(self, X: np.ndarray) -> np.ndarray:
+        """(n, M, terms): weighted differences, which sum to the values."""
+        p = self.values(X)
+        return (p[:, self.with_idx] - p[:, self.without_idx]) * self.w[None, :, :]
+
+    def __call__(self, X: np.ndarray, with_error: bool = False) -> np.ndarray:
+        """(n, M) values; with ``with_error`` (n, 2M), their standard errors over the pairs beside them."""
         n = len(X)
         if n == 0:
-            return np.zeros((0, self.m))
-        block = max(1, _BLOCK_VALUES // (len(self.masks) * self.m))
+            return np.zeros((0, 2 * self.m if with_error else self.m))
+        block = max(1, _BLOCK_VALUES // max(len(self.masks) * self.m, self.with_idx.size))
         if n > block:  # bounded memory whatever M and the batch size
-            return np.concatenate([self(X[i : i + block]) for i in range(0, n, block)])
-        Z = np.where(self.masks[None, :, :], X[:, None, :], self.base[None, None, :])
-        p = np.asarray(self.predict(Z.reshape(-1, self.m)), dtype="float64").reshape(n, len(self.masks))
-        return ((p[:, self.with_idx] - p[:, self.without_idx]) * self.w[None, :, :]).sum(axis=2)
+            return np.concatenate([self(X[i : i + block], with_error) for i in range(0, n, block)])
+        steps = self.steps(X)
+        phi = steps.sum(axis=2)
+        if not with_error:
+            return phi
+        pairs = steps.shape[2] // 2
+        means = steps.reshape(n, self.m, pairs, 2).sum(axis=3) * pairs
+        return np.concatenate([phi, means.std(axis=2, ddof=1) / math.sqrt(pairs) if pairs > 1 else np.full_like(phi, np.inf)], axis=1)
 
 
 def shapley_values(
     df: DataFrame,
     predict: Callable[[np.ndarray], np.ndarray],
     features: Sequence[str] = FEATURES,
-    baseline: Sequence[float] | None = None,
+    baseline: Sequence[float] | Background | None = None,
     prefix: str = "phi_",
+    permutations: int | None = None,
+    seed: int = 42,
+    with_error: bool = False,
 ) -> DataFrame:
-    """Exact Shapley values for any vectorised model ``predict(X) -> p``.
-
-    ``predict`` maps an (n, M) float array to n probabilities. Each Arrow
-    batch of the feature columns is expanded to its 2^M coalition rows in
-    numpy, scored in one call and reduced over the coalition pairs of each
-    feature. Meant for M <= 12.
+    """Shapley values for any vectorised model ``predict(X) -> p``.
+
+    ``predict`` maps an (n, M) float array to n predictions. Each Arrow batch
+    of the feature columns is expanded to its coalition rows in numpy, scored
+    and reduced over the coalition pairs of each feature. ``baseline`` is one
+    row or a ``Background``.
+
+    Up to 12 features all 2^M coalitions are evaluated. Above, give
+    ``permutations``: that many antithetic pairs of feature orders (drawn from
+    ``seed``, the same for all rows), 2 * permutations * (M - 1) + 2 coalitions
+    at most. The values of a row then still add up to its prediction less the
+    baseline's, and lie within ``permutation_error`` of the exact ones;
+    ``with_error`` adds their standard errors as ``se_<feature>``.
     """
-    explain_batch = ShapleyBatch(predict, len(features), baseline)
+    if with_error and permutations is None:
+        raise ValueError("exact values have no standard error")
+    explain_batch = ShapleyBatch(predict, len(features), baseline, permutations, seed)
     ship_package(df.sparkSession)
-    names = [f"{prefix}{f}" for f in features]
+    names = [f"{prefix}{f}" for f in features] + ([f"se_{f}" for f in features] if with_error else [])
     schema = T.StructType([T.StructField(nm, T.DoubleType(), True) for nm in names])
 
     # Only the feature columns cross to Python; the rest of the row stays in the JVM.
     @F.pandas_udf(schema)
     def run(*cols: pd.Series) -> pd.DataFrame:
-        phi = explain_batch(np.column_stack([c.to_numpy(dtype="float64") for c in cols]))
+        phi = explain_batch(np.column_stack([c.to_numpy(dtype="float64") for c in cols]), with_error)
         return pd.DataFrame({nm: phi[:, i] for i, nm in enumerate(names)})
 
     out = df.withColumn("_phi", run(*[F.col(f).cast("double") for f in features]))
@@ -168,7 +287,10 @@ def linear_predictor(model: LinearModel) -> Callable[[np.ndarray], np.ndarray]:
     b = model.raw_intercept
 
     def predict(X: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-(X @ beta + b)))
+        eta = np.full(len(X), b)
+        for j, w in enumerate(beta):  # term by term: equal rows get equal bits wherever they stand in the batch
+            eta += X[:, j] * w
+        return 1.0 / (1.0 + np.exp(-eta))
 
     return predict
 

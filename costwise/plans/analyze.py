@@ -20,7 +20,7 @@ from ..functions import c_of, decision_label, percent_text, round_to, three_deci
 from ..operators import classifier as clf
 from ..operators import forest as fst
 from ..operators.decision import CostFn, CostParams, cheapest
-from ..operators.explain import ShapleyBatch, contributions, explanation, linear_predictor, phi_columns
+from ..operators.explain import Background, ShapleyBatch, contributions, explanation, linear_predictor, phi_columns
 from ..session import ship_package
 from ..schema import FEATURES, LABEL, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID, RESPONSE_DECIMALS
 
@@ -32,36 +32,14 @@ class Models:
 
     def save(self, spark: SparkSession, path: str, mode: str = "errorifexists") -> None:
         """Both models as small Parquet tables below ``path``."""
-        f = self.forest
-        meta = dict(
-            classifier=json.loads(self.classifier.to_json()),
-            psi=f.psi,
-            offset=f.offset,
-            seed=f.seed,
-            contamination=f.contamination,
-            n_trees=f.n_trees,
-            features=list(f.features),
-        )
+        meta = {"classifier": json.loads(self.classifier.to_json()), **self.forest.settings()}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(mode).parquet(f"{path}/meta")
-        t, k = (i.ravel() for i in np.indices(f.feature.shape))
-        nodes = pd.DataFrame(
-            {"tree": t.astype("int32"), "node": k.astype("int32"), "feature": f.feature[t, k].astype("int32"), "threshold": f.threshold[t, k], "path": f.path[t, k]}
-        )
-        spark.createDataFrame(nodes).coalesce(1).write.mode(mode).parquet(f"{path}/forest")
+        self.forest.save(spark, f"{path}/forest", mode)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Models":
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-        nodes = spark.read.parquet(f"{path}/forest").toPandas()  # bounded: trees x 2^(depth+1)
-        width = 2 ** (fst.depth_limit(meta["psi"]) + 1)
-        shape = (meta["n_trees"], width)
-        feature = np.full(shape, -1, dtype=np.int16)
-        threshold = np.full(shape, np.nan)
-        path_ = np.zeros(shape)
-        t, k = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
-        feature[t, k], threshold[t, k], path_[t, k] = nodes["feature"], nodes["threshold"], nodes["path"]
-        forest = fst.Forest(feature, threshold, path_, meta["psi"], tuple(meta["features"]), meta["offset"], meta["seed"], meta["contamination"])
-        return Models(clf.LinearModel.from_json(json.dumps(meta["classifier"])), forest)
+        return Models(clf.LinearModel.from_json(json.dumps(meta["classifier"])), fst.Forest.load(spark, f"{path}/forest", meta))
 
 
 def train(
@@ -106,7 +84,7 @@ def train(
     return Models(classifier, forest)
 
 
-def batch_scores(models: Models, spark: SparkSession, with_shapley: bool = True) -> Column:
+def batch_scores(models: Models, spark: SparkSession, with_shapley: bool = True, background: Background | None = None) -> Column:
     """One Arrow-batched hop per batch: mean forest path (and the Shapley values).
 
     Only the five feature columns travel to Python; both models are applied
@@ -117,7 +95,7 @@ def batch_scores(models: Models, spark: SparkSession, with_shapley: bool = True)
     bc = forest.broadcast(spark)
     max_depth = forest.max_depth
     ship_package(spark)
-    explain_batch = ShapleyBatch(linear_predictor(models.classifier), len(models.classifier.features)) if with_shapley else None
+    explain_batch = ShapleyBatch(linear_predictor(models.classifier), len(models.classifier.features), background) if with_shapley else None
     names = list(models.classifier.features)
     fields = [T.StructField("mean_path", T.DoubleType())]
     if with_shapley:
@@ -137,12 +115,13 @@ def batch_scores(models: Models, spark: SparkSession, with_shapley: bool = True)
     return run(*[F.col(f).cast("double") for f in names])
 
 
-def score(df: DataFrame, models: Models, cost: CostFn = CostParams(), shapley: str = "arrow") -> DataFrame:
+def score(df: DataFrame, models: Models, cost: CostFn = CostParams(), shapley: str = "arrow", background: Background | None = None) -> DataFrame:
     """Add fraud_probability, anomaly_score, decision and phi_<feature> (all unrounded).
 
     ``shapley="arrow"`` computes the Shapley values in the forest's Arrow batch;
     ``shapley="jvm"`` as column expressions (fast only when the session keeps
     huge generated methods out of whole-stage codegen, see ``session``).
+    ``background``: explain against a table of rows instead of zeros (``arrow`` only).
     """
     if models.forest.offset is None:
         raise ValueError("forest has no offset; fit it with fit_forest")
@@ -150,9 +129,11 @@ def score(df: DataFrame, models: Models, cost: CostFn = CostParams(), shapley: s
         raise ValueError("both models must use the same features")
     if shapley not in ("arrow", "jvm"):
         raise ValueError("shapley must be 'arrow' or 'jvm'")
+    if background is not None and shapley != "arrow":
+        raise ValueError("a background table needs shapley='arrow'")
     spark = df.sparkSession
     names = models.classifier.features
-    df = df.withColumn("_b", batch_scores(models, spark, with_shapley=shapley == "arrow"))
+    df = df.withColumn("_b", batch_scores(models, spark, with_shapley=shapley == "arrow", background=background))
     c_psi = F.lit(c_of(models.forest.psi))
     phis = {f"phi_{f}": F.col(f"_b.phi_{f}") for f in names} if shapley == "arrow" else phi_columns(models.classifier)
     return (
@@ -168,9 +149,9 @@ def score(df: DataFrame, models: Models, cost: CostFn = CostParams(), shapley: s
     )
 
 
-def analyze(df: DataFrame, models: Models, cost: CostFn = CostParams(), keep: tuple[str, ...] = (), shapley: str = "arrow") -> DataFrame:
+def analyze(df: DataFrame, models: Models, cost: CostFn = CostParams(), keep: tuple[str, ...] = (), shapley: str = "arrow", background: Background | None = None) -> DataFrame:
     """The service's response record for every row of ``df``."""
-    s = score(df, models, cost, shapley)
+    s = score(df, models, cost, shapley, background)
     return s.select(
         *keep,
         F.col(ID).cast("long").alias(ID),
