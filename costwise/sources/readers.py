@@ -15,6 +15,11 @@ from pyspark.sql import types as T
 from ..schema import RAW_REQUEST, RESPONSE, TRANSACTION
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a file that Spark's readers would see."""
+    return bool(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").take(1))
+
+
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
     """The header of the first file: Spark's own reading of the names, without a pass over the data."""
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
