@@ -53,17 +53,28 @@ class LinearModel:
         return LinearModel(**{k: tuple(v) if isinstance(v, list) else v for k, v in d.items()})
 
 
-def scaler_stats(df: DataFrame, features=FEATURES) -> DataFrame:
-    """A1: one row, mean and population deviation per feature (deviation 0 -> 1).
-
-    One pass with partial aggregation; the result is one row whatever the input.
-    """
+def scale_aggregates(features=FEATURES) -> list[Column]:
+    """A1 as aggregates: ``mean_<feature>`` and ``scale_<feature>``, the population deviation (0 -> 1)."""
     aggs = []
     for f in features:
         x = F.col(f).cast("double")
         sd = F.stddev_pop(x)
         aggs += [F.avg(x).alias(f"mean_{f}"), F.when(sd == 0, 1.0).otherwise(sd).alias(f"scale_{f}")]
-    return df.agg(*aggs)
+    return aggs
+
+
+def balanced(n, classes, n_class):
+    """A2: the weight n / (k * n_c) of a class, for columns and for numbers."""
+    return n / (classes * n_class)
+
+
+def scaler_stats(df: DataFrame, features=FEATURES) -> DataFrame:
+    """A1: one row, mean and population deviation per feature (deviation 0 -> 1).
+
+    One pass with partial aggregation; the result is one row whatever the
+    input. The fit takes the same aggregates in its own pass.
+    """
+    return df.agg(*scale_aggregates(features))
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -80,7 +91,7 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     return counts.select(
         label,
         "n",
-        (F.sum("n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n"))).alias("weight"),
+        balanced(F.sum("n").over(everything), F.count(F.lit(1)).over(everything), F.col("n")).alias("weight"),
     )
 
 
@@ -101,7 +112,7 @@ def invalid_count(f: str) -> Column:
 def _training_stats(df: DataFrame, features, label: str, salts=range(4)):
     """One pass: scaler statistics, class counts and (for L-BFGS) flip balance per salt."""
     y = F.col(label).cast("int")
-    aggs = [a for f in features for a in (F.avg(F.col(f).cast("double")).alias(f"mean_{f}"), F.stddev_pop(F.col(f).cast("double")).alias(f"sd_{f}"))]
+    aggs = scale_aggregates(features)
     aggs += [F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos"), F.count(y).alias("n_lab")]
     aggs += [F.sum(_flip(features, label, s_).cast("long")).alias(f"flip_{s_}") for s_ in salts]
     aggs += [invalid_count(f).alias(f"bad_{f}") for f in features]
@@ -115,8 +126,8 @@ def _training_stats(df: DataFrame, features, label: str, salts=range(4)):
     if n_pos in (0, n):
         raise ValueError(f"fit needs both classes of {label!r}; found only {int(n_pos > 0)}")
     mean = tuple(float(st[f"mean_{f}"]) for f in features)
-    scale = tuple(1.0 if not st[f"sd_{f}"] else float(st[f"sd_{f}"]) for f in features)
-    weights = {1: n / (2.0 * n_pos), 0: n / (2.0 * (n - n_pos))}
+    scale = tuple(float(st[f"scale_{f}"]) for f in features)
+    weights = {1: balanced(n, 2, n_pos), 0: balanced(n, 2, n - n_pos)}
     flips = {s_: int(st[f"flip_{s_}"]) for s_ in salts}
     return n, mean, scale, weights, flips
 

@@ -11,13 +11,14 @@ from ..operators import classifier as clf
 from ..operators import decision as dec
 from ..operators import explain as expl
 from ..operators import forest
+from ..operators.quantile import sketch_rank_error
 from ..schema import ACTIONS, FEATURES, FOREST_CONTAMINATION, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_TREES, ID
 from ..sources.events import transactions_from_events
 from ..session import scratch_path
 from ..sources.readers import baseline_row, parse_json_requests, read_transactions, response_from_json, response_to_json
 from ..sources.validate import split_valid, validate
 from ..streaming.stream import analyze_stream, read_sink
-from .analyze import analyze, analyze_table, display, flatten_response, train
+from .analyze import Models, analyze, analyze_table, display, flatten_response, train
 from .pinned import PINNED_CLASSIFIER
 from .registry import query, table
 
@@ -44,6 +45,27 @@ def q_tx_features(spark, sf_dir):
     return transactions(spark, sf_dir)
 
 
+#: A third of all events are moved to one user and one timestamp.
+HOT_TS = "2024-01-01 00:00:00"
+
+
+@query(
+    "tx_features_hot",
+    lambda: "SELECT * FROM ("
+    + twins.transactions_sql(
+        f"(SELECT event_id, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '{HOT_TS}' ELSE ts END AS ts, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, value, props FROM events)"
+    )
+    + ") t",
+)
+def q_tx_features_hot(spark, sf_dir):
+    """F3 / K1 under skew: the view where a third of all events share one user and one timestamp."""
+    hot = F.col("event_id") % 3 == 0
+    events = table(spark, sf_dir, "events")
+    kinds = {f.name: f.dataType for f in events.schema.fields}
+    moved = events.withColumns({"ts": F.when(hot, F.lit(HOT_TS).cast(kinds["ts"])).otherwise(F.col("ts")), "user_id": F.when(hot, F.lit(0).cast(kinds["user_id"])).otherwise(F.col("user_id"))})
+    return transactions_from_events(moved)
+
+
 @query(
     "score_probability",
     lambda: f"SELECT transaction_id, round({_prob_sql()}, {P6}) AS fraud_probability FROM ({_tx_sql()}) t",
@@ -202,6 +224,21 @@ def q_forest_sample(spark, sf_dir):
     return sample.select("tree", ID)
 
 
+def _repeated_ids_sql() -> str:
+    return f"SELECT t.* REPLACE (t.transaction_id // 4 AS transaction_id) FROM ({_tx_sql()}) t"
+
+
+@query(
+    "forest_sample_repeated",
+    lambda: twins.forest_sql(_repeated_ids_sql(), "SELECT tree, transaction_id, x0 AS amount FROM smp", FOREST_TREES, FOREST_MAX_SAMPLES, FOREST_SEED, FOREST_CONTAMINATION),
+)
+def q_forest_sample_repeated(spark, sf_dir):
+    """A4 sample of a view in which four rows share each id: the same rule, every row with a key of its own."""
+    tx = transactions(spark, sf_dir).withColumn(ID, F.expr(f"{ID} div 4"))
+    sample, _ = forest.forest_sample(tx)
+    return sample.select("tree", ID, "amount")
+
+
 @query(
     "forest_nodes",
     lambda: _forest_sql(f"SELECT tree, node, depth, feature, round(threshold, {P6}) AS threshold, size, is_leaf, round(path, {P6}) AS path FROM nodes"),
@@ -243,6 +280,20 @@ def q_anomaly_offset(spark, sf_dir):
     return flagged.select(round_to(F.lit(fo.offset), P6).alias("offset"), F.coalesce("n_anomalies", F.lit(0)).alias("n_anomalies"))
 
 
+@query(
+    "anomaly_offset_sketch",
+    lambda: f"SELECT count(*) AS n, CAST({FOREST_CONTAMINATION} AS DOUBLE) AS contamination, TRUE AS within_bound FROM ({_tx_sql()}) t",
+)
+def q_anomaly_offset_sketch(spark, sf_dir):
+    """A5 by mergeable sketch: the rank of the offset among all training scores, held against the stated bound."""
+    tx = transactions(spark, sf_dir)
+    fo = forest.fit_forest(tx, quantile="sketch")
+    score = forest.score_samples(fo, spark)
+    ranks = tx.select(score.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("s") < fo.offset).cast("double")).alias("below"), F.avg((F.col("s") <= fo.offset).cast("double")).alias("upto"))
+    error = F.greatest(F.lit(0.0), F.col("below") - FOREST_CONTAMINATION, FOREST_CONTAMINATION - F.col("upto"))
+    return ranks.select("n", F.lit(FOREST_CONTAMINATION).alias("contamination"), (error <= sketch_rank_error()).alias("within_bound"))
+
+
 @query(
     "anomaly_label",
     lambda: _forest_sql(
@@ -328,14 +379,15 @@ def q_response_json(spark, sf_dir):
     lambda: _analysis_sql(
         "SELECT transaction_id, printf('%.2f%%', fraud_probability * 100) AS probability_text, "
         "printf('%.3f', anomaly_score) AS anomaly_text, "
-        "CASE decision WHEN 'approve' THEN '🟢 APPROVE' WHEN 'review' THEN '🟡 REVIEW' WHEN 'block' THEN '🔴 BLOCK' ELSE decision END AS decision_label "
+        "CASE WHEN transaction_id % 13 = 0 THEN 'escalate' WHEN decision = 'approve' THEN '🟢 APPROVE' WHEN decision = 'review' THEN '🟡 REVIEW' WHEN decision = 'block' THEN '🔴 BLOCK' END AS decision_label "
         f"FROM ({_analyze_trained_select()}) r"
     ),
 )
 def q_display_format(spark, sf_dir):
-    """The dashboard's formatted metrics for every response."""
+    """The dashboard's formatted metrics for every response; a decision without a label (every 13th row) shows as it is."""
     tx = transactions(spark, sf_dir)
-    return display(analyze(tx, train(tx)))
+    responses = analyze(tx, train(tx))
+    return display(responses.withColumn("decision", F.when(F.col(ID) % 13 == 0, "escalate").otherwise(F.col("decision"))))
 
 
 def _requests_json(tx: DataFrame) -> DataFrame:
@@ -362,12 +414,12 @@ def q_tx_validate(spark, sf_dir):
 
 @query("analyze_stream", lambda: _analysis_sql())
 def q_analyze_stream(spark, sf_dir):
-    """K4: the same responses through Structured Streaming (files in, Parquet out), read back."""
+    """K4: the same responses through Structured Streaming (files in, three micro-batches, Parquet and manifests out), read back."""
     tx = transactions(spark, sf_dir)
     models = train(tx)
     base = scratch_path(spark, "analyze-stream")
-    _requests_json(tx).write.text(f"{base}/in")
-    q = analyze_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", models)
+    _requests_json(tx).repartition(6).write.text(f"{base}/in")
+    q = analyze_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", models, max_files_per_trigger=2)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -377,10 +429,11 @@ def q_analyze_stream(spark, sf_dir):
 @query("analyze_trained", lambda: _analysis_sql())
 def q_analyze_trained(spark, sf_dir):
     """Start-up training at the service's settings (fitted classifier, 100-tree
-    forest), then the analysis of every transaction."""
+    forest), the models saved as tables and loaded again, then the analysis of every transaction."""
     tx = transactions(spark, sf_dir)
-    models = train(tx)
-    return flatten_response(analyze(tx, models), decimals=P4)
+    path = scratch_path(spark, "models")
+    train(tx).save(spark, path)
+    return flatten_response(analyze(tx, Models.load(spark, path)), decimals=P4)
 
 
 @query(
@@ -603,3 +656,157 @@ def q_shapley_background(spark, sf_dir):
     background = spark.createDataFrame([BACKGROUND], ", ".join(f"{f} double" for f in FEATURES))
     df = expl.shapley_linear(transactions(spark, sf_dir), PINNED_CLASSIFIER, baseline=baseline_row(background, FEATURES))
     return df.select(ID, *[round_to(f"phi_{f}", P6).alias(f"phi_{f}") for f in FEATURES])
+
+
+# ---------------------------------------------------------------- background tables, many features
+def _hourly_background(tx: DataFrame) -> DataFrame:
+    """A background summary of the whole view: the mean row of every hour, with its number of rows."""
+    rest = [F.avg(F.col(f).cast("double")).alias(f) for f in FEATURES if f != "transaction_time"]
+    return tx.groupBy("transaction_time").agg(*rest, F.count(F.lit(1)).alias("n"))
+
+
+def _hourly_background_sql() -> str:
+    rest = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS {f}" for f in FEATURES if f != "transaction_time")
+    return f"SELECT transaction_time, {rest}, count(*) AS n FROM ({_tx_sql()}) h GROUP BY transaction_time"
+
+
+@query(
+    "shapley_background_table",
+    lambda: f"SELECT transaction_id, {', '.join(f'round(phi_{f}, {P6}) AS phi_{f}' for f in FEATURES)} FROM ({twins.phi_background_sql(PINNED_CLASSIFIER, _tx_sql(), _hourly_background_sql(), 'n')}) p",
+)
+def q_shapley_background_table(spark, sf_dir):
+    """K8 + X1: Shapley values against a background table of many (weighted) rows."""
+    tx = transactions(spark, sf_dir)
+    background = expl.background_table(_hourly_background(tx), weight_col="n")
+    df = expl.shapley_values(tx.select(ID, *FEATURES), expl.linear_predictor(PINNED_CLASSIFIER), baseline=background)
+    return df.select(ID, *[round_to(f"phi_{f}", P6).alias(f"phi_{f}") for f in FEATURES])
+
+
+#: Pairs of features whose products make a wider model: 5 + 10 features.
+PRODUCTS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
+ORDERS = 8  # antithetic pairs of feature orders
+
+
+def _wide_model() -> clf.LinearModel:
+    """The pinned classifier with small interaction terms (fixed weights, alternating in sign)."""
+    scale = dict(zip(FEATURES, PINNED_CLASSIFIER.scale))
+    names = (*FEATURES, *[f"{a}_by_{b}" for a, b in PRODUCTS])
+    coef = (*PINNED_CLASSIFIER.raw_coef, *[(-1) ** k * 0.05 / (scale[a] * scale[b]) for k, (a, b) in enumerate(PRODUCTS)])
+    return clf.LinearModel((0.0,) * len(names), (1.0,) * len(names), coef, PINNED_CLASSIFIER.raw_intercept, names)
+
+
+def _wide_terms_sql() -> dict[str, str]:
+    values = [f"CAST({f} AS DOUBLE)" for f in FEATURES] + [f"(CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE))" for a, b in PRODUCTS]
+    model = _wide_model()
+    return {f: f"{twins.num(b)} * {v}" for f, b, v in zip(model.features, model.coef, values)}
+
+
+@query(
+    "shapley_many_features",
+    lambda: f"SELECT transaction_id, {', '.join(f'round(phi_{f}, {P6}) AS phi_{f}' for f in _wide_model().features)} "
+    f"FROM ({twins.phi_orders_sql(_wide_model().intercept, _wide_terms_sql(), _tx_sql(), ORDERS, 42)}) p",
+)
+def q_shapley_many_features(spark, sf_dir):
+    """U1 above 12 features: a 15-feature model explained from antithetic pairs of feature orders."""
+    model = _wide_model()
+    wide = transactions(spark, sf_dir).select(ID, *FEATURES, *[(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"{a}_by_{b}") for a, b in PRODUCTS])
+    df = expl.shapley_values(wide, expl.linear_predictor(model), model.features, permutations=ORDERS, seed=42)
+    return df.select(ID, *[round_to(f"phi_{f}", P6).alias(f"phi_{f}") for f in model.features])
+
+
+# ---------------------------------------------------------------- decisions from data
+@query(
+    "undecided_rows",
+    lambda: f"""SELECT transaction_id, CASE WHEN transaction_id % 11 > 2 THEN {_decision_sql()} END AS decision,
+      CASE transaction_id % 11 WHEN 0 THEN 'fraud probability is null' WHEN 1 THEN 'fraud probability is not a number' WHEN 2 THEN 'fraud probability is outside [0, 1]: 1.5' END AS reject_reason
+    FROM (SELECT transaction_id, {_prob_sql()} AS p FROM ({_tx_sql()}) t) s""",
+)
+def q_undecided_rows(spark, sf_dir):
+    """Rows whose probability is missing, no number or out of range are rejects with a reason; the others get their decision."""
+    df = clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER)
+    kind = F.col(ID) % 11
+    p = F.when(kind == 0, F.lit(None).cast("double")).when(kind == 1, F.lit(float("nan"))).when(kind == 2, F.lit(1.5)).otherwise(F.col("fraud_probability"))
+    return dec.decide_or_reject(df.withColumn("fraud_probability", p)).select(ID, "decision", "reject_reason")
+
+
+def _segment_costs(tx: DataFrame) -> DataFrame:
+    """A cost table from the view itself: segments are quarters of the day (the last has no offer),
+    tariffs follow the segment's mean amount, reviews are offered twice, and there is a fourth action."""
+    seg = tx.groupBy(F.expr("transaction_time div 6").cast("int").alias("segment")).agg(F.avg("amount").alias("a")).filter("segment < 3")
+    offer = lambda action, rank, fraud, clean, fixed: F.struct(F.lit(action).alias("action"), F.lit(rank).alias("rank"), fraud.cast("double").alias("if_fraud"), clean.cast("double").alias("if_clean"), fixed.cast("double").alias("fixed"))
+    a, none = F.col("a"), F.lit(0.0)
+    offers = F.array(
+        offer("approve", 0, a * 4.0, none, none),
+        offer("block", 1, none, a / 5.0, none),
+        offer("review", 2, none, none, F.lit(20.0)),
+        offer("review", 2, none, none, F.lit(12.0) + F.col("segment") * 2.0),
+        offer("call", 3, F.lit(30.0), F.lit(5.0), F.lit(3.0)),
+    )
+    return seg.select("segment", F.inline(offers))
+
+
+def _segment_costs_sql() -> str:
+    seg = f"SELECT transaction_time // 6 AS segment, avg(amount) AS a FROM ({_tx_sql()}) t WHERE transaction_time < 18 GROUP BY 1"
+    offers = [
+        ("approve", 0, "a * 4.0", "0.0", "0.0"),
+        ("block", 1, "0.0", "a / 5.0", "0.0"),
+        ("review", 2, "0.0", "0.0", "20.0"),
+        ("review", 2, "0.0", "0.0", "12.0 + segment * 2.0"),
+        ("call", 3, "30.0", "5.0", "3.0"),
+    ]
+    rows = [f"SELECT segment, '{n}' AS action, {r} AS rank, CAST({x} AS DOUBLE) AS f, CAST({y} AS DOUBLE) AS c, CAST({z} AS DOUBLE) AS x FROM seg" for n, r, x, y, z in offers]
+    return f"seg AS ({seg}), offers AS ({' UNION ALL '.join(rows)})"
+
+
+@query(
+    "choose_by_segment",
+    lambda: f"""WITH {_segment_costs_sql()},
+    priced AS (SELECT s.transaction_id, o.action, o.rank, s.p * o.f + (1.0 - s.p) * o.c + o.x AS cost
+      FROM (SELECT transaction_id, transaction_time // 6 AS segment, {_prob_sql()} AS p FROM ({_tx_sql()}) t) s LEFT JOIN offers o ON o.segment = s.segment),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY cost, rank, action) AS place FROM priced)
+    SELECT transaction_id, max(action) FILTER (WHERE place = 1) AS decision, round(min(cost), {P6}) AS best_cost, round(min(cost) FILTER (WHERE action = 'review'), {P6}) AS best_review
+    FROM ranked GROUP BY transaction_id""",
+)
+def q_choose_by_segment(spark, sf_dir):
+    """D1-D3, A7, A8, J1 with actions and costs as data: one cost table per segment, two offers for one action."""
+    tx = transactions(spark, sf_dir)
+    rows = clf.predict_proba(tx, PINNED_CLASSIFIER).withColumn("segment", F.expr("transaction_time div 6").cast("int"))
+    chosen = dec.choose_by_table(rows, _segment_costs(tx))
+    return chosen.select(ID, "decision", round_to("best_cost", P6).alias("best_cost"), round_to(F.element_at("costs", F.lit("review")), P6).alias("best_review"))
+
+
+@query(
+    "cheapest_proposals",
+    lambda: f"""WITH s AS (SELECT transaction_id, transaction_time, {_prob_sql()} AS p FROM ({_tx_sql()}) t),
+    offers AS ({" UNION ALL ".join(f"SELECT transaction_time, '{a}' AS action, {i} AS rank, {c} * (1.0 + ((transaction_id + {k}) % 5) / 10.0) AS cost FROM s" for k in range(2) for i, (a, c) in enumerate(zip(ACTIONS, _costs_sql())))}),
+    best AS (SELECT *, row_number() OVER (PARTITION BY transaction_time ORDER BY cost, rank, action) AS place FROM offers)
+    SELECT transaction_time, max(action) FILTER (WHERE place = 1) AS decision, round(min(cost), {P6}) AS best_cost, {", ".join(f"round(min(cost) FILTER (WHERE action = '{a}'), {P6}) AS best_{a}" for a in ACTIONS)}
+    FROM best GROUP BY transaction_time""",
+)
+def q_cheapest_proposals(spark, sf_dir):
+    """A7 + A8: two advisers propose every action for every transaction; per hour, each action's best cost and the cheapest action."""
+    options = dec.action_options(clf.predict_proba(transactions(spark, sf_dir), PINNED_CLASSIFIER), keep=(ID, "transaction_time"))
+    advised = options.withColumn("adviser", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("cost", F.col("cost") * (F.lit(1.0) + ((F.col(ID) + F.col("adviser")) % 5) / 10.0))
+    best = dec.cheapest_proposals(advised, ("transaction_time",))
+    return best.select("transaction_time", "decision", round_to("best_cost", P6).alias("best_cost"), *[round_to(F.element_at("costs", F.lit(a)), P6).alias(f"best_{a}") for a in ACTIONS])
+
+
+@query(
+    "estimator_pipeline",
+    lambda: _analysis_sql(
+        f"SELECT a.transaction_id, round(a.p, {P4}) AS fraud_probability, CASE WHEN a.p > 0.5 THEN 1 ELSE 0 END AS fraud_class, round(s.score - o.offset, {P6}) AS anomaly_score "
+        f"FROM (SELECT transaction_id, {twins.sigmoid_sql(' + '.join(['rb', *(f'r{j} * CAST({f} AS DOUBLE)' for j, f in enumerate(FEATURES))]))} AS p FROM ({_trained_rows_sql()}) t) a "
+        "JOIN scored s ON s.transaction_id = a.transaction_id CROSS JOIN offs o"
+    ),
+)
+def q_estimator_pipeline(spark, sf_dir):
+    """P2, P3, A1-A5, M1-M3 as ``pyspark.ml`` stages: a Pipeline fitted, saved, loaded and applied."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from ..operators.estimators import AnomalyForest, FraudClassifier
+
+    tx = transactions(spark, sf_dir)
+    path = scratch_path(spark, "pipeline")
+    Pipeline(stages=[FraudClassifier(), AnomalyForest()]).fit(tx).save(path)
+    out = PipelineModel.load(path).transform(tx)
+    return out.select(ID, round_to("fraud_probability", P4).alias("fraud_probability"), "fraud_class", round_to("anomaly_score", P6).alias("anomaly_score"))

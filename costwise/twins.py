@@ -102,6 +102,45 @@ def phi_sql(model: LinearModel, src: str, keep: tuple[str, ...] = ("transaction_
     return f"SELECT {k}, {', '.join(phis)} FROM (SELECT {k}, {', '.join(probs)} FROM ({src}) s0) s1"
 
 
+def phi_background_sql(model: LinearModel, src: str, background: str, weight: str, keep: str = "transaction_id") -> str:
+    """Shapley values against a background table by brute force: every row meets every
+    background row in every coalition. ``keep`` must tell the rows of ``src`` apart."""
+    m, beta, f = len(model.features), model.raw_coef, model.features
+    name = lambda S: "c_" + ("_".join(map(str, S)) if S else "e")
+    means = []
+    for S in coalitions(m):
+        eta = num(model.raw_intercept)
+        for j in range(m):
+            eta = f"({eta} + {num(beta[j])} * CAST({'x' if j in S else 'bg'}.{f[j]} AS DOUBLE))"
+        means.append(f"sum(bg.{weight} * {sigmoid_sql(eta)}) / sum(bg.{weight}) AS {name(S)}")
+    phis = [" + ".join(f"{num(w)} * ({name(a)} - {name(b)})" for w, a, b in terms) + f" AS phi_{f[i]}" for i, terms in enumerate(shapley_terms(m))]
+    return f"SELECT {keep}, {', '.join(phis)} FROM (SELECT x.{keep}, {', '.join(means)} FROM ({src}) x CROSS JOIN ({background}) bg GROUP BY x.{keep}) c"
+
+
+def md5_orders(m: int, pairs: int, seed: int) -> list[list[int]]:
+    """Feature orders by md5('seed:pair:feature'), restated."""
+    import hashlib
+
+    return [sorted(range(m), key=lambda i: hashlib.md5(f"{seed}:{k}:{i}".encode()).hexdigest()) for k in range(pairs)]
+
+
+def phi_orders_sql(intercept: float, terms: dict[str, str], src: str, pairs: int, seed: int, keep: str = "transaction_id") -> str:
+    """Shapley values of sigma(intercept + sum of terms) against zeros, from feature
+    orders and their reversals: each feature's mean step along the orders."""
+    names = list(terms)
+    m, masks = len(names), {}
+    name = lambda S: f"c{masks.setdefault(frozenset(S), len(masks))}"
+    steps: list[list[str]] = [[] for _ in names]
+    for order in md5_orders(m, pairs, seed):
+        for walk in (order, list(reversed(order))):
+            for at, i in enumerate(walk):
+                steps[i].append(f"({name(walk[: at + 1])} - {name(walk[:at])})")
+    inner = ", ".join(f"{t} AS t_{n}" for n, t in terms.items())
+    probs = ", ".join(f"{sigmoid_sql(' + '.join([num(intercept), *(f't_{names[i]}' for i in sorted(S))]))} AS c{k}" for S, k in masks.items())
+    phis = ", ".join(f"({' + '.join(st)}) / {2.0 * pairs} AS phi_{n}" for n, st in zip(names, steps))
+    return f"SELECT {keep}, {phis} FROM (SELECT {keep}, {probs} FROM (SELECT {keep}, {inner} FROM ({src}) s0) s1) s2"
+
+
 def phi_long_sql(phi_src: str, features=FEATURES) -> str:
     """(transaction_id, rank, feature, contribution) ranked by |phi| desc, then feature order."""
     rows = " UNION ALL ".join(
@@ -228,11 +267,12 @@ def forest_ctes(src: str, n_trees: int, max_samples: int, seed: int, features=FE
     xs = ", ".join(f"CAST({f} AS DOUBLE) AS x{j}" for j, f in enumerate(features))
     xcols = ", ".join(f"x{j}" for j in range(m))
     prime = 2**31 - 1
+    whole = "".join(f" || ':' || CAST(CAST(floor(x{j} * 1048576) AS BIGINT) AS VARCHAR)" for j in range(m))
     hex8 = lambda h, i: f"CAST(('0x' || substr({h}, {i}, 8)) AS BIGINT)"
     ctes = [
         f"fx AS (SELECT transaction_id, {xs} FROM ({src}) t)",
         f"""hx AS (SELECT *, {hex8('h', 1)} % {prime} AS h1, {hex8('h', 9)} % {prime} AS h2
-          FROM (SELECT *, md5('{seed}:' || CAST(transaction_id AS VARCHAR)) AS h FROM fx) x)""",
+          FROM (SELECT *, md5('{seed}:' || CAST(transaction_id AS VARCHAR){whole}) AS h FROM fx) x)""",
         f"""co AS (SELECT tree, 1 + {hex8('h', 1)} % {prime - 1} AS a, 1 + {hex8('h', 9)} % {prime - 1} AS c, {hex8('h', 17)} % {prime} AS b
           FROM (SELECT CAST(range AS INTEGER) AS tree, md5('{seed}:' || CAST(range AS VARCHAR)) AS h FROM range({n_trees})) x)""",
         f"""smp AS (SELECT tree, transaction_id, {xcols} FROM (
