@@ -266,6 +266,20 @@ def q_forest_score(spark, sf_dir):
     return df.select(ID, round_to("score", P6).alias("score"), round_to(F.col("score") - F.lit(fo.offset), P6).alias("anomaly_score"))
 
 
+@query(
+    "forest_score_jvm",
+    lambda: _forest_sql(
+        f"SELECT s.transaction_id, round(score, {P6}) AS score, round(score - o.offset, {P6}) AS anomaly_score FROM scored s CROSS JOIN offs o"
+    ),
+)
+def q_forest_score_jvm(spark, sf_dir):
+    """A6, M3, J2 without Python workers: the trees walked in column expressions."""
+    tx = transactions(spark, sf_dir)
+    fo = forest.fit_forest(tx)
+    df = tx.select(ID, forest.score_samples(fo, spark, engine="jvm").alias("score"))
+    return df.select(ID, round_to("score", P6).alias("score"), round_to(F.col("score") - F.lit(fo.offset), P6).alias("anomaly_score"))
+
+
 @query(
     "anomaly_offset",
     lambda: _forest_sql(

@@ -103,3 +103,16 @@ def test_a_task_holds_no_more_than_psi_rows_a_tree():
     want = rows.sort_values(["tree", "_key", "_h1"]).groupby("tree").head(4)
     assert got[["tree", "_h1"]].values.tolist() == want[["tree", "_h1"]].values.tolist()
     assert fst.Smallest(3, 4).prune() is None
+
+
+def test_walk_without_python_workers(spark, tx):
+    """The column expressions give the same bits as the numpy walk, in a plan without Python; constant data and all."""
+    for table, psi in ((tx, 64), (tx.limit(3), 256), (tx.withColumns({f: F.lit(1.0) for f in FEATURES}), 16)):
+        forest = fst.fit_forest(table, n_trees=7, max_samples=psi)
+        a = table.select(ID, fst.score_samples(forest, spark).alias("s"))
+        b = table.select(ID, fst.score_samples(forest, spark, engine="jvm").alias("s"))
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        plan = b._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and "Exchange" not in plan
+    with pytest.raises(ValueError, match="engine"):
+        fst.score_samples(forest, spark, engine="gpu")
