@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 WHITE_REGEX = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in one Arrow batch of whole texts; a worker holds one batch at a time.
+#: Rows of whole texts that a worker unpacks at once.
 TEXT_ROWS = 256
+#: Bytes of texts that a worker unpacks at once where rows are cut by size (a longer text goes alone).
+TEXT_BYTES = 12 << 20
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -31,15 +35,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def python_ready(spark: SparkSession, rows: int | None = None) -> None:
-    """Ship the package to the workers; with ``rows``, set the rows of an Arrow batch.
-
-    Spark bounds an Arrow batch by its rows only, so batches of whole texts
-    need fewer rows than the default of 10,000.
-    """
+def python_ready(spark: SparkSession) -> None:
+    """Ship the package to the workers. No setting of the session is changed: what a
+    worker unpacks at once is bounded where batches are read (``slices``, ``text_slices``)."""
     ship_package(spark)
-    if rows is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def ascii_lower(col):
@@ -68,6 +67,17 @@ def slices(batches, rows: int = TEXT_ROWS):
             yield b.slice(i, rows)
 
 
+def text_slices(batches, column: int, most: int = TEXT_BYTES):
+    """Arrow batches cut into pieces of at most about ``most`` bytes in a text or binary column (no copy)."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        piece = (np.cumsum(size, dtype=np.int64) - size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing will read again."""
     spark = df.sparkSession

@@ -93,14 +93,14 @@ def decode(payload: bytes, n: int, checkpoints: np.ndarray, table: tuple[np.ndar
     if not n:
         return np.empty(0, np.uint32)
     ids, size, top = table
-    raw = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint64)
+    # the 64 bits from every byte on, as one unaligned view
+    words = np.ndarray((len(payload) + 1,), ">u8", payload + b"\0" * 16, strides=(1,))
     out = np.zeros((len(checkpoints), every), np.uint32)
     at = checkpoints.astype(np.int64)
     last = 8 * len(payload)
-    shift_all, mask = 40 - top, np.uint64((1 << top) - 1)
+    shift_all, mask = 64 - top, np.uint64((1 << top) - 1)
     for step in range(every):
-        b = np.minimum(at, last) >> 3
-        window = (raw[b] << np.uint64(32)) | (raw[b + 1] << np.uint64(24)) | (raw[b + 2] << np.uint64(16)) | (raw[b + 3] << np.uint64(8)) | raw[b + 4]
+        window = words[np.minimum(at, last) >> 3].astype(np.uint64)
         peek = ((window >> (shift_all - (at & 7)).astype(np.uint64)) & mask).astype(np.int64)
         out[:, step] = ids[peek]
         at += size[peek]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from costwise.llm.common import TEXT_ROWS, python_ready, stage
+from costwise.llm.common import python_ready, stage, text_slices
 from costwise.llm.tokens import encoder, vocabulary_path
 
 CAPACITY, END_ID = 1024, 2
@@ -108,12 +108,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     enc, part = encoder(path), TaskContext.get().partitionId()
     ranks: dict[int, int] = {}
-    end = np.array([end_id], "<u4").tobytes()
-    for b in batches:
-        rows = []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids = np.frombuffer(enc.encode(text or ""), enc.dtype).astype("<u4").tobytes() + end
-            n = len(ids) // 4
+    for b in text_slices(batches, 1):
+        rows, at = [], 0
+        flat, counts = enc.encode_batch(b.column(1), end_id)
+        view = memoryview(flat.astype("<u4").tobytes())
+        for doc_id, n in zip(b.column(0).to_pylist(), counts.tolist()):
+            ids = view[4 * at : 4 * (at + n)]
+            at += n
             start, stop, piece = 0, n % capacity or capacity, 0  # the first piece takes what does not fill one
             while start < n:
                 length = stop - start
@@ -135,9 +136,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a null id) are documents of their own. An empty table gives no rows; other
     columns are ignored.
     """
-    python_ready(docs.sparkSession, TEXT_ROWS)
+    python_ready(docs.sparkSession)
     vocabulary = vocabulary or vocabulary_path()
     sent = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = stage(sent.mapInArrow(lambda it: _cut(it, vocabulary, end_id, capacity), _PIECES), "pack-pieces")
-    python_ready(docs.sparkSession, 10_000)
     return pack(pieces, capacity)
