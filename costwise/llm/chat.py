@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costwise.llm.common import TEXT_ROWS, python_ready
+from costwise.llm.common import TEXT_ROWS, python_ready, slices
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 PARTS_TYPE = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
@@ -117,7 +117,7 @@ def _format_sorted(batches: Iterator[pa.RecordBatch], max_chars: int, settings:
         done.clear()
         return batch
 
-    for b in batches:
+    for b in slices(batches):
         d = b.to_pydict()
         for c, role, text, parts in zip(d["conv_id"], d["role"], d["text"], d["parts"]):
             if visitor is None or c != conv:
@@ -155,7 +155,7 @@ def format_conversations(rows: DataFrame, max_chars: int = 1_000_000, **settings
     point offsets of assistant texts in ``formatted``. Other columns are
     ignored; an empty table gives no rows.
     """
-    python_ready(rows.sparkSession, TEXT_ROWS)
+    python_ready(rows.sparkSession)
     parts = F.col("parts") if "parts" in rows.columns and dict(rows.dtypes)["parts"].startswith("array<struct") else F.lit(None).cast(PARTS_TYPE)
     typed = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"), parts.alias("parts"))
     ordered = typed.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -194,7 +194,7 @@ def _read_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close():
         done.append((now["conv"], now["turns"], now["all"].hexdigest(), now["loss_chars"], now["loss"].hexdigest(), now["chars"]))
 
-    for b in batches:
+    for b in slices(batches):
         d = b.select(["conv_id", "formatted", "loss_spans"]).to_pydict()
         for conv, text, spans in zip(d["conv_id"], d["formatted"], d["loss_spans"]):
             if now is None or now["conv"] != conv:
@@ -224,7 +224,7 @@ def read_back(formatted: DataFrame, clustered: bool = False) -> DataFrame:
     the frame comes straight from ``format_conversations``, whose partitions
     are in order already; a stored table is sorted again.
     """
-    python_ready(formatted.sparkSession, TEXT_ROWS)
+    python_ready(formatted.sparkSession)
     if not clustered:
         formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return formatted.mapInArrow(_read_sorted, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costwise.llm.common import TEXT_ROWS, id_text, python_ready
+from costwise.llm.common import id_text, python_ready, slices
 
 UNKNOWN = "und"
 BITS = 15
@@ -107,7 +107,7 @@ class Model:
 def _count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for b in batches:
+    for b in slices(batches):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             docs[lang] = docs.get(lang, 0) + 1
             y = letters(text) if text else ()
@@ -146,7 +146,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: i
     ``MAX_LANGUAGES`` languages. Without any labelled row the model knows no
     language and answers ``und``.
     """
-    python_ready(rows.sparkSession, TEXT_ROWS)
+    python_ready(rows.sparkSession)
     labelled = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL")
     schema = "lang string, block int, counts binary"
     partial = labelled.mapInArrow(lambda it: _count(it, bits), schema)
@@ -169,7 +169,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: i
 
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model = shared.value
-    for b in batches:
+    for b in slices(batches):
         got = [model.score(t) for t in b.column("_text").to_pylist()]
         cols = [c for n, c in zip(b.schema.names, b.columns) if n != "_text"]
         names = [n for n in b.schema.names if n != "_text"]
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list |
     category L); otherwise the most probable language and its posterior. Any
     length of text is scored whole.
     """
-    python_ready(docs.sparkSession, TEXT_ROWS)
+    python_ready(docs.sparkSession)
     sent = docs.select(*(keep if keep is not None else ["doc_id"]), F.col(text_col).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name != "_text")
