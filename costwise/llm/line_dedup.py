@@ -12,9 +12,11 @@
    broadcast index, so that no shard sees them.
 4. Documents with lines to drop are cut and joined again.
 
-Every probed line is a member of its shard's hash, so its slot is its own and
-the answer exact (up to collisions of 128-bit hashes). Fingerprints guard
-probes with foreign lines (an index of an earlier table): 2^-32 pass.
+A line that probes its shard is a member of the shard's hash, so its slot is
+its own and the answer exact (up to collisions of 128-bit hashes); the
+fingerprints guard probes with foreign lines (an index of an earlier table):
+2^-32 pass. The hot index is probed by all lines, members or not, so it holds
+the whole 128-bit hash of every line and compares it.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costwise.llm.common import TEXT_ROWS, python_ready, stage
+from costwise.llm.common import python_ready, slices, stage
 from costwise.llm.perfect_hash import PerfectHash
 
 MIN_CHARS, MIN_DOCS = 20, 3
 LINES_PER_SHARD = 1 << 16
-#: Bound of the broadcast index of hot lines (28 bytes each).
+#: Bound of the broadcast index of hot lines (29 bytes each).
 HOT_LINES = 1_000_000
 _HOT_FLOOR = 1000  # documents that a line needs at least to be called hot
 _NO_ID = -(1 << 63)
@@ -58,7 +60,7 @@ def _texts(column: pa.Array) -> list:
 
 
 def _hash_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         counts, out = [], []
         for text in _texts(b.column(1)):
             own = set()
@@ -101,6 +103,41 @@ def probe(index: dict, hi, lo) -> tuple[np.ndarray, np.ndarray]:
     return np.where(known, counts[at].astype(np.int64), 0), last[at]
 
 
+def build_exact(hi, lo, n_docs, last) -> dict:
+    """The same with whole keys instead of fingerprints, for probes with lines that are no members."""
+    keys = _keys(hi, lo)
+    mph = PerfectHash.build(keys)
+    at = mph.slots(keys)
+    whole, counts, last_ids = np.empty((len(keys), 2), "<u8"), np.empty(len(keys), "<u4"), np.empty(len(keys), "<i8")
+    whole[at], counts[at], last_ids[at] = keys, np.minimum(n_docs, 0xFFFFFFFF), last
+    return {"hash": mph.dump(), "keys": whole.tobytes(), "counts": counts.tobytes(), "last_ids": last_ids.tobytes()}
+
+
+class ExactIndex:
+    """Opened once per worker: (documents, largest id) of members, (0, 0) of any other line."""
+
+    def __init__(self, index: dict):
+        self.hash = PerfectHash.load(index["hash"])
+        self.keys = np.frombuffer(index["keys"], "<u8").reshape(-1, 2)
+        self.counts, self.last = np.frombuffer(index["counts"], "<u4").astype(np.int64), np.frombuffer(index["last_ids"], "<i8")
+
+    def probe(self, hi, lo) -> tuple[np.ndarray, np.ndarray]:
+        keys = _keys(hi, lo)
+        at = self.hash.slots(keys)
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        known = (at >= 0) & (self.keys[at] == keys).all(axis=1)
+        return np.where(known, self.counts[at], 0), np.where(known, self.last[at], 0)
+
+
+def _build_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All hot lines (at most ``HOT_LINES``) -> one row."""
+    held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    if held:
+        index = build_exact(*(np.concatenate(c) for c in zip(*held)))
+        yield pa.RecordBatch.from_pylist([index], pa.schema([(n, pa.binary()) for n in index]))
+
+
 def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by shard -> one index row a shard."""
     now, held = None, []
@@ -132,7 +169,7 @@ def _drops(ids: np.ndarray, hi, lo, n: np.ndarray, last: np.ndarray, min_docs: i
 
 def _rebuild(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     """Last columns: text and the hashes to drop. Returns the others, text, n_lines and n_dropped."""
-    for b in batches:
+    for b in slices(batches):
         texts, n_lines, n_dropped = [], [], []
         drops = b.column("_ld_drop")
         for text, gone in zip(_texts(b.column("_ld_text")), drops.to_pylist()):
@@ -184,7 +221,7 @@ def dedup_lines(
     columns n_lines or n_dropped, the new ones replace them. An empty table
     stays empty.
     """
-    python_ready(docs.sparkSession, TEXT_ROWS)
+    python_ready(docs.sparkSession)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     text = F.col(text_col).cast("string")
     lines = stage(docs.select(ident.alias("id"), text.alias("text")).mapInArrow(lambda it: _hash_lines(it, min_chars), "id long, hi long, lo long"), "line-hashes")
@@ -192,18 +229,17 @@ def dedup_lines(
     total = lines.count()
     # at most ``hot_lines`` lines can hold more than that share of all occurrences each
     hot_docs = max(hot_floor, -(-total // hot_lines))
-    hot = per_line.filter(F.col("n_docs") > hot_docs).collect()
+    hot = per_line.filter(F.col("n_docs") > hot_docs).select("hi", "lo", "n_docs", "last").repartition(1)
+    built = stage(hot.mapInArrow(_build_hot, "hash binary, keys binary, counts binary, last_ids binary"), "line-hot").take(1)
     drops_type = "id long, hi long, lo long"
-    hot_index = None
-    if hot:
-        cols = [np.array([r[c] for r in hot], np.int64) for c in ("hi", "lo", "n_docs", "last")]
-        hot_index = docs.sparkSession.sparkContext.broadcast(build_index(*cols))
+    hot_index = docs.sparkSession.sparkContext.broadcast(built[0].asDict()) if built else None
 
     def at_home(batches, answer: bool):
         """Answers the hot lines (``answer``) or passes on the others."""
+        index = ExactIndex(hot_index.value)
         for b in batches:
             ids, hi, lo = (c.to_numpy() for c in b.columns)
-            n, last = probe(hot_index.value, hi, lo)
+            n, last = index.probe(hi, lo)
             if answer:
                 yield from _drops(ids, hi, lo, n, last, min_docs).to_batches()
             else:
