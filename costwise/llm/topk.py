@@ -5,12 +5,15 @@ row blocks; queries are rows too and lie in query blocks. Each pair of a query
 block and a row block is one unit of work, so neither all rows nor all queries
 ever sit in one place.
 
-1. Gather: every query block is scored against one row block, which gives a
-   local list of best scores; its k-th is a safe cutoff for the query, because
-   the true k-th best over all rows cannot be lower.
-2. Collect: the cutoffs travel with the query blocks to all row blocks. The
-   leading components are multiplied out; the rest adds at most the product of
-   the two remaining norms. Entries whose bound reaches the cutoff suffice.
+1. Gather: every row block gives every query a local list of a few good rows,
+   picked by the leading components (a quarter of the work) and scored exactly.
+   The k-th best score over the lists of all blocks is a safe cutoff for the
+   query, because the true k-th best over all rows cannot be lower; it tightens
+   as the table grows.
+2. Collect: the cutoffs travel with the query blocks to all row blocks, the same
+   threshold to each. More components are multiplied out; the rest adds at most
+   the product of the two remaining norms. Entries whose bound reaches the
+   cutoff suffice.
 3. Resolve: the remaining components of those entries are added exactly, and
    each block keeps its best k per query (ties to the smaller id); the lists
    merge by rank.
@@ -30,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from costwise.llm.common import python_ready, stage
+from costwise.llm.common import python_ready, slices, stage
 
 ROWS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 2048
 _EXACT = float(1 << 53)
+#: Rows that a block puts on a query's list at least, and the share of the components they are picked by.
+FEW, PICK = 4, 0.25
 _PACKED = "block int, ids binary, vectors binary, dim int, parts int"
 _HITS = "query_id long, vec_id long, score long"
 
@@ -55,7 +60,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [pa.array([now], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([1], pa.int32())]
         return pa.RecordBatch.from_arrays(cols, ["block", "ids", "vectors", "dim", "parts"])
 
-    for b in batches:
+    for b in slices(batches, 2048):
         for block, vec_id, v in zip(*(c.to_pylist() for c in b.columns)):
             if block != now:
                 if ids:
@@ -129,6 +134,23 @@ def local_lists(q: np.ndarray, q_ids: np.ndarray, cut: np.ndarray | None, x: np.
             yield i, x_ids[at[best]], scores[best]
 
 
+def picked(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, few: int, lead: int):
+    """(query place, exact scores) of a few rows of a block that lead in the first ``lead`` components."""
+    if not len(q) or not len(x):
+        return
+    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    kind = np.float64 if top < _EXACT else object
+    qf, xf = q.astype(kind), x.astype(kind)
+    # doubles are good enough to pick by; one row more than wanted, as the query's own may be among them
+    head = (q[:, :lead].astype(np.float64) @ x[:, :lead].astype(np.float64).T) if lead else np.zeros((len(q), len(x)))
+    n = min(few + 1, len(x))
+    at = np.argpartition(head, len(x) - n, axis=1)[:, len(x) - n :]
+    for i in range(len(q)):
+        mine = at[i][x_ids[at[i]] != q_ids[i]]
+        if len(mine):
+            yield i, _long(xf[mine] @ qf[i])
+
+
 def top_k(
     vectors: DataFrame,
     k: int = 20,
@@ -152,7 +174,7 @@ def top_k(
     last eighth).
     """
     spark = vectors.sparkSession
-    python_ready(spark, 2048)
+    python_ready(spark)
     x = F.transform(F.col(vec_col), lambda v: F.floor(v.cast("double") * scale).cast("long"))
     fine = F.forall(F.col(vec_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     ints = stage(
@@ -171,24 +193,27 @@ def top_k(
     rows = packed(ints, row_blocks, 1, "topk-rows")
     asked = packed(ints.filter(is_query), query_blocks, 2, "topk-queries")
 
-    def cutoffs(pdf: pd.DataFrame) -> pd.DataFrame:
+    few = max(FEW, -(-2 * k // row_blocks))
+    pick = max(1, int((dim or 1) * PICK))
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples():
             width = max(r.dim, r.q_dim)
             q, m = _matrix(r.q_vectors, r.q_dim, width), _matrix(r.vectors, r.dim, width)
-            cut = np.full(len(q), np.iinfo(np.int64).min)
-            for i, _, scores in local_lists(q, np.frombuffer(r.q_ids, np.int64), None, m, np.frombuffer(r.ids, np.int64), k, width):
-                if len(scores) == k:
-                    cut[i] = _long(scores[-1:])[0]
-            out.append((r.q_block, r.q_ids, r.q_vectors, r.q_dim, cut.tobytes()))
-        return pd.DataFrame(out, columns=["q_block", "q_ids", "q_vectors", "q_dim", "cut"])
+            for i, scores in picked(q, np.frombuffer(r.q_ids, np.int64), m, np.frombuffer(r.ids, np.int64), few, min(pick, width)):
+                out.append((np.full(len(scores), r.q_block, np.int32), np.full(len(scores), i, np.int32), scores))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, t) for t in (np.int32, np.int32, np.int64)]
+        return pd.DataFrame(dict(zip(("q_block", "place", "score"), cols)))
 
     def hits(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in pdf.itertuples():
             width = max(r.dim, r.q_dim)
             q, m = _matrix(r.q_vectors, r.q_dim, width), _matrix(r.vectors, r.dim, width)
-            q_ids, cut = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.cut, np.int64)
+            q_ids, cut = np.frombuffer(r.q_ids, np.int64), np.full(len(q), np.iinfo(np.int64).min)
+            for c in r.cuts if r.cuts is not None else ():
+                cut[c["place"]] = c["cut"]
             for i, ids, scores in local_lists(q, q_ids, cut, m, np.frombuffer(r.ids, np.int64), k, lead):
                 out.append((np.full(len(ids), q_ids[i]), ids, _long(scores)))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3
@@ -203,11 +228,13 @@ def top_k(
         return run
 
     q = asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim"))
-    python_ready(spark, 4)  # rows are pairs of packed blocks now, megabytes each
-    first = q.withColumn("block", F.col("q_block") % row_blocks).join(rows, "block")
-    with_cut = stage(first.mapInPandas(batched(cutoffs), "q_block int, q_ids binary, q_vectors binary, q_dim int, cut binary"), "topk-cutoffs")
     # every query block meets every row block: block ids are dealt out, the rows of a pair join on the block id
-    pairs = with_cut.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("block")
+    lists = stage(q.select("*", blocks).join(rows, "block").mapInPandas(batched(gather), "q_block int, place int, score long"), "topk-lists")
+    in_query = Window.partitionBy("q_block", "place").orderBy(F.desc("score"))
+    kth = lists.withColumn("rank", F.row_number().over(in_query)).filter(F.col("rank") <= k).groupBy("q_block", "place").agg(F.min("score").alias("cut"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    per_block = kth.groupBy("q_block").agg(F.collect_list(F.struct("place", "cut")).alias("cuts"))  # a block of queries at most
+    pairs = stage(q.join(per_block, "q_block", "left"), "topk-cutoffs").select("*", blocks)
     found = stage(pairs.join(rows, "block").mapInPandas(batched(hits), _HITS), "topk-hits")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
