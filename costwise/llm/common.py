@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of whole texts that a worker unpacks at once.
 TEXT_ROWS = 256
 #: Bytes of texts that a worker unpacks at once where rows are cut by size (a longer text goes alone).
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 4 << 20
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +66,7 @@ def slices(batches, rows: int = TEXT_ROWS):
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def text_slices(batches, column: int, most: int = TEXT_BYTES):
@@ -76,6 +78,7 @@ def text_slices(batches, column: int, most: int = TEXT_BYTES):
         for i, j in zip(cuts, cuts[1:]):
             if j > i:
                 yield b.slice(i, j - i)
+        pa.default_memory_pool().release_unused()
 
 
 def discard(df: DataFrame) -> None:

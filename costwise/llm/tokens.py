@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED = 100_000  # pieces in each of the two halves of the cache of odd pieces: 40 MB a worker at most
-KNOWN = 1_500_000  # words in the table of words seen before: about 20 bytes each, 30 MB a worker
+CACHED = 50_000  # pieces in each of the two halves of the cache of odd pieces: 20 MB a worker at most
+KNOWN = 1_000_000  # words in the table of words seen before: about 25 bytes each, 25 MB a worker
 _CUT = re.compile(r"(?= \S)")
 _LINES = re.compile(r"\S+(?:\n\S+)+")
 _LONE_BLANK = re.compile(r" (?=\s|\Z)")
