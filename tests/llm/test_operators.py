@@ -64,17 +64,55 @@ def test_exact_dedup(spark, mixed_rows):
     want = Counter()
     for norm, members in groups.items():
         best = min(members)
-        for m in members:
-            want[(m[3], best[3], len(members), m[3] == best[3] and m[0] == best[0], hashlib.sha256(norm.encode()).hexdigest())] += 1
+        for i, m in enumerate(sorted(members)):
+            want[(m[3], best[3], len(members), i == 0, hashlib.sha256(norm.encode()).hexdigest())] += 1
     assert Counter(tuple(r) for r in got) == want
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_exact_dedup_keeps_one_of_rows_that_repeat_the_kept_id(spark, monkeypatch, hot):
+    """A third of the rows are one row, others repeat an id or have none; one row of each group stays."""
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 5 if hot else 10**6)
+    monkeypatch.setattr(exact_dedup, "_CUT", 7)
+    rows = [(1, "hot text", "en", "a")] * 100
+    rows += [(5, "x y", "en", "a"), (5, "xy ", "en", "a"), (5, " xy", "en", "a"), (None, "abc  d", "en", "a"), (None, "abcd  ", "en", "a"), (None, "only", "en", "a")]
+    rows += [(None, "zz", "en", "a"), (2, "z z", "en", "a"), (3, "z  z", "en", "a"), (3, "zz  ", "en", "a"), (-(1 << 63), "low", "en", "a"), ((1 << 63) - 1, "low", "en", "a")]
+    rows += [(i, f"text {i}", "en", "a") for i in range(10, 150)]
+    random.Random(4).shuffle(rows)
+    got = exact_dedup.exact_dedup(docs_df(spark, rows).repartition(5)).collect()
+    assert len(got) == len(rows)
+    kept = Counter(r.text_sha256 for r in got if r.kept)
+    assert set(kept.values()) == {1} and len(kept) == len({re.sub(WHITE, "", t) for _, t, *_ in rows})
+    by = {r.text_sha256: (r.keep_id, r.group_size) for r in got}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert by[sha("hottext")] == (1, 100) and by[sha("xy")] == (5, 3) and by[sha("abcd")] == (None, 2) and by[sha("zz")] == (3, 4) and by[sha("low")] == (-(1 << 63), 2)
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
 def test_exact_dedup_compares_contents_under_one_digest(spark, mixed_rows):
     full = exact_dedup.exact_dedup(docs_df(spark, mixed_rows)).collect()
     weak = exact_dedup.exact_dedup(docs_df(spark, mixed_rows), digest_hex=1).collect()
     assert Counter(map(tuple, full)) == Counter(map(tuple, weak))
 
 
+def test_foreign_line_that_shares_slot_and_fingerprint_is_no_hot_line():
+    """A line outside the hot index with a member's slot and fingerprint: only the whole hash tells them apart."""
+    r = np.random.default_rng(3)
+    keys = r.integers(-(1 << 62), 1 << 62, size=(200, 2))
+    index = line_dedup.build_exact(keys[:, 0], keys[:, 1], np.arange(200) + 5, np.arange(200) * 10)
+    exact = line_dedup.ExactIndex(index)
+    n, last = exact.probe(keys[:, 0], keys[:, 1])
+    assert n.tolist() == list(range(5, 205)) and last.tolist() == [10 * i for i in range(200)]
+    # foreign keys with the fingerprint of a member: some fall on a member's slot and pass a fingerprint index
+    weak = line_dedup.build_index(keys[:, 0], keys[:, 1], np.arange(200) + 5, np.arange(200) * 10)
+    lo = np.repeat(keys[:, 1], 2000)
+    hi = r.integers(-(1 << 62), 1 << 62, size=len(lo))
+    assert (line_dedup.probe(weak, hi, lo)[0] > 0).any()
+    n, last = exact.probe(hi, lo)
+    assert not n.any() and not last.any()
+    assert line_dedup.ExactIndex(line_dedup.build_exact([], [], [], [])).probe([1], [2])[0].tolist() == [0]
+
+
 def plain_lines(rows, min_chars=20, min_docs=3):
     key = lambda x: re.sub(rf"^{WHITE}+|{WHITE}+$", "", x).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     none = -(1 << 63)
@@ -463,3 +501,141 @@ def test_license_scan(spark, mixed_rows):
     assert {(r.doc_id, r.license) for r in split} == set(got)
     assert license_scan.scan_licenses(docs_df(spark, rows).limit(0)).count() == 0
     assert license_scan.scan_licenses(docs_df(spark, rows), templates={}).count() == 0
+
+
+def test_operators_leave_the_session_as_it_was(spark):
+    """No operator changes a setting of the session, whatever its result is used for later."""
+    from costwise.llm import queries
+
+    def settings():
+        return {k: v for k, v in spark.conf.getAll.items() if k != "spark.checkpoint.dir"}
+
+    before = settings()
+    for name, query in queries.QUERIES.items():
+        query(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+        assert settings() == before, name
+
+
+def test_topk_cutoffs_come_from_all_blocks(spark, monkeypatch):
+    """Lists of all row blocks tighten the cutoffs: few entries more than the result are sent. Repeated ids included."""
+    r = random.Random(11)
+    rows = [(i, [r.gauss(0, 1) for _ in range(16)]) for i in range(600)]
+    rows += [(20, rows[3][1]), (20, list(rows[20][1])), (41, rows[41][1]), (41, rows[60][1]), (7, [1.0] * 5), (8, [2.0] * 30), (None, [1.0] * 16)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sent = {}
+    real = topk.stage
+    monkeypatch.setattr(topk, "stage", lambda d, name: sent.setdefault(name, real(d, name)))
+    got = Counter(tuple(x) for x in topk.top_k(df, k=5, rows_per_block=64, queries_per_block=7).collect())
+    ints = [(i, [int(np.floor(np.float64(np.float32(x)) * 64)) for x in v]) for i, v in rows if i is not None]
+    want = Counter()
+    for q in {i for i, _ in ints if i % 20 == 0}:
+        scored = sorted(((-sum(a * b for a, b in zip(v, w)), j) for i, v in ints if i == q for j, w in ints if j != q))[:5]
+        for rank, (s, j) in enumerate(scored, 1):
+            want[(q, rank, j, -s)] += 1
+    assert got == want
+    n_queries = len([1 for i, _ in ints if i % 20 == 0])
+    assert sent["topk-hits"].count() < 4 * 5 * n_queries
+
+
+def plain_licenses(texts, templates, required, words=5, threshold=0.8):
+    """Brute force: (text place, license) by exact containment and phrases."""
+    split = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    shingles = lambda w: [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    out = set()
+    for name, t in templates.items():
+        wanted = set(shingles(split(t)))
+        for i, text in enumerate(texts):
+            w = split(text)
+            at = [j for j, s in enumerate(shingles(w)) if s in wanted]
+            if wanted and len({shingles(w)[j] for j in at}) >= threshold * len(wanted):
+                span = f" {' '.join(w[min(at) : max(at) + words])} "
+                if all(f" {p} " in span for p in required.get(name, ())):
+                    out.add((i, name))
+    return out
+
+
+def test_license_recall_of_edited_templates(spark):
+    """Templates of 9 to 90 words with one to three words changed, left out or put in, within other text: all are found."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    templates = {f"t{i}": " ".join(word() for _ in range(n)) for i, n in enumerate([*range(9, 40), 50, 64, 90])}
+    texts = []
+    for t in templates.values():
+        for k in range(8):
+            w = t.split()
+            if k == 0 and len(w) < 12:  # one shingle in the middle broken by its middle word only
+                w[len(w) // 2] = word()
+            for _ in range(k % 4):
+                i = r.randrange(len(w))
+                w[i : i + 1] = r.choice([[word()], [], [w[i], word()]])
+            texts.append(" ".join([word() for _ in range(r.randrange(30))] + w + [word() for _ in range(r.randrange(30))]))
+    want = plain_licenses(texts, templates, {})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.license) for x in license_scan.scan_licenses(df, templates).collect()}
+    assert len(want) > 100 and got == want
+
+
+def test_licenses_of_nearly_the_same_wording(spark):
+    """Versions and families are told apart; each default template finds itself."""
+    t = license_scan.TEMPLATES
+    names = list(t)
+    texts = [f"Some words before. {t[n]} And some after, in version 7 of the file." for n in names]
+    texts += [t["GPL-3.0-or-later"].replace("version 3", "version 2"), t["GPL-3.0-or-later"].replace("General", "Lesser General"), "Licensed under the MIT License, see LICENSE"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.license) for x in license_scan.scan_licenses(df).collect()}
+    assert got == plain_licenses(texts, t, license_scan.REQUIRED)
+    assert {(i, n) for i, n in enumerate(names)} <= got
+    by = {}
+    for i, n in got:
+        by.setdefault(i, set()).add(n)
+    assert by[names.index("GPL-2.0-notice")] == {"GPL-2.0-notice"} and by[names.index("GPL-3.0-notice")] == {"GPL-3.0-notice"}
+    assert by[names.index("LGPL-2.1-or-later")] == {"LGPL-2.1-or-later"} and by[names.index("AGPL-3.0-or-later")] == {"AGPL-3.0-or-later"}
+    assert "GPL-3.0-or-later" not in by.get(len(names), set()) | by.get(len(names) + 1, set()) and by[len(names) + 2] == {"MIT-notice-licensed"}
+
+
+def plain_buckets(text, bits=15):
+    """Folding, n-grams and their buckets in plain Python integers, by the module's stated rule."""
+    folded = []
+    for c in text:
+        low = c.lower()
+        ch = (low if len(low) == 1 and ord(low) < 0x10000 else c) if c.isalpha() and ord(c) < 0x10000 else c if c.isalpha() else " "
+        if ch != " " or (folded and folded[-1] != " "):
+            folded.append(ch)
+    whole = "".join(folded).strip(" ")
+    if not whole:
+        return Counter()
+    z, all_ones = [ord(c) for c in f" {whole} "], (1 << 64) - 1
+    a, b, c = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    out = Counter()
+    for i in range(len(z)):
+        one = (z[i] + 1) * a & all_ones
+        hashes = [one] if z[i] != 32 else []
+        if i + 1 < len(z):
+            two = ((one ^ (one >> 29)) * b + z[i + 1] * c) & all_ones
+            hashes.append(two + 2 & all_ones)
+            if i + 2 < len(z):
+                hashes.append(((two ^ (two >> 31)) * a + z[i + 2] * b) + 3 & all_ones)
+        for h in hashes:
+            out[((h ^ (h >> 32)) * c & all_ones) >> (64 - bits)] += 1
+    return out
+
+
+def test_language_model_against_plain_python(spark):
+    """Counts, probabilities and predictions without any of the module's own functions."""
+    r = random.Random(12)
+    words_of = {"en": ["the", "cat", "sat", "on", "mat"], "de": ["der", "Hund", "läuft", "über", "Straße"], "xx": ["𝒜b", "ÇA", "İx", "日本"]}
+    rows = [(i, " ".join(r.choice(words_of[la]) for _ in range(r.randrange(1, 12))) + r.choice(["", "! 42", "\n\n "]), la, "a") for i, la in enumerate(["en", "de", "xx"] * 12)]
+    model = langid.fit(docs_df(spark, rows))
+    langs = sorted(words_of)
+    counts = {la: sum((plain_buckets(t) for _, t, x, _ in rows if x == la), Counter()) for la in langs}
+    log_prob = {la: {b: np.log((counts[la][b] + 0.5) / (sum(counts[la].values()) + 0.5 * 2**15)) for b in range(2**15)} for la in langs}
+    assert model.languages == langs
+    for text in ["der Kater", "the Hund", "日本 b", "ÇÇ the", "42", ""]:
+        grams = plain_buckets(text)
+        if not grams:
+            assert model.score(text) == ("und", 0.0)
+            continue
+        total = np.array([np.log(1 / 3) + sum(n * log_prob[la][b] for b, n in grams.items()) for la in langs])
+        p = np.exp(total - total.max())
+        assert model.score(text) == (langs[int(total.argmax())], pytest.approx(p.max() / p.sum()))
