@@ -11,12 +11,13 @@ inverted lists of retained values, union-sketch estimates, exact Jaccard.
    t agree on a residue class with probability t^TUPLE or more, independently;
    with ``CLASSES`` = 45 of them, a pair of similarity 0.8 shares no list with
    probability 1e-6. Smaller sets have fewer residue classes (see ``keys``).
-3. Star pairs: every member of a list is paired with one member (in one of
-   ``ORDERS`` orders, so that a group of copies has several centres). The
-   pair's similarity is estimated from both sketches (bottom-k of the union);
-   likely pairs are confirmed on the full sets and links give components. In
-   lists that still span several components, members outside the largest are
-   paired with another member of it, and so on while that helps.
+3. Star pairs: every member of some list is paired with the centres of its
+   largest lists (centres are chosen in one of ``ORDERS`` orders, so that a group
+   of copies has several), at most ``STARS`` of them. The pair's
+   similarity is estimated from both sketches (bottom-k of the union); likely
+   pairs are confirmed on the full sets and links give components. In lists
+   that still span several components, members outside the largest are paired
+   with a member of it, once for each such component, and so on while that helps.
 4. What is left is done in full: in each list that spans several components,
    members outside the largest component are paired with all members of other
    components. Long lists, and large components with all that share a list
@@ -45,14 +46,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costwise.llm.common import TEXT_ROWS, python_ready, stage
+from costwise.llm.common import python_ready, slices, stage
 from costwise.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 SKETCH, TUPLE, CLASSES = 64, 6, 45
-ORDERS, ROUNDS = 4, 4
+ORDERS, ROUNDS, STARS = 4, 4, 4
 #: Components and lists of so many members are compared in blocks of so many bytes of sets.
-LARGE, BLOCK_BYTES = 64, 1 << 20
+LARGE, LONG, BLOCK_BYTES = 64, 32, 1 << 20
+#: Rows of small tables up to this many are broadcast (checked).
+BROADCAST_ROWS = 100_000
 #: Sets up to this size (at 0.8) differ in at most two shingles when similar; their lists are all subsets without up to two shingles.
 SMALL = 13
 #: Fewer values than this are too common a key.
@@ -177,7 +180,7 @@ def keys(values: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         n, digests, sketches, lists = [], [], [], []
         for text in pc.cast(b.column(1), pa.binary()).to_pylist():
             s = shingle_set(text, words)
@@ -192,7 +195,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, threshold: float) -> It
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         sets = [shingle_set(t, words).tobytes() for t in pc.cast(b.column(0), pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["digest", "full"])
 
@@ -208,9 +211,16 @@ def estimate(a: bytes, b: bytes) -> float:
 
 
 def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(cid, full): full sets of the named classes, from the text of one document of each."""
-    named = cids.distinct().join(classes.select("cid", "digest", "rep"), "cid")
-    text = docs.join(named.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
+    """(cid, full): full sets of the named classes, from the text of one document of each.
+
+    The documents' ids are broadcast while they are few (checked), so that no
+    other text moves; else texts and ids meet by a shuffle.
+    """
+    named = stage(cids.distinct().join(classes.select("cid", "digest", "rep"), "cid"), "near-named")
+    reps = named.select(F.col("rep").alias("_rep")).distinct()
+    if named.count() <= BROADCAST_ROWS:
+        reps = F.broadcast(reps)
+    text = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
     full = text.mapInArrow(lambda it: _full_sets(it, words), "digest binary, full binary").dropDuplicates(["digest"])
     return stage(named.select("cid", "digest").join(full, "digest").select("cid", "full"), "near-sets")
 
@@ -242,24 +252,27 @@ def _in_blocks(grouped: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     that link come out, never the pairs.
     """
     spark = grouped.sparkSession
-    filled = grouped.join(_sets_of(grouped.select("cid"), classes, docs, words), "cid")
-    room = filled.groupBy("kind", "group", "side").agg(F.ceil(F.sum(F.length("full")) / BLOCK_BYTES).alias("blocks"))
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block")
-    packed = stage(filled.join(room, ["kind", "group", "side"]).groupBy("kind", "group", "side", block).agg(F.collect_list(F.struct("root", "full")).alias("held")), "near-blocks")
-    python_ready(spark, 2)  # rows are pairs of blocks from here on
+    filled = stage(grouped.join(_sets_of(grouped.select("cid"), classes, docs, words), "cid"), "near-filled")
+    room = filled.groupBy("kind", "group", "side").agg(F.ceil(F.sum(F.length("full")) / BLOCK_BYTES).alias("blocks")).filter("blocks > 1")
+    room = stage(room, "near-room")  # at most a row for each ``BLOCK_BYTES`` of sets
+    if room.count() <= BROADCAST_ROWS:
+        room = F.broadcast(room)
+    block = F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1))).alias("block")
+    packed = stage(filled.join(room, ["kind", "group", "side"], "left").groupBy("kind", "group", "side", block).agg(F.collect_list(F.struct("root", "full")).alias("held")), "near-blocks")
 
     def compare(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             for xs, ys in zip(*(c.to_pylist() for c in b.columns)):
                 got = sorted(linked_roots([(x["root"], x["full"]) for x in xs], [(y["root"], y["full"]) for y in ys], threshold))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     sides = [packed.filter(F.col("side") == i).select("kind", "group", F.col("block").alias(f"block{i}"), F.col("held").alias(f"held{i}")) for i in (0, 1)]
-    meet = sides[0].join(sides[1], ["kind", "group"]).filter("kind = 0 OR block0 <= block1")  # a list meets itself
+    # pairs of block numbers first; the blocks join them one side after the other
+    numbers = [s.drop(f"held{i}") for i, s in enumerate(sides)]
+    meet = stage(numbers[0].join(numbers[1], ["kind", "group"]).filter("kind = 0 OR block0 <= block1"), "near-meet")  # a list meets itself
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: spread without merging partitions
-    out = stage(meet.repartition(n, "group", "block0", "block1").select("held0", "held1").mapInArrow(compare, "a long, b long"), "near-between")
-    python_ready(spark, TEXT_ROWS)
-    return out.distinct()
+    held = meet.join(sides[0], ["kind", "group", "block0"]).join(sides[1], ["kind", "group", "block1"])
+    return stage(held.repartition(n, "kind", "group", "block0", "block1").select("held0", "held1").mapInArrow(compare, "a long, b long"), "near-between").distinct()
 
 
 def _pairs_confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: float, errors: float = 5.0) -> DataFrame:
@@ -302,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored. Ids are cast to ``id_type``, any type with an order.
     """
     spark = docs.sparkSession
-    python_ready(spark, TEXT_ROWS)
+    python_ready(spark)
     texts = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = stage(texts.mapInArrow(lambda it: _sets(it, words, threshold), f"doc_id {id_type}, n long, digest binary, sketch binary, keys array<long>"), "near-sketches")
     classes = stage(
@@ -318,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.min(F.struct(F.xxhash64(order, "cid").alias("h"), F.col("cid").alias("cid"))).getField("cid")
 
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), centre(F.pmod("key", F.lit(ORDERS))).alias("pivot")).filter("members > 1")
-    linked = stage(posted.join(lists, "key").select("key", "cid", "pivot"), "near-lists")
+    linked = stage(posted.join(lists, "key").select("key", "cid", "pivot", "members"), "near-lists")
     rows = stage(sketched.filter("n > 0").select("doc_id", "digest").join(classes.select("digest", "cid"), "digest").select("doc_id", "cid"), "near-rows")
     per_id = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).filter("a <> z")
     same_id = rows.join(per_id, "doc_id").filter("cid <> a").select("a", F.col("cid").alias("b"))
@@ -326,7 +339,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def pairs_of(df, x, y):
         return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
-    tried = stage(pairs_of(linked.filter("cid <> pivot"), "pivot", "cid"), "near-tried")
+    centres = F.slice(F.sort_array(F.collect_set(F.struct("members", "pivot")), False), 1, STARS)  # of a class's few lists
+    largest = linked.filter("cid <> pivot").groupBy("cid").agg(centres.alias("c")).select("cid", F.explode("c.pivot").alias("pivot"))
+    tried = stage(pairs_of(largest, "pivot", "cid"), "near-tried")
     links = same_id.unionByName(_pairs_confirmed(tried, classes, texts, words, threshold, errors=2.0))
     lists_open, before = linked.select("key", "cid"), None
     for turn in range(1, ROUNDS + 1):
@@ -335,13 +350,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # lists that still span several components, and the largest of these
         per_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), centre(F.pmod("key", F.lit(ORDERS * 4)) + turn).alias("rep"))
         main = per_root.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "root", "rep")).alias("m")).filter("parts > 1")
-        open_ = stage(placed.join(main.select("key", F.col("m.root").alias("main"), F.col("m.rep").alias("rep")), "key"), "near-open")
+        open_ = stage(placed.join(main.select("key", F.col("m.root").alias("main"), F.col("m.rep").alias("rep"), F.col("m.size").alias("in_main")), "key"), "near-open")
         outside = open_.filter("root <> main")
         n_outside = outside.count()
         if not n_outside or turn == ROUNDS or (before is not None and n_outside > 0.7 * before):
             break
         before, lists_open = n_outside, open_.select("key", "cid")
-        star = pairs_of(outside, "rep", "cid").join(tried, ["a", "b"], "left_anti")
+        per_main = outside.groupBy("cid", "main").agg(F.max(F.struct("in_main", "key", "rep")).getField("rep").alias("rep"))
+        star = pairs_of(per_main, "rep", "cid").join(tried, ["a", "b"], "left_anti")
         found = _pairs_confirmed(star, classes, texts, words, threshold, errors=2.0)
         links = stage(links.unionByName(found), "near-links")
 
@@ -355,7 +371,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         once = whole_list.filter("lo <> hi").groupBy("n", "s", "lo", "hi").agg(F.min("key").alias("key")).select("key", "n")
         small = stage(small.join(once, "key"), "near-small")
 
-        short = small.filter(F.col("n") < LARGE).join(classes.select("cid", F.col("n").alias("size")), "cid")
+        short = small.filter(F.col("n") < LONG).join(classes.select("cid", F.col("n").alias("size")), "cid")
         one = short.select("key", F.col("cid").alias("x"), F.col("root").alias("rx"), F.col("size").alias("nx"))
         two = short.select(F.col("key").alias("key2"), F.col("cid").alias("y"), F.col("root").alias("ry"), F.col("size").alias("ny"))
         fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny") - 1e-6
@@ -368,7 +384,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         side = lambda df, i: df.select(*[F.col(c) for c in ("kind", "group")], F.lit(i).alias("side"), "root", "cid")
         of_big = members.join(big, "root").select(F.lit(0).alias("kind"), F.col("root").alias("group"), "root", "cid")
         near_big = touching.join(members, "root").select(F.lit(0).alias("kind"), "group", "root", "cid")
-        listed = small.filter(F.col("n") >= LARGE).select(F.lit(1).alias("kind"), F.col("key").alias("group"), "root", "cid")
+        listed = small.filter(F.col("n") >= LONG).select(F.lit(1).alias("kind"), F.col("key").alias("group"), "root", "cid")
         grouped = stage(side(of_big, 0).unionByName(side(near_big, 1)).unionByName(side(listed, 0)).unionByName(side(listed, 1)), "near-grouped")
         if grouped.limit(1).count():
             more = more.unionByName(_in_blocks(grouped, classes, texts, words, threshold))
