@@ -428,11 +428,12 @@ def _literal(values: np.ndarray, kind: str) -> Column:
 
 
 def mean_path_jvm(forest: Forest) -> Column:
-    """A6 without Python workers: the same mean as ``mean_path``, bit for bit.
+    """A6 without Python workers: the same mean as ``mean_path``, bit for bit, as one column.
 
     The forest's node arrays are constants of the plan. Every tree is walked by
     a fold over as many levels as it has at most; a leaf is its own child, so
     a row that has arrived stays. The paths are sorted and added in sequence.
+    Folds are not compiled: for whole tables, ``with_mean_path_jvm`` is the faster form.
     """
     check_forest_size(forest.n_trees, forest.psi)
     n_trees, width = forest.feature.shape
@@ -445,26 +446,83 @@ def mean_path_jvm(forest: Forest) -> Column:
     split = _literal(np.where(leaf, 0, feature), "int")
     threshold = _literal(np.where(leaf, 0.0, forest.threshold.ravel()), "double")
     path = _literal(forest.path.ravel(), "double")
-    x = F.array(*[F.col(f).cast("double") for f in forest.features])
+    roots = _literal(np.arange(n_trees) * width + 1, "int")
     levels = F.sequence(F.lit(1), F.lit(forest.max_depth))
 
-    def walk(root: Column) -> Column:
+    def walk(x: Column, root: Column) -> Column:
         step = lambda n, _: F.when(F.get(x, F.get(split, n)) > F.get(threshold, n), F.get(children[1], n)).otherwise(F.get(children[0], n))
         return F.get(path, F.aggregate(levels, root, step))
 
-    paths = F.transform(_literal(np.arange(n_trees) * width + 1, "int"), walk)
-    return F.aggregate(F.array_sort(paths), F.lit(0.0), lambda total, p: total + p) / F.lit(float(n_trees))
+    row = F.array(F.array(*[F.col(f).cast("double") for f in forest.features]))  # bound once a row, not once a step
+    paths = F.get(F.transform(row, lambda x: F.transform(roots, lambda root: walk(x, root))), 0)
+    return _mean_in_order(paths, n_trees)
+
+
+def _mean_in_order(paths: Column, n_trees: int) -> Column:
+    return F.aggregate(F.sort_array(paths), F.lit(0.0), lambda total, p: total + p) / F.lit(float(n_trees))
+
+
+def _numbered(forest: Forest, tree: int) -> tuple[dict[str, np.ndarray], int]:
+    """A tree's own nodes, numbered level by level from the root (0), and its depth; a leaf is its own child."""
+    width = forest.feature.shape[1]
+    is_leaf = lambda k: forest.feature[tree, k] < 0 or 2 * k + 1 >= width
+    nodes = [1]
+    for k in nodes:
+        if not is_leaf(k):
+            nodes += [2 * k, 2 * k + 1]
+    place = {k: i for i, k in enumerate(nodes)}
+    leaf = np.array([is_leaf(k) for k in nodes])
+    child = lambda side: np.array([place.get(2 * k + side, i) for i, k in enumerate(nodes)])
+    arrays = {
+        "left": child(0),
+        "right": child(1),
+        "split": np.where(leaf, 0, forest.feature[tree, nodes].astype(int)),
+        "threshold": np.where(leaf, 0.0, forest.threshold[tree, nodes]),
+        "path": forest.path[tree, nodes],
+    }
+    return arrays, nodes[-1].bit_length() - 1
+
+
+def with_mean_path_jvm(df: DataFrame, forest: Forest, out: str = "mean_path") -> DataFrame:
+    """A6 without Python workers for a whole table: adds ``out``, equal to ``mean_path`` bit for bit.
+
+    All trees go down one level a projection: a tree's node is a column, and a
+    level looks its split and children up in the tree's arrays, which are
+    constants of the plan. So the steps are compiled expressions and not folds.
+    A row's columns are as many as the trees, whatever the table.
+    """
+    check_forest_size(forest.n_trees, forest.psi)
+    kinds = {"left": "int", "right": "int", "split": "int", "threshold": "double", "path": "double"}
+    numbered = [_numbered(forest, t) for t in range(forest.n_trees)]
+    trees = [{name: _literal(values, kinds[name]) for name, values in arrays.items()} for arrays, _ in numbered]
+    depths = [depth for _, depth in numbered]
+    keep, nodes, x = [F.col(f"`{c}`") for c in df.columns], [f"_walk_{t}" for t in range(forest.n_trees)], F.col("_walk_x")
+    walked = df.select(*keep, F.array(*[F.col(f).cast("double") for f in forest.features]).alias("_walk_x"))
+
+    def step(tree: dict[str, Column], n: Column) -> Column:
+        return F.when(F.get(x, F.get(tree["split"], n)) > F.get(tree["threshold"], n), F.get(tree["right"], n)).otherwise(F.get(tree["left"], n))
+
+    for level in range(max(depths, default=0)):
+        at = [F.lit(0) if level == 0 else F.col(c) for c in nodes]
+        walked = walked.select(*keep, x, *[(step(tree, n) if level < depth else n).alias(c) for tree, n, depth, c in zip(trees, at, depths, nodes)])
+    ends = [F.get(tree["path"], F.col(c) if any(depths) else F.lit(0)) for tree, c in zip(trees, nodes)]
+    paths = F.array(*[F.coalesce(p, F.lit(0.0)) for p in ends])  # never null: says so to the sort
+    return walked.select(*keep, _mean_in_order(paths, forest.n_trees).alias(out))
 
 
-def score_samples(forest: Forest, spark: SparkSession, engine: str = "arrow") -> Column:
+def score_samples(forest: Forest, spark: SparkSession, engine: str = "arrow", walked: str | None = None) -> Column:
     """-2^(-E[h] / c(psi)); lower is more anomalous.
 
     ``engine="arrow"`` walks the trees in numpy over Arrow batches,
-    ``engine="jvm"`` in column expressions, without Python workers.
+    ``engine="jvm"`` in column expressions, without Python workers. ``walked``
+    names the column of mean paths when the table went through
+    ``with_mean_path_jvm``.
     """
     if engine not in ("arrow", "jvm"):
         raise ValueError("engine must be 'arrow' or 'jvm'")
-    mean = mean_path(forest, spark) if engine == "arrow" else mean_path_jvm(forest)
+    if walked is not None and engine != "jvm":
+        raise ValueError("only engine='jvm' takes walked paths")
+    mean = F.col(walked) if walked is not None else mean_path(forest, spark) if engine == "arrow" else mean_path_jvm(forest)
     return -F.pow(F.lit(2.0), -mean / F.lit(c_of(forest.psi)))
 
 
@@ -527,6 +585,9 @@ def anomaly_score(df: DataFrame, forest: Forest, out: str = "anomaly_score", eng
     """M3: score_samples - offset (the decision function); negative = anomaly."""
     if forest.offset is None:
         raise ValueError("forest has no offset; fit it with fit_forest")
+    if engine == "jvm":
+        walked = with_mean_path_jvm(df, forest, "_mean_path")
+        return walked.withColumn(out, score_samples(forest, df.sparkSession, engine, "_mean_path") - F.lit(forest.offset)).drop("_mean_path")
     return df.withColumn(out, score_samples(forest, df.sparkSession, engine) - F.lit(forest.offset))
 
 

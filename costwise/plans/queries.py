@@ -276,7 +276,8 @@ def q_forest_score_jvm(spark, sf_dir):
     """A6, M3, J2 without Python workers: the trees walked in column expressions."""
     tx = transactions(spark, sf_dir)
     fo = forest.fit_forest(tx)
-    df = tx.select(ID, forest.score_samples(fo, spark, engine="jvm").alias("score"))
+    walked = forest.with_mean_path_jvm(tx.select(ID, *FEATURES), fo)
+    df = walked.select(ID, forest.score_samples(fo, spark, engine="jvm", walked="mean_path").alias("score"))
     return df.select(ID, round_to("score", P6).alias("score"), round_to(F.col("score") - F.lit(fo.offset), P6).alias("anomaly_score"))
 
 

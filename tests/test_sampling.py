@@ -116,3 +116,18 @@ def test_walk_without_python_workers(spark, tx):
         assert "ArrowEvalPython" not in plan
     with pytest.raises(ValueError, match="engine"):
         fst.score_samples(forest, spark, engine="gpu")
+
+
+def test_whole_tables_are_walked_in_compiled_steps(spark, tx):
+    """The walk of a table gives the numpy walk's bits, and only the sum of the paths is a fold (its lambda names two variables)."""
+    for table, psi in ((tx, 64), (tx.limit(3), 256), (tx.withColumns({f: F.lit(1.0) for f in FEATURES}), 16)):
+        forest = fst.fit_forest(table, n_trees=7, max_samples=psi)
+        a = table.select(ID, fst.mean_path(forest, spark).alias("m"))
+        walked = fst.with_mean_path_jvm(table, forest, "m")
+        assert walked.columns == [*table.columns, "m"]
+        b = walked.select(ID, "m")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        plan = b._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and "transform(" not in plan and plan.count("lambdafunction(") <= 2
+        scores = [r["s"] for r in fst.anomaly_score(table, forest, "s", engine="jvm").orderBy(ID).collect()]
+        assert scores == [r["s"] for r in fst.anomaly_score(table, forest, "s").orderBy(ID).collect()]
