@@ -6,6 +6,7 @@ from .scalar import (  # noqa: F401
     name_map,
     path_norm,
     percent_text,
+    reason_text,
     reason_texts,
     round_to,
     sentence,

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import logistic, name_map, reason_texts, sentence
+from ..functions import logistic, name_map, reason_text, sentence
 from ..schema import EXPLANATION_TOP_K, FEATURES
 from ..session import ship_package
 from .classifier import LinearModel
@@ -306,7 +306,7 @@ def ranked(features: Sequence[str] = FEATURES, prefix: str = "phi_") -> Column:
         )
         for i, f in enumerate(features)
     ]
-    return F.array_sort(F.array(*items))
+    return F.sort_array(F.array(*items))  # as array_sort (no item is null), without a comparison of its own per pair
 
 
 def top_features(features: Sequence[str] = FEATURES, k: int = EXPLANATION_TOP_K, prefix: str = "phi_") -> Column:
@@ -315,8 +315,12 @@ def top_features(features: Sequence[str] = FEATURES, k: int = EXPLANATION_TOP_K,
 
 
 def explanation(features: Sequence[str] = FEATURES, k: int = EXPLANATION_TOP_K, prefix: str = "phi_") -> Column:
-    """X2: 'Transaction flagged primarily due to: a impact, b impact, c impact.'"""
-    return sentence(reason_texts(top_features(features, k, prefix)))
+    """X2: 'Transaction flagged primarily due to: a impact, b impact, c impact.'
+
+    The reasons are constants that are sorted with the values: no text is made per row but the sentence.
+    """
+    items = [F.struct((-F.abs(F.col(f"{prefix}{f}"))).alias("neg_abs"), F.lit(i).alias("idx"), reason_text(F.lit(f)).alias("reason")) for i, f in enumerate(features)]
+    return sentence(F.slice(F.sort_array(F.array(*items)), 1, k)["reason"])
 
 
 def contributions(features: Sequence[str] = FEATURES, prefix: str = "phi_") -> Column:

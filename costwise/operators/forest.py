@@ -359,7 +359,7 @@ class Forest:
     def broadcast(self, spark: SparkSession):
         if self._bc is None:
             check_forest_size(self.n_trees, self.psi)
-            self._bc = spark.sparkContext.broadcast((self.feature, self.threshold, self.path))
+            self._bc = spark.sparkContext.broadcast(TreeWalk(self.feature, self.threshold, self.path, self.max_depth))
         return self._bc
 
 
@@ -394,6 +394,119 @@ def path_lengths(X: np.ndarray, feature: np.ndarray, threshold: np.ndarray, path
     return pf[base + node]
 
 
+def _ones(n: np.ndarray) -> np.ndarray:
+    """64-bit words whose lowest ``n`` bits are set."""
+    return np.where(n >= 64, ~np.uint64(0), (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
+
+
+class LeafSets:
+    """Where rows end in some trees, by sets of leaves instead of steps.
+
+    A tree's leaves are numbered from left to right. A test that sends a row
+    to the right rules out the leaves left of it; the lowest leaf that no test
+    rules out is the row's. For every feature, the thresholds of all trees in
+    order cut its values into intervals, and a table holds the leaves that a
+    value in an interval leaves possible (as bits, for all trees). So a row
+    reads one line of a table per feature and joins them, whatever the depth.
+    """
+
+    def __init__(self, feature: np.ndarray, threshold: np.ndarray, path: np.ndarray, max_depth: int, m: int):
+        self.n_trees, width = feature.shape
+        k = np.arange(width)
+        depth = np.floor(np.log2(np.maximum(k, 1))).astype(int)
+        slot = (k - (1 << depth)) << (max_depth - depth)  # the first of 2^max_depth places below the node
+        half = (1 << (max_depth - depth)) >> 1
+        inner = np.zeros(feature.shape, bool)
+        there = np.zeros(feature.shape, bool)
+        there[:, 1] = True
+        for d in range(max_depth + 1):
+            at = np.arange(1 << d, 1 << (d + 1))
+            if d < max_depth:
+                inner[:, at] = there[:, at] & (feature[:, at] >= 0)
+                there[:, 2 * at] = there[:, 2 * at + 1] = inner[:, at]
+        t, at = np.nonzero(there & ~inner)
+        taken = np.zeros((self.n_trees, (1 << max_depth) + 1), int)
+        taken[t, slot[at] + 1] = 1
+        before = np.cumsum(taken, axis=1)  # leaves left of a place
+        most = int(before[:, -1].max())
+        self.words = -(-most // 64)
+        self.paths = np.zeros((self.n_trees, most))
+        self.paths[t, before[t, slot[at]]] = path[t, at]
+        self.first = (np.arange(self.n_trees) * most)[None, :]
+        self.cuts, self.tables = [], []
+        for f in range(m):
+            t, at = np.nonzero(inner & (feature == f))
+            cuts = np.unique(threshold[t, at])
+            table = np.full((len(cuts) + 1, self.words, self.n_trees), ~np.uint64(0))
+            row = np.searchsorted(cuts, threshold[t, at]) + 1
+            begin, end = before[t, slot[at]], before[t, slot[at] + half[at]]
+            for w in range(self.words):
+                left = _ones(np.clip(end - 64 * w, 0, 64)) & ~_ones(np.clip(begin - 64 * w, 0, 64))
+                np.bitwise_and.at(table[:, w, :], (row, t), ~left)
+            np.bitwise_and.accumulate(table, axis=0, out=table)
+            self.cuts.append(cuts)
+            self.tables.append(table.reshape(len(cuts) + 1, -1))
+
+    def __call__(self, X: np.ndarray) -> np.ndarray:
+        """(n, trees) path lengths."""
+        left = None
+        for x, cuts, table in zip(X.T, self.cuts, self.tables):
+            row = np.searchsorted(cuts, x)  # thresholds below x
+            row[np.isnan(x)] = 0  # never above a threshold
+            lines = table[row]
+            left = lines if left is None else np.bitwise_and(left, lines, out=left)
+        left = left.reshape(len(X), self.words, self.n_trees)
+        word, number = left[:, -1], self.first + 64 * (self.words - 1)
+        for w in reversed(range(self.words - 1)):  # the first word with a leaf in it
+            some = left[:, w] != 0
+            word, number = np.where(some, left[:, w], word), np.where(some, self.first + 64 * w, number)
+        lowest = word & (~word + np.uint64(1))
+        bit = (lowest.astype(np.float64).view(np.int64) >> 52) - 1023  # the exponent of a power of two
+        return self.paths.ravel()[number + bit]
+
+
+#: Rows in one block (measured: 15.7-20 us a row by ``path_lengths``, 5.6-8 us by sets; 21,222 nodes in 100 trees).
+SET_ROWS = 1000
+#: Bytes of one group's tables in ``LeafSets``; trees are taken in groups that stay below.
+LEAF_SET_BYTES = 16 << 20
+#: Groups at most, so that a worker's tables stay below 64 MB.
+LEAF_SET_GROUPS = 4
+
+
+class TreeWalk:
+    """The forest's arrays, as broadcast; path lengths of a batch, all trees at once.
+
+    Trees go by ``LeafSets`` in groups whose tables stay below ``LEAF_SET_BYTES``
+    (built once a worker); a forest that needs more than ``LEAF_SET_GROUPS`` of them goes by
+    ``path_lengths``. The values are the same.
+    """
+
+    def __init__(self, feature: np.ndarray, threshold: np.ndarray, path: np.ndarray, max_depth: int):
+        self.arrays, self.max_depth, self.groups = (feature, threshold, path), max_depth, None
+
+    def __getstate__(self):
+        return {**self.__dict__, "groups": None}
+
+    def _prepare(self, m: int) -> None:
+        feature, threshold, path = self.arrays
+        inner = int((feature >= 0).sum(axis=1).max(initial=0))
+        size = int((LEAF_SET_BYTES / (8 * (inner + m) * (inner // 64 + 1))) ** 0.5)  # g trees: g * inner lines of g * words
+        self.groups = [LeafSets(feature[i : i + size], threshold[i : i + size], path[i : i + size], self.max_depth, m) for i in range(0, len(feature), size)] if size * LEAF_SET_GROUPS >= len(feature) else []
+
+    def __call__(self, X: np.ndarray) -> np.ndarray:
+        if self.groups is None:
+            self._prepare(X.shape[1])
+        if not self.groups:
+            return path_lengths(X, *self.arrays, self.max_depth)
+        return np.concatenate([g(X) for g in self.groups], axis=1) if len(self.groups) > 1 else self.groups[0](X)
+
+    def mean(self, X: np.ndarray) -> np.ndarray:
+        """Mean path length of every row, in blocks that stay in the cache."""
+        if not len(X):
+            return np.empty(0)
+        return np.concatenate([mean_of_paths(self(X[i : i + SET_ROWS])) for i in range(0, len(X), SET_ROWS)])
+
+
 def mean_of_paths(paths: np.ndarray) -> np.ndarray:
     """E[h] per row, independent of tree order: the row's path lengths are
     sorted and added one after another, so two rows with the same lengths in
@@ -409,14 +522,11 @@ def mean_of_paths(paths: np.ndarray) -> np.ndarray:
 def mean_path(forest: Forest, spark: SparkSession) -> Column:
     """Average path length over the trees, as an Arrow-batched column."""
     bc = forest.broadcast(spark)
-    max_depth = forest.max_depth
     ship_package(spark)
 
     @F.pandas_udf("double")
     def avg_path(*cols: pd.Series) -> pd.Series:
-        feature, threshold, path = bc.value
-        X = np.column_stack([c.to_numpy(dtype="float64") for c in cols])
-        return pd.Series(mean_of_paths(path_lengths(X, feature, threshold, path, max_depth)))
+        return pd.Series(bc.value.mean(np.column_stack([c.to_numpy(dtype="float64") for c in cols])))
 
     return avg_path(*[F.col(f).cast("double") for f in forest.features])
 

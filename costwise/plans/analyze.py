@@ -93,7 +93,6 @@ def batch_scores(models: Models, spark: SparkSession, with_shapley: bool = True,
     """
     forest = models.forest
     bc = forest.broadcast(spark)
-    max_depth = forest.max_depth
     ship_package(spark)
     explain_batch = ShapleyBatch(linear_predictor(models.classifier), len(models.classifier.features), background) if with_shapley else None
     names = list(models.classifier.features)
@@ -104,9 +103,8 @@ def batch_scores(models: Models, spark: SparkSession, with_shapley: bool = True,
 
     @F.pandas_udf(schema)
     def run(*cols: pd.Series) -> pd.DataFrame:
-        feature, threshold, path = bc.value
         X = np.column_stack([c.to_numpy(dtype="float64") for c in cols])
-        out = {"mean_path": fst.mean_of_paths(fst.path_lengths(X, feature, threshold, path, max_depth))}
+        out = {"mean_path": bc.value.mean(X)}
         if explain_batch is not None:
             phi = explain_batch(X)
             out.update({f"phi_{f}": phi[:, i] for i, f in enumerate(names)})

@@ -119,7 +119,7 @@ def test_walk_without_python_workers(spark, tx):
 
 
 def test_whole_tables_are_walked_in_compiled_steps(spark, tx):
-    """The walk of a table gives the numpy walk's bits, and only the sum of the paths is a fold (its lambda names two variables)."""
+    """The walk of a table gives the numpy walk's bits, and only the sum of the paths is a fold."""
     for table, psi in ((tx, 64), (tx.limit(3), 256), (tx.withColumns({f: F.lit(1.0) for f in FEATURES}), 16)):
         forest = fst.fit_forest(table, n_trees=7, max_samples=psi)
         a = table.select(ID, fst.mean_path(forest, spark).alias("m"))
@@ -128,6 +128,23 @@ def test_whole_tables_are_walked_in_compiled_steps(spark, tx):
         b = walked.select(ID, "m")
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
         plan = b._jdf.queryExecution().executedPlan().toString()
-        assert "ArrowEvalPython" not in plan and "transform(" not in plan and plan.count("lambdafunction(") <= 2
+        assert "ArrowEvalPython" not in plan and "transform(" not in plan and plan.count("aggregate(") == 1
         scores = [r["s"] for r in fst.anomaly_score(table, forest, "s", engine="jvm").orderBy(ID).collect()]
         assert scores == [r["s"] for r in fst.anomaly_score(table, forest, "s").orderBy(ID).collect()]
+
+
+def test_leaf_sets_give_the_walk(monkeypatch):
+    """The same path lengths as step by step, at thresholds, NaN and infinities too, in one group, in several, and for forests too large for sets."""
+    r = np.random.default_rng(3)
+    for psi, n_trees in ((256, 9), (64, 3), (1, 2)):
+        rows = [row for t in range(n_trees) for row in fst.grow_tree(np.c_[r.normal(size=psi), r.integers(0, 3, psi), np.ones(psi)], t, 42, fst.depth_limit(psi))]
+        f = fst.Forest.from_nodes(pd.DataFrame(rows, columns=fst.NODE_SCHEMA.names), n_trees, psi, ("a", "b", "c"))
+        cuts = f.threshold[f.feature == 0]
+        X = np.c_[np.r_[cuts, np.nan, np.inf, -np.inf, r.normal(size=2000)], r.integers(-1, 4, len(cuts) + 2003), np.ones(len(cuts) + 2003)]
+        want = fst.path_lengths(X, f.feature, f.threshold, f.path, f.max_depth)
+        for size, groups in ((16 << 20, 1), (1 << 17, None), (1, 0)):
+            monkeypatch.setattr(fst, "LEAF_SET_BYTES", size)
+            walk = fst.TreeWalk(f.feature, f.threshold, f.path, f.max_depth)
+            assert (walk(X) == want).all() and (walk.mean(X) == fst.mean_of_paths(want)).all()
+            assert groups is None or len(walk.groups) == groups
+        assert walk.mean(X[:0]).shape == (0,)
