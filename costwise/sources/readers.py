@@ -60,21 +60,30 @@ def from_records(spark: SparkSession, records: Iterable[Mapping], schema=RAW_REQ
     return spark.createDataFrame(rows, schema)
 
 
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` and new columns that are computed once a row.
+
+    The optimiser copies an expression to wherever its column is read, into filters and
+    below conditions too; the one row a generator gives is a value that it does not take apart.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def parse_json_requests(df: DataFrame, text_col: str = "value") -> DataFrame:
     """K2 for JSON text: one request body per row, every field kept as text.
 
     Adds ``_present``, the array of keys the body carries, so a missing field
     and an explicit null stay distinguishable, and ``_malformed`` with the raw
-    text for bodies that are no JSON object (``validate`` reads both).
+    text for bodies that are no JSON object (``validate`` reads both). A body
+    is parsed once, however many fields and checks read it (``once``).
     """
-    body = F.col(text_col)
-    parsed = F.from_json(body, RAW_REQUEST)
-    keys = F.json_object_keys(body)  # null unless the body is a JSON object
-    return df.select(
-        *[parsed[f.name].alias(f.name) for f in RAW_REQUEST.fields],
-        keys.alias("_present"),
-        keys.isNull().alias("_malformed"),
-        body.alias("_raw"),
+    keys = F.json_object_keys("_raw")  # null unless the body is a JSON object
+    parsed = once(df.select(F.col(text_col).alias("_raw")), {"_request": F.from_json("_raw", RAW_REQUEST), "_present": keys})
+    return parsed.select(
+        *[F.col(f"_request.{f.name}").alias(f.name) for f in RAW_REQUEST.fields],
+        "_present",
+        F.col("_present").isNull().alias("_malformed"),
+        "_raw",
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ID, INTEGRAL_FEATURES, REQUEST
+from .readers import once
 
 # The ranges the input form enforces (checked only with strict_domain).
 DOMAIN = {
@@ -65,6 +66,10 @@ def validate(df: DataFrame, strict_domain: bool = False, keep: tuple[str, ...] =
     listed in ``keep``. Row-local: no shuffle, duplicate ids stay separate.
     """
     present = F.col("_present") if "_present" in df.columns else None
+    fields = [f.name for f in REQUEST.fields if f.name in df.columns]
+    if fields:  # a field's text and value are computed once, however many checks and outputs read them
+        df = once(df, {f"_text_{n}": _as_text(F.col(n)) for n in fields})
+        df = once(df, {f"_value_{n}": _parsed(n, F.col(f"_text_{n}")) for n in fields})
     outs, reasons = [], []
     if "_malformed" in df.columns:  # a body that is no JSON object
         reasons.append(F.when(F.col("_malformed"), F.concat(F.lit("malformed body: "), F.coalesce(F.col("_raw"), F.lit("")))))
@@ -74,8 +79,7 @@ def validate(df: DataFrame, strict_domain: bool = False, keep: tuple[str, ...] =
             reasons.append(F.lit(f"missing field {f.name}"))
             continue
         raw = F.col(f.name)
-        text = _as_text(raw)
-        val = _parsed(f.name, text)
+        text, val = F.col(f"_text_{f.name}"), F.col(f"_value_{f.name}")
         outs.append(val.alias(f.name))
         reasons.append(_reason(f.name, raw, text, val, present, strict_domain))
     return df.select(*[F.col(k) for k in keep], *outs, F.coalesce(*reasons).alias("reject_reason"))

@@ -264,3 +264,16 @@ def test_shared_folder_must_be_named_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=context))
+
+
+def test_a_body_is_parsed_and_checked_once(spark):
+    """One JSON parse a body and one number test a field, though filter, reasons and outputs read them."""
+    from costwise.sources.readers import parse_json_requests
+    from costwise.sources.validate import split_valid, validate
+
+    bodies = spark.range(3).selectExpr("""concat('{"transaction_id": ', id, ', "amount": 1.5}') AS value""")
+    ok, bad = split_valid(validate(parse_json_requests(bodies), strict_domain=True))
+    for side in (ok, bad):
+        optimized = side._jdf.queryExecution().optimizedPlan().toString()
+        assert optimized.count("from_json(") == 1 and optimized.count("json_object_keys(") <= 1
+    assert bad.count() == 3 and ok.count() == 0
