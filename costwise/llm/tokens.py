@@ -62,9 +62,13 @@ class Known:
     def add(self, words: pa.Array, entries: list[bytes]) -> np.ndarray:
         """Puts new words at the end and returns their places."""
         size = np.fromiter(map(len, entries), np.int32, len(entries)) // self.table.dtype.itemsize
+        return self.append(words, np.frombuffer(b"".join(entries), self.table.dtype), size)
+
+    def append(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """``add`` for words whose ids lie one after the other."""
         self.begin = np.concatenate([self.begin, len(self.table) + np.cumsum(size, dtype=np.int32) - size])
         self.size = np.concatenate([self.size, size])
-        self.table = np.concatenate([self.table, np.frombuffer(b"".join(entries), self.table.dtype)])
+        self.table = np.concatenate([self.table, ids])
         self.words = pa.concat_arrays([self.words, words])
         return np.arange(len(self.words) - len(words), len(self.words))
 
@@ -97,24 +101,27 @@ class Encoder:
     def _pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
+    def _encoded(self, piece: str) -> bytes:
+        """Ids of a piece, not kept."""
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isascii() and word.isalpha():  # one word of letters that stand for themselves: no splitting needed
+            return self._pack([t.id for t in self.model.tokenize(piece if word is piece else self.blank + word)])
+        if word.isalpha() and max(word) < "ɐ":  # other Latin letters
+            mapped = piece.encode().decode("latin-1").translate(self.letters)
+            return self._pack([t.id for t in self.model.tokenize(mapped)])
+        if "\n" in word and _LINES.fullmatch(word):  # single line breaks between other characters are pieces of their own
+            one, *more = piece.split("\n")
+            line = self["\n"]
+            return self[one] + b"".join([line + self[x] for x in more])
+        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha():  # the mark is a piece of its own
+            return self[piece[:-1]] + self[piece[-1]]
+        return self._pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
     def _ids(self, piece: str) -> bytes:
         """Ids of a piece that is not in the newer half of the cache."""
         got = self.old.get(piece)
         if got is None:
-            word = piece[1:] if piece[:1] == " " else piece
-            if word.isascii() and word.isalpha():  # one word of letters that stand for themselves: no splitting needed
-                got = self._pack([t.id for t in self.model.tokenize(piece if word is piece else self.blank + word)])
-            elif word.isalpha() and max(word) < "ɐ":  # other Latin letters
-                mapped = piece.encode().decode("latin-1").translate(self.letters)
-                got = self._pack([t.id for t in self.model.tokenize(mapped)])
-            elif "\n" in word and _LINES.fullmatch(word):  # single line breaks between other characters are pieces of their own
-                one, *more = piece.split("\n")
-                line = self["\n"]
-                got = self[one] + b"".join([line + self[x] for x in more])
-            elif len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha():  # the mark is a piece of its own
-                got = self[piece[:-1]] + self[piece[-1]]
-            else:
-                got = self._pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            got = self._encoded(piece)
         if len(piece) <= 64:
             if len(self.new) >= CACHED:
                 self.old, self.new = self.new, {}
@@ -160,12 +167,16 @@ class Encoder:
         if len(fresh):
             plain = pc.match_substring_regex(different, r"^[A-Za-z]+$").to_numpy(zero_copy_only=False)
             first, then = fresh[base_of[fresh] < 0], fresh[base_of[fresh] >= 0]  # marked words need their bases
-            tokenize, pack, blank = self.model.tokenize, self._pack, self.blank
-            entries = [
-                pack([t.id for t in tokenize(blank + word)]) if letters else self[" " + word]
-                for word, letters in zip(different.take(pa.array(first)).to_pylist(), plain[first].tolist())
-            ]
-            at[first] = self.known.add(different.take(pa.array(first)), entries)
+            letters, others = first[plain[first]], first[~plain[first]]
+            tokenize, blank, ids, size = self.model.tokenize, self.blank, array(self.code), []
+            chosen = different.take(pa.array(letters))
+            for word in chosen.to_pylist():
+                tokens = tokenize(blank + word)
+                size.append(len(tokens))
+                ids.extend([t.id for t in tokens])
+            at[letters] = self.known.append(chosen, np.frombuffer(ids, self.dtype), np.array(size, np.int32))
+            chosen, get, encoded = different.take(pa.array(others)), self.new.get, self._encoded  # the table keeps them: no second copy in the cache
+            at[others] = self.known.add(chosen, [get(" " + word) or encoded(" " + word) for word in chosen.to_pylist()])
             if len(then):
                 raw, width, stem = self.known.table.tobytes(), self.dtype.itemsize, at[base_of[then]]
                 begin = self.known.begin[stem].astype(np.int64) * width

@@ -71,3 +71,14 @@ def test_sliced_batches(library):
     ids, counts = encoder.encode_batch(array)
     parts = [encoder.encode_batch(array.slice(i, 13)) for i in range(0, len(rows), 13)]
     assert [x for p, _ in parts for x in p.tolist()] == ids.tolist() and [x for _, p in parts for x in p.tolist()] == counts.tolist()
+
+
+def test_words_of_the_table_are_not_kept_twice():
+    """New words are encoded once and kept in the table alone; the ids are the library's."""
+    enc = Encoder(vocabulary_path())
+    texts = ["a plain wörd, x1y and plain ends.", "again x1y wörd, ends. it’s"]
+    for _ in range(2):
+        ids, counts = enc.encode_batch(pa.array(texts))
+        want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert " x1y" not in enc.new and " it’s" not in enc.new
