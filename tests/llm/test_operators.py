@@ -538,6 +538,63 @@ def test_topk_cutoffs_come_from_all_blocks(spark, monkeypatch):
     assert sent["topk-hits"].count() < 4 * 5 * n_queries
 
 
+def test_topk_moves_blocks_by_shuffles_only(spark, monkeypatch):
+    """A query block meets all rows: its copies are far larger than its file, so no join may send them through the driver."""
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(400)], "vec_id long, embedding array<float>")
+    plans, real = [], topk.stage
+
+    def seen(d, name):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return real(d, name)
+
+    monkeypatch.setattr(topk, "stage", seen)
+    out = topk.top_k(df, rows_per_block=32, queries_per_block=4)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("FlatMapCoGroupsInArrow" in p for p in plans) == 2
+    assert not any("Broadcast" in p for p in plans)
+
+
+def test_topk_units_are_bounded():
+    """A unit's bytes are bounded, and what moves is far less than a copy of all queries for every row block."""
+    row, query = 4096 * 72, 2048 * 72
+    for n in (500, 51_282, 615_384, 15_000_000):
+        row_blocks, query_blocks = -(-n // 4096), -(-n // 20 // 2048)
+        r, q = topk._groups(row_blocks, query_blocks, row, query, 24)
+        assert r * q >= min(24, row_blocks * query_blocks)
+        assert -(-row_blocks // r) * row <= topk.ROW_BYTES and -(-query_blocks // q) * query <= topk.QUERY_BYTES
+        assert n < 10**6 or r * query_blocks * query + q * row_blocks * row < row_blocks * query_blocks * query / 15
+    assert topk._groups(9, 7, 1 << 40, 1 << 40, 1) == (9, 7)  # one block at least
+
+
+def test_topk_of_common_vectors_over_many_units(spark):
+    """A third of the rows share one vector, 80 rows are one and the same row, some ids repeat, some vectors are
+    empty, longer or at the ends of the narrow integers: over several units of each kind the lists are those of all pairs."""
+    r = random.Random(23)
+    rows = [(i, [r.randint(-128, 127) for _ in range(9)]) for i in range(400)]
+    rows += [(1000 + i, rows[0][1]) for i in range(260)] + [(1500, rows[1][1])] * 80
+    rows += [(40, []), (2001, []), (60, [127] * 9), (80, [-128] * 9), (2003, [128, -129] * 6), (2020, [40000, 1]), (2021, [-(1 << 20)] * 3)]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = Counter(tuple(x) for x in topk.top_k(df, k=6, scale=1.0, rows_per_block=50, queries_per_block=9).collect())
+    want = Counter()
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for i, v in rows if i == q for j, w in rows if j != q)[:6]
+        want.update((q, n + 1, j, -s) for n, (s, j) in enumerate(scored))
+    assert got == want
+
+
+def test_topk_of_other_number_types(spark):
+    """Vectors of whole numbers, nulls among them; of doubles that reach past 64 bits when scaled; and all empty."""
+    whole = spark.createDataFrame([(0, [1, 2]), (1, [3, 4]), (2, [5, None]), (3, [-7, 1])], "vec_id long, embedding array<int>")
+    assert {tuple(r) for r in topk.top_k(whole, k=5, scale=1.0).collect()} == {(0, 1, 1, 11), (0, 2, 3, -5)}
+    wide = spark.createDataFrame([(0, [1.0]), (1, [1e300]), (2, [-1e300]), (3, [1.7e308]), (4, [0.5])], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(wide, k=5, scale=2.0).collect()}
+    top = 2**63
+    assert got == {(0, 1, 1, top - 1), (0, 2, 3, top - 1), (0, 3, 4, 2), (0, 4, 2, -top)}
+    empty = spark.createDataFrame([(i, []) for i in range(3)], "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in topk.top_k(empty).collect()} == {(0, 1, 1, 0), (0, 2, 2, 0)}
+
+
 def plain_licenses(texts, templates, required, words=5, threshold=0.8):
     """Brute force: (text place, license) by exact containment and phrases."""
     split = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
